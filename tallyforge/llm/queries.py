@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyforge.llm import exact_dedup as dedup
-from tallyforge.llm import mixing, packing, quality
+from tallyforge.llm import html_text, language_model, media, mixing, packing, pii, quality
 from tallyforge.llm import simhash_dedup as simhash
+from tallyforge.llm import url_filter as urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,59 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
+
+
+RULES = (
+    urls.Rule("block", "net"),
+    urls.Rule("allow", "example.net", "/en/"),
+    urls.Rule("block", "example.com", "/de/"),
+    urls.Rule("allow", "org", "/fr/"),
+)
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: the urls of the pages whose id is divisible by 50."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.filter_urls(pages, pages.where("page_id % 50 = 0").select("url"), RULES)
+
+
+ORACLES["op1_url_filter"] = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND
+      split_part(p, '=', 1) NOT IN ('fbclid', 'gclid', 'ref', 'utm_campaign', 'utm_content', 'utm_medium', 'utm_source', 'utm_term'))) AS q
+  FROM pages),
+c AS (SELECT page_id, host, path, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') ||
+  CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM u),
+l AS (SELECT DISTINCT canonical FROM c WHERE page_id % 50 = 0 AND canonical <> ''),
+r(kind, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+f AS (SELECT c.page_id, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.kind, length(r.h || r.p)) AS kind
+  FROM c JOIN r ON (c.host = r.h OR ends_with(c.host, '.' || r.h)) AND starts_with(c.path, r.p) GROUP BY c.page_id)
+SELECT c.page_id, c.host, c.path, f.rule, l.canonical IS NOT NULL AS listed,
+  coalesce(f.kind, CASE WHEN l.canonical IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM c LEFT JOIN l USING (canonical) LEFT JOIN f ON f.page_id = c.page_id
+"""
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bits")
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
