@@ -21,33 +21,41 @@ KINDS = {
 BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
 
 
+SPAN = "struct<start: int, end: int, value: string, gap: string, next_gap: string>"
+#: Spans are gathered in arrays of this many, so that no step copies a long array.
+BATCH = 128
+
+
 def _spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's matches: lengths of the pieces between matches and of matches, summed up."""
+    """array<struct<start, end, value, gap, next_gap>> of a pattern's matches, with the texts before and after that no match covers.
+
+    Starts are sums of the lengths of gaps and matches so far. A lambda sees its own arguments only: what it took from outside
+    would be evaluated again for every element.
+    """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
+    gaps = F.split(text, pattern, -1)
+    parts = F.filter(F.arrays_zip(found.alias("value"), gaps.alias("gap"), F.slice(gaps, 2, 2147483647).alias("next_gap")), lambda p: p["value"].isNotNull())
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(between, i))
-        value = F.get(found, i)
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("spans"))
+    def step(acc: Column, part: Column) -> Column:
+        start = acc["at"] + F.length(part["gap"])
+        end = start + F.length(part["value"])
+        span = F.array(F.struct(start.alias("start"), end.alias("end"), part["value"].alias("value"), part["gap"].alias("gap"), part["next_gap"].alias("next_gap")))
+        full = F.size(acc["batch"]) >= BATCH
+        return F.struct(
+            end.alias("at"),
+            F.when(full, span).otherwise(F.concat(acc["batch"], span)).alias("batch"),
+            F.when(full, F.concat(acc["done"], F.array(acc["batch"]))).otherwise(acc["done"]).alias("done"),
+        )
 
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(found) == 0, empty).otherwise(folded)
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("batch"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("done"))
+    return F.aggregate(parts, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["batch"]))))
 
 
 def _luhn(digits: Column) -> Column:
     """Sum of the digits, every second from the right doubled and its digits added, is a multiple of 10."""
-    each = F.split(F.reverse(digits), "")
-    places = F.sequence(F.lit(0), F.length(digits) - 1)
-
-    def add(total: Column, i: Column) -> Column:
-        d = F.get(each, i).cast("int")
-        doubled = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
-        return total + F.when(i % 2 == 1, doubled).otherwise(d)
-
-    return F.aggregate(places, F.lit(0), add) % 10 == 0
+    each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.struct(d.try_cast("int").alias("d"), (i % 2 == 1).alias("second")))
+    values = F.transform(F.filter(each, lambda e: e["d"].isNotNull()), lambda e: F.when(~e["second"], e["d"]).when(e["d"] > 4, e["d"] * 2 - 9).otherwise(e["d"] * 2))
+    return F.aggregate(values, F.lit(0), lambda total, v: total + v) % 10 == 0
 
 
 def _passes(kind: str, value: Column) -> Column:
@@ -68,7 +76,7 @@ def base_spans(text: Column) -> Column:
 
 def _base_of(text: Column, kind: str) -> Column:
     needed = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, F.lit(True))
-    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
     spans = F.filter(F.when(needed, _spans(text, KINDS[kind])).otherwise(empty), lambda s: _passes(kind, s["value"]))
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
@@ -82,17 +90,17 @@ def shape(value: Column) -> Column:
 def candidates(text: Column) -> Column:
     """array<struct<start, end, value, before, after>>: words of 5 to 64 characters with a digit or @, and their neighbours.
 
-    start and end leave out punctuation at the word's ends.
+    start and end leave out punctuation at the word's ends. A neighbour that is a candidate itself counts as none.
     """
     word = r"[^\x20\x09-\x0D]*+"
     pattern = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
-    spans = _spans(text, pattern)
+    spans = F.when(text.rlike("[0-9@]"), _spans(text, pattern)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
     def with_context(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+(]*+", 0))
         value = F.regexp_extract(s["value"], r"^[^\p{L}0-9+(]*+(.*?)[^\p{L}0-9)]*+$", 1)
-        left = F.regexp_extract(F.substring(text, F.greatest(s["start"] - 31, F.lit(1)), F.least(s["start"], F.lit(32))), rf"({word})[\x20\x09-\x0D]*$", 1)
-        right = F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(32)), rf"^[\x20\x09-\x0D]*({word})", 1)
+        left = F.regexp_extract(F.right(s["gap"], F.lit(32)), rf"({word})[\x20\x09-\x0D]*$", 1)
+        right = F.regexp_extract(F.left(s["next_gap"], F.lit(32)), rf"^[\x20\x09-\x0D]*({word})", 1)
         start = s["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lower(left).alias("before"), F.lower(right).alias("after"))
 
@@ -130,7 +138,7 @@ def find(docs: DataFrame, rounds: int = 2, accept: float = 0.5, support: int = 2
         F.col("c.end").alias("end"),
         F.lower("c.value").alias("instance"),
         F.array_distinct(F.array(F.concat_ws(" ", F.lit("L"), "c.before", shape(F.col("c.value"))), F.concat_ws(" ", F.lit("R"), shape(F.col("c.value")), "c.after"))).alias("patterns"),
-        F.expr("filter(base, b -> b.start < c.end AND c.start < b.end)[0].kind").alias("seed"),
+        F.expr("get(filter(base, b -> b.start < c.end AND c.start < b.end), 0).kind").alias("seed"),
     )
     found = spill(found, "candidates")
     edges = spill(found.select("instance", F.explode("patterns").alias("pattern")).distinct(), "graph")
