@@ -18,7 +18,7 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-BYTE = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2}+)"
+BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
 SPAN = "struct<start: int, end: int, value: string, gap: string, next_gap: string>"
@@ -34,7 +34,7 @@ def _spans(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     gaps = F.split(text, pattern, -1)
-    parts = F.filter(F.arrays_zip(found.alias("value"), gaps.alias("gap"), F.slice(gaps, 2, 2147483647).alias("next_gap")), lambda p: p["value"].isNotNull())
+    parts = F.filter(F.arrays_zip(found.alias("value"), gaps.alias("gap"), F.slice(gaps, F.lit(2), F.size(found)).alias("next_gap")), lambda p: p["value"].isNotNull())
 
     def step(acc: Column, part: Column) -> Column:
         start = acc["at"] + F.length(part["gap"])
@@ -122,7 +122,7 @@ def find(docs: DataFrame, rounds: int = 2, accept: float = 0.5, support: int = 2
     A candidate is a word with a digit or @. A pattern is the word before it, or the word after it, with the
     candidate's shape; an instance is a candidate's text. Instances that lie in a base span are seeds of its kind with belief 1.
     Each round scores the patterns over the pattern-instance graph, by the beliefs in their instances, and then believes
-    every instance as much as its best two patterns together say (noisy or). After `rounds` rounds the patterns with
+    every instance of the kind that its patterns together say most of (noisy or); a seed keeps its own. After `rounds` rounds the patterns with
     `support` believed instances and a confidence of `accept` mark all their candidates outside base spans.
 
     The graph is built from all documents and has one edge for each distinct pair; a hot pattern is one key of an
@@ -149,7 +149,7 @@ def find(docs: DataFrame, rounds: int = 2, accept: float = 0.5, support: int = 2
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         believed = edges.join(scores, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
         both = seeds.unionByName(believed.select("instance", "kind", "belief"))
-        known = spill(both.groupBy("instance", "kind").agg(F.max("belief").alias("belief")), "beliefs")
+        known = spill(both.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("best")).select("instance", "best.kind", "best.belief"), "beliefs")
     best = scores.where(F.col("confidence") >= accept).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     marked = found.where("seed IS NULL").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(best, "pattern")
     marked = marked.groupBy("row", "start", "end").agg(F.max("best")["kind"].alias("kind"))
