@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -22,20 +23,23 @@ CHUNK = 1 << 16
 
 
 def covering_masks(radius: int) -> list[int]:
-    """2^(radius+1)-1 masks such that any two 64-bit values within the radius agree under at least one of them.
+    """2^(radius+1)-1 masks such that any two 64-bit values within the radius (1 to 6) agree under at least one of them.
 
     Bit i gets a vector over GF(2) of radius+1 places, the mask of a vector v takes the bits whose vector has an odd
     product with v. At most `radius` differing bits span at most `radius` dimensions, so some v is orthogonal to all of
-    their vectors, and its mask leaves all of them out (Pagh, 2016). The vectors go round the non-zero ones, which
-    gives every mask about half of the bits.
+    their vectors, and its mask leaves all of them out (Pagh, 2016). The masks are the words of a linear code, and every one should have about
+    half of the bits: below seven places the vectors go round the non-zero ones; at seven they are those with the first
+    place set, which is the Reed-Muller code, whose words have 32 bits at least.
     """
+    if not 1 <= radius <= 6:
+        raise ValueError("the radius must be 1 to 6")
     last = (1 << (radius + 1)) - 1
-    vectors = [i % last + 1 for i in range(BITS)]
+    vectors = [BITS | i if radius == 6 else i % last + 1 for i in range(BITS)]
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, last + 1)]
 
 
-def fingerprint(text: bytes, words_per_shingle: int) -> int:
-    """SimHash of the word shingles, repeats included: a bit is set if it is in over half of their XXH64 values."""
+def fingerprint(text: bytes, words_per_shingle: int, distinct: bool = False) -> int:
+    """SimHash of the word shingles, with their repeats or distinct: a bit is set if it is in over half of their XXH64 values."""
     words = text.translate(LOWER).split()
     if not words:
         return 0
@@ -44,33 +48,61 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
     width = min(words_per_shingle, len(words))
     stops = ends[width - 1 :]
     starts = np.concatenate(([0], ends[: len(words) - width] + 1))
-    ones = np.zeros(BITS, np.int64)
+    ones, n, seen = np.zeros(BITS, np.int64), len(stops), []
     for at in range(0, len(stops), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), stops[at : at + CHUNK].tolist(), strict=True)
         hashes = np.array([xxh64_intdigest(flat[s:e], 42) for s, e in spans], "<u8")
-        for k, column in enumerate(hashes.view(np.uint8).reshape(-1, 8).T):
-            counts = np.bincount(column, minlength=256)
-            ones[8 * k : 8 * k + 8] += counts @ _BIT_OF_BYTE
-    return int(((2 * ones > len(stops)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+        if distinct:
+            seen.append(hashes)
+        else:
+            ones += _bit_counts(hashes)
+    if distinct:
+        hashes = np.unique(np.concatenate(seen))
+        ones, n = _bit_counts(hashes), len(hashes)
+    return int(((2 * ones > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the values have each bit, from counts of each of their bytes."""
+    columns = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T
+    return np.concatenate([np.bincount(c, minlength=256) @ _BIT_OF_BYTE for c in columns])
 
 
 _BIT_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], words_per_shingle: int) -> Iterator[pa.RecordBatch]:
+@dataclass(frozen=True)
+class Likeness:
+    """Which documents are linked: those whose fingerprints of `words`-word shingles differ in `radius` bits at most.
+
+    With `check_words`, fingerprints of distinct shingles of that many words must also lie within `check_radius` bits: at a
+    Jaccard similarity J two of them differ in 64 * acos(2J / (1 + J)) / pi bits on average.
+    """
+
+    radius: int = 4
+    words: int = 4
+    distinct: bool = False
+    check_words: int | None = None
+    check_radius: int = BITS
+
+
+def _fingerprints(batches: Iterator[pa.RecordBatch], how: Likeness) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "at_file", "at_row"]
     for batch in batches:
-        texts = batch.column("text").cast(pa.binary())
-        found = np.fromiter((fingerprint(t.as_py() or b"", words_per_shingle) for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "at_file", "at_row")), pa.array(found)], names=["doc_id", "at_file", "at_row", "fp"])
+        texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+        found = np.fromiter((fingerprint(t, how.words, how.distinct) for t in texts), np.uint64, len(texts)).view(np.int64)
+        check = np.fromiter((fingerprint(t, how.check_words, True) if how.check_words else 0 for t in texts), np.uint64, len(texts)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found), pa.array(check)], names=[*names, "fp", "check"])
 
 
-def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect the values of a and b (b may be empty) as their links within the radius do: each to its group's least."""
-    values = np.concatenate([a, b])
-    if len(values) <= 6:
+def _forest(values: np.ndarray, radius: int, checks: np.ndarray | None = None, check_radius: int = BITS) -> list[tuple[int, int]]:
+    """Edges that connect the values as the links between them do: each to its group's least."""
+    if len(values) <= 6 and checks is None:
         plain = values.view(np.uint64).tolist()
         return [(int(values[i]), int(values[j])) for i in range(len(plain)) for j in range(i) if (plain[i] ^ plain[j]).bit_count() <= radius]
     near = np.bitwise_count((values[:, None] ^ values[None, :]).view(np.uint64)) <= radius
+    if checks is not None:
+        near &= np.bitwise_count((checks[:, None] ^ checks[None, :]).view(np.uint64)) <= check_radius
     label = np.arange(len(values))
     while True:
         least = np.where(near, label[None, :], len(values)).min(axis=1)
@@ -81,49 +113,51 @@ def _forest(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(values[i]), int(values[k])) for i, k in enumerate(label.tolist()) if i != k]
 
 
-def _links(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
+def _links(frames: Iterator[pd.DataFrame], how: Likeness) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found: list[tuple[int, int]] = []
-        for a, b in zip(frame["a"], frame["b"], strict=True):
-            found += _forest(np.asarray(a, np.int64), np.asarray(b, np.int64), radius)
+        for fps, checks in zip(frame["fps"], frame["checks"], strict=True):
+            found += _forest(np.asarray(fps, np.int64), how.radius, np.asarray(checks, np.int64) if how.check_words else None, how.check_radius)
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
-def simhash_links(fps: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints fp that connect them exactly as all links within the radius would.
+def simhash_links(fps: DataFrame, how: Likeness = Likeness(), block: int = 512) -> DataFrame:  # noqa: B008
+    """Edges (u, v) over distinct fingerprints (fp, check) that connect them exactly as all their links would.
 
     Every pair within the radius shares a bucket of some covering mask. A bucket is cut into blocks of `block`
-    fingerprints; a task compares one block with itself or with one other, so that no task holds more than two blocks
+    fingerprints; a task compares one block with itself or two with each other, so that no task holds more than two blocks
     however large the bucket, and gives a spanning forest instead of the pairs.
     """
-    # A mask keeps about half of 64 bits: its number and the masked value make the bucket; equality is checked exactly later.
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
+    # The number of the mask and the masked value make the bucket; what two values share it for is checked exactly later.
+    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(how.radius)]
     buckets = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]))
-    rows = fps.select("fp", buckets.alias("bucket"))
+    values = ["fp", "check"] if how.check_words else ["fp"]
+    rows = fps.select(*values, buckets.alias("bucket"))
     own = Window.partitionBy("bucket")
-    rows = rows.select("fp", "bucket", F.row_number().over(own.orderBy("fp")).alias("n"), F.count("*").over(own).alias("size")).where("size > 1")
-    rows = rows.select("fp", "bucket", ((F.col("n") - 1) / block).cast("int").alias("own"), F.floor((F.col("size") - 1) / block).cast("int").alias("last"))
-    pairs = rows.select("fp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-    pairs = pairs.select("fp", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") <= F.col("other")).alias("first"))
-    tasks = pairs.groupBy("bucket", "p", "q").agg(F.collect_list(F.when(F.col("first"), F.col("fp"))).alias("a"), F.collect_list(F.when(~F.col("first"), F.col("fp"))).alias("b"))
-    return tasks.select("a", "b").mapInPandas(partial(_links, radius=radius), "u bigint, v bigint").distinct()
+    rows = rows.select(*values, "bucket", F.row_number().over(own.orderBy("fp")).alias("n"), F.count("*").over(own).alias("size")).where("size > 1")
+    rows = rows.select(*values, "bucket", ((F.col("n") - 1) / block).cast("int").alias("own"), F.floor((F.col("size") - 1) / block).cast("int").alias("last"))
+    pairs = rows.select(*values, "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    pairs = pairs.select(*values, "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    # Both lists are in the order of the rows.
+    tasks = pairs.groupBy("bucket", "p", "q").agg(F.collect_list("fp").alias("fps"), (F.collect_list("check") if how.check_words else F.lit(None).cast("array<bigint>")).alias("checks"))
+    return tasks.select("fps", "checks").mapInPandas(partial(_links, how=how), "u bigint, v bigint").distinct()
 
 
-def simhash_dedup(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  # noqa: B008
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, and its address at_file, at_row.
 
-    Fingerprints within `radius` bits are linked and component_id is the smallest doc_id that links reach. In each
+    Documents are linked as `how` says and component_id is the smallest doc_id that links reach. In each
     component one row is kept: the one with the smallest id, by address among rows that repeat it; null ids come last,
     and a component of null ids only has a null component_id. Null and empty texts have fingerprint zero and are linked
     like any other; texts of fewer words than a shingle are one shingle. Equal fingerprints are folded before anything
     is compared, so that groups of copies of any size cost one row. An empty table gives no rows; other columns are not read.
     """
-    schema = "doc_id bigint, at_file bigint, at_row bigint, fp bigint"
+    schema = "doc_id bigint, at_file bigint, at_row bigint, fp bigint, check bigint"
     rows = addressed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    prints = spill(rows.mapInArrow(partial(_fingerprints, words_per_shingle=words_per_shingle), schema), "fingerprints")
+    prints = spill(rows.mapInArrow(partial(_fingerprints, how=how), schema), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
-    distinct = spill(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
-    roots = connected_components(simhash_links(distinct.select("fp"), radius))
+    distinct = spill(prints.groupBy("fp").agg(F.min(order).alias("first"), F.min("check").alias("check")), "distinct")
+    roots = connected_components(simhash_links(distinct.select("fp", "check"), how))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     known = rooted.join(least, "root").select("fp", "least")
@@ -137,9 +171,13 @@ def simhash_dedup(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4)
     )
 
 
-def drop_near_copies(docs: DataFrame, radius: int = 4, words_per_shingle: int = 4) -> DataFrame:
+#: For a corpus: candidates by distinct pairs of words, which move little under an edit, then five words at a similarity of about 0.8.
+FIVE_WORDS = Likeness(radius=6, words=2, distinct=True, check_words=5, check_radius=13)
+
+
+def drop_near_copies(docs: DataFrame, how: Likeness = FIVE_WORDS) -> DataFrame:
     """The documents, all their columns kept, with one row of each component."""
     docs, names = stable(docs), docs.columns
-    gone = simhash_dedup(docs, radius, words_per_shingle).where(~F.col("kept")).select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
+    gone = simhash_dedup(docs, how).where(~F.col("kept")).select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
     rows = addressed(docs, *names, file="__at_file", row="__at_row")
     return rows.join(gone, ["__at_file", "__at_row"], "left_anti").select(*names)

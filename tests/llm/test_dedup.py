@@ -77,14 +77,15 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def test_covering_masks_leave_no_pair_out():
-    masks = simhash_dedup.covering_masks(4)
-    assert len(masks) == 31
+@pytest.mark.parametrize("radius", [1, 4, 6])
+def test_covering_masks_leave_no_pair_out(radius):
+    masks = simhash_dedup.covering_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
     rng = random.Random(1)
     for _ in range(3000):
-        flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+        flips = sum(1 << b for b in rng.sample(range(64), rng.randint(0, radius)))
         assert any(not flips & m for m in masks)
-    assert all(25 <= m.bit_count() <= 40 for m in masks)
+    assert all(m.bit_count() >= 25 for m in masks)
 
 
 @pytest.mark.parametrize("block", [3, 512])
@@ -100,7 +101,7 @@ def test_simhash_components_match_brute_force(spark, tmp_path, block, monkeypatc
         if i % 10 == 0:
             rows.append((500 + i, " ".join(words).upper()))
     plain = simhash_dedup.simhash_links
-    monkeypatch.setattr(simhash_dedup, "simhash_links", lambda fps, radius: plain(fps, radius, block))
+    monkeypatch.setattr(simhash_dedup, "simhash_links", lambda fps, how: plain(fps, how, block))
     found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash_dedup.simhash_dedup(table(spark, tmp_path, rows)).collect()}
     prints = [(i, slow_fingerprint(t)) for i, t in rows]
     label = list(range(len(rows)))
@@ -111,7 +112,7 @@ def test_simhash_components_match_brute_force(spark, tmp_path, block, monkeypatc
     for k, (i, x) in enumerate(prints):
         ids = [rows[m][0] for m in range(len(rows)) if label[m] == label[k] and rows[m][0] is not None]
         assert found[i, f"{x:016x}"] == min(ids, default=None)
-    kept = simhash_dedup.drop_near_copies(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    kept = simhash_dedup.drop_near_copies(spark.read.parquet(str(tmp_path / "documents.parquet")), simhash_dedup.Likeness())
     assert kept.count() == len(set(label))
 
 
@@ -120,7 +121,7 @@ def test_forest_connects_as_links_do():
     values = (rng.integers(0, 1 << 9, 40) << 20).astype(np.int64)
     values = np.unique(values)
     for radius in (1, 2):
-        edges = simhash_dedup._forest(values[:20], values[20:], radius)
+        edges = simhash_dedup._forest(values, radius)
 
         def classes(pairs):
             label = {int(v): int(v) for v in values}
@@ -138,3 +139,20 @@ def test_components_of_a_path_a_star_and_nulls(spark):
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert found == want
+
+
+def test_near_copies_by_five_words(spark, tmp_path):
+    rng = random.Random(9)
+    rows, near = [], 0
+    for i in range(60):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(300)]
+        rows.append((i, " ".join(words)))
+        for k in range(2):
+            edited = list(words)
+            edited[rng.randrange(300)] = "edited"
+            rows.append((100 + 10 * i + k, " ".join(edited)))
+            near += 1
+    rows += [(5000 + i, " ".join(f"u{rng.randint(0, 400)}" for _ in range(8))) for i in range(40)]
+    left = {r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect()}
+    assert {i for i, _ in rows if i < 100 or i >= 5000} <= left
+    assert len(left) - 100 <= 0.05 * near
