@@ -121,7 +121,7 @@ def line_date(text: Column, reference_year: int) -> Column:
 
 def receipt_dates(lines: DataFrame, reference_year: int) -> DataFrame:
     """The first line's date of each receipt."""
-    day = line_date(F.col("text"), reference_year)
+    day = F.when(F.col("text").rlike("[0-9]{1,4}[/-][0-9]{1,2}[/-][0-9]"), line_date(F.col("text"), reference_year))
     return lines.select("receipt_id", "line_no", day.alias("day")).groupBy("receipt_id").agg(F.min_by(F.when(F.col("day").isNotNull(), F.col("day")), F.when(F.col("day").isNotNull(), F.col("line_no"))).alias("receipt_date"))
 
 
@@ -159,12 +159,13 @@ def overrun_warnings(receipts: DataFrame) -> DataFrame:
 def extract_items(lines: DataFrame) -> DataFrame:
     """receipt_id, line_no, description and price of each item line.
 
-    A line that ends in a price is an item unless it is of the summary, of metadata, or a sale's. Its description is its own
+    A line that ends in a price is an item unless it is of the summary, of metadata, a payment, or a sale's. Its description is its own
     text, or that of the nearest line before it without a price, if no other price has come since.
     """
     text = F.col("text")
     rows = lines.select("receipt_id", "line_no", "text", *classify_line(text), clean_description(text).alias("own"), line_price(text).alias("price"))
-    skipped = F.col("is_summary") | F.col("is_metadata") | F.col("is_sale") | F.col("is_section") | F.col("is_label")
+    paid = F.upper("text").rlike("|".join(word for word, _ in TENDERS))
+    skipped = paid | F.col("is_summary") | F.col("is_metadata") | F.col("is_sale") | F.col("is_section") | F.col("is_label")
     usable = ~skipped & ~F.col("is_quantity") & F.col("own").rlike(r"\p{L}{2}")
     rows = rows.withColumn("priced", F.col("has_price") & F.col("price").isNotNull() & ~skipped)
     rows = rows.withColumn("words", F.when(usable, F.col("own")))
