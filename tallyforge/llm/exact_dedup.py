@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import SPACE, addressed, scratch, stable, text_of
+from tallyforge.llm.shared import SPACE, addressed, scratch, spill, stable, text_of
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -61,7 +61,8 @@ def _first_seen(spark: SparkSession, digests: DataFrame, path: str, files_per_ba
     if not query.recentProgress and query.lastProgress is None:
         return spark.createDataFrame([], schema).drop("batch")
     last = spark.read.schema(schema).parquet(out)
-    return last.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("held")).select("digest", "held.*")
+    held = last.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("held")).select("digest", "held.*")
+    return spill(held, "held")  # a plain table, so that a join with it can split a hot digest
 
 
 def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None) -> DataFrame:
