@@ -92,6 +92,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     rows are drawn from seeds that depend on the data alone. Documents of no words have copies like any other but no mass.
     An empty table gives no rows; other columns are not read.
     """
+    # Ids are text while pandas has them, which would make numbers with nulls floats.
     rows = addressed(docs, "doc_id", "source", "text").withColumn("size", word_count(text_of())).drop("text")
     rows = spill(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("double").alias("source_size"), F.count("*").alias("n"))
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     whole = F.floor(F.col("per") + 1e-9)
     part = F.when(F.col("size") > 0, F.greatest(F.col("per") - whole, F.lit(0.0))).otherwise(0.0)
     known = known.select(
-        "doc_id", "at_file", "at_row", "place", "size", "source_size", "target", whole.cast("bigint").alias("copies"), part.alias("part"),
+        F.col("doc_id").cast("string").alias("doc_id"), "at_file", "at_row", "place", "size", "source_size", "target", whole.cast("bigint").alias("copies"), part.alias("part"),
         F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / group)).alias("bucket"), F.ceil(F.col("n") / group).alias("buckets"),
     )
     settled = known.where("part <= 0")
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     out = done[0]
     for part_of in done[1:]:
         out = out.unionByName(part_of)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "at_file", "at_row")
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "at_file", "at_row")
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:

@@ -95,7 +95,6 @@ def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
             out.append((doc_id, start, len(piece), len(x), *at, piece))
     packed = pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
     packed["ids_crc32"] = [crc32(np.ascontiguousarray(x, "<u4").tobytes()) for x in packed["ids"]]
-    packed["doc_id"] = packed["doc_id"].astype("Int64")
     return packed
 
 
@@ -111,9 +110,11 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, e
     groups = max(1, -(-docs.count() // group))
     rows = addressed(docs, "doc_id", "text").withColumn("text", text_of()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     tokens = rows.mapInArrow(partial(_tokenised, ranks_path=ranks_path, pattern=pattern, end_id=end_id), "doc_id bigint, at_file bigint, at_row bigint, ids array<int>")
-    grouped = tokens.withColumn("pack", F.pmod(F.xxhash64("doc_id", "at_row"), F.lit(groups)))
-    schema = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
-    return grouped.groupBy("pack").applyInPandas(partial(_shaped, capacity=capacity, keep_ids=keep_ids), schema + ", ids array<int>" * keep_ids)
+    # Ids are text while pandas has them, which would make numbers with nulls floats.
+    grouped = tokens.withColumn("pack", F.pmod(F.xxhash64("doc_id", "at_row"), F.lit(groups))).withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = "doc_id string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"
+    packed = grouped.groupBy("pack").applyInPandas(partial(_shaped, capacity=capacity, keep_ids=keep_ids), schema + ", ids array<int>" * keep_ids)
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _shaped(frame: pd.DataFrame, capacity: int, keep_ids: bool) -> pd.DataFrame:

@@ -235,3 +235,10 @@ def test_quality_edge_cases(spark, tmp_path):
         assert len(found) == len(ROWS)
         assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
     assert quality.score_documents(table(spark, tmp_path, [], "none"), labels).count() == 0
+
+
+def test_large_ids_stay_whole_beside_nulls(spark, tmp_path):
+    big = (1 << 62) + 1
+    docs = table(spark, tmp_path, [(big, "one two three", "a"), (big + 2, "four five", "a"), (None, "six", "a")])
+    for found in (mixing.mix(docs), packing.pack(docs, RANKS, PATTERN), language_model.score_documents(docs), media.media_columns(docs)):
+        assert {r.doc_id for r in found.select("doc_id").collect()} == {big, big + 2, None}
