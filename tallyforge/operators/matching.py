@@ -68,31 +68,34 @@ def _with_merchants(frame: DataFrame, name: str, families: DataFrame, side: str)
 
 
 def _amount_buckets(amount: Column, absolute: str, share: str) -> tuple[Column, Column]:
-    """Numbers of an amount's logarithmic and linear bucket: two amounts within the tolerance differ by at most one in one of them."""
+    """Numbers of an amount's logarithmic and linear bucket: amounts within the share, or within the absolute tolerance, are in neighbouring ones."""
     ratio = math.log(1 / (1 - 1.001 * float(share)))
-    return F.floor(F.log(F.greatest(amount.cast("double"), F.lit(1e-4))) / ratio), F.floor(amount.cast("double") / (float(absolute) * 1.0001))
+    log, linear = F.floor(F.log(F.greatest(amount.cast("double"), F.lit(1e-4))) / ratio), F.floor(amount.cast("double") / (float(absolute) * 1.0001))
+    return log.cast("bigint"), linear.cast("bigint")
 
 
 def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: str, share: str, amount: str = "wanted") -> DataFrame:
     """Pairs within the days and the amount's tolerance, each once, by equi-joins only.
 
-    A dated receipt is repeated for every day of its window and meets the transactions of that day and of its amount's
-    neighbouring buckets; one without a date meets those of its amount's buckets. `amount` is the receipt's amount to be matched.
+    A receipt looks in linear buckets if its tolerance is the absolute one, else in logarithmic ones, so it meets a transaction
+    once. A dated receipt is repeated for every day of its window and meets the transactions of that day; one without a date
+    meets those of its buckets. `amount` is the receipt's amount to be matched.
     """
+    tolerance = amount_tolerance(F.col(amount), absolute, share)
+    receipts = receipts.withColumn("tolerance", tolerance)
+    flat = F.col("tolerance") <= F.lit(absolute).cast(MONEY)
     log_r, lin_r = _amount_buckets(F.col(amount), absolute, share)
     log_t, lin_t = _amount_buckets(F.col("amount"), absolute, share)
-    near = [F.struct(F.lit(kind).alias("kind"), (b + d).cast("bigint").alias("n")) for kind, b in (("log", log_r), ("lin", lin_r)) for d in (-1, 0, 1)]
-    own = F.array(F.struct(F.lit("log").alias("kind"), log_t.cast("bigint").alias("n")), F.struct(F.lit("lin").alias("kind"), lin_t.cast("bigint").alias("n")))
+    near = F.array(*[F.struct(flat.alias("flat"), (F.when(flat, lin_r).otherwise(log_r) + d).alias("n")) for d in (-1, 0, 1)])
+    own = F.array(F.struct(F.lit(False).alias("flat"), log_t.alias("n")), F.struct(F.lit(True).alias("flat"), lin_t.alias("n")))
     keyed = txns.withColumn("bucket", F.explode(own))
     window = F.expr(f"sequence(date_sub(receipt_date, {days}), date_add(receipt_date, {days}))")
-    dated = receipts.where("receipt_date IS NOT NULL").withColumn("txn_date", F.explode(window)).withColumn("bucket", F.explode(F.array(*near)))
-    undated = receipts.where("receipt_date IS NULL").withColumn("bucket", F.explode(F.array(*near)))
-    tolerance = amount_tolerance(F.col(amount), absolute, share)
+    dated = receipts.where("receipt_date IS NOT NULL").withColumn("txn_date", F.explode(window)).withColumn("bucket", F.explode(near))
+    undated = receipts.where("receipt_date IS NULL").withColumn("bucket", F.explode(near))
     gap = F.abs(F.col("amount") - F.col(amount)).cast(MONEY)
     columns = [*receipts.columns, *txns.columns]
     pairs = dated.join(keyed, ["txn_date", "bucket"]).select(*columns).unionByName(undated.join(keyed, "bucket").select(*columns))
-    pairs = pairs.withColumn("gap", gap).withColumn("tolerance", tolerance).where("gap <= tolerance")
-    return pairs.dropDuplicates(["receipt_id", "txn_id"])  # a pair may share a bucket of either kind
+    return pairs.withColumn("gap", gap).where("gap <= tolerance")
 
 
 def _similarity(pairs: DataFrame) -> DataFrame:
@@ -106,19 +109,24 @@ def _days() -> Column:
     return F.abs(F.datediff("txn_date", "receipt_date"))
 
 
-def score_pairs(pairs: DataFrame, config: MatchConfig) -> DataFrame:
-    """Confidence and details of candidate pairs under one configuration; pairs outside it are left out.
+def _judged(config: MatchConfig) -> tuple[Column, Column]:
+    """Whether a candidate pair lies within a configuration, and its confidence.
 
     Date and amount count 0.4 each, in proportion to what they leave of their tolerance, and the merchant 0.2; an unknown date counts nothing.
     """
-    tolerance = amount_tolerance(F.col("wanted"), config.amount, config.share)
-    days = _days()
+    tolerance, days = amount_tolerance(F.col("wanted"), config.amount, config.share), _days()
+    within = (days.isNull() | (days <= config.days)) & (F.col("gap") <= tolerance) & (F.col("similarity") >= config.similarity)
     date_part = F.when(days.isNull(), 0.0).otherwise(0.4 * (1 - days / (config.days + 1)))
     amount_part = F.when(F.col("gap") == 0, 0.4).otherwise(0.4 * (1 - F.col("gap").cast("double") / tolerance.cast("double")))
-    kept = pairs.where((days.isNull() | (days <= config.days)) & (F.col("gap") <= tolerance) & (F.col("similarity") >= config.similarity))
+    return within, date_part + amount_part + 0.2 * F.col("similarity")
+
+
+def score_pairs(pairs: DataFrame, config: MatchConfig) -> DataFrame:
+    """Confidence and details of candidate pairs under one configuration; pairs outside it are left out."""
+    within, confidence = _judged(config)
     non_card = F.when(F.col("card_amount").isNotNull(), F.col("non_card"))
-    details = match_details(days, F.col("gap"), non_card, F.col("matched_family"), F.col("similarity"))
-    return kept.withColumn("confidence", date_part + amount_part + 0.2 * F.col("similarity")).withColumn("details", details)
+    details = match_details(_days(), F.col("gap"), non_card, F.col("matched_family"), F.col("similarity"))
+    return pairs.where(within).withColumn("confidence", confidence).withColumn("details", details)
 
 
 def _prepared(receipts: DataFrame, txns: DataFrame, families: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,23 +150,27 @@ def rank_candidates(matches: DataFrame, by: str = "receipt_id", k: int = 5) -> D
     return matches.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _fallback() -> Column:
+    """Confidence of the manual fallback; an unknown date counts half."""
+    amount_part = F.when(F.col("gap") == 0, 1.0).otherwise(1 - F.col("gap").cast("double") / F.col("tolerance").cast("double"))
+    date_part = F.when(_days().isNull(), 0.5).otherwise(1 - _days() / RELAXED.days)
+    a, d, m = FALLBACK_WEIGHTS
+    return F.least(a * amount_part + d * date_part + m * F.col("similarity"), F.lit(FALLBACK_MOST))
+
+
 def match_tiered(receipts: DataFrame, txns: DataFrame, families: DataFrame) -> DataFrame:
     """Strict matches; for receipts without any, relaxed ones; else those of the manual fallback, which asks for no merchant.
 
-    One join over the widest window serves all three. The fallback goes by the total, and not by what was paid by card.
+    One join over the widest window serves all three. The fallback goes by the total, and not by what was paid by card: only
+    receipts on which these differ are joined again.
     """
     r, t = _prepared(receipts, txns, families)
-    by_wanted = candidate_pairs(r, t, RELAXED.days, RELAXED.amount, RELAXED.share)
-    by_wanted = _similarity(by_wanted)
-    strict = score_pairs(by_wanted, STRICT).select("receipt_id", "txn_id", "confidence").withColumn("tier", F.lit(0))
-    relaxed = score_pairs(by_wanted, RELAXED).select("receipt_id", "txn_id", "confidence").withColumn("tier", F.lit(1))
-    by_total = _similarity(candidate_pairs(r, t, RELAXED.days, RELAXED.amount, RELAXED.share, "total"))
-    amount_part = F.when(F.col("gap") == 0, 1.0).otherwise(1 - F.col("gap").cast("double") / F.col("tolerance").cast("double"))
-    date_part = F.when(_days().isNull(), 0.5).otherwise(1 - _days() / RELAXED.days)
-    a, d, m = FALLBACK_WEIGHTS
-    confidence = F.least(a * amount_part + d * date_part + m * F.col("similarity"), F.lit(FALLBACK_MOST))
-    fallback = by_total.select("receipt_id", "txn_id", confidence.alias("confidence")).withColumn("tier", F.lit(2))
-    every = strict.unionByName(relaxed).unionByName(fallback)
+    pairs = _similarity(candidate_pairs(r, t, RELAXED.days, RELAXED.amount, RELAXED.share))
+    tiers = [F.when(within, F.struct(F.lit(k).alias("tier"), confidence.alias("confidence"))) for k, (within, confidence) in enumerate(map(_judged, (STRICT, RELAXED)))]
+    tiers.append(F.when(F.col("wanted") == F.col("total"), F.struct(F.lit(2).alias("tier"), _fallback().alias("confidence"))))
+    every = pairs.select("receipt_id", "txn_id", F.explode(F.array_compact(F.array(*tiers))).alias("t")).select("receipt_id", "txn_id", "t.*")
+    split = _similarity(candidate_pairs(r.where("wanted != total"), t, RELAXED.days, RELAXED.amount, RELAXED.share, "total"))
+    every = every.unionByName(split.select("receipt_id", "txn_id", F.lit(2).alias("tier"), _fallback().alias("confidence")))
     best = every.withColumn("least", F.min("tier").over(Window.partitionBy("receipt_id"))).where("tier = least")
     return best.select("receipt_id", "txn_id", "confidence", F.element_at(F.array(F.lit("strict"), F.lit("relaxed"), F.lit("fallback")), F.col("tier") + 1).alias("strength"))
 
