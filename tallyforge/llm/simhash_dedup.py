@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from tallyforge.llm.components import connected_components
+from tallyforge.llm.near_copies import near_copies
 from tallyforge.llm.shared import addressed, spill, stable
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -171,13 +172,14 @@ def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  #
     )
 
 
-#: For a corpus: candidates by distinct pairs of words, which move little under an edit, then five words at a similarity of about 0.8.
+#: An estimate of five-word similarity 0.8 by fingerprints alone: distinct pairs of words within 6 bits, then five words within 13.
 FIVE_WORDS = Likeness(radius=6, words=2, distinct=True, check_words=5, check_radius=13)
 
 
-def drop_near_copies(docs: DataFrame, how: Likeness = FIVE_WORDS) -> DataFrame:
-    """The documents, all their columns kept, with one row of each component."""
+def drop_near_copies(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
+    """The documents, all their columns kept, with one row of each component: of five-word similarity 0.8 or more, or linked as `how` says."""
     docs, names = stable(docs), docs.columns
-    gone = simhash_dedup(docs, how).where(~F.col("kept")).select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
+    gone = near_copies(docs) if how is None else simhash_dedup(docs, how).where(~F.col("kept"))
+    gone = gone.select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
     rows = addressed(docs, *names, file="__at_file", row="__at_row")
     return rows.join(gone, ["__at_file", "__at_row"], "left_anti").select(*names)

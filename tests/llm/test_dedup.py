@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm import exact_dedup, simhash_dedup
+from tallyforge.llm import exact_dedup, near_copies, simhash_dedup
 from tallyforge.llm.components import connected_components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, at_file string, digest int"
@@ -156,3 +156,31 @@ def test_near_copies_by_five_words(spark, tmp_path):
     left = {r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect()}
     assert {i for i, _ in rows if i < 100 or i >= 5000} <= left
     assert len(left) - 100 <= 0.05 * near
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monkeypatch):
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(300)]
+        rows.append((100 * i, " ".join(words)))
+        for k in range(4):
+            edited = list(words)
+            for at in rng.sample(range(300), rng.randint(3, 12)):
+                edited[at] = f"edit{rng.randint(0, 5000)}"
+            rows.append((100 * i + k + 1, " ".join(edited).upper()))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.lower().split() for _, t in rows)]
+    label, close, apart = list(range(len(rows))), 0, 0
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        likeness = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        close += 0.8 <= likeness < 0.85
+        apart += 0.65 <= likeness < 0.8
+        if likeness >= 0.8 and label[a] != label[b]:
+            old, new = max(label[a], label[b]), min(label[a], label[b])
+            label = [new if k == old else k for k in label]
+    assert close > 30 and apart > 100
+    plain = near_copies.near_links
+    monkeypatch.setattr(near_copies, "near_links", lambda distinct, docs: plain(distinct, docs, block))
+    left = sorted(r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect())
+    assert left == sorted(rows[k][0] for k in set(label))
