@@ -19,14 +19,15 @@ BLOCKS = SPACED | frozenset("address article aside body caption center dd detail
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"},
     "thead": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "tbody": {"td", "th", "tr", "tbody", "thead", "tfoot"}, "tfoot": {"td", "th", "tr", "tbody", "thead", "tfoot"},
-    "body": {"head"},
 }
 BARRIER = {"li": {"ol", "ul", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}} | dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), {"table"})
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES_P = BLOCKS - {"body", "html", "option", "tr", "caption", "legend"}
 
 TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -95,27 +96,35 @@ def _table(rows: list[list[str]]) -> str:
 def visible_text(html: str) -> str:
     """All text that a browser would show, laid out with blank lines round blocks, list markers and aligned cells."""
     flow = Flow()
-    open_: list[tuple[str, bool]] = []  # name, hidden
+    open_: list[tuple[str, bool, bool]] = []  # name; hidden and veiled outside it
     lists: list[list] = []  # kind, number
-    tables: list[tuple[Flow, list[list[str]], list[bool]]] = []  # the flow outside, the rows, whether a cell is open
-    hidden = False
+    tables: list[tuple[Flow, list[list[str]], list[bool], list[bool]]] = []  # the flow outside, the rows, whether a cell is open, texts put before it
+    hidden = False  # not laid out, nor is anything inside
+    veiled = False  # laid out without its text; what is inside may be visible again
+
+    def stray() -> None:
+        """Puts what a table holds outside its cells before the table."""
+        left = "".join(flow.parts)
+        if left:
+            outside = tables[-1][0]
+            outside.brk(1 if tables[-1][3] else 2)
+            outside.verbatim(left)
+            outside.brk(1)
+            tables[-1][3].append(True)
 
     def close(down_to: int) -> None:
-        nonlocal flow, hidden
+        nonlocal flow, hidden, veiled
         while len(open_) > down_to:
-            name, was_hidden = open_.pop()
+            name, was_hidden, was_veiled = open_.pop()
             if not hidden:
                 if name in ("td", "th") and tables and tables[-1][2][0]:
                     tables[-1][1][-1].append("".join(flow.parts))
                     tables[-1][2][0] = False
                     flow = Flow()
                 elif name == "table" and tables:
-                    left = "".join(flow.parts)
-                    flow, rows, _ = tables.pop()
-                    flow.brk(2)
-                    if left:
-                        flow.text(left)
-                        flow.brk(1)
+                    stray()
+                    flow, rows, _, before = tables.pop()
+                    flow.brk(1 if before else 2)
                     text = _table([r for r in rows if any(r)])
                     if text:
                         flow.verbatim(text)
@@ -130,10 +139,12 @@ def visible_text(html: str) -> str:
                     flow.brk(1 if lists else 2)
                 elif name in BLOCKS:
                     flow.brk(2 if name in SPACED else 1)
-            hidden = was_hidden
+            hidden, veiled = was_hidden, was_veiled
 
     def start(name: str, attributes: str) -> None:
-        nonlocal flow, hidden
+        nonlocal flow, hidden, veiled
+        if open_ and open_[-1][0] == "head" and name not in IN_HEAD:
+            close(len(open_) - 1)
         if name in CLOSES_P:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == "p":
@@ -154,7 +165,9 @@ def visible_text(html: str) -> str:
         seen = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(attributes)} if attributes else {}
         hides = name in UNSEEN or "hidden" in seen or bool(HIDES.search(seen.get("style", ""))) or (name == "dialog" and "open" not in seen)
         if name not in VOID:
-            open_.append((name, hidden))
+            open_.append((name, hidden, veiled))
+            said = VISIBILITY.findall(seen.get("style", ""))
+            veiled = said[-1].lower() in ("hidden", "collapse") if said else veiled
         if hidden or hides:
             hidden = hidden or (hides and name not in VOID)
             return
@@ -162,13 +175,14 @@ def visible_text(html: str) -> str:
             flow.breaks = min(flow.breaks + 1, 2) if flow.parts else 0
             flow.space = False
         elif name == "table":
-            tables.append((flow, [], [False]))
+            tables.append((flow, [], [False], []))
             flow = Flow()
         elif name == "tr" and tables:
             tables[-1][1].append([])
         elif name in ("td", "th") and tables:
             if not tables[-1][1]:
                 tables[-1][1].append([])
+            stray()
             tables[-1][2][0] = True
             flow = Flow()
         elif name == "li":
@@ -178,7 +192,8 @@ def visible_text(html: str) -> str:
                 sign = f"{lists[-1][1]}. "
             else:
                 sign = "- "
-            flow.marker(sign)
+            if not veiled:
+                flow.marker(sign)
             flow.indents.append(" " * len(sign))
         elif name in ("ol", "ul", "menu"):
             flow.brk(1 if lists else 2)
@@ -191,9 +206,11 @@ def visible_text(html: str) -> str:
     while at < end:
         found = TOKEN.search(html, at)
         stop = found.start() if found else end
-        if stop > at and not hidden:
+        if stop > at and open_ and open_[-1][0] == "head" and unescape(html[at:stop]).strip(" \t\n\f\r"):
+            close(len(open_) - 1)
+        if stop > at and not hidden and not veiled:
             text = unescape(html[at:stop])
-            if any(n == "pre" for n, _ in open_):
+            if any(n == "pre" for n, *_ in open_):
                 flow.verbatim(text)
             else:
                 flow.text(text)
@@ -203,7 +220,7 @@ def visible_text(html: str) -> str:
         if found[2]:
             name = found[2].lower()
             if found[1]:
-                if name == "p" and not any(n == "p" for n, _ in open_):
+                if name == "p" and not any(n == "p" for n, *_ in open_):
                     flow.brk(2)
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k][0] == name:
@@ -216,7 +233,7 @@ def visible_text(html: str) -> str:
                 if name in RAW:
                     finish = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
                     stop = finish.start() if finish else end
-                    if not hidden:
+                    if not hidden and not veiled:
                         flow.verbatim(unescape(html[at:stop]))
                     at = stop
     close(0)

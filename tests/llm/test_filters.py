@@ -136,3 +136,21 @@ def test_all_words_outside_hidden_parts_stay(spark):
 
         want = h.unescape(re.sub(r"<[^<>]*>?", " ", body)).split()
         assert [w for w in r.text.split() if w != "-"] == [w for w in want if w != "-"] or abs(len(r.text.split()) - len(want)) <= len(re.findall("<li", body)) + 2
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<table><caption>Prices<br>of May</caption><tr><td>a</td><td>b</td></tr></table>end", "Prices\nof May\na | b\n\nend"),
+        ("<p>top</p><table><tr>stray <td>a</td> between <td>b</td></tr> rows <tr><td>c</td></tr> last</table>", "top\n\nstray\nbetween\nrows\nlast\na | b\nc"),
+        ("<table><tr><td><table><caption>in</caption><tr><td>x</td></tr></table></td></tr></table>", "in\nx"),
+        ("<html><head><title>T</title><meta charset=x><p>Hello", "Hello"),
+        ("<head><style>p {}</style> \n bare text<b>!</b>", "bare text!"),
+        ("<head><title>T</title></head><body>Body", "Body"),
+        ('<div style="visibility:hidden">no <b style="visibility: visible">yes</b> no</div>after', "yes\nafter"),
+        ('<div style="display:none">no <b style="visibility:visible">no</b></div>after', "after"),
+        ('<ol style="visibility:hidden"><li>no<li style="visibility:visible">two</ol>', "2. two"),
+    ],
+)
+def test_captions_open_heads_and_visible_parts_stay(page, want):
+    assert html_text.visible_text(page) == want
