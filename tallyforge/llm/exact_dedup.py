@@ -5,12 +5,10 @@ Spark only: the stream's keyed state is an aggregation in the RocksDB state stor
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import SPACE, addressed, scratch, spill, stable, text_of
+from tallyforge.llm.shared import SPACE, addressed, held, scratch, spill, stable, text_of, without
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -21,18 +19,6 @@ ROCKSDB = {
 }
 
 
-@contextmanager
-def _held(spark: SparkSession, conf: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     """Each run of ASCII white space becomes one space."""
     return F.regexp_replace(text, SPACE, " ")
@@ -54,15 +40,15 @@ def _first_seen(spark: SparkSession, digests: DataFrame, path: str, files_per_ba
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    with _held(spark, ROCKSDB):
+    with held(spark, ROCKSDB):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
     schema = "digest binary, first struct<no_id boolean, doc_id bigint, at_file bigint, at_row bigint>, group_size bigint, batch int"
     if not query.recentProgress and query.lastProgress is None:
         return spark.createDataFrame([], schema).drop("batch")
     last = spark.read.schema(schema).parquet(out)
-    held = last.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("held")).select("digest", "held.*")
-    return spill(held, "held")  # a plain table, so that a join with it can split a hot digest
+    latest = last.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("held")).select("digest", "held.*")
+    return spill(latest, "held")  # a plain table, so that a join with it can split a hot digest
 
 
 def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None) -> DataFrame:
@@ -111,7 +97,5 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents, all their columns kept, without the rows that exact_dedup() drops."""
-    docs, names = stable(docs), docs.columns
-    gone = exact_dedup(docs).where(~F.col("kept")).select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
-    rows = addressed(docs, *names, file="__at_file", row="__at_row")
-    return rows.join(gone, ["__at_file", "__at_row"], "left_anti").select(*names)
+    docs = stable(docs)
+    return without(docs, exact_dedup(docs).where("NOT kept"))

@@ -1,27 +1,55 @@
-"""Language-model scoring (operator 9): a weighted backoff automaton over smoothed n-grams."""
+"""Language-model scoring (operator 9): a weighted backoff automaton over smoothed n-grams.
+
+The corpus is cut into chunks of some megabytes of text, which hold their tokens as numbers of their own words. All that is
+counted is counted by one step, tally(): every chunk asks for the totals of its distinct keys, the keys of all chunks meet by
+ranges of their hash in groups of a bounded number, and the totals go back to the chunks that asked. Words, n-grams of
+each order and the mass that each history gives to its n-grams are tallied in turn; nothing of this is gathered on
+the driver, and no step holds more than one chunk or one group.
+"""
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tallyforge.llm.shared import spill, text_of
+from tallyforge.llm.shared import addressed, discard, held, spill, text_of
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-END = xxh64_intdigest(b"\n", 1)  # no word holds white space
-START = xxh64_intdigest(b"\t", 1)
-#: So many documents' words are held at a time.
-SLICE = 1024
+END = np.uint64(xxh64_intdigest(b"\n", 1))  # no word holds white space
+START = np.uint64(xxh64_intdigest(b"\t", 1))
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+CHUNK = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths binary, tokens binary, words binary, counts binary, n_all bigint, n_train bigint, n_train_docs bigint"
+NUMBERED = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths binary, known binary, base binary, tokens binary, hashes binary, totals binary"
+ASKED = "shard bigint, chunk bigint, keys binary, n binary"
+TOLD = "chunk bigint, shard bigint, totals binary, owned bigint"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+@dataclass(frozen=True)
+class Model:
+    """What all chunks need to know: parameters and three totals of the training documents."""
+
+    order: int
+    least: int
+    discount: float
+    shards: int
+    n_tokens: int = 0
+    n_distinct: int = 0
+    n_docs: int = 0
+
+    def root(self, counts: np.ndarray) -> np.ndarray:
+        """log10 of what the root gives to words that occur so often."""
+        return np.log10((counts + 1) / (self.n_tokens + self.n_distinct + 1))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -29,232 +57,322 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def hashes_of(words: Iterable[bytes], n: int) -> np.ndarray:
-    """Of distinct words, each once: tokens are looked up by their word."""
-    return np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64, n)
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxh64_intdigest(w, 1) for w in words), np.uint64, len(words))
+
+
+def extended(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from its history's key and its last word's: 64 bits, mixed so that ranges of it are even."""
+    key = history * np.uint64(0x9E3779B97F4A7C15) + word
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(29))
+
+
+def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def block_of(doc_id: Column, docs_per_block: int) -> Column:
-    """Documents near each other in id share a block; rows without id are dealt by their text."""
-    return F.coalesce(F.floor(doc_id / docs_per_block), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 20))).cast("bigint")
+_LONG, _BLOB = pa.int64(), pa.binary()
+_CHUNK = [("chunk", _LONG), ("doc_ids", pa.list_(_LONG)), ("held", pa.list_(pa.bool_())), *((n, _BLOB) for n in ("lengths", "tokens", "words", "counts")), *((n, _LONG) for n in ("n_all", "n_train", "n_train_docs"))]
+_NUMBERED = [("chunk", _LONG), ("doc_ids", pa.list_(_LONG)), ("held", pa.list_(pa.bool_())), *((n, _BLOB) for n in ("lengths", "known", "base", "tokens", "hashes", "totals"))]
+_ASKED = [("shard", _LONG), ("chunk", _LONG), ("keys", _BLOB), ("n", _BLOB)]
+_TOLD = [("chunk", _LONG), ("shard", _LONG), ("totals", _BLOB), ("owned", _LONG)]
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    blocks = batch.column("block").to_numpy(zero_copy_only=False)
-    for b in np.unique(blocks):
-        yield int(b), batch.filter(pa.array(blocks == b))
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One row per chunk: its documents' tokens by number, its words in the order of their hashes, and the words' training counts."""
 
+    def fresh() -> tuple:
+        vocabulary: defaultdict[bytes, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        return vocabulary, [], [], [], 0
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, block, n): how often a block's training documents have each word of the block, and their ends."""
+    def row(first: int) -> pa.RecordBatch:
+        words = list(vocabulary)
+        order = np.argsort(hashes_of(words))
+        number = np.empty(len(words), np.int32)
+        number[order] = np.arange(len(words), dtype=np.int32)
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        flat = number[np.concatenate(tokens)]
+        train = np.repeat(~np.array(held_), lengths)
+        counts = np.bincount(flat[train], minlength=len(words)).astype(np.int64)
+        blobs = [lengths.tobytes(), flat.tobytes(), b" ".join([words[k] for k in order]), counts.tobytes()]
+        return _table([(first, ids, held_, *blobs, len(flat), int(train.sum()), held_.count(False))], _CHUNK)
+
+    vocabulary, ids, held_, tokens, size = fresh()
+    first = 0
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("doc_id", "held_out", "at_file", "at_row")]
+        for doc_id, out, file, at, text in zip(*columns, batch.column("text").cast(_BLOB), strict=True):
+            if not ids:
+                first = xxh64_intdigest(f"{file}:{at}") - (1 << 63)
+            words = words_of(text.as_py())
+            ids.append(doc_id)
+            held_.append(out)
+            tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+            size += len(text.as_py())
+            if size >= chunk_bytes:
+                yield row(first)
+                vocabulary, ids, held_, tokens, size = fresh()
+    if ids:
+        yield row(first)
+
+
+def _asked(chunk: int, keys: np.ndarray, n: np.ndarray, shards: int, words: list[bytes] | None = None) -> list[tuple]:
+    """Rows of ASKED: sorted keys cut by ranges of their upper half; words are sent themselves, in the order of their keys."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)])) if len(keys) else [0]
+    values = np.asarray(n, np.float64)
+    return [(int(shard[a]), chunk, b" ".join(words[a:b]) if words is not None else keys[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for block, rows in _blocks(batch):
-            train: Counter[bytes] = Counter()
-            other: set[bytes] = set()
-            ends = 0
-            for text, held in zip(rows.column("text").cast(pa.binary()), rows.column("held_out").to_pylist(), strict=True):
-                if held:
-                    other.update(words_of(text.as_py()))
-                else:
-                    train.update(words_of(text.as_py()))
-                    ends += 1
-            other.difference_update(train)
-            hashes = np.concatenate([hashes_of(train, len(train)), hashes_of(other, len(other)), np.array([END], np.uint64)])
-            n = np.concatenate([np.fromiter(train.values(), np.int64, len(train)), np.zeros(len(other), np.int64), [ends]])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(n), block)), pa.array(n.astype(np.int64))], names=["word", "block", "n"])
-
-
-@dataclass
-class Grams:
-    """The frequent n-grams of each order. An n-gram is the number of its first n-1 words' n-gram times the number of words, plus its last word."""
-
-    words: np.ndarray  # sorted hashes; START is one of them
-    levels: list[np.ndarray] = field(default_factory=list)  # sorted codes of orders 2 and up
-
-    @property
-    def start(self) -> int:
-        return int(np.searchsorted(self.words, np.uint64(START)))
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        return _find(self.words, hashes)
-
-    def walk(self, ids: np.ndarray) -> list[np.ndarray]:
-        """For each order, the number of the frequent n-gram that starts at each place, or -1."""
-        found = [ids]
-        for level in self.levels:
-            a, b = found[-1][:-1], ids[len(found) :]
-            codes = np.where((a >= 0) & (b >= 0), a * len(self.words) + b, -1)
-            found.append(_find(level, codes))
-        return found
-
-
-def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1).astype(np.int64)
-
-
-def _count_grams(batches: Iterator[pa.RecordBatch], grams) -> Iterator[pa.RecordBatch]:
-    """(code, n) of the next order in the training documents; both its parts must be frequent, which loses none that could be."""
-    table: Grams = grams.value
-    start, end = table.ids(np.array([START, END], np.uint64)).tolist()
-    for rows in batches:
-        for at in range(0, rows.num_rows, SLICE):
-            batch = rows.slice(at, SLICE)
-            texts = [words_of(t.as_py()) for t, held in zip(batch.column("text").cast(pa.binary()), batch.column("held_out").to_pylist(), strict=True) if not held]
-            distinct = set().union(*texts)
-            id_of = dict(zip(distinct, table.ids(hashes_of(distinct, len(distinct))).tolist(), strict=True))
-            runs = [np.fromiter(map(id_of.__getitem__, words), np.int64, len(words)) for words in texts]
-            edges = np.array([end, start], np.int64)
-            ids = np.concatenate([edges[1:], *(part for run in runs for part in (run, edges))]) if runs else edges[1:]
-            found = table.walk(ids)[-1]
-            order = len(table.levels) + 1
-            prefix, suffix, last = found[:-1], found[1:], ids[order:]
-            codes = prefix * len(table.words) + last
-            codes = codes[(prefix >= 0) & (suffix >= 0) & (last != table.start)]
-            codes, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n.astype(np.int64))], names=["code", "n"])
-
-
-@dataclass
-class Automaton:
-    """States are the frequent n-grams below the highest order, the root first; arcs are kept by state * words + word.
-
-    arcs: key -> (log10 probability, next state). fall: a state's log10 backoff weight and the state it fails to.
+        for chunk, words, counts in zip(*(batch.column(c) for c in ("chunk", "words", "counts")), strict=True):
+            own = words.as_py().split()
+            yield _table(_asked(chunk.as_py(), hashes_of(own), np.frombuffer(counts.as_py(), np.int64), shards, own), _ASKED)
+
+
+def _totals(table: pa.Table, words: bool) -> pa.Table:
+    """The sum of n over all rows for each key of each row; it is negative in one place for each key, whose chunk owns the key."""
+    parts = table.column("keys").to_pylist()
+    n = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("n").to_pylist()])
+    sizes = np.array([len(x) // 8 for x in table.column("n").to_pylist()])
+    if words:
+        flat = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        ends = np.concatenate(([0], np.flatnonzero(flat == 32) + 1)).astype(np.int64)
+        keys = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
+    else:
+        keys = pa.array(np.concatenate([np.frombuffer(x, np.uint64) for x in parts]))
+    place = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    totals = np.bincount(place, weights=n)[place]
+    first = place > np.concatenate(([-1], np.maximum.accumulate(place)[:-1]))  # numbers are given by first occurrence
+    owned = np.add.reduceat((first & (totals > 0)).astype(np.int64), np.cumsum(sizes) - sizes)
+    totals[first] *= -1
+    cuts = np.cumsum(sizes)[:-1]
+    found = [t.tobytes() for t in np.split(totals, cuts)]
+    return pa.table([table.column("chunk"), table.column("shard"), pa.array(found, _BLOB), pa.array(owned, _LONG)], names=[n for n, _ in _TOLD])
+
+
+def tally(asked: DataFrame, tag: str, words: bool = False) -> DataFrame:
+    """TOLD from ASKED. A key comes once from each chunk at most, so however hot it is it adds one entry a chunk to its group."""
+
+    def totals(table: pa.Table) -> pa.Table:
+        return _totals(table, words)
+
+    return spill(asked.groupBy("shard").applyInArrow(totals, TOLD), tag)
+
+
+def _told(table: pa.Table, order: int | None = None) -> np.ndarray:
+    """All totals that a chunk was told (of an order), in the order of its keys."""
+    rows = zip(table.column("shard").to_pylist(), table.column("totals").to_pylist(), table.column("order").to_pylist() if order is not None else [None] * table.num_rows, strict=True)
+    return np.concatenate([np.zeros(0), *(np.frombuffer(t, np.float64) for _, t, _ in sorted((r for r in rows if r[2] == order), key=lambda r: r[0]))])
+
+
+def _numbered(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
+    """Base scores; tokens as numbers of the words that occur often enough for a state, or -1 less the count of the others."""
+    (row,) = left.to_pylist()
+    totals = np.abs(_told(right)).astype(np.int64)
+    tokens, lengths = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["lengths"], np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    base = np.bincount(doc, weights=m.root(totals)[tokens], minlength=len(lengths)) + m.root(np.array([m.n_docs]))
+    known = np.bincount(doc, weights=totals[tokens] > 0, minlength=len(lengths)).astype(np.int64) + (m.n_docs > 0)
+    state = totals >= m.least
+    number = np.where(state, np.cumsum(state) - 1, -1 - totals).astype(np.int32)
+    kept = np.flatnonzero(state)
+    words = row["words"].split()
+    blobs = [row["lengths"], known.tobytes(), base.tobytes(), number[tokens].tobytes(), hashes_of([words[k] for k in kept]).tobytes(), totals[kept].tobytes()]
+    return pa.Table.from_batches([_table([(row["chunk"], row["doc_ids"], row["held"], *blobs)], _NUMBERED)])
+
+
+class Chunk:
+    """A chunk's documents as one run of words, each led by a start and followed by an end, with what is known of the n-grams that end at each place."""
+
+    def __init__(self, row: dict, m: Model):
+        self.m, self.number = m, row["chunk"]
+        self.lengths = np.frombuffer(row["lengths"], np.int64)
+        tokens = np.frombuffer(row["tokens"], np.int32)
+        hashes, totals = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["totals"], np.int64)
+        self.stops = np.cumsum(self.lengths + 2)
+        self.starts = self.stops - self.lengths - 2
+        n = int(self.stops[-1])
+        self.is_start = np.zeros(n, bool)
+        self.is_start[self.starts] = True
+        word = np.ones(n, bool)
+        word[self.starts] = word[self.stops - 1] = False
+        self.train = np.repeat(~np.array(row["held"]), self.lengths + 2)
+        key, count, kept = np.full(n, END), np.full(n, m.n_docs, np.float64), np.full(n, m.n_docs >= m.least)
+        key[self.starts], kept[self.starts] = START, True
+        some = tokens >= 0
+        key[word] = np.where(some, hashes[np.maximum(tokens, 0)] if len(hashes) else np.uint64(0), np.uint64(0))
+        count[word] = np.where(some, totals[np.maximum(tokens, 0)] if len(totals) else 0, -1 - tokens)
+        kept[word] = some
+        self.hash = key
+        #: By order: keys of the n-grams, their counts, and whether they are in the model.
+        self.keys, self.counts, self.kept = [key], [count], [kept]
+        #: By order from 2: (places, sorted distinct keys, the place of each among them, those that this chunk owns).
+        self.distinct: list[tuple] = []
+
+    def propose(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, distinct keys and inverse of the next order's n-grams; both parts of one must be in the model, which loses none that could be."""
+        before, kept = self.keys[-1], self.kept[-1]
+        places = 1 + np.flatnonzero(kept[:-1] & kept[1:] & ~self.is_start[1:])
+        keys, inverse = np.unique(extended(before[places - 1], self.hash[places]), return_inverse=True)
+        return places, keys, inverse
+
+    def learn(self, told: np.ndarray) -> None:
+        """Takes in the totals of what propose() gave."""
+        places, keys, inverse = self.propose()
+        n = len(self.hash)
+        key, count, kept = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
+        key[places] = keys[inverse]
+        count[places] = np.abs(told)[inverse]
+        kept[places] = count[places] >= self.m.least
+        self.keys.append(key)
+        self.counts.append(count)
+        self.kept.append(kept)
+        self.distinct.append((places, inverse, np.signbit(told) & (np.abs(told) >= self.m.least)))
+
+    def histories(self) -> np.ndarray:
+        """The sorted distinct keys of all states of this chunk."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(k[h] for k, h in zip(self.keys[: self.m.order - 1], self.kept[: self.m.order - 1], strict=True))]))
+
+    def masses(self) -> tuple[np.ndarray, np.ndarray]:
+        """histories() and what each gives to the n-grams that this chunk owns."""
+        states = self.histories()
+        mass = np.zeros(len(states))
+        for k, (places, inverse, owned) in enumerate(self.distinct):
+            one = np.zeros(len(owned), np.int64)
+            one[inverse] = places  # any place of each distinct n-gram
+            one = one[owned]
+            mass += np.bincount(np.searchsorted(states, self.keys[k][one - 1]), weights=self.counts[k + 1][one] - self.m.discount, minlength=len(states))
+        return states, mass
+
+    def arcs(self, masses: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """By order: log10 probability of the arc that each n-gram is, log10 backoff weight of the state that each is; and the longest n-gram in the model at each place."""
+        states = self.histories()
+        logs, falls = [self.m.root(self.counts[0])], []
+        lower = 10.0 ** logs[0]
+        longest = self.kept[0].astype(np.int8)
+        for k, (keys, counts, kept) in enumerate(zip(self.keys[:-1], self.counts[:-1], self.kept[:-1], strict=True)):
+            rest = np.ones(len(keys))
+            at = np.flatnonzero(kept & (counts > 0))
+            rest[at] = np.clip(1 - masses[np.searchsorted(states, keys[at])] / counts[at], 1e-12, 1.0)
+            falls.append(np.log10(rest))
+            p = np.ones(len(keys))
+            own = np.flatnonzero(self.kept[k + 1])
+            p[own] = (self.counts[k + 1][own] - self.m.discount) / counts[own - 1] + rest[own - 1] * lower[own]
+            logs.append(np.log10(p))
+            lower = p
+            longest[own] = k + 2
+        return logs, falls, longest
+
+
+def _traverse(longest: list[int], arcs: list[list[float]], falls: list[list[float]]) -> float:
+    """One pass from left to right over a document: take the arc of the next word, or fail to a shorter history, down to the root.
+
+    The state is the number of words of its history; longest says how long an arc there is to each word, 0 that it is the root's alone and leads back to it.
     """
+    top = len(falls)
+    state, total = min(1, top), 0.0
+    for i in range(1, len(longest)):
+        reach = longest[i] or 1
+        while state >= reach:
+            total += falls[state - 1][i - 1]
+            state -= 1
+        total += arcs[state][i]
+        if state < top and longest[i]:
+            state += 1
+    return total
+
+
+def _ask_grams(row: dict, told: pa.Table | None, m: Model, order: int) -> list[tuple]:
+    """Rows of ASKED for the n-grams of an order, or, with order 0, for the masses."""
+    chunk = Chunk(row, m)
+    for k in range(2, order or m.order + 1):
+        chunk.learn(_told(told, k))
+    if order == 0:
+        return _asked(chunk.number, *chunk.masses(), m.shards)
+    places, keys, inverse = chunk.propose()
+    return _asked(chunk.number, keys, np.bincount(inverse, weights=chunk.train[places], minlength=len(keys)), m.shards)
+
+
+def _ask_first(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield _table(_ask_grams(batch.slice(k, 1).to_pylist()[0], None, m, 2), _ASKED)
+
+
+def _ask_next(left: pa.Table, right: pa.Table, m: Model, order: int) -> pa.Table:
+    (row,) = left.to_pylist()
+    return pa.Table.from_batches([_table(_ask_grams(row, right, m, order), _ASKED)])
 
-    words: np.ndarray
-    arcs: dict[int, tuple[float, int]]
-    fall: list[tuple[float, int]]
-    start: int
-    n_tokens: int
-    n_distinct: int
-
-    def score(self, ids: list[int], base: list[float]) -> float:
-        """One pass from left to right: take the word's arc, or fail to a shorter history, down to the root."""
-        arcs, fall, width = self.arcs, self.fall, len(self.words)
-        state, total = self.start, 0.0
-        for word, alone in zip(ids, base, strict=True):
-            if word < 0:
-                while state:
-                    weight, state = fall[state]
-                    total += weight
-                total += alone
-                continue
-            while True:
-                if not state:
-                    total += alone
-                    state = word + 1
-                    break
-                arc = arcs.get(state * width + word)
-                if arc is not None:
-                    total += arc[0]
-                    state = arc[1]
-                    break
-                weight, state = fall[state]
-                total += weight
-        return total
-
-
-def build(grams: Grams, counts: list[np.ndarray], n_tokens: int, n_distinct: int, n_docs: int, discount: float) -> Automaton:
-    """Absolute discounting, interpolated with the shorter history; what pruned n-grams and discounts leave is the backoff weight."""
-    width = len(grams.words)
-    lower = (counts[0] + 1) / (n_tokens + n_distinct + 1)
-    history = counts[0].astype(float).copy()
-    history[grams.start] = n_docs
-    fall: list[tuple[float, int]] = [(0.0, 0)]
-    arcs: dict[int, tuple[float, int]] = {}
-    states = np.arange(width) + 1
-    fails = np.zeros(width, np.int64)
-    probability = lower
-    keys_of_suffix = None
-    for k, codes in enumerate(grams.levels):
-        n = counts[k + 1]
-        before, last = codes // width, codes % width
-        kept = np.bincount(before, weights=n - discount, minlength=len(history))
-        rest = np.clip(1 - kept / np.maximum(history, 1), 1e-12, 1.0)
-        fall += [(math.log10(r), int(s)) for r, s in zip(rest, fails, strict=True)]
-        # The n-gram without its first word: of the same shape one order below.
-        suffix = last if keys_of_suffix is None else _find(grams.levels[k - 1], keys_of_suffix[before] * width + last)
-        p = (n - discount) / history[before] + rest[before] * np.where(suffix >= 0, probability[np.maximum(suffix, 0)], 0)
-        more = k + 1 < len(grams.levels)
-        first = len(fall)
-        targets = first + np.arange(len(codes)) if more else (states[np.maximum(suffix, 0)] if k else last + 1)
-        for b, w, x, t in zip(before.tolist(), last.tolist(), p.tolist(), targets.tolist(), strict=True):
-            arcs[int(states[b]) * width + w] = (math.log10(x), t)
-        if more:
-            fails = states[np.maximum(suffix, 0)] if k else last + 1
-            states, history, probability, keys_of_suffix = targets, n.astype(float), p, suffix
-    if not grams.levels:
-        fall += [(0.0, 0)] * width
-    return Automaton(grams.words, arcs, fall, grams.start + 1, n_tokens, n_distinct)
-
-
-def _score(left: pd.DataFrame, right: pd.DataFrame, model) -> pd.DataFrame:
-    """left: a block's documents; right: the training counts of all its words."""
-    m: Automaton = model.value
-    vocabulary = right["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary, counts = vocabulary[order], right["total"].to_numpy(np.int64)[order]
-    logs = np.log10((counts + 1) / (m.n_tokens + m.n_distinct + 1))
-    ids = _find(m.words, vocabulary)
-    end = int(np.searchsorted(vocabulary, np.uint64(END)))
-    out = []
-    for first in range(0, len(left), SLICE):
-        texts = [words_of(t.encode()) for t in left["text"].iloc[first : first + SLICE]]
-        distinct = set().union(*texts)
-        place = dict(zip(distinct, np.searchsorted(vocabulary, hashes_of(distinct, len(distinct))).tolist(), strict=True))
-        for words in texts:
-            at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-            at = np.append(at, end)
-            base = logs[at]
-            out.append((len(at), int((counts[at] > 0).sum()), float(base.sum()), m.score(ids[at].tolist(), base.tolist())))
-    found = pd.DataFrame(out, columns=["n_tokens", "n_known", "base_score", "score"])
-    found.insert(0, "held_out", left["held_out"].to_numpy())
-    found.insert(0, "doc_id", left["doc_id"].to_numpy())
-    found["train_tokens"] = m.n_tokens
-    return found
-
-
-def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, rare: float = 2e-6, least: int = 3, discount: float = 0.75, docs_per_block: int = 4096) -> DataFrame:
+
+def _scores(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
+    (row,) = left.to_pylist()
+    chunk = Chunk(row, m)
+    for k in range(2, m.order + 1):
+        chunk.learn(_told(right, k))
+    logs, falls, longest = chunk.arcs(np.abs(_told(right, 0)) if m.order > 1 else np.zeros(0))
+    found = [_traverse(longest[a:b].tolist(), [x[a:b].tolist() for x in logs], [x[a:b].tolist() for x in falls]) for a, b in zip(chunk.starts.tolist(), chunk.stops.tolist(), strict=True)]
+    columns = [
+        pa.array(row["doc_ids"], _LONG), pa.array(row["held"]), pa.array(chunk.lengths + 1), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(found), m.n_tokens)),
+        pa.array(np.frombuffer(row["base"], np.float64)), pa.array(found, pa.float64()),
+    ]
+    return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+
+def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, least: int = 2, discount: float = 0.75, chunk_bytes: int = 4 << 20, shard_keys: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
-    Counts come from all documents whose id's crc32 leaves another remainder than `fold` by `folds`; a null id trains. An
-    n-gram gets a state or an arc if it is at least a share `rare` of the training tokens and occurs `least` times. Counts of
-    one order sum to those tokens at most, so the model has at most 1/rare n-grams an order, whatever the input: that is what
-    is collected and broadcast. An n-gram can only be frequent if its parts are, hence longer ones are counted over
-    frequent parts alone, exactly. Words of any rarity keep their exact counts: these stay in Spark, and each block of
-    documents gets the counts of its own words by a join. Texts of no words are one end token. A null text counts as empty;
+    Counts come from all documents whose id's crc32 leaves another remainder than `fold` by `folds`; a null id trains. Every
+    n-gram of the training documents that occurs `least` times is in the model, whatever the size of the corpus: it is an arc
+    of its history's state and, below the highest order, a state. Absolute discounting, interpolated with the shorter
+    history; what discounts and rare n-grams leave of a history is the weight of its failure arc, and the root gives every word
+    the base probability. An n-gram can only occur `least` times if its parts do, so longer ones are counted over such parts
+    alone, exactly. Words are counted by themselves; an n-gram is known by a key of 64 bits, so of 10^11 distinct ones some
+    hundred pairs would share counts, which touches no base score.
+
+    A chunk is about `chunk_bytes` of text, one document at least; a group of tally() has about `shard_keys` keys. Neither
+    depends on ids, so repeated and null ids do no harm. Texts of no words are one end token. A null text counts as empty;
     repeated rows are scored each; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), held.alias("held_out"))
-    rows = rows.withColumn("block", block_of(F.col("doc_id"), docs_per_block))
-    by_block = spill(rows.select("text", "held_out", "block").mapInArrow(_count_words, "word bigint, block bigint, n bigint"), "block-words")
-    totals = spill(by_block.groupBy("word").agg(F.sum("n").alias("total")), "words")
-    end, start = (x - (1 << 64) if x >> 63 else x for x in (END, START))
-    n_tokens, n_distinct, n_docs = totals.agg(F.coalesce(F.sum("total"), F.lit(0)), F.count(F.when(F.col("total") > 0, 1)), F.coalesce(F.sum(F.when(F.col("word") == end, F.col("total"))), F.lit(0))).first()
-    most = max(least, math.ceil(rare * n_tokens))
-    frequent = totals.where(F.col("total") >= most).toPandas()  # 1/rare rows at most
-    words = np.append(frequent["word"].to_numpy(np.int64), start).view(np.uint64)
-    ranks = np.argsort(words)
-    grams = Grams(words[ranks])
-    counts = [np.append(frequent["total"].to_numpy(np.int64), 0)[ranks]]
-    for _ in range(order - 1):
-        shared = spark.sparkContext.broadcast(grams)
-        found = rows.select("text", "held_out").mapInArrow(partial(_count_grams, grams=shared), "code bigint, n bigint")
-        level = found.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= most).toPandas().sort_values("code")  # as above
-        grams = Grams(grams.words, [*grams.levels, level["code"].to_numpy(np.int64)])
-        counts.append(level["n"].to_numpy(np.int64))
-    model = spark.sparkContext.broadcast(build(grams, counts, n_tokens, n_distinct, n_docs, discount))
-    wanted = by_block.select("word", "block").join(totals, "word")
-    schema = "doc_id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-
-    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _score(left, right, model)
-
-    # Ids are text while pandas has them, which would make numbers with nulls floats.
-    found = rows.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(scored, schema)
-    return found.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
+    rows = addressed(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), out.alias("held_out"), "at_file", "at_row")
+    with held(spark, SMALL_BATCHES):
+        chunks = spill(rows.mapInArrow(partial(_chunks, chunk_bytes=chunk_bytes), CHUNK), "chunks", 8)
+        n_all, n_train, n_docs = chunks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_all", "n_train", "n_train_docs")]).first()
+        shards = max(1, math.ceil(n_all / shard_keys))
+        told = tally(chunks.select("chunk", "words", "counts").mapInArrow(partial(_ask_words, shards=shards), ASKED), "words", words=True)
+        distinct = told.agg(F.coalesce(F.sum("owned"), F.lit(0))).first()[0]
+        m = Model(order, least, discount, shards, n_train + n_docs, distinct + (n_docs > 0), n_docs)
+
+        def number(left: pa.Table, right: pa.Table) -> pa.Table:
+            return _numbered(left, right, m)
+
+        numbered = spill(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(number, NUMBERED), "numbered", 8)
+        discard(chunks, told)
+        known: list[DataFrame] = []
+
+        def joined(of, schema: str, **how) -> DataFrame:
+            def step(left: pa.Table, right: pa.Table) -> pa.Table:
+                return of(left, right, m, **how)
+
+            all_told = known[0]
+            for more in known[1:]:
+                all_told = all_told.unionByName(more)
+            return numbered.groupBy("chunk").cogroup(all_told.groupBy("chunk")).applyInArrow(step, schema)
+
+        for k in [*range(2, order + 1), 0] if order > 1 else []:
+            asked = numbered.mapInArrow(partial(_ask_first, m=m), ASKED) if k == 2 else joined(_ask_next, ASKED, order=k)
+            spilled = tally(asked, f"grams-{k}")
+            known.append(spilled.select("chunk", "shard", "totals", F.lit(k).alias("order")))
+            known[-1].spilled_to = spilled.spilled_to
+        if not known:
+            known.append(spark.createDataFrame([], "chunk bigint, shard bigint, totals binary, order int"))
+        scores = spill(joined(_scores, SCORES), "scores")
+        discard(numbered, *(t for t in known if hasattr(t, "spilled_to")))
+    return scores

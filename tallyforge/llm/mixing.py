@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.shared import WORD, addressed, spill, stable, text_of
+from tallyforge.llm.shared import WORD, addressed, spill, stable, text_of, whole_rows
 
 WEIGHTS = (3, 1, 2)
 
@@ -86,7 +86,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
     Every document of a source should be taken target / source_size times on average. Whole copies are taken at once; the
     fractional rest is rounded by pivotal sampling with sizes as mass, in groups of about `group` rows of a source, chosen by a
-    hash, so that a hot source is many groups. Each group leaves one fractional row at most; these go to groups of the next
+    hash of id, size and place in the file, so that a hot source is many groups, and so are rows that repeat an id. Each group leaves one fractional row at most; these go to groups of the next
     level, until one group a source is left, whose last row is rounded by a draw. A source's words so miss its target by
     less than the size of one document. Null texts have size 0, a null source is a source of its own, null ids are allowed;
     rows are drawn from seeds that depend on the data alone. Documents of no words have copies like any other but no mass.
@@ -100,20 +100,20 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     targets = targets.withColumn("place", F.xxhash64("source").bitwiseAND(0x7FFFFFFF))
     per = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     known = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "at_file", "at_row", "place", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "n", per.alias("per")
+        "doc_id", "at_file", "at_row", targets["source"], "place", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "n", per.alias("per")
     )
     whole = F.floor(F.col("per") + 1e-9)
     part = F.when(F.col("size") > 0, F.greatest(F.col("per") - whole, F.lit(0.0))).otherwise(0.0)
     known = known.select(
-        F.col("doc_id").cast("string").alias("doc_id"), "at_file", "at_row", "place", "size", "source_size", "target", whole.cast("bigint").alias("copies"), part.alias("part"),
-        F.pmod(F.xxhash64("doc_id", "size"), F.ceil(F.col("n") / group)).alias("bucket"), F.ceil(F.col("n") / group).alias("buckets"),
+        F.col("doc_id").cast("string").alias("doc_id"), "at_file", "at_row", "source", "place", "size", "source_size", "target", whole.cast("bigint").alias("copies"), part.alias("part"),
+        F.pmod(F.xxhash64("doc_id", "size", "at_row"), F.ceil(F.col("n") / group)).alias("bucket"), F.ceil(F.col("n") / group).alias("buckets"),
     )
     settled = known.where("part <= 0")
     todo, depth, count = known.where("part > 0"), 0, targets.agg(F.max("n")).first()[0] or 0
     done = [settled]
     while True:
         last = count <= group
-        level = spill(todo.groupBy("place", "bucket").applyInPandas(partial(_pivot, seed=seed + depth, last=last), todo.schema), "level")
+        level = spill(todo.groupBy("source", "bucket").applyInPandas(partial(_pivot, seed=seed + depth, last=last), todo.schema), "level")
         done.append(level.where("part <= 0"))
         if last:
             break
@@ -128,8 +128,6 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The documents, all their columns kept, each as often as mix() takes it."""
-    docs, names = stable(docs), docs.columns
-    taken = mix(docs, **how).where("copies > 0").select("copies", F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
-    taken = taken.withColumn("__times", F.expr("sequence(1, copies)")).drop("copies")
-    rows = addressed(docs, *names, file="__at_file", row="__at_row")
-    return rows.join(taken, ["__at_file", "__at_row"]).withColumn("__time", F.explode("__times")).select(*names)
+    docs = stable(docs)
+    taken = mix(docs, **how).where("copies > 0").select("copies", "at_file", "at_row")
+    return whole_rows(docs).join(taken, ["at_file", "at_row"]).select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.near_copies import near_copies
-from tallyforge.llm.shared import addressed, spill, stable
+from tallyforge.llm.shared import addressed, spill, stable, without
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BITS = 64
@@ -178,8 +178,5 @@ FIVE_WORDS = Likeness(radius=6, words=2, distinct=True, check_words=5, check_rad
 
 def drop_near_copies(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
     """The documents, all their columns kept, with one row of each component: of five-word similarity 0.8 or more, or linked as `how` says."""
-    docs, names = stable(docs), docs.columns
-    gone = near_copies(docs) if how is None else simhash_dedup(docs, how).where(~F.col("kept"))
-    gone = gone.select(F.col("at_file").alias("__at_file"), F.col("at_row").alias("__at_row"))
-    rows = addressed(docs, *names, file="__at_file", row="__at_row")
-    return rows.join(gone, ["__at_file", "__at_row"], "left_anti").select(*names)
+    docs = stable(docs)
+    return without(docs, near_copies(docs) if how is None else simhash_dedup(docs, how).where("NOT kept"))
