@@ -17,6 +17,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -69,6 +70,20 @@ def extended(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """The bytes of an array, plane by plane, compressed; of sorted keys, the steps between them."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(blob: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
 def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
@@ -98,7 +113,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.
         flat = number[np.concatenate(tokens)]
         train = np.repeat(~np.array(held_), lengths)
         counts = np.bincount(flat[train], minlength=len(words)).astype(np.int64)
-        blobs = [lengths.tobytes(), flat.tobytes(), b" ".join([words[k] for k in order]), counts.tobytes()]
+        blobs = [packed(lengths), packed(flat), zstandard.compress(b" ".join([words[k] for k in order]), 1), packed(counts)]
         return _table([(first, ids, held_, *blobs, len(flat), int(train.sum()), held_.count(False))], _CHUNK)
 
     vocabulary, ids, held_, tokens, size = fresh()
@@ -125,34 +140,33 @@ def _asked(chunk: int, keys: np.ndarray, n: np.ndarray, shards: int, words: list
     shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard)) + 1, [len(keys)])) if len(keys) else [0]
     values = np.asarray(n, np.float64)
-    return [(int(shard[a]), chunk, b" ".join(words[a:b]) if words is not None else keys[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return [(int(shard[a]), chunk, zstandard.compress(b" ".join(words[a:b]), 1) if words is not None else packed(keys[a:b], True), packed(values[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _ask_words(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, words, counts in zip(*(batch.column(c) for c in ("chunk", "words", "counts")), strict=True):
-            own = words.as_py().split()
-            yield _table(_asked(chunk.as_py(), hashes_of(own), np.frombuffer(counts.as_py(), np.int64), shards, own), _ASKED)
+            own = zstandard.decompress(words.as_py()).split()
+            yield _table(_asked(chunk.as_py(), hashes_of(own), unpacked(counts.as_py(), np.int64), shards, own), _ASKED)
 
 
 def _totals(table: pa.Table, words: bool) -> pa.Table:
-    """The sum of n over all rows for each key of each row; it is negative in one place for each key, whose chunk owns the key."""
+    """The sum of n over all rows for each key of each row. In one place for each key the sign is negative: that chunk owns it."""
     parts = table.column("keys").to_pylist()
-    n = np.concatenate([np.frombuffer(x, np.float64) for x in table.column("n").to_pylist()])
-    sizes = np.array([len(x) // 8 for x in table.column("n").to_pylist()])
+    each = [unpacked(x, np.float64) for x in table.column("n").to_pylist()]
+    n, sizes = np.concatenate(each), np.array([len(x) for x in each])
     if words:
-        flat = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
+        flat = np.frombuffer(b" ".join(map(zstandard.decompress, parts)) + b" ", np.uint8)
         ends = np.concatenate(([0], np.flatnonzero(flat == 32) + 1)).astype(np.int64)
         keys = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
     else:
-        keys = pa.array(np.concatenate([np.frombuffer(x, np.uint64) for x in parts]))
+        keys = pa.array(np.concatenate([unpacked(x, np.uint64, True) for x in parts]))
     place = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
     totals = np.bincount(place, weights=n)[place]
     first = place > np.concatenate(([-1], np.maximum.accumulate(place)[:-1]))  # numbers are given by first occurrence
     owned = np.add.reduceat((first & (totals > 0)).astype(np.int64), np.cumsum(sizes) - sizes)
     totals[first] *= -1
-    cuts = np.cumsum(sizes)[:-1]
-    found = [t.tobytes() for t in np.split(totals, cuts)]
+    found = [packed(t) for t in np.split(totals, np.cumsum(sizes)[:-1])]
     return pa.table([table.column("chunk"), table.column("shard"), pa.array(found, _BLOB), pa.array(owned, _LONG)], names=[n for n, _ in _TOLD])
 
 
@@ -168,22 +182,22 @@ def tally(asked: DataFrame, tag: str, words: bool = False) -> DataFrame:
 def _told(table: pa.Table, order: int | None = None) -> np.ndarray:
     """All totals that a chunk was told (of an order), in the order of its keys."""
     rows = zip(table.column("shard").to_pylist(), table.column("totals").to_pylist(), table.column("order").to_pylist() if order is not None else [None] * table.num_rows, strict=True)
-    return np.concatenate([np.zeros(0), *(np.frombuffer(t, np.float64) for _, t, _ in sorted((r for r in rows if r[2] == order), key=lambda r: r[0]))])
+    return np.concatenate([np.zeros(0), *(unpacked(t, np.float64) for _, t, _ in sorted((r for r in rows if r[2] == order), key=lambda r: r[0]))])
 
 
 def _numbered(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
     """Base scores; tokens as numbers of the words that occur often enough for a state, or -1 less the count of the others."""
     (row,) = left.to_pylist()
     totals = np.abs(_told(right)).astype(np.int64)
-    tokens, lengths = np.frombuffer(row["tokens"], np.int32), np.frombuffer(row["lengths"], np.int64)
+    tokens, lengths = unpacked(row["tokens"], np.int32), unpacked(row["lengths"], np.int64)
     doc = np.repeat(np.arange(len(lengths)), lengths)
     base = np.bincount(doc, weights=m.root(totals)[tokens], minlength=len(lengths)) + m.root(np.array([m.n_docs]))
     known = np.bincount(doc, weights=totals[tokens] > 0, minlength=len(lengths)).astype(np.int64) + (m.n_docs > 0)
     state = totals >= m.least
     number = np.where(state, np.cumsum(state) - 1, -1 - totals).astype(np.int32)
     kept = np.flatnonzero(state)
-    words = row["words"].split()
-    blobs = [row["lengths"], known.tobytes(), base.tobytes(), number[tokens].tobytes(), hashes_of([words[k] for k in kept]).tobytes(), totals[kept].tobytes()]
+    words = zstandard.decompress(row["words"]).split()
+    blobs = [row["lengths"], packed(known), packed(base), packed(number[tokens]), packed(hashes_of([words[k] for k in kept]), True), packed(totals[kept])]
     return pa.Table.from_batches([_table([(row["chunk"], row["doc_ids"], row["held"], *blobs)], _NUMBERED)])
 
 
@@ -192,9 +206,9 @@ class Chunk:
 
     def __init__(self, row: dict, m: Model):
         self.m, self.number = m, row["chunk"]
-        self.lengths = np.frombuffer(row["lengths"], np.int64)
-        tokens = np.frombuffer(row["tokens"], np.int32)
-        hashes, totals = np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["totals"], np.int64)
+        self.lengths = unpacked(row["lengths"], np.int64)
+        tokens = unpacked(row["tokens"], np.int32)
+        hashes, totals = unpacked(row["hashes"], np.uint64, True), unpacked(row["totals"], np.int64)
         self.stops = np.cumsum(self.lengths + 2)
         self.starts = self.stops - self.lengths - 2
         n = int(self.stops[-1])
@@ -318,8 +332,8 @@ def _scores(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
     logs, falls, longest = chunk.arcs(np.abs(_told(right, 0)) if m.order > 1 else np.zeros(0))
     found = [_traverse(longest[a:b].tolist(), [x[a:b].tolist() for x in logs], [x[a:b].tolist() for x in falls]) for a, b in zip(chunk.starts.tolist(), chunk.stops.tolist(), strict=True)]
     columns = [
-        pa.array(row["doc_ids"], _LONG), pa.array(row["held"]), pa.array(chunk.lengths + 1), pa.array(np.frombuffer(row["known"], np.int64)), pa.array(np.full(len(found), m.n_tokens)),
-        pa.array(np.frombuffer(row["base"], np.float64)), pa.array(found, pa.float64()),
+        pa.array(row["doc_ids"], _LONG), pa.array(row["held"]), pa.array(chunk.lengths + 1), pa.array(unpacked(row["known"], np.int64)), pa.array(np.full(len(found), m.n_tokens)),
+        pa.array(unpacked(row["base"], np.float64)), pa.array(found, pa.float64()),
     ]
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
