@@ -186,7 +186,7 @@ def _told(table: pa.Table, order: int | None = None) -> np.ndarray:
 
 
 def _numbered(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
-    """Base scores; tokens as numbers of the words that occur often enough for a state, or -1 less the count of the others."""
+    """Base scores; tokens as numbers of the words that occur often enough for a state, the frequent ones first, after `least` numbers for the counts of the others."""
     (row,) = left.to_pylist()
     totals = np.abs(_told(right)).astype(np.int64)
     tokens, lengths = unpacked(row["tokens"], np.int32), unpacked(row["lengths"], np.int64)
@@ -194,10 +194,12 @@ def _numbered(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
     base = np.bincount(doc, weights=m.root(totals)[tokens], minlength=len(lengths)) + m.root(np.array([m.n_docs]))
     known = np.bincount(doc, weights=totals[tokens] > 0, minlength=len(lengths)).astype(np.int64) + (m.n_docs > 0)
     state = totals >= m.least
-    number = np.where(state, np.cumsum(state) - 1, -1 - totals).astype(np.int32)
     kept = np.flatnonzero(state)
+    kept = kept[np.argsort(-totals[kept], kind="stable")]
+    number = totals.astype(np.int32)
+    number[kept] = m.least + np.arange(len(kept))
     words = zstandard.decompress(row["words"]).split()
-    blobs = [row["lengths"], packed(known), packed(base), packed(number[tokens]), packed(hashes_of([words[k] for k in kept]), True), packed(totals[kept])]
+    blobs = [row["lengths"], packed(known), packed(base), packed(number[tokens]), packed(hashes_of([words[k] for k in kept])), packed(totals[kept])]
     return pa.Table.from_batches([_table([(row["chunk"], row["doc_ids"], row["held"], *blobs)], _NUMBERED)])
 
 
@@ -208,7 +210,7 @@ class Chunk:
         self.m, self.number = m, row["chunk"]
         self.lengths = unpacked(row["lengths"], np.int64)
         tokens = unpacked(row["tokens"], np.int32)
-        hashes, totals = unpacked(row["hashes"], np.uint64, True), unpacked(row["totals"], np.int64)
+        hashes, totals = unpacked(row["hashes"], np.uint64), unpacked(row["totals"], np.int64)
         self.stops = np.cumsum(self.lengths + 2)
         self.starts = self.stops - self.lengths - 2
         n = int(self.stops[-1])
@@ -219,10 +221,9 @@ class Chunk:
         self.train = np.repeat(~np.array(row["held"]), self.lengths + 2)
         key, count, kept = np.full(n, END), np.full(n, m.n_docs, np.float64), np.full(n, m.n_docs >= m.least)
         key[self.starts], kept[self.starts] = START, True
-        some = tokens >= 0
-        key[word] = np.where(some, hashes[np.maximum(tokens, 0)] if len(hashes) else np.uint64(0), np.uint64(0))
-        count[word] = np.where(some, totals[np.maximum(tokens, 0)] if len(totals) else 0, -1 - tokens)
-        kept[word] = some
+        key[word] = np.concatenate((np.zeros(m.least, np.uint64), hashes))[tokens]
+        count[word] = np.concatenate((np.arange(m.least), totals))[tokens]
+        kept[word] = tokens >= m.least
         self.hash = key
         #: By order: keys of the n-grams, their counts, and whether they are in the model.
         self.keys, self.counts, self.kept = [key], [count], [kept]
@@ -338,7 +339,7 @@ def _scores(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
     return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, least: int = 2, discount: float = 0.75, chunk_bytes: int = 4 << 20, shard_keys: int = 1 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 3, least: int = 2, discount: float = 0.75, chunk_bytes: int = 6 << 20, shard_keys: int = 1 << 20) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability).
 
     Counts come from all documents whose id's crc32 leaves another remainder than `fold` by `folds`; a null id trains. Every
