@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import SPACE, addressed, held, scratch, spill, stable, text_of, without
+from tallyforge.llm.url_filter import bloom_blocks, bloom_filter, probed
 
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -80,19 +81,20 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
         )
 
     plain = judged(digests.join(seen, "digest"))
+    # Only digests that came more than once need their bytes: a Bloom filter of them, of a bounded size, keeps most other texts out of the shuffle.
     # The least and the greatest text of a digest are the same bytes exactly when all are; partial minima keep hot groups small.
-    bytes_of = rows.groupBy(digest(F.col("norm")).alias("digest")).agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
-    clashing = bytes_of.where("low != high").select("digest").cache()
-    try:
-        if clashing.isEmpty():
-            return plain
-        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
-        apart = rows.withColumn("digest", digest(F.col("norm"))).join(clashing, "digest", "left_semi")
-        groups = apart.groupBy("digest", "norm").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-        again = apart.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).join(groups, ["digest", "norm"])
-        return judged(digests.join(clashing, "digest", "left_anti").join(seen, "digest")).unionByName(judged(again))
-    finally:
-        clashing.unpersist()
+    repeated = seen.where("group_size > 1").select("digest")
+    blocks = bloom_blocks(repeated.count())
+    hits = probed(rows.select("norm", digest(F.col("norm")).alias("digest")), "digest", bloom_filter(repeated, "digest", blocks), blocks).where("hit")
+    bytes_of = hits.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    clashing = spill(bytes_of.where("low != high").select("digest"), "clashing")
+    if clashing.isEmpty():
+        return plain
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
+    apart = rows.withColumn("digest", digest(F.col("norm"))).join(clashing, "digest", "left_semi")
+    groups = apart.groupBy("digest", "norm").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
+    again = apart.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).join(groups, ["digest", "norm"])
+    return judged(digests.join(clashing, "digest", "left_anti").join(seen, "digest")).unionByName(judged(again))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:

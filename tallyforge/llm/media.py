@@ -182,5 +182,5 @@ def media_columns(docs: DataFrame, root: str | None = None) -> DataFrame:
     files, base = _filesystem(root)
     files.create_dir(base, recursive=True)
     stored = store(docs, root)
-    facts = payloads(stored, root).join(headers(stored, root).select("digest", "width", "height", "bits"), "digest")
+    facts = spill(payloads(stored, root).join(headers(stored, root).select("digest", "width", "height", "bits"), "digest"), "media-facts")  # a plain table, so that the join can split a hot digest
     return stored.join(facts, "digest")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import threading
 from collections.abc import Iterator
 from functools import partial
@@ -17,26 +18,53 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.shared import addressed, text_of
 
+#: A run of white space that the pattern of the encoder would walk back over once too often.
+LONG_SPACE = re.compile("(?<![SPACES])[SPACES]{10000,}".replace("SPACES", "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
+
 _loaded: dict = {}
 _lock = threading.Lock()
 
 
-def encoder(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    """A byte-level BPE from a file of ranks; strings of special tokens in a text are ordinary text. One per process."""
+class Encoder:
+    """A byte-level BPE from a file of ranks. A special token's string in a text is that token.
+
+    A run of white space is one piece: all of it at the end of a text, else all but its last character. Very long runs are
+    given to an encoder that takes its whole input as one piece, since the pattern's look-ahead would overflow on them.
+    """
+
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += [self._some(text[at : run.start()]), self.whole.encode_to_numpy(text[run.start() : stop], disallowed_special=())]
+            at = stop
+        return np.concatenate([*out, self._some(text[at:])]).astype(np.uint32)
+
+    def _some(self, text: str) -> np.ndarray:
+        return self.plain.encode_to_numpy(text, allowed_special="all")
+
+
+def encoder(ranks_path: str, pattern: str, special: dict[str, int]) -> Encoder:
+    """One per process."""
+    key = (ranks_path, pattern, *sorted(special.items()))
     with _lock:
-        if (ranks_path, pattern) not in _loaded:
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            _loaded[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return _loaded[ranks_path, pattern]
+        if key not in _loaded:
+            _loaded[key] = Encoder(ranks_path, pattern, special)
+        return _loaded[key]
 
 
-def _tokenised(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(ranks_path, pattern).encode_to_numpy
+def _tokenised(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, special: dict[str, int], end_id: int) -> Iterator[pa.RecordBatch]:
+    encode = encoder(ranks_path, pattern, special).ids
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            ids = [np.append(encode(t.as_py() or "", disallowed_special=()), np.uint32(end_id)).astype(np.int32) for t in part.column("text")]
+            ids = [np.append(encode(t.as_py() or ""), np.uint32(end_id)).astype(np.int32) for t in part.column("text")]
             offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("at_file"), part.column("at_row"), arrays], names=["doc_id", "at_file", "at_row", "ids"])
@@ -98,18 +126,19 @@ def _packed(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return packed
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, end_id: int = 0, group: int = 1024, keep_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], capacity: int = 1024, end_id: int = 0, group: int = 1024, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids_crc32 and ids.
 
     A document is its token ids and then end_id; it is cut at multiples of `capacity`. Full pieces are sequences of their
     own; the rest of each document goes to the first sequence with room, longest first, among about `group` documents
     chosen by a hash. Only a group's last sequences stay short, which leaves little padding however many documents
-    there are, and no task needs more than one group. A null text counts as empty and is one piece of end_id alone; null and
+    there are, and no task needs more than one group. Runs of one character of any length are one document like another; the strings
+    in `special` are those tokens. A null text counts as empty and is one piece of end_id alone; null and
     repeated ids are allowed; an empty table gives no rows; other columns are not read.
     """
     groups = max(1, -(-docs.count() // group))
     rows = addressed(docs, "doc_id", "text").withColumn("text", text_of()).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    tokens = rows.mapInArrow(partial(_tokenised, ranks_path=ranks_path, pattern=pattern, end_id=end_id), "doc_id bigint, at_file bigint, at_row bigint, ids array<int>")
+    tokens = rows.mapInArrow(partial(_tokenised, ranks_path=ranks_path, pattern=pattern, special=special, end_id=end_id), "doc_id bigint, at_file bigint, at_row bigint, ids array<int>")
     # Ids are text while pandas has them, which would make numbers with nulls floats.
     grouped = tokens.withColumn("pack", F.pmod(F.xxhash64("doc_id", "at_row"), F.lit(groups))).withColumn("doc_id", F.col("doc_id").cast("string"))
     schema = "doc_id string, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids_crc32 bigint"

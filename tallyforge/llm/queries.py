@@ -54,8 +54,9 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks file is the json file's vocabulary; its one special token is added as there."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, keep_ids=False)
 
 
 RULES = (

@@ -11,7 +11,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from tallyforge.llm.components import connected_components
@@ -39,8 +38,8 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, last + 1)]
 
 
-def fingerprint(text: bytes, words_per_shingle: int, distinct: bool = False) -> int:
-    """SimHash of the word shingles, with their repeats or distinct: a bit is set if it is in over half of their XXH64 values."""
+def fingerprint(text: bytes, words_per_shingle: int) -> int:
+    """SimHash of the word shingles with their repeats: a bit is set if it is in over half of their XXH64 values."""
     words = text.translate(LOWER).split()
     if not words:
         return 0
@@ -49,18 +48,11 @@ def fingerprint(text: bytes, words_per_shingle: int, distinct: bool = False) ->
     width = min(words_per_shingle, len(words))
     stops = ends[width - 1 :]
     starts = np.concatenate(([0], ends[: len(words) - width] + 1))
-    ones, n, seen = np.zeros(BITS, np.int64), len(stops), []
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(stops), CHUNK):
         spans = zip(starts[at : at + CHUNK].tolist(), stops[at : at + CHUNK].tolist(), strict=True)
-        hashes = np.array([xxh64_intdigest(flat[s:e], 42) for s, e in spans], "<u8")
-        if distinct:
-            seen.append(hashes)
-        else:
-            ones += _bit_counts(hashes)
-    if distinct:
-        hashes = np.unique(np.concatenate(seen))
-        ones, n = _bit_counts(hashes), len(hashes)
-    return int(((2 * ones > n).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+        ones += _bit_counts(np.array([xxh64_intdigest(flat[s:e], 42) for s, e in spans], "<u8"))
+    return int(((2 * ones > len(stops)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -74,36 +66,25 @@ _BIT_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
 @dataclass(frozen=True)
 class Likeness:
-    """Which documents are linked: those whose fingerprints of `words`-word shingles differ in `radius` bits at most.
-
-    With `check_words`, fingerprints of distinct shingles of that many words must also lie within `check_radius` bits: at a
-    Jaccard similarity J two of them differ in 64 * acos(2J / (1 + J)) / pi bits on average.
-    """
+    """Which documents are linked: those whose fingerprints of `words`-word shingles differ in `radius` bits at most."""
 
     radius: int = 4
     words: int = 4
-    distinct: bool = False
-    check_words: int | None = None
-    check_radius: int = BITS
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], how: Likeness) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "at_file", "at_row"]
     for batch in batches:
-        texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-        found = np.fromiter((fingerprint(t, how.words, how.distinct) for t in texts), np.uint64, len(texts)).view(np.int64)
-        check = np.fromiter((fingerprint(t, how.check_words, True) if how.check_words else 0 for t in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found), pa.array(check)], names=[*names, "fp", "check"])
+        found = np.fromiter((fingerprint(t.as_py() or b"", words) for t in batch.column("text").cast(pa.binary())), np.uint64, batch.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found)], names=[*names, "fp"])
 
 
-def _forest(values: np.ndarray, radius: int, checks: np.ndarray | None = None, check_radius: int = BITS) -> list[tuple[int, int]]:
+def _forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect the values as the links between them do: each to its group's least."""
-    if len(values) <= 6 and checks is None:
+    if len(values) <= 6:
         plain = values.view(np.uint64).tolist()
         return [(int(values[i]), int(values[j])) for i in range(len(plain)) for j in range(i) if (plain[i] ^ plain[j]).bit_count() <= radius]
     near = np.bitwise_count((values[:, None] ^ values[None, :]).view(np.uint64)) <= radius
-    if checks is not None:
-        near &= np.bitwise_count((checks[:, None] ^ checks[None, :]).view(np.uint64)) <= check_radius
     label = np.arange(len(values))
     while True:
         least = np.where(near, label[None, :], len(values)).min(axis=1)
@@ -114,34 +95,32 @@ def _forest(values: np.ndarray, radius: int, checks: np.ndarray | None = None, c
     return [(int(values[i]), int(values[k])) for i, k in enumerate(label.tolist()) if i != k]
 
 
-def _links(frames: Iterator[pd.DataFrame], how: Likeness) -> Iterator[pd.DataFrame]:
+def _links(frames: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
         found: list[tuple[int, int]] = []
-        for fps, checks in zip(frame["fps"], frame["checks"], strict=True):
-            found += _forest(np.asarray(fps, np.int64), how.radius, np.asarray(checks, np.int64) if how.check_words else None, how.check_radius)
+        for fps in frame["fps"]:
+            found += _forest(np.asarray(fps, np.int64), radius)
         yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
 
-def simhash_links(fps: DataFrame, how: Likeness = Likeness(), block: int = 512) -> DataFrame:  # noqa: B008
-    """Edges (u, v) over distinct fingerprints (fp, check) that connect them exactly as all their links would.
+def simhash_links(fps: DataFrame, radius: int = 4, block: int = 512) -> DataFrame:
+    """Edges (u, v) over distinct fingerprints fp that connect them exactly as all their links would.
 
-    Every pair within the radius shares a bucket of some covering mask. A bucket is cut into blocks of `block`
+    Every pair within the radius shares a bucket of some covering mask. A bucket is dealt by hash into blocks of about `block`
     fingerprints; a task compares one block with itself or two with each other, so that no task holds more than two blocks
-    however large the bucket, and gives a spanning forest instead of the pairs.
+    however large the bucket, and gives a spanning forest instead of the pairs. A bucket's size is counted with partial sums, and no
+    step numbers its rows, so that adaptive execution can split a hot one.
     """
     # The number of the mask and the masked value make the bucket; what two values share it for is checked exactly later.
-    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(how.radius)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in covering_masks(radius)]
     buckets = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]))
-    values = ["fp", "check"] if how.check_words else ["fp"]
-    rows = fps.select(*values, buckets.alias("bucket"))
-    own = Window.partitionBy("bucket")
-    rows = rows.select(*values, "bucket", F.row_number().over(own.orderBy("fp")).alias("n"), F.count("*").over(own).alias("size")).where("size > 1")
-    rows = rows.select(*values, "bucket", ((F.col("n") - 1) / block).cast("int").alias("own"), F.floor((F.col("size") - 1) / block).cast("int").alias("last"))
-    pairs = rows.select(*values, "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-    pairs = pairs.select(*values, "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    # Both lists are in the order of the rows.
-    tasks = pairs.groupBy("bucket", "p", "q").agg(F.collect_list("fp").alias("fps"), (F.collect_list("check") if how.check_words else F.lit(None).cast("array<bigint>")).alias("checks"))
-    return tasks.select("fps", "checks").mapInPandas(partial(_links, how=how), "u bigint, v bigint").distinct()
+    rows = fps.select("fp", buckets.alias("bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    rows = rows.join(spill(sizes, "sizes"), "bucket").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    pairs = rows.select("fp", "bucket", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pairs = pairs.select("fp", "bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    tasks = pairs.groupBy("bucket", "p", "q").agg(F.collect_list("fp").alias("fps"))
+    return tasks.select("fps").mapInPandas(partial(_links, radius=radius), "u bigint, v bigint").distinct()
 
 
 def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  # noqa: B008
@@ -153,15 +132,14 @@ def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  #
     like any other; texts of fewer words than a shingle are one shingle. Equal fingerprints are folded before anything
     is compared, so that groups of copies of any size cost one row. An empty table gives no rows; other columns are not read.
     """
-    schema = "doc_id bigint, at_file bigint, at_row bigint, fp bigint, check bigint"
     rows = addressed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    prints = spill(rows.mapInArrow(partial(_fingerprints, how=how), schema), "fingerprints")
+    prints = spill(rows.mapInArrow(partial(_fingerprints, words=how.words), "doc_id bigint, at_file bigint, at_row bigint, fp bigint"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
-    distinct = spill(prints.groupBy("fp").agg(F.min(order).alias("first"), F.min("check").alias("check")), "distinct")
-    roots = connected_components(simhash_links(distinct.select("fp", "check"), how))
+    distinct = spill(prints.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    roots = connected_components(simhash_links(distinct.select("fp"), how.radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    known = rooted.join(least, "root").select("fp", "least")
+    least = spill(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")  # a plain table, so that the joins can split a hot root
+    known = spill(rooted.join(least, "root").select("fp", "least"), "known")
     return prints.join(known, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -172,10 +150,6 @@ def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  #
     )
 
 
-#: An estimate of five-word similarity 0.8 by fingerprints alone: distinct pairs of words within 6 bits, then five words within 13.
-FIVE_WORDS = Likeness(radius=6, words=2, distinct=True, check_words=5, check_radius=13)
-
-
 def drop_near_copies(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
     """The documents, all their columns kept, with one row of each component: of five-word similarity 0.8 or more, or linked as `how` says."""
     docs = stable(docs)

@@ -69,13 +69,26 @@ def _bit(key: Column, k: int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
-def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
+def bloom_blocks(keys: int, bits_per_key: int = 12, most: int = 1 << 17) -> int:
+    """A power of two of blocks that give so many keys these bits each, `most` at the utmost."""
+    return min(most, 1 << max(0, -(-keys * bits_per_key // (WORDS * 64)) - 1).bit_length())
+
+
+def bloom_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
     """(block, w0..w7): one row per block that has a key. Every task ORs its keys first, so the shuffle has a row per task and block at most."""
-    key = F.col("canonical")
-    bits = listed.select(_block(key, blocks).alias("block"), *[_bit(key, k).alias(f"w{k}") for k in range(WORDS)])
+    bits = keys.select(_block(F.col(key), blocks).alias("block"), *[_bit(F.col(key), k).alias(f"w{k}") for k in range(WORDS)])
     return bits.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(WORDS)])
 
 
+def probed(rows: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
+    """The rows with a column `hit`: false where the filter shows that their key is not in it. The filter, of a bounded size, is broadcast."""
+    hit = F.lit(True)
+    for k in range(WORDS):
+        hit = hit & (F.col(f"w{k}").bitwiseAND(_bit(F.col(key), k)) != 0)
+    joined = rows.withColumn("block", _block(F.col(key), blocks)).join(F.broadcast(bloom), "block", "left")
+    return joined.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("hit"))
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...], bits_per_key: int = 12, most_blocks: int = 1 << 17) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
@@ -88,19 +101,12 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...], bi
     columns are not read.
     """
     list_ = spill(listed.select(canonical(F.col("url")).alias("canonical")).where("canonical != ''").distinct(), "listed")
-    blocks = 1
-    while blocks < most_blocks and blocks * WORDS * 64 < list_.count() * bits_per_key:
-        blocks *= 2
-    bloom = F.broadcast(bloom_filter(list_, blocks))  # most_blocks rows of nine numbers at most
+    blocks = bloom_blocks(list_.count(), bits_per_key, most_blocks)
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical"))
-    probed = rows.withColumn("block", _block(F.col("canonical"), blocks)).join(bloom, "block", "left")
-    hit = F.lit(True)
-    for k in range(WORDS):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(_bit(F.col("canonical"), k)) != 0)
-    probed = probed.select("page_id", "host", "path", "canonical", F.coalesce(hit, F.lit(False)).alias("hit"))
-    exact = probed.where("hit").join(list_.withColumn("listed", F.lit(True)), "canonical", "left")
+    passed = probed(rows, "canonical", bloom_filter(list_, "canonical", blocks), blocks)
+    exact = passed.where("hit").join(list_.withColumn("listed", F.lit(True)), "canonical", "left")
     columns = ["page_id", "host", "path", F.coalesce("listed", F.lit(False)).alias("listed")]
-    judged = exact.select(*columns).unionByName(probed.where("NOT hit").withColumn("listed", F.lit(False)).select(*columns))
+    judged = exact.select(*columns).unionByName(passed.where("NOT hit").withColumn("listed", F.lit(False)).select(*columns))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.withColumn("fit", rule).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "listed")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -84,7 +85,7 @@ def test_mix_of_nothing(spark, tmp_path):
     assert mixing.take_mix(docs).count() == 0
 
 
-RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+RANKS, PATTERN, SPECIAL = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
 
 
 def test_first_fit_decreasing_matches_a_plain_search():
@@ -104,9 +105,8 @@ def test_first_fit_decreasing_matches_a_plain_search():
 def test_pack_is_whole_and_tight(spark, tmp_path):
     rows = [*ROWS, *((i, f"Text <|endoftext|> number {i}, " * (i % 17), "s") for i in range(10, 200))]
     docs = table(spark, tmp_path, rows)
-    found = packing.pack(docs, RANKS, PATTERN, group=64).toPandas()
+    found = packing.pack(docs, RANKS, PATTERN, SPECIAL, group=64).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for i, text, _ in rows:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
@@ -119,7 +119,116 @@ def test_pack_is_whole_and_tight(spark, tmp_path):
         assert own["offset"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]
         assert own["length"].sum() <= 1024
     assert all(crc32(np.asarray(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found.itertuples())
-    assert packing.pack(table(spark, tmp_path, [], "none"), RANKS, PATTERN).count() == 0
+    assert packing.pack(table(spark, tmp_path, [], "none"), RANKS, PATTERN, SPECIAL).count() == 0
+
+
+def test_ids_of_any_text_are_those_of_tokenizers():
+    """Runs of millions of one character, before, between and after words, and odd strings."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = packing.encoder(RANKS, PATTERN, SPECIAL)
+    texts = [c * n for c in (" ", "\n", "a", "^") for n in (30_000, 3_000_000)]
+    texts += [f"it's{c * n}we'll{c * 12_000}{tail}" for c in (" ", "\n", "\u2003", "\x85", "\x1c") for n in (9_999, 20_001) for tail in ("", "!", "x y")]
+    texts += ["", " ", "a\x00b", "é\u200b\ufeff", "x <|endoftext|><|endoftext|>\n y", " \n" * 8_000 + "z"]
+    for text in texts:
+        assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (text[:20], len(text))
+
+
+def png_rows(media):
+    """The samples of a greyscale PNG of 8 bits, read by the format's rules for filters 0 to 2."""
+    assert media[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data, width, height = 8, b"", 0, 0
+    while at < len(media):
+        n, name = int.from_bytes(media[at : at + 4], "big"), media[at + 4 : at + 8]
+        body = media[at + 8 : at + 8 + n]
+        assert zlib.crc32(name + body) == int.from_bytes(media[at + 8 + n : at + 12 + n], "big")
+        if name == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert list(body[8:]) == [8, 0, 0, 0, 0]
+        data += body if name == b"IDAT" else b""
+        at += 12 + n
+    raw = zlib.decompress(data)
+    assert len(raw) == height * (width + 1)
+    assert not any(raw[:: width + 1])
+    return b"".join(raw[k * (width + 1) + 1 : (k + 1) * (width + 1)] for k in range(height))
+
+
+def test_stored_bytes_are_the_texts_by_another_reader(spark, tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    rows = [*ROWS, (8, "hot", "a"), *((50 + i, "hot", "a") for i in range(200))]
+    found = media.media_columns(table(spark, tmp_path, rows), f"file://{root}").collect()
+    want = Counter()
+    for i, text, _ in rows:
+        data = (text or "").encode()
+        payload = data + b"\0" * ((-len(data)) % 64 if data else 64)
+        n, counts = len(payload), Counter(payload)
+        mean = sum(payload) / n
+        spread = math.sqrt(sum(k * (b - mean) ** 2 for b, k in counts.items()) / n)
+        entropy = abs(sum(k / n * math.log2(k / n) for k in counts.values()))
+        want[i, len(data), n, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), f"mean={mean:.4f};std={spread:.4f};entropy={entropy:.4f};distinct={len(counts)}"] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) for r in found) == want
+    for r in found:
+        with open(root / r.shard, "rb") as shard:
+            shard.seek(r.offset)
+            stored = shard.read(r.length)
+        assert hashlib.sha256(stored).hexdigest() == r.media_sha256 and len(stored) == r.media_bytes
+        assert hashlib.sha256(png_rows(stored)).hexdigest() == r.payload_sha256
+
+
+def test_mean_copies_are_the_fraction(spark, tmp_path):
+    """Over many seeds a document is taken as often as its share says, and rows of one id share no fate."""
+    rows = [(i % 7, "w " * (1 + i % 5), "a" if i % 3 else "b") for i in range(60)]
+    docs = table(spark, tmp_path, rows)
+    runs = [mixing.mix(docs, seed=100 * k, group=8).collect() for k in range(12)]
+    per = {(r.at_file, r.at_row): r.target / r.source_size for r in runs[0]}
+    taken = Counter()
+    for run in runs:
+        for r in run:
+            assert math.floor(per[r.at_file, r.at_row] + 1e-9) <= r.copies <= math.ceil(per[r.at_file, r.at_row] - 1e-9)
+            taken[r.at_file, r.at_row] += r.copies
+    off = [taken[k] / len(runs) - p for k, p in per.items()]
+    assert abs(sum(off) / len(off)) < 0.03
+    assert max(map(abs, off)) < 0.6
+
+
+def slow_features(text):
+    """The features written plainly, on characters instead of bytes."""
+    text = text or ""
+    n, words, lines = max(1, len(text)), words_(text), text.split("\n")
+    share = lambda kind: sum(c in kind for c in text) / n
+    shares = [share(k) for k in ("#$%&*", "|", "!", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:", "\n")]
+    count = max(1, len(words))
+    out = [*shares, *map(math.sqrt, shares[:3]), math.log(1 + count), n / count / 10, max(1, len(set(words))) / count, len(set(lines)) / len(lines)]
+    out += [math.log(1 + count / len(lines)), float(text == ""), abs(n / count - 6) / 10]
+    single, pair = Counter(), Counter()
+    for w in words:
+        single[crc32(w.encode()) % quality.BUCKETS] += 1
+    for a, b in zip(words, words[1:], strict=False):
+        pair[((crc32(a.encode()) * 0x9E3779B97F4A7C15 + crc32(b.encode()) * 0xD6E8FEB86659FD93) % (1 << 64)) >> 57] += 1
+    return out + [math.sqrt(single[k] / count) for k in range(quality.BUCKETS)] + [math.sqrt(pair[k] / count) for k in range(quality.BUCKETS)]
+
+
+def words_(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+def test_quality_features_and_cut_are_the_plain_ones(spark):
+    for text in ("", "One two two!\nthree | é#", " \n ", "Ünï çödé 12.5 " * 50, "x" * 5000):
+        assert np.allclose(quality.features(text.encode()), slow_features(text))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    ranker, scores = quality.fit(docs, labels)
+    weights = np.array(ranker.weights)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    own = {i: float(np.float32(slow_features(t)) @ weights) for i, t in text.items()}
+    assert all(math.isclose(r.score, own[r.doc_id], abs_tol=1e-4) for r in scores.collect())
+    known = {r.doc_id: r.quality for r in labels.collect() if crc32(str(r.doc_id).encode()) % 5}
+    good = sorted(own[i] for i, q in known.items() if q == 1 and i in own)
+    bad = sorted(own[i] for i, q in known.items() if q == 0 and i in own)
+    assert np.mean([g > b for g in good for b in bad]) > 0.99
+    at = lambda values, share: values[max(0, math.ceil(share * len(values)) - 1)]
+    low, high = at(good, 0.005), at(bad, 0.995)
+    assert math.isclose(ranker.threshold, (low + high) / 2 if high < low else low, abs_tol=1e-4)
 
 
 def test_media_round_trip(spark, tmp_path):
@@ -240,5 +349,5 @@ def test_quality_edge_cases(spark, tmp_path):
 def test_large_ids_stay_whole_beside_nulls(spark, tmp_path):
     big = (1 << 62) + 1
     docs = table(spark, tmp_path, [(big, "one two three", "a"), (big + 2, "four five", "a"), (None, "six", "a")])
-    for found in (mixing.mix(docs), packing.pack(docs, RANKS, PATTERN), language_model.score_documents(docs), media.media_columns(docs)):
+    for found in (mixing.mix(docs), packing.pack(docs, RANKS, PATTERN, SPECIAL), language_model.score_documents(docs), media.media_columns(docs)):
         assert {r.doc_id for r in found.select("doc_id").collect()} == {big, big + 2, None}

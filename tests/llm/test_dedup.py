@@ -101,7 +101,7 @@ def test_simhash_components_match_brute_force(spark, tmp_path, block, monkeypatc
         if i % 10 == 0:
             rows.append((500 + i, " ".join(words).upper()))
     plain = simhash_dedup.simhash_links
-    monkeypatch.setattr(simhash_dedup, "simhash_links", lambda fps, how: plain(fps, how, block))
+    monkeypatch.setattr(simhash_dedup, "simhash_links", lambda fps, radius: plain(fps, radius, block))
     found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash_dedup.simhash_dedup(table(spark, tmp_path, rows)).collect()}
     prints = [(i, slow_fingerprint(t)) for i, t in rows]
     label = list(range(len(rows)))
@@ -184,3 +184,15 @@ def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monke
     monkeypatch.setattr(near_copies, "near_links", lambda distinct, docs: plain(distinct, docs, block))
     left = sorted(r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect())
     assert left == sorted(rows[k][0] for k in set(label))
+
+
+def test_hot_keys_cost_no_rows(spark, tmp_path):
+    """Nine tenths of the rows are one text and one id."""
+    rows = [(7, "the same words once and again")] * 900 + [(1000 + i, f"text number {i} of its own") for i in range(100)]
+    docs = table(spark, tmp_path, rows)
+    found = exact_dedup.exact_dedup(docs).collect()
+    assert len(found) == 1000 and sum(r.kept for r in found) == 101
+    assert {r.group_size for r in found if r.doc_id == 7} == {900}
+    assert simhash_dedup.simhash_dedup(docs).where("kept").count() <= 101
+    left = simhash_dedup.drop_near_copies(docs)
+    assert left.where("doc_id = 7").count() == 1 and left.count() == 101

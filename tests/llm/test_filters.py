@@ -38,12 +38,8 @@ def test_urls_match_brute_force(spark, most_blocks):
 
 def test_bloom_filter_misses_no_key(spark):
     keys = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("canonical"))
-    bloom = url_filter.bloom_filter(keys, 64)
-    probe = spark.range(6000).select("id", F.concat(F.lit("k"), "id").alias("canonical")).withColumn("block", url_filter._block(F.col("canonical"), 64)).join(bloom, "block", "left")
-    hit = F.lit(True)
-    for k in range(8):
-        hit = hit & (F.col(f"w{k}").bitwiseAND(url_filter._bit(F.col("canonical"), k)) != 0)
-    got = probe.select("id", hit.alias("hit")).collect()
+    bloom = url_filter.bloom_filter(keys, "canonical", 64)
+    got = url_filter.probed(spark.range(6000).select("id", F.concat(F.lit("k"), "id").alias("canonical")), "canonical", bloom, 64).select("id", "hit").collect()
     assert all(r.hit for r in got if r.id < 3000)
     assert sum(r.hit for r in got if r.id >= 3000) < 300
 
