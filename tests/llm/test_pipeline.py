@@ -58,7 +58,7 @@ def test_every_stage_against_a_plain_version(spark, tmp_path):
             kept = {r.doc_id for r in after.collect()}
             good = [r.doc_id in kept for r in rows(before) if labels.get(r.doc_id) == 1]
             bad = [r.doc_id in kept for r in rows(before) if labels.get(r.doc_id) == 0]
-            assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
+            assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.2 * len(bad)
             ranker, _ = quality.fit(before, spark.read.parquet(f"{SF}/labels.parquet"))
             assert kept == {r.doc_id for r in rows(before) if float(quality.features((r.text or "").encode()).astype("float32") @ ranker.weights) >= ranker.threshold}
         elif name == "exact":
