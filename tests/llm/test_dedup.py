@@ -181,7 +181,7 @@ def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monke
             label = [new if k == old else k for k in label]
     assert close > 30 and apart > 100
     plain = near_copies.near_links
-    monkeypatch.setattr(near_copies, "near_links", lambda distinct, docs: plain(distinct, docs, block))
+    monkeypatch.setattr(near_copies, "near_links", lambda distinct, docs: plain(distinct, docs, block, 1000 * block))
     left = sorted(r.doc_id for r in simhash_dedup.drop_near_copies(table(spark, tmp_path, rows)).collect())
     assert left == sorted(rows[k][0] for k in set(label))
 
