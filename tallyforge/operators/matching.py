@@ -74,12 +74,13 @@ def _amount_buckets(amount: Column, absolute: str, share: str) -> tuple[Column,
     return log.cast("bigint"), linear.cast("bigint")
 
 
-def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: str, share: str, amount: str = "wanted") -> DataFrame:
+def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: str, share: str, amount: str = "wanted", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within the days and the amount's tolerance, each once, by equi-joins only.
 
     A receipt looks in linear buckets if its tolerance is the absolute one, else in logarithmic ones, so it meets a transaction
     once. A dated receipt is repeated for every day of its window and meets the transactions of that day; one without a date
-    meets those of its buckets. `amount` is the receipt's amount to be matched.
+    meets those of its buckets. `amount` is the receipt's amount to be matched. `keys` are columns of both sides that must be equal,
+    such as the owner of a ledger: with them the pairs grow with the number of ledgers, and not with the square of all receipts.
     """
     tolerance = amount_tolerance(F.col(amount), absolute, share)
     receipts = receipts.withColumn("tolerance", tolerance)
@@ -93,8 +94,8 @@ def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: s
     dated = receipts.where("receipt_date IS NOT NULL").withColumn("txn_date", F.explode(window)).withColumn("bucket", F.explode(near))
     undated = receipts.where("receipt_date IS NULL").withColumn("bucket", F.explode(near))
     gap = F.abs(F.col("amount") - F.col(amount)).cast(MONEY)
-    columns = [*receipts.columns, *txns.columns]
-    pairs = dated.join(keyed, ["txn_date", "bucket"]).select(*columns).unionByName(undated.join(keyed, "bucket").select(*columns))
+    columns = [*receipts.columns, *[c for c in txns.columns if c not in keys]]
+    pairs = dated.join(keyed, [*keys, "txn_date", "bucket"]).select(*columns).unionByName(undated.join(keyed, [*keys, "bucket"]).select(*columns))
     return pairs.withColumn("gap", gap).where("gap <= tolerance")
 
 
@@ -137,10 +138,10 @@ def _prepared(receipts: DataFrame, txns: DataFrame, families: DataFrame) -> tupl
 MATCHED = ["receipt_id", "txn_id", "confidence", "details"]
 
 
-def match_receipts(receipts: DataFrame, txns: DataFrame, families: DataFrame, config: MatchConfig = STRICT) -> DataFrame:
-    """receipt_id, txn_id, confidence and details of every pair within the configuration."""
+def match_receipts(receipts: DataFrame, txns: DataFrame, families: DataFrame, config: MatchConfig = STRICT, keys: tuple[str, ...] = ()) -> DataFrame:
+    """receipt_id, txn_id, confidence and details of every pair of one ledger (`keys`) within the configuration."""
     r, t = _prepared(receipts, txns, families)
-    return score_pairs(_similarity(candidate_pairs(r, t, config.days, config.amount, config.share)), config).select(*MATCHED)
+    return score_pairs(_similarity(candidate_pairs(r, t, config.days, config.amount, config.share, keys=keys)), config).select(*MATCHED)
 
 
 def rank_candidates(matches: DataFrame, by: str = "receipt_id", k: int = 5) -> DataFrame:
@@ -158,40 +159,43 @@ def _fallback() -> Column:
     return F.least(a * amount_part + d * date_part + m * F.col("similarity"), F.lit(FALLBACK_MOST))
 
 
-def match_tiered(receipts: DataFrame, txns: DataFrame, families: DataFrame) -> DataFrame:
-    """Strict matches; for receipts without any, relaxed ones; else those of the manual fallback, which asks for no merchant.
+def match_tiered(receipts: DataFrame, txns: DataFrame, families: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Within a ledger (`keys`), strict matches; for receipts without any, relaxed ones; else those of the manual fallback, which asks for no merchant.
 
     One join over the widest window serves all three. The fallback goes by the total, and not by what was paid by card: only
     receipts on which these differ are joined again.
     """
     r, t = _prepared(receipts, txns, families)
-    pairs = _similarity(candidate_pairs(r, t, RELAXED.days, RELAXED.amount, RELAXED.share))
+    pairs = _similarity(candidate_pairs(r, t, RELAXED.days, RELAXED.amount, RELAXED.share, keys=keys))
     tiers = [F.when(within, F.struct(F.lit(k).alias("tier"), confidence.alias("confidence"))) for k, (within, confidence) in enumerate(map(_judged, (STRICT, RELAXED)))]
     tiers.append(F.when(F.col("wanted") == F.col("total"), F.struct(F.lit(2).alias("tier"), _fallback().alias("confidence"))))
     every = pairs.select("receipt_id", "txn_id", F.explode(F.array_compact(F.array(*tiers))).alias("t")).select("receipt_id", "txn_id", "t.*")
-    split = _similarity(candidate_pairs(r.where("wanted != total"), t, RELAXED.days, RELAXED.amount, RELAXED.share, "total"))
+    split = _similarity(candidate_pairs(r.where("wanted != total"), t, RELAXED.days, RELAXED.amount, RELAXED.share, "total", keys))
     every = every.unionByName(split.select("receipt_id", "txn_id", F.lit(2).alias("tier"), _fallback().alias("confidence")))
     best = every.withColumn("least", F.min("tier").over(Window.partitionBy("receipt_id"))).where("tier = least")
     return best.select("receipt_id", "txn_id", "confidence", F.element_at(F.array(F.lit("strict"), F.lit("relaxed"), F.lit("fallback")), F.col("tier") + 1).alias("strength"))
 
 
-def reserve_matches(matches: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """Each receipt and each transaction at most once, by confidence, then receipt_id, then txn_id.
+def reserve_matches(matches: DataFrame) -> DataFrame:
+    """Each receipt and each transaction at most once, by confidence; equal confidences by a hash of the pair, then receipt_id, then txn_id.
 
     Every round keeps the pairs that are best for both sides, and drops the pairs that share a side with them; that
-    gives what taking the best pair again and again gives. Rounds are written to the checkpoint folder.
+    gives what taking the best pair again and again gives. The hash deals tied pairs at random, so that of any number of equal
+    receipts and transactions a constant share settles in each round. Each round has a best pair, so the rounds end; they
+    are written to the checkpoint folder.
     """
-    left, kept = matches.select("receipt_id", "txn_id", "confidence"), None
-    order = [F.desc("confidence"), "receipt_id", "txn_id"]
-    for _ in range(max_rounds):
+    columns = ["receipt_id", "txn_id", "confidence"]
+    left, kept = matches.select(*columns), None
+    order = F.struct(-F.col("confidence"), F.xxhash64("receipt_id", "txn_id"), "receipt_id", "txn_id")
+    while True:
         left = left.checkpoint()
         if left.isEmpty():
             return kept if kept is not None else left
-        ranked = left.withColumn("r", F.row_number().over(Window.partitionBy("receipt_id").orderBy(*order))).withColumn("t", F.row_number().over(Window.partitionBy("txn_id").orderBy(*order)))
-        best = ranked.where("r = 1 AND t = 1").select("receipt_id", "txn_id", "confidence").checkpoint()
+        ranked = left.withColumn("place", order)
+        first = [ranked.groupBy(side).agg(F.min("place").alias("place")) for side in ("receipt_id", "txn_id")]
+        best = ranked.join(first[0], ["receipt_id", "place"], "left_semi").join(first[1], ["txn_id", "place"], "left_semi").select(*columns).checkpoint()
         kept = best if kept is None else kept.unionByName(best)
-        left = left.join(best.select("receipt_id"), "receipt_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti").select("receipt_id", "txn_id", "confidence")
-    raise RuntimeError(f"matches were not settled in {max_rounds} rounds")
+        left = left.join(best.select("receipt_id"), "receipt_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti").select(*columns)
 
 
 def apply_matches(ledger: DataFrame, enriched: DataFrame, key: list[str]) -> DataFrame:

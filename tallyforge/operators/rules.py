@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import UNCATEGORIZED, normalize_merchant
 
-#: Rules are broadcast only up to this number of keywords; more go through a join on the keywords' words.
+#: Rules are broadcast only up to this number of keywords; more go through a join on the keywords' first characters.
 MOST_BROADCAST = 20_000
+#: So many characters.
+LEAD = 3
 
 
 def layer_rules(*layers: DataFrame) -> DataFrame:
@@ -23,9 +26,35 @@ def known_merchants(rules: DataFrame) -> DataFrame:
     return rules.select("layer", "ord", F.posexplode("keywords").alias("pos", "keyword"))
 
 
-def _small(rules: DataFrame) -> DataFrame:
-    """Broadcast if its counted size allows it."""
-    return F.broadcast(rules) if rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else rules
+def small_enough(rules: DataFrame) -> bool:
+    return rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+
+
+def _pieces(text: Column) -> Column:
+    """Every distinct piece of a text of up to LEAD characters."""
+    starts, lengths = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.sequence(F.lit(0), F.lit(LEAD))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(lengths, lambda n: F.substr(text, i, n)))))
+
+
+def containing(names: DataFrame, rules: DataFrame, *tests: tuple[Column, Column]) -> DataFrame:
+    """Pairs of a name and a rule of which, in one test (text, part) at least, the text contains the part; each pair once.
+
+    A test's two columns are of one side each, in either order. A table of rules whose counted size allows it is broadcast. Else
+    a part meets the texts that have its first characters anywhere, by an equi-join, and what these share them for is
+    then checked; rows of both sides need to be distinct for that.
+    """
+    hit = reduce(Column.__or__, [text.contains(part) for text, part in tests])
+    if small_enough(rules):
+        return names.join(F.broadcast(rules), hit)
+    found = []
+    for text, part in tests:
+        within, lead = F.explode(_pieces(text)).alias("__lead"), F.left(part, F.lit(LEAD)).alias("__lead")
+        try:
+            sides = names.select("*", within), rules.select("*", lead)
+        except AnalysisException:  # the text is the rules'
+            sides = names.select("*", lead), rules.select("*", within)
+        found.append(sides[0].join(sides[1], "__lead").where(text.contains(part)).drop("__lead"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def first_match(names: DataFrame, name: str, keywords: DataFrame, keyword: str, value: str, order: list[str]) -> DataFrame:
@@ -36,7 +65,7 @@ def first_match(names: DataFrame, name: str, keywords: DataFrame, keyword: str,
     """
     distinct = names.select(F.col(name).alias("__name")).where(F.col(name).isNotNull()).distinct()
     rules = keywords.select(F.upper(keyword).alias("__keyword"), F.col(value).alias("__value"), F.struct(*order).alias("__order"))
-    hits = distinct.join(_small(rules), F.upper("__name").contains(F.col("__keyword")))
+    hits = containing(distinct, rules, (F.upper("__name"), F.col("__keyword")))
     return hits.groupBy("__name").agg(F.min_by("__value", "__order").alias(value))
 
 
@@ -61,8 +90,8 @@ def canonical_merchants(names: DataFrame, name: str, families: DataFrame) -> Dat
     aliases = aliases.select("layer", "ord", F.col("canonical").alias("family"), normalize_merchant(F.col("canonical")).alias("canonical"), normalize_merchant(F.col("alias")).alias("alias"))
     aliases = aliases.where("alias != '' AND canonical != ''")
     distinct = names.select(F.col(name).alias("name")).where(F.col(name).isNotNull()).distinct().withColumn("normalized", normalize_merchant(F.col("name")))
-    hit = F.col("normalized").contains(F.col("alias")) | F.col("alias").contains(F.col("normalized"))
-    found = distinct.where("normalized != ''").join(_small(aliases), hit).groupBy("name").agg(F.min(F.struct("layer", "ord", "canonical", "family")).alias("first"))
+    either = (F.col("normalized"), F.col("alias")), (F.col("alias"), F.col("normalized"))
+    found = containing(distinct.where("normalized != ''"), aliases, *either).groupBy("name").agg(F.min(F.struct("layer", "ord", "canonical", "family")).alias("first"))
     return distinct.join(found, "name", "left").select("name", "normalized", F.coalesce("first.canonical", "normalized").alias("canonical"), F.col("first.family").alias("family"))
 
 
@@ -77,9 +106,9 @@ def item_hits(items: DataFrame, rules: DataFrame, description: str = "descriptio
     distinct = items.select(F.col(description).alias("__item")).where(F.col(description).isNotNull()).distinct()
     padded = F.concat(F.lit(" "), F.regexp_replace(F.upper("__item"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     word = F.concat(F.lit(" "), F.regexp_replace(F.upper("keyword"), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    exact = padded.contains(word)
-    fuzzy = ~F.coalesce("exact_only", F.lit(False)) & _fold(F.col("__item")).contains(_fold(F.col("keyword")))
-    return distinct.join(_small(keywords), exact | fuzzy).select("*", exact.alias("exact"))
+    exact, folded = padded.contains(word), (_fold(F.col("__item")), _fold(F.col("keyword")))
+    found = containing(distinct, keywords, (padded, word), folded).withColumn("exact", exact)
+    return found.where(F.col("exact") | ~F.coalesce("exact_only", F.lit(False)) & folded[0].contains(folded[1]))
 
 
 def classify_items(items: DataFrame, rules: DataFrame, description: str = "description") -> DataFrame:

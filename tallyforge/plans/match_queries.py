@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ alike AS (SELECT a.name AS merchant, b.name AS payee, CASE WHEN a.c = '' OR b.c
 
 PAIR_SQL = f"""{V.RECEIPT_SQL}, {NAMES_SQL},
 r7 AS (SELECT *, unnest(CASE WHEN receipt_date IS NULL THEN NULL ELSE [CAST(receipt_date + CAST(k AS INTEGER) AS DATE) FOR k IN range(-7, 8)] END) AS day FROM receipt WHERE receipt_date IS NOT NULL),
-near AS (SELECT receipt_id, txn_id, receipt_date, l.txn_date, merchant, payee, total, amount FROM r7 JOIN ledger l ON l.txn_date = r7.day AND abs(amount - total) <= greatest(2.0, total * 0.08)
-  UNION ALL SELECT receipt_id, txn_id, receipt_date, l.txn_date, merchant, payee, total, amount FROM receipt JOIN ledger l ON amount BETWEEN total - greatest(2.0, total * 0.08) AND total + greatest(2.0, total * 0.08) WHERE receipt_date IS NULL),
+near AS (SELECT receipt_id, txn_id, receipt_date, l.txn_date, merchant, payee, total, amount FROM r7 JOIN ledger l ON l.household = r7.household AND l.txn_date = r7.day AND abs(amount - total) <= greatest(2.0, total * 0.08)
+  UNION ALL SELECT receipt_id, txn_id, receipt_date, l.txn_date, merchant, payee, total, amount FROM receipt JOIN ledger l ON l.household = receipt.household AND amount BETWEEN total - greatest(2.0, total * 0.08) AND total + greatest(2.0, total * 0.08) WHERE receipt_date IS NULL),
 pair AS (SELECT near.*, similarity, family, abs(amount - total) AS gap, abs(datediff('day', receipt_date, txn_date)) AS days,
   greatest(CAST(0.10 AS DECIMAL(18,4)), CAST(trunc(total * 100) / 10000 AS DECIMAL(18,4))) AS strict_tol, greatest(CAST(2.0 AS DECIMAL(18,4)), CAST(trunc(total * 800) / 10000 AS DECIMAL(18,4))) AS wide_tol FROM near JOIN alike USING (merchant, payee)),
 strict AS (SELECT receipt_id, txn_id, 0 AS tier, CASE WHEN days IS NULL THEN 0 ELSE 0.4 * (1 - days / 4) END + CASE WHEN gap = 0 THEN 0.4 ELSE 0.4 * (1 - CAST(gap AS DOUBLE) / CAST(strict_tol AS DOUBLE)) END + 0.2 * similarity AS confidence
@@ -39,13 +41,17 @@ manual AS (SELECT receipt_id, txn_id, 2 AS tier, least(0.75, 0.45 * CASE WHEN ga
   FROM pair WHERE gap <= wide_tol)"""
 
 
+#: A receipt is matched within its household's ledger.
+OWNER = ("household",)
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return V.receipts(spark, sf_dir).drop("__day"), V.ledger(spark, sf_dir), V.families(spark)
 
 
 @register("j9_receipt_matches", f"WITH {PAIR_SQL} SELECT receipt_id, txn_id, round(confidence, 6) AS confidence FROM strict")
 def j9_receipt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_receipts(*_sides(spark, sf_dir)).select("receipt_id", "txn_id", F.round("confidence", 6).alias("confidence"))
+    return M.match_receipts(*_sides(spark, sf_dir), keys=OWNER).select("receipt_id", "txn_id", F.round("confidence", 6).alias("confidence"))
 
 
 @register(
@@ -56,7 +62,7 @@ def j9_receipt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM pair p JOIN strict s ON s.receipt_id = p.receipt_id AND s.txn_id = p.txn_id""",
 )
 def p15_match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_receipts(*_sides(spark, sf_dir)).select("receipt_id", "txn_id", "details")
+    return M.match_receipts(*_sides(spark, sf_dir), keys=OWNER).select("receipt_id", "txn_id", "details")
 
 
 @register(
@@ -64,7 +70,7 @@ def p15_match_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PAIR_SQL}, q AS (SELECT receipt_id, txn_id, row_number() OVER (PARTITION BY receipt_id ORDER BY round(confidence, 9) DESC, txn_id) AS rank FROM wide) SELECT * FROM q WHERE rank <= 5",
 )
 def w4_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.match_receipts(*_sides(spark, sf_dir), config=M.RELAXED).withColumn("confidence", F.round("confidence", 9))
+    found = M.match_receipts(*_sides(spark, sf_dir), config=M.RELAXED, keys=OWNER).withColumn("confidence", F.round("confidence", 9))
     return M.rank_candidates(found).select("receipt_id", "txn_id", "rank")
 
 
@@ -73,7 +79,7 @@ def w4_ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PAIR_SQL}, q AS (SELECT receipt_id, txn_id, row_number() OVER (PARTITION BY txn_id ORDER BY round(confidence, 9) DESC, receipt_id) AS rank FROM strict) SELECT * FROM q WHERE rank <= 3",
 )
 def j10_transaction_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = M.match_receipts(*_sides(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+    found = M.match_receipts(*_sides(spark, sf_dir), keys=OWNER).withColumn("confidence", F.round("confidence", 9))
     return M.rank_candidates(found, "txn_id", 3).select("receipt_id", "txn_id", "rank")
 
 
@@ -83,17 +89,18 @@ def j10_transaction_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT receipt_id, txn_id, round(confidence, 6) AS confidence, CASE tier WHEN 0 THEN 'strict' WHEN 1 THEN 'relaxed' ELSE 'fallback' END AS strength FROM e JOIN b USING (receipt_id, tier)""",
 )
 def j11_tiered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.match_tiered(*_sides(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+    return M.match_tiered(*_sides(spark, sf_dir), keys=OWNER).withColumn("confidence", F.round("confidence", 6))
 
 
 @register("j12_reserved_matches")
 def j12_reserved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy by a total order; tests hold it against a plain loop."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
-    return M.reserve_matches(M.match_receipts(*_sides(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9)))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+    return M.reserve_matches(M.match_receipts(*_sides(spark, sf_dir), keys=OWNER).withColumn("confidence", F.round("confidence", 9)))
 
 
 @register(

@@ -74,9 +74,9 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Receipts: one an order, named after the part of its first line; transactions: the same, with day and amount moved by the key.
 RECEIPT_SQL = """
 named AS (SELECT l_orderkey, arg_min(upper(p_name), (l_linenumber, l_partkey)) AS merchant FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
-receipt AS (SELECT o_orderkey AS receipt_id, CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS receipt_date, merchant,
+receipt AS (SELECT o_orderkey AS receipt_id, o_custkey AS household, CASE WHEN o_orderstatus <> 'P' OR o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS receipt_date, merchant,
   CAST(o_totalprice AS DECIMAL(18,4)) AS total FROM orders JOIN named ON o_orderkey = l_orderkey),
-ledger AS (SELECT o_orderkey AS txn_id, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 - 4 AS INTEGER) AS txn_date, CASE WHEN o_orderkey % 4 = 0 THEN merchant || ' INC' WHEN o_orderkey % 4 = 1 THEN 'OTHER SHOP' ELSE merchant END AS payee,
+ledger AS (SELECT o_orderkey AS txn_id, o_custkey AS household, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 - 4 AS INTEGER) AS txn_date, CASE WHEN o_orderkey % 4 = 0 THEN merchant || ' INC' WHEN o_orderkey % 4 = 1 THEN 'OTHER SHOP' ELSE merchant END AS payee,
   CAST(CAST(o_totalprice AS DECIMAL(18,4)) + CAST((o_orderkey % 7) * 0.05 AS DECIMAL(18,4)) AS DECIMAL(18,4)) AS amount FROM orders JOIN named ON o_orderkey = l_orderkey)"""
 
 
@@ -86,7 +86,7 @@ def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = orders.join(named, F.col("o_orderkey") == F.col("l_orderkey"))
     known = (F.col("o_orderstatus") != "P") | (F.col("o_orderkey") % 5 > 0)
     return joined.select(
-        F.col("o_orderkey").alias("receipt_id"), F.when(known, F.col("o_orderdate").cast("date")).alias("receipt_date"), "merchant", F.col("o_totalprice").cast(MONEY).alias("total"),
+        F.col("o_orderkey").alias("receipt_id"), F.col("o_custkey").alias("household"), F.when(known, F.col("o_orderdate").cast("date")).alias("receipt_date"), "merchant", F.col("o_totalprice").cast(MONEY).alias("total"),
         F.lit(None).cast(MONEY).alias("card_amount"), F.lit(0).cast(MONEY).alias("non_card"), F.col("o_orderdate").cast("date").alias("__day"),
     )
 
@@ -96,7 +96,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("receipt_id")
     payee = F.when(key % 4 == 0, F.concat("merchant", F.lit(" INC"))).when(key % 4 == 1, "OTHER SHOP").otherwise(F.col("merchant"))
     moved = F.expr("date_add(__day, cast(receipt_id % 9 - 4 as int))")
-    return own.select(key.alias("txn_id"), moved.alias("txn_date"), payee.alias("payee"), (F.col("total") + ((key % 7) * F.lit(0.05)).cast(MONEY)).cast(MONEY).alias("amount"))
+    return own.select(key.alias("txn_id"), "household", moved.alias("txn_date"), payee.alias("payee"), (F.col("total") + ((key % 7) * F.lit(0.05)).cast(MONEY)).cast(MONEY).alias("amount"))
 
 
 #: Days of users: the last running balance of each event, from the day after.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.scalars import clean_amount, parse_date, strict_amount
+from tallyforge.operators.rules import MOST_BROADCAST, small_enough
 
 
 def read_statement(spark: SparkSession, path: str, skip_rows: int = 0, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
@@ -157,7 +158,9 @@ def rejects(rows: DataFrame, value: str = "amount") -> tuple[DataFrame, DataFram
 def route_by_name(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (file_name, import_type, importer, rule) whose pattern fits; rules (ord, pattern, case_sensitive, import_type, importer, rule)."""
     fits = F.expr("rlike(IF(case_sensitive, file_name, lower(file_name)), pattern)")
-    return files.join(F.broadcast(rules), fits).select("file_name", "ord", "import_type", "importer", "rule")  # rules are configuration
+    if not small_enough(rules):
+        raise ValueError(f"more than {MOST_BROADCAST} routing patterns; every one is tried on every file name")
+    return files.join(F.broadcast(rules), fits).select("file_name", "ord", "import_type", "importer", "rule")
 
 
 def validate_header(routes: DataFrame, files: DataFrame, required: DataFrame) -> DataFrame:
@@ -165,7 +168,7 @@ def validate_header(routes: DataFrame, files: DataFrame, required: DataFrame) ->
 
     A rule with `headerless` also accepts a first row of a date and a numeric fourth field.
     """
-    joined = routes.join(files, "file_name").join(F.broadcast(required), "rule", "left")
+    joined = routes.join(files, "file_name").join(required, "rule", "left")
     upper = lambda c: F.transform(c, lambda h: F.upper(F.trim(h)))
     named = F.size(F.array_except(upper(F.col("required")), upper(F.col("header")))) == 0
     first = parse_date(F.get("first_row", F.lit(0)), "M/d/yyyy", "yyyy-MM-dd").isNotNull() & F.get("first_row", F.lit(3)).try_cast("decimal(18,4)").isNotNull()

@@ -92,16 +92,46 @@ def test_reservation_takes_the_best_pair_again_and_again(spark):
     pairs = list({(rng.randrange(30), rng.randrange(30)): rng.choice([0.5, 0.7, 0.9]) for _ in range(200)}.items())
     rows = [(r, t, c) for (r, t), c in pairs]
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    got = {(x.receipt_id, x.txn_id) for x in matching.reserve_matches(spark.createDataFrame(rows, "receipt_id long, txn_id long, confidence double")).collect()}
+    matches = spark.createDataFrame(rows, "receipt_id long, txn_id long, confidence double")
+    got = {(x.receipt_id, x.txn_id) for x in matching.reserve_matches(matches).collect()}
     used_r, used_t, want = set(), set(), set()
-    for r, t, _ in sorted(rows, key=lambda p: (-p[2], p[0], p[1])):
-        if r not in used_r and t not in used_t:
-            used_r.add(r)
-            used_t.add(t)
-            want.add((r, t))
+    dealt = matches.withColumn("hash", F.xxhash64("receipt_id", "txn_id")).collect()
+    for m in sorted(dealt, key=lambda m: (-m.confidence, m.hash, m.receipt_id, m.txn_id)):
+        if m.receipt_id not in used_r and m.txn_id not in used_t:
+            used_r.add(m.receipt_id)
+            used_t.add(m.txn_id)
+            want.add((m.receipt_id, m.txn_id))
     assert got == want
 
 
+def test_reservation_settles_large_groups_of_ties(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    n = 150
+    equal = spark.range(n).select(F.col("id").alias("receipt_id")).crossJoin(spark.range(n).select(F.col("id").alias("txn_id"))).withColumn("confidence", F.lit(0.9))
+    found = matching.reserve_matches(equal).collect()
+    assert len({r.receipt_id for r in found}) == len({r.txn_id for r in found}) == len(found) == n
+
+
+def test_candidate_pairs_stay_within_their_ledger(spark):
+    own = spark.createDataFrame([(1, "a", D("5")), (2, "b", D("5"))], "receipt_id long, household string, wanted decimal(18,4)").withColumn("receipt_date", F.lit(day(2024, 1, 1)))
+    txns = spark.createDataFrame([(10, "a", day(2024, 1, 1), D("5")), (11, "b", day(2024, 1, 2), D("5")), (12, "c", day(2024, 1, 1), D("5"))], "txn_id long, household string, txn_date date, amount decimal(18,4)")
+    got = {(x.receipt_id, x.txn_id) for x in matching.candidate_pairs(own, txns, 3, "0.10", "0.01", keys=("household",)).collect()}
+    assert got == {(1, 10), (2, 11)}
+
+
+def test_many_rules_are_found_as_few_are(spark, monkeypatch):
+    from tallyforge.operators import rules
+
+    names = spark.createDataFrame([("RED WIDGET 7",), ("blue bolt",), ("x",), ("",), ("LARGE ROD INC",), (None,)], "merchant string")
+    keys = spark.createDataFrame([(0, 0, ["WIDGET", "ZZ"], "a"), (0, 1, ["", "Q"], "b"), (1, 0, ["UE", "R"], "c")], "layer int, ord int, keywords array<string>, category string")
+    families = spark.createDataFrame([(0, 0, "Rod Works", ["LARGE ROD", "RO"]), (0, 1, "Blue Bolt Shop", [])], "layer int, ord int, canonical string, aliases array<string>")
+    items = spark.createDataFrame([(0, 0, ["R0D"], "t", ["m"], 1, False), (0, 1, ["RED"], "r", [], 2, True)], "layer int, ord int, keywords array<string>, category string, tags array<string>, priority int, exact_only boolean")
+    run = lambda: [sorted(map(repr, df.collect())) for df in (rules.categorize(names, keys), rules.canonical_merchants(names, "merchant", families), rules.item_hits(names, items, "merchant"))]
+    few = run()
+    monkeypatch.setattr(rules, "MOST_BROADCAST", 0)
+    assert run() == few
+
+
 def test_amount_buckets_lose_no_pair(spark):
     import random
 
