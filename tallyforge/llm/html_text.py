@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,6 +29,8 @@ TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>]+)))?")
 HIDES = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible|initial)\b", re.I)
+#: Cells are padded to a column's widest cell of at most so many characters; wider ones stand unpadded. List items are indented so many levels deep, and a cell spans so many columns at most.
+MOST_WIDTH, MOST_INDENT, MOST_SPAN = 80, 16, 64
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -48,7 +51,7 @@ class Flow:
 
     def _line(self) -> None:
         if self.breaks or not self.parts:
-            self.parts.append("\n" * self.breaks + "".join(self.indents))
+            self.parts.append("\n" * self.breaks + "".join(self.indents[:MOST_INDENT]))
             self.breaks, self.bare = 0, True
 
     def text(self, text: str) -> None:
@@ -77,14 +80,15 @@ class Flow:
 
 
 def _table(rows: list[list[str]]) -> str:
-    """Cells in columns of equal width; a cell of several lines fills as many lines of its row."""
+    """Cells in columns of equal width, as far as MOST_WIDTH goes; a cell of several lines fills as many lines of its row."""
     widths: list[int] = []
     for row in rows:
         for k, cell in enumerate(row):
             width = max(map(len, cell.split("\n")))
             if k == len(widths):
                 widths.append(0)
-            widths[k] = max(widths[k], width)
+            if width <= MOST_WIDTH:
+                widths[k] = max(widths[k], width)
     lines = []
     for row in rows:
         cells = [c.split("\n") for c in row]
@@ -97,8 +101,9 @@ def visible_text(html: str) -> str:
     """All text that a browser would show, laid out with blank lines round blocks, list markers and aligned cells."""
     flow = Flow()
     open_: list[tuple[str, bool, bool]] = []  # name; hidden and veiled outside it
+    depth: Counter[str] = Counter()  # how many of each name are open
     lists: list[list] = []  # kind, number
-    tables: list[tuple[Flow, list[list[str]], list[bool], list[bool]]] = []  # the flow outside, the rows, whether a cell is open, texts put before it
+    tables: list[tuple[Flow, list[list[str]], list[int], list[bool]]] = []  # the flow outside, the rows, columns of the open cell or 0, texts put before it
     hidden = False  # not laid out, nor is anything inside
     veiled = False  # laid out without its text; what is inside may be visible again
 
@@ -116,10 +121,11 @@ def visible_text(html: str) -> str:
         nonlocal flow, hidden, veiled
         while len(open_) > down_to:
             name, was_hidden, was_veiled = open_.pop()
+            depth[name] -= 1
             if not hidden:
                 if name in ("td", "th") and tables and tables[-1][2][0]:
-                    tables[-1][1][-1].append("".join(flow.parts))
-                    tables[-1][2][0] = False
+                    tables[-1][1][-1] += ["".join(flow.parts)] + [""] * (tables[-1][2][0] - 1)
+                    tables[-1][2][0] = 0
                     flow = Flow()
                 elif name == "table" and tables:
                     stray()
@@ -145,7 +151,7 @@ def visible_text(html: str) -> str:
         nonlocal flow, hidden, veiled
         if open_ and open_[-1][0] == "head" and name not in IN_HEAD:
             close(len(open_) - 1)
-        if name in CLOSES_P:
+        if name in CLOSES_P and depth["p"]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == "p":
                     close(k)
@@ -153,7 +159,7 @@ def visible_text(html: str) -> str:
                 if open_[k][0] in ("td", "th", "li", "table", "button", "div", "article", "body"):
                     break
         ends = CLOSED_BY.get(name)
-        if ends:
+        if ends and any(depth[e] for e in ends):
             at = None
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] in BARRIER.get(name, ()):
@@ -166,6 +172,7 @@ def visible_text(html: str) -> str:
         hides = name in UNSEEN or "hidden" in seen or bool(HIDES.search(seen.get("style", ""))) or (name == "dialog" and "open" not in seen)
         if name not in VOID:
             open_.append((name, hidden, veiled))
+            depth[name] += 1
             said = VISIBILITY.findall(seen.get("style", ""))
             veiled = said[-1].lower() in ("hidden", "collapse") if said else veiled
         if hidden or hides:
@@ -175,7 +182,7 @@ def visible_text(html: str) -> str:
             flow.breaks = min(flow.breaks + 1, 2) if flow.parts else 0
             flow.space = False
         elif name == "table":
-            tables.append((flow, [], [False], []))
+            tables.append((flow, [], [0], []))
             flow = Flow()
         elif name == "tr" and tables:
             tables[-1][1].append([])
@@ -183,7 +190,8 @@ def visible_text(html: str) -> str:
             if not tables[-1][1]:
                 tables[-1][1].append([])
             stray()
-            tables[-1][2][0] = True
+            span = seen.get("colspan", "1")
+            tables[-1][2][0] = max(1, min(int(span), MOST_SPAN)) if re.fullmatch("[0-9]{1,4}", span) else 1
             flow = Flow()
         elif name == "li":
             flow.brk(1)
@@ -210,7 +218,7 @@ def visible_text(html: str) -> str:
             close(len(open_) - 1)
         if stop > at and not hidden and not veiled:
             text = unescape(html[at:stop])
-            if any(n == "pre" for n, *_ in open_):
+            if depth["pre"]:
                 flow.verbatim(text)
             else:
                 flow.text(text)
@@ -220,9 +228,9 @@ def visible_text(html: str) -> str:
         if found[2]:
             name = found[2].lower()
             if found[1]:
-                if name == "p" and not any(n == "p" for n, *_ in open_):
+                if name == "p" and not depth["p"]:
                     flow.brk(2)
-                for k in range(len(open_) - 1, -1, -1):
+                for k in range(len(open_) - 1, -1, -1) if depth[name] else ():
                     if open_[k][0] == name:
                         close(k)
                         break
@@ -249,7 +257,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text. Each page is rendered by itself, so nothing is shuffled.
 
-    Null and empty pages give an empty text; broken markup, whatever its depth, is read as far as a browser would and
+    Cells stand in columns as wide as their widest cell of MOST_WIDTH characters or fewer; a cell of several columns is followed by
+    empty ones, and rows that a cell spans downwards are not moved. Null and empty pages give an empty text; broken markup, whatever its depth, is read as far as a browser would and
     never fails; repeated rows give a row each; an empty table gives no rows; other columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))

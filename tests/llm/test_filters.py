@@ -150,3 +150,22 @@ def test_all_words_outside_hidden_parts_stay(spark):
 )
 def test_captions_open_heads_and_visible_parts_stay(page, want):
     assert html_text.visible_text(page) == want
+
+
+def test_deep_and_wide_pages_stay_linear():
+    import time
+
+    began = time.perf_counter()
+    for piece in ("<div>x", "<section>x", "<ul><li>x", "<span>x</b>", "<p>x"):
+        text = html_text.visible_text(piece * (1_000_000 // len(piece)))
+        assert text.count("x") == 1_000_000 // len(piece)
+        assert len(text) < 20_000_000
+    assert time.perf_counter() - began < 60
+    wide = "<table><tr><td>" + "w" * 50_000 + "<td>b" + "<tr><td>a<td>c" * 500 + "</table>"
+    assert len(html_text.visible_text(wide)) < 100_000
+
+
+def test_layout_line_by_line():
+    page = "<h1>T</h1><p>One <b>two</b><ul><li>a<li>b<ol start=3><li>c</ol></ul><table><tr><th>k<th>value<tr><td colspan=2>wide<tr><td>long<td>v</table>end"
+    want = ["T", "", "One two", "", "- a", "- b", "  3. c", "", "k    | value", "wide |", "long | v", "", "end"]
+    assert html_text.visible_text(page).split("\n") == want
