@@ -69,43 +69,55 @@ def _passes(kind: str, value: Column) -> Column:
     return F.length(digits).between(8, 15)
 
 
-def base_spans(text: Column) -> Column:
-    """array<struct<kind, start, end, value>> of the base patterns, in the order of the kinds and then of the starts."""
-    return F.concat(*[_base_of(text, kind) for kind in KINDS])
+def _around(s: Column) -> list[Column]:
+    """The two words before a span, the one before it and the one after it, from the texts between matches, lower-cased."""
+    word, gap, first = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]", r"(?<![^\x20\x09-\x0D])"
+    left = F.regexp_extract(s["gap"], rf"{first}({word}++){gap}*+$", 1)
+    left2 = F.regexp_extract(s["gap"], rf"{first}({word}++){gap}++{word}++{gap}*+$", 1)
+    right = F.regexp_extract(s["next_gap"], rf"^{gap}*+({word}*+)", 1)
+    return [F.lower(left2).alias("before2"), F.lower(left).alias("before"), F.lower(right).alias("after")]
 
 
-def _base_of(text: Column, kind: str) -> Column:
+def matched(text: Column) -> Column:
+    """array<struct<kind, start, end, value, passes, before2, before, after>> of the base patterns' matches, in the order of the kinds and then of the starts."""
+    return F.concat(*[_matches(text, kind) for kind in KINDS])
+
+
+def _matches(text: Column, kind: str) -> Column:
     needed = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, F.lit(True))
     empty = F.expr(f"cast(array() as array<{SPAN}>)")
-    spans = F.filter(F.when(needed, _spans(text, KINDS[kind])).otherwise(empty), lambda s: _passes(kind, s["value"]))
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    spans = F.when(needed, _spans(text, KINDS[kind])).otherwise(empty)
+    if kind == "card":  # a run of fewer digits than a card has is a number and no look-alike of one
+        spans = F.filter(spans, lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 16)
+    return F.transform(
+        spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _passes(kind, s["value"]).alias("passes"), *_around(s))
+    )
+
+
+#: What stands before a secret: a name, then a sign of assignment. Such values of 16 characters or more with letters and digits are seeds of the kind secret.
+SECRET_NAMES = ("apikey", "api_key", "api-key", "key", "password", "passwd", "secret", "token")
 
 
 def shape(value: Column) -> Column:
-    """Letters become a, digits 0, and runs of one class are one sign: what instances of a pattern have in common."""
-    value = F.regexp_replace(value, r"[0-9]+", "0")
-    return F.regexp_replace(value, r"\p{L}+", "a")
+    """The coarse form that instances of a pattern have in common: an address, digits alone, or letters with digits."""
+    return F.when(value.contains("@"), "@").when(value.rlike(r"\p{L}"), "x").otherwise("0")
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, end, value, before, after>>: words of 5 to 64 characters with a digit or @, and their neighbours.
+    """array<struct<start, end, value, before2, before, after>>: words of 5 characters or more with a digit or @, and their neighbours.
 
     start and end leave out punctuation at the word's ends. A neighbour that is a candidate itself counts as none.
     """
-    word = r"[^\x20\x09-\x0D]*+"
     pattern = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
     spans = F.when(text.rlike("[0-9@]"), _spans(text, pattern)).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
 
     def with_context(s: Column) -> Column:
         lead = F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9+(]*+", 0))
         value = F.regexp_extract(s["value"], r"^[^\p{L}0-9+(]*+(.*?)[^\p{L}0-9)]*+$", 1)
-        left = F.regexp_extract(F.right(s["gap"], F.lit(32)), rf"({word})[\x20\x09-\x0D]*$", 1)
-        right = F.regexp_extract(F.left(s["next_gap"], F.lit(32)), rf"^[\x20\x09-\x0D]*({word})", 1)
         start = s["start"] + lead
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lower(left).alias("before"), F.lower(right).alias("after"))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), *_around(s))
 
-    found = F.transform(F.filter(spans, lambda s: F.length(s["value"]).between(5, 64)), with_context)
-    return F.filter(found, lambda c: F.length(c["value"]) >= 5)
+    return F.filter(F.transform(spans, with_context), lambda c: F.length(c["value"]) >= 5)
 
 
 def _pattern_scores(edges: DataFrame, known: DataFrame) -> DataFrame:
@@ -113,17 +125,21 @@ def _pattern_scores(edges: DataFrame, known: DataFrame) -> DataFrame:
     joined = edges.join(known, "instance", "left")
     total = edges.groupBy("pattern").agg(F.count("*").alias("all"))
     hits = joined.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("support"))
-    return hits.join(total, "pattern").select("pattern", "kind", "support", (F.col("mass") / (F.col("all") + 1)).alias("confidence"))
+    return hits.join(total, "pattern").select("pattern", "kind", "support", (F.col("mass") / (F.col("all") + 2)).alias("confidence"))
 
 
-def find(docs: DataFrame, rounds: int = 2, accept: float = 0.5, support: int = 2) -> DataFrame:
+def find(docs: DataFrame, most_rounds: int = 8, accept: float = 0.7, support: int = 5) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of struct<kind, start, end>; spans also has what the bootstrapping adds.
 
-    A candidate is a word with a digit or @. A pattern is the word before it, or the word after it, with the
-    candidate's shape; an instance is a candidate's text. Instances that lie in a base span are seeds of its kind with belief 1.
+    A candidate is a word with a digit or @. Its patterns are the word before it, the two words before it, the words
+    round it, and the word after it, each with the candidate's shape; an instance is a candidate's text. Base spans, of
+    one word or several, are instances too and the seeds of their kinds, with belief 1; so are secrets: values of 16 characters or more with letters and
+    digits after one of SECRET_NAMES and = or :. What looks like a base kind but fails its check (a card number's last
+    digit, say) is a seed of no kind: it counts against its patterns and is never marked.
     Each round scores the patterns over the pattern-instance graph, by the beliefs in their instances, and then believes
-    every instance of the kind that its patterns together say most of (noisy or); a seed keeps its own. After `rounds` rounds the patterns with
-    `support` believed instances and a confidence of `accept` mark all their candidates outside base spans.
+    every instance of the kind that its patterns together say most of (noisy or); a seed keeps its own. The rounds end when no
+    more patterns have `support` believed instances and a confidence of `accept`, or after `most_rounds`. Those patterns mark all
+    their candidates that don't touch a base span.
 
     The graph is built from all documents and has one edge for each distinct pair; a hot pattern is one key of an
     aggregation with partial sums. Null texts count as empty and have no spans; null and repeated ids give a row each;
@@ -131,36 +147,44 @@ def find(docs: DataFrame, rounds: int = 2, accept: float = 0.5, support: int = 2
     """
     text = F.col("text")
     rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = spill(rows.select("doc_id", "row", base_spans(text).alias("base"), candidates(text).alias("candidates")), "spans")
-    found = rows.select("row", "base", F.explode("candidates").alias("c")).select(
-        "row",
-        F.col("c.start").alias("start"),
-        F.col("c.end").alias("end"),
-        F.lower("c.value").alias("instance"),
-        F.array_distinct(F.array(F.concat_ws(" ", F.lit("L"), "c.before", shape(F.col("c.value"))), F.concat_ws(" ", F.lit("R"), shape(F.col("c.value")), "c.after"))).alias("patterns"),
-        F.expr("get(filter(base, b -> b.start < c.end AND c.start < b.end), 0).kind").alias("seed"),
-    )
-    found = spill(found, "candidates")
+    rows = spill(rows.select("doc_id", "row", matched(text).alias("matched"), candidates(text).alias("candidates")), "spans")
+    rows = rows.select("doc_id", "row", "matched", "candidates", F.expr("transform(filter(matched, m -> m.passes), m -> struct(m.kind AS kind, m.start AS start, m.end AS end))").alias("base"))
+    c, form = F.col("c"), shape(F.col("value"))
+    secret = F.col("c.before2").isin(*SECRET_NAMES) & F.col("c.before").isin("=", ":") & (F.length("c.value") >= 16) & c["value"].rlike("[0-9]") & c["value"].rlike(r"\p{L}")
+    touches = "exists(matched, m -> {} m.passes AND m.start < c.end AND c.start < m.end)"
+    words = rows.select("row", "matched", F.explode("candidates").alias("c")).where("NOT " + touches.format(""))
+    seed = F.when(F.expr(touches.format("NOT")), F.lit("no")).when(secret, F.lit("secret"))
+    whole = rows.select("row", F.explode("matched").alias("c")).where("c.passes")
+    fields = ["row", "c.start", "c.end", "c.value", "c.before2", "c.before", "c.after"]
+    found = words.select(*fields, seed.alias("seed")).unionByName(whole.select(*fields, F.col("c.kind").alias("seed")))
+    patterns = [("L", "before", "form"), ("LL", "before2", "before", "form"), ("LR", "before", "form", "after"), ("R", "form", "after")]
+    patterns = F.array_distinct(F.array(*[F.concat_ws(" ", F.lit(name), *parts) for name, *parts in patterns]))
+    found = spill(found.withColumn("form", form).select("row", "start", "end", F.lower("value").alias("instance"), patterns.alias("patterns"), "seed"), "candidates")
     edges = spill(found.select("instance", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = spill(found.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct(), "seeds")
-    known = seeds
-    for _ in range(rounds):
+    known, accepted = seeds, -1
+    for _ in range(most_rounds):
         scores = spill(_pattern_scores(edges, known).where(F.col("support") >= support), "patterns")
+        now = scores.where(F.col("confidence") >= accept).count()
+        if now == accepted:
+            break
+        accepted = now
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         believed = edges.join(scores, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
         both = seeds.unionByName(believed.select("instance", "kind", "belief"))
         known = spill(both.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("best")).select("instance", "best.kind", "best.belief"), "beliefs")
-    best = scores.where(F.col("confidence") >= accept).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
+    best = scores.where((F.col("confidence") >= accept) & (F.col("kind") != "no")).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
     marked = found.where("seed IS NULL").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(best, "pattern")
     marked = marked.groupBy("row", "start", "end").agg(F.max("best")["kind"].alias("kind"))
+    marked = marked.unionByName(found.where("seed = 'secret'").select("row", "start", "end", F.col("seed").alias("kind")))
     added = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
-    base = F.expr("transform(base, b -> struct(b.kind AS kind, b.start AS start, b.end AS end))")
-    rank = {k: i for i, k in enumerate(KINDS)}
+    base = F.col("base")
+    rank = {k: i for i, k in enumerate([*KINDS, "secret"])}
     order = F.create_map(*[F.lit(x) for pair in rank.items() for x in pair])
     spans = F.concat(base, F.coalesce("added", F.expr("cast(array() as array<struct<kind: string, start: int, end: int>>)")))
     ranked = F.array_sort(F.transform(spans, lambda s: F.struct(order[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return rows.join(added, "row", "left").select("doc_id", base.alias("base"), spans.alias("spans"))
+    return rows.join(added, "row", "left").select("doc_id", "base", spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -175,4 +199,4 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     counts = [count(kind) for kind in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"))
