@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -218,6 +220,20 @@ def drop_overlapping_markers(detections: DataFrame) -> DataFrame:
     return detections.where("NOT is_marker").unionByName(markers)
 
 
+def normalize_detections(detections: DataFrame, *passes: Callable[[DataFrame], DataFrame], trace: dict[str, Observation] | None = None) -> DataFrame:
+    """the passes in sequence, each over the rows that the one before it left; none leaves the rows as they are.
+
+    A trace gets, by place and name of a pass, an observation whose `rows` counts what the pass left, once an action has run.
+    """
+    for place, step in enumerate(passes):
+        detections = detections.transform(step)
+        if trace is not None:
+            name = f"{place:02d}_{getattr(step, '__name__', type(step).__name__)}"
+            trace[name] = Observation(name)
+            detections = detections.observe(trace[name], F.count(F.lit(1)).alias("rows"))
+    return detections
+
+
 def nearest_lines(prices: DataFrame, lines: DataFrame, tolerance: float = 0.02, reach: float = 0.08) -> DataFrame:
     """price_id and line_id: each price's nearest line and each line's nearest price, where both choose each other.
 

@@ -31,6 +31,12 @@ def next_stage(stages: DataFrame, stage: str, actor: str, pass_name: str) -> Dat
     return last.select(*[changed.get(n, F.col(n)).alias(n) for n in names])
 
 
+def unique_names(names: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
+    """The first row of a name, by key, keeps it; the next ones get _1, _2 and so on. Null names stay null."""
+    n = F.row_number().over(Window.partitionBy(name).orderBy(key)) - 1
+    return names.withColumn(name, F.when(n > 0, F.concat(F.col(name), F.lit("_"), n.cast("string"))).otherwise(F.col(name)))
+
+
 def review_text(document: Column, path: str) -> Column:
     return F.get_json_object(document, path)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,10 +95,7 @@ def j11_tiered_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j12_reserved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy by a total order; tests hold it against a plain loop."""
     if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(V.shared_folder(spark, "reserve"))
     return M.reserve_matches(M.match_receipts(*_sides(spark, sf_dir), keys=OWNER).withColumn("confidence", F.round("confidence", 9)))
 
 

@@ -64,15 +64,7 @@ def p19_chain_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = S.receipt_chain_name(
         F.when(key % 5 > 0, F.col("o_orderdate")), F.when(key % 7 > 0, F.col("o_orderpriority")), F.when(key % 3 > 0, F.col("o_totalprice").cast("decimal(18,2)")), F.lpad(key.cast("string"), 8, "0")
     )
-    return receipts_unique(V.table(spark, sf_dir, "orders").select(key.alias("id"), name.alias("name")))
-
-
-def receipts_unique(names: DataFrame) -> DataFrame:
-    """A name met again gets _1, _2 and so on."""
-    from pyspark.sql.window import Window
-
-    n = F.row_number().over(Window.partitionBy("name").orderBy("id")) - 1
-    return names.withColumn("n", n).select("id", F.concat("name", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise("")).alias("name"))
+    return review.unique_names(V.table(spark, sf_dir, "orders").select(key.alias("id"), name.alias("name")))
 
 
 @register(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Where it is unset, a local master gets a folder of its own; a cluster has to name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tallyforge/{tag}-{uuid.uuid4().hex}"
+
+
 MERCHANT_RULES = [
     (0, 0, ["RED", "HOT PLATE"], "Expenses:Red"),
     (0, 1, ["WIDGET", "GIZMO"], "Expenses:Gadgets"),

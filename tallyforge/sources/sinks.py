@@ -32,8 +32,11 @@ def output_partition(account: Column, start: Column, end: Column) -> Column:
 
 
 def write_import(rows: DataFrame, path: str, account: str = "account", statement: str = "stmt") -> None:
-    """K4: a partition for each account and statement; importing one again replaces it and leaves the others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(account, statement).parquet(path)
+    """K4: a partition for each account and statement; importing one again replaces it and leaves the others.
+
+    Rows are dealt by partition first, so that each gets few files; the rebalance splits a partition that is too large for a task.
+    """
+    rows.hint("rebalance", F.col(account), F.col(statement)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(account, statement).parquet(path)
 
 
 def write_stage(stages: DataFrame, path: str) -> None:

@@ -13,12 +13,12 @@ from tallyforge.operators.rules import MOST_BROADCAST, small_enough
 
 
 def read_statement(spark: SparkSession, path: str, skip_rows: int = 0, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """src_file, row_idx and fields of each row below the preamble and header.
+    """src_file (the whole path, since folders may hold files of one name), row_idx and fields of each row below the preamble and header.
 
     A file is small and stays in one task, which keeps its line numbers; lines with an odd number of quotes, which begin or end a
     field of several lines, come with null fields.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("src_file"), F.decode("content", encoding).alias("text"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("src_file"), F.decode("content", encoding).alias("text"))
     return split_statement(files, skip_rows, header)
 
 
@@ -29,6 +29,11 @@ def split_statement(files: DataFrame, skip_rows: int = 0, header: bool = True) -
     return kept.select("src_file", F.col("row_idx").cast("bigint").alias("row_idx"), "line", csv_fields(F.col("line")).alias("fields"))
 
 
+def file_name(path: Column) -> Column:
+    """The last part of a path."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def csv_fields(line: Column) -> Column:
     """Fields of one line of CSV: commas within quotes don't part, doubled quotes stand for one. Null where quotes don't pair."""
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
@@ -90,7 +95,7 @@ def normalize_amex(rows: DataFrame, account: str) -> DataFrame:
 
 def normalize_bmo(rows: DataFrame, account: str, other: str | None = None) -> DataFrame:
     """S3: a file porter.csv is of the other account."""
-    own = F.when((F.col("src_file") == "porter.csv") & F.lit(other).isNotNull(), F.lit(other)).otherwise(F.lit(account))
+    own = F.when((file_name(F.col("src_file")) == "porter.csv") & F.lit(other).isNotNull(), F.lit(other)).otherwise(F.lit(account))
     return _card(rows, BMO, strict_amount(_at("fields", BMO.amount)), own)
 
 
@@ -99,7 +104,7 @@ def normalize_cibc(rows: DataFrame, account: str, simplii: str) -> DataFrame:
     text, debit = _at("fields", CIBC.date), _at("fields", CIBC.amount)
     day = F.when(text.contains("/"), parse_date(text, "M/d/yyyy")).otherwise(parse_date(text, "yyyy-MM-dd"))
     keep = (F.coalesce(debit, F.lit("")) != "") & (F.upper(text) != "DATE")
-    own = F.when(F.upper("src_file").contains("SIMPLII"), F.lit(simplii)).otherwise(F.lit(account))
+    own = F.when(F.upper(file_name(F.col("src_file"))).contains("SIMPLII"), F.lit(simplii)).otherwise(F.lit(account))
     return _card(rows, CIBC, strict_amount(debit), own, keep, day)
 
 

@@ -23,7 +23,7 @@ def import_files(files: DataFrame, normalise: Callable[[DataFrame], DataFrame],
 
 def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True) -> None:
     """Reads the files that have come since the last call, by the same functions as the batch form; a statement's partition is replaced when it comes again under a new name."""
-    stream = spark.readStream.text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("src_file"), F.col("value").alias("text"))
+    stream = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("src_file"), F.col("value").alias("text"))
 
     def each(batch: DataFrame, number: int) -> None:
         good, bad = import_files(batch, normalise, rules, skip_rows, header)

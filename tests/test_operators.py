@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import datetime as dt
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.operators import accounts, matching, receipts, review, rules
-from tallyforge.sources import documents, sinks, statements
+from tallyforge.sources import documents, rule_files, sinks, statements
 from tallyforge.streaming.ingest import ingest_statements
 
 D, day = Decimal, dt.date
@@ -224,6 +225,43 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(f"{out}/rejects").count() == 1
 
 
+def test_files_of_one_name_in_two_folders_are_two_statements(spark, tmp_path):
+    table = spark.createDataFrame([(0, 0, ["TEA"], "Expenses:Tea")], "layer int, ord int, keywords array<string>, category string")
+    for month in (1, 2):
+        (tmp_path / f"in/month={month}").mkdir(parents=True)
+        (tmp_path / f"in/month={month}/statement.csv").write_text(f"Date,Description,Amount\n05 {'JanFeb'[3 * month - 3 : 3 * month]} 2024,tea,4.00\n")
+    ingest_statements(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", lambda r: statements.normalize_amex(r, "L:Amex"), table)
+    assert sorted(r.stmt for r in spark.read.parquet(f"{tmp_path}/out/transactions").collect()) == ["l_amex_0105_0105", "l_amex_0205_0205"]
+
+
+def test_rule_files_are_layers(spark, tmp_path):
+    own, public, items = (str(tmp_path / n) for n in ("own.toml", "public.toml", "items.toml"))
+    Path(own).write_text('[[rules]]\nkeywords = ["tea", "Tea House"]\ncategory = "Expenses:Own"\n\n[[rules]]\ncategory = "Expenses:Nothing"\n')
+    Path(public).write_text('[[rules]]\nkeywords = ["TEA"]\ncategory = "Expenses:Public"\n[[families]]\ncanonical = "Shop"\naliases = ["SHP"]\n[accounts]\na = "X"\nb = "Y"\n')
+    layers = rule_files.read_layers(spark, own, str(tmp_path / "absent.toml"), public)
+    rows = sorted((r.layer, r.ord, r.keywords, r.category) for r in rule_files.merchant_rules(layers).collect())
+    assert rows == [(0, 0, ["TEA", "TEA HOUSE"], "Expenses:Own"), (0, 1, [], "Expenses:Nothing"), (2, 0, ["TEA"], "Expenses:Public")]
+    assert [tuple(r) for r in rule_files.families(layers).collect()] == [(2, 0, "Shop", ["SHP"])]
+    assert sorted((r.key, r.account) for r in rule_files.category_accounts(layers).collect()) == [("a", "X"), ("b", "Y")]
+    Path(items).write_text('exact_only_keywords = ["ham"]\n[[rules]]\nkeywords = ["HAM", "EGG"]\ncategory = "food"\n[[rules]]\nkeywords = ["OIL"]\ntags = ["t"]\npriority = 2\nexact_only = true\n')
+    found = sorted((r.ord, r.keywords, r.category, r.tags, r.priority, r.exact_only) for r in rule_files.item_rules(rule_files.read_layers(spark, items)).collect())
+    assert found == [(0, ["EGG"], "food", [], 0, False), (0, ["HAM"], "food", [], 0, True), (1, ["OIL"], None, ["t"], 2, True)]
+    assert rule_files.merchant_rules(rule_files.read_layers(spark, str(tmp_path / "absent.toml"))).count() == 0
+
+
+def test_passes_run_in_order_and_leave_a_trace(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "x int")
+    trace = {}
+
+    def odd(df):
+        return df.where("x % 2 = 1")
+
+    found = receipts.normalize_detections(rows, odd, lambda df: df.withColumn("x", F.col("x") * 2), odd, trace=trace)
+    assert found.collect() == []
+    assert [(name, seen.get["rows"]) for name, seen in trace.items()] == [("00_odd", 2), ("01_<lambda>", 2), ("02_odd", 0)]
+    assert receipts.normalize_detections(rows) is rows
+
+
 def test_receipts_without_total_are_turned_down(spark):
     r = spark.createDataFrame([(1, D("10"), "L:Card"), (2, None, "L:Card")], "receipt_id int, total decimal(18,4), payment_account string")
     items = spark.createDataFrame([(1, 0, None, D("4")), (1, 1, "E:X", D("6"))], "receipt_id int, pos int, account string, price decimal(18,4)")
