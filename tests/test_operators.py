@@ -276,3 +276,26 @@ def test_receipts_without_total_are_turned_down(spark):
 def test_match_join_is_no_cartesian_product(spark):
     plan = matching.match_receipts(*linked(spark, [(13, day(2024, 3, 10), "DELI", D("441.68"))]))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
+
+
+def test_account_globs_beyond_the_broadcast_limit(spark, monkeypatch):
+    names = ["A:B:1", "A:B:2", "A:C", "AB:B:1", "A", "A::x", ".:B:1"]
+    globs = ["A:B:*", "A:B:1", "*:1", "A*", "A:[BC]*", "A::?", ".:B:*", "nothing:*", "A"]
+    every = spark.createDataFrame([(n,) for n in names], "account string")
+    table = spark.createDataFrame([(g, [g]) for g in globs] + [("two", ["A:C", "A:B:?"])], "pattern string, account_globs array<string>")
+    run = lambda: {r.pattern: r.accounts for r in accounts.pattern_accounts(table, "pattern", every).collect()}
+    few = run()
+    assert few["A:B:*"] == ["A:B:1", "A:B:2"] and few["*:1"] == [".:B:1", "A:B:1", "AB:B:1"] and few["nothing:*"] == [] and few["two"] == ["A:B:1", "A:B:2", "A:C"]
+    monkeypatch.setattr(rules, "MOST_BROADCAST", 0)
+    assert run() == few
+
+
+def test_suggestions_come_from_the_nearest_level_with_another_account(spark):
+    """An unknown account that is listed itself doesn't make its own level count."""
+    names = ["X:Y:Z", "X:Q:R", "X:Q:S", "W:V"]
+    every = spark.createDataFrame([(n,) for n in names], "account string")
+    unknown = spark.createDataFrame([("X:Y:Z",), ("X:Q:T",), ("W",), ("N:M",)], "unknown string")
+    found = {}
+    for r in accounts.suggest_accounts(unknown, every).collect():
+        found.setdefault(r.unknown, {})[r["rank"]] = r.account
+    assert found == {"X:Y:Z": {1: "X:Q:R", 2: "X:Q:S"}, "X:Q:T": {1: "X:Q:R", 2: "X:Q:S"}, "W": {1: "W:V"}}
