@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.shared import SPACE, addressed, held, scratch, spill, stable, text_of, without
+from tallyforge.llm.shared import SPACE, addressed, held, is_scan, scratch, spill, stable, text_of, without, written
 from tallyforge.llm.url_filter import bloom_blocks, bloom_filter, probed
 
 ROCKSDB = {
@@ -29,9 +29,12 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def _first_seen(spark: SparkSession, digests: DataFrame, path: str, files_per_batch: int | None) -> DataFrame:
-    """Streams the digest table in `path` through keyed state; (digest, first, group_size) as the state holds them at the end."""
-    out, checkpoint = scratch(spark, "first-seen"), scratch(spark, "state")
+SEEN = "digest binary, first struct<no_id boolean, doc_id bigint, at_file bigint, at_row bigint>, group_size bigint"
+
+
+def _first_seen(spark: SparkSession, digests: DataFrame, folder: str, files_per_batch: int | None) -> DataFrame:
+    """Streams what is new in the digest table of `folder` through keyed state; (digest, first, group_size) as the state holds them at the end."""
+    path, out, checkpoint = f"{folder}/digests", f"{folder}/first-seen", f"{folder}/state"
     reader = spark.readStream.schema(digests.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -41,18 +44,25 @@ def _first_seen(spark: SparkSession, digests: DataFrame, path: str, files_per_ba
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
+    spark.createDataFrame([], SEEN).write.mode("overwrite").parquet(f"{out}/batch=-1")  # so that there is a table even where nothing comes
     with held(spark, ROCKSDB):
         query = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start()
         query.awaitTermination()
-    schema = "digest binary, first struct<no_id boolean, doc_id bigint, at_file bigint, at_row bigint>, group_size bigint, batch int"
-    if not query.recentProgress and query.lastProgress is None:
-        return spark.createDataFrame([], schema).drop("batch")
-    last = spark.read.schema(schema).parquet(out)
+    last = spark.read.schema(f"{SEEN}, batch int").parquet(out)
     latest = last.groupBy("digest").agg(F.max_by(F.struct("first", "group_size"), "batch").alias("held")).select("digest", "held.*")
     return spill(latest, "held")  # a plain table, so that a join with it can split a hot digest
 
 
-def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None) -> DataFrame:
+def _digests(spark: SparkSession, rows: DataFrame, digest, folder: str, known: DataFrame | None) -> DataFrame:
+    """The digest table in `folder` after the rows of files that it doesn't have yet are added."""
+    if known is not None:
+        rows = rows.join(known.select("at_file").distinct(), "at_file", "left_anti")
+    found = rows.select("doc_id", "at_file", "at_row", digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
+    found.write.mode("append").option("compression", "zstd").parquet(f"{folder}/digests")
+    return spark.read.schema(found.schema).parquet(f"{folder}/digests")
+
+
+def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | None = None, state: str | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 and its address at_file, at_row.
 
     Texts are equal when identical after each run of white space is replaced by one space. Of equal texts the row with the
@@ -60,14 +70,18 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
     each group stays whatever repeats. A null text counts as empty; an empty table gives no rows; columns other than
     doc_id and text are not read. digest may be any function of the normalised text: rows whose digests agree are compared
     by their full bytes, and where these differ the group is dealt again by the bytes themselves.
+
+    `state` is a folder that all executors share and that keeps the stream's state from call to call: `docs` is then a table of files that
+    grows by whole files; a call hashes and streams only those that came since the last one, and judges all rows. Without it
+    each call starts from nothing.
     """
     spark = docs.sparkSession
+    if state and not is_scan(docs):
+        raise ValueError("a kept state needs a table of files, whose rows have lasting addresses")
+    folder = state or scratch(spark, "exact")
     rows = addressed(docs, "doc_id", "text").withColumn("norm", normalised(text_of()))
-    digests = rows.select("doc_id", "at_file", "at_row", digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
-    path = scratch(spark, "digests")
-    digests.write.option("compression", "zstd").parquet(path)
-    digests = spark.read.schema(digests.schema).parquet(path)
-    seen = _first_seen(spark, digests.select("doc_id", "at_file", "at_row", "digest", "text_sha256"), path, files_per_batch)
+    digests = _digests(spark, rows, digest, folder, written(spark, f"{folder}/digests", "at_file bigint") if state else None)
+    seen = _first_seen(spark, digests, folder, files_per_batch)
 
     def judged(found: DataFrame) -> DataFrame:
         return found.select(

@@ -59,15 +59,28 @@ def discard(*tables: DataFrame) -> None:
         where.delete_dir(path)
 
 
-def stable(docs: DataFrame) -> DataFrame:
-    """The table itself if it is a plain scan of files, whose rows have lasting addresses; else a copy in the shared folder."""
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table in a folder, or None if there is no such folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return None
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether a table is a plain scan of files, whose rows have lasting addresses."""
     if docs._jdf.queryExecution().analyzed().children().isEmpty():
         try:
             docs.select(docs.metadataColumn("_metadata")["row_index"])
-            return docs
+            return True
         except AnalysisException:
             pass
-    return spill(docs, "rows")
+    return False
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """The table itself if it is a plain scan of files; else a copy in the shared folder."""
+    return docs if is_scan(docs) else spill(docs, "rows")
 
 
 def own(name: str):

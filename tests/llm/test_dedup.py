@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +55,21 @@ def test_exact_dedup_compares_bytes_where_digests_clash(spark, tmp_path):
     assert sorted((r.doc_id or -1, r.group_size, r.kept) for r in found) == sorted((r.doc_id or -1, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect())
 
 
+def test_a_kept_state_takes_further_deliveries(spark, tmp_path):
+    path, state = str(tmp_path / "documents.parquet"), f"file://{tmp_path}/kept"
+    judged = lambda found: Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found.collect())
+    for rows in (ROWS, [(0, "a b"), (12, "new"), (13, "new")], []):
+        if rows:
+            spark.createDataFrame([(i, t, "en", "s", None, "clash", "clash", 1) for i, t in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+        docs = spark.read.parquet(path)
+        assert judged(exact_dedup.exact_dedup(docs, state=state)) == judged(exact_dedup.exact_dedup(docs))
+    assert spark.read.parquet(f"{state}/digests").count() == len(ROWS) + 3
+    updates = spark.read.parquet(f"{state}/first-seen").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in updates} == {0: len(brute_groups(ROWS)), 1: 2}
+    with pytest.raises(ValueError, match="table of files"):
+        exact_dedup.exact_dedup(docs.where("doc_id > 1"), state=state)
+
+
 def test_drop_copies_keeps_columns(spark, tmp_path):
     docs = table(spark, tmp_path, ROWS)
     left = exact_dedup.drop_copies(docs)
