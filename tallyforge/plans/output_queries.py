@@ -70,16 +70,23 @@ def f4_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "k4_replaced_imports",
-    f"""WITH {V.TXN_SQL} SELECT strftime(txn_date, '%Y%m') AS stmt, count(*) AS n, CAST(sum(amount + CASE WHEN month(txn_date) <= 6 THEN 0 ELSE 1 END) AS DECIMAL(38,4)) AS total FROM txn GROUP BY 1""",
+    f"""WITH {V.TXN_SQL}, s AS (SELECT strftime(txn_date, '%Y') AS year, strftime(txn_date, '%m') AS m, txn_date, amount FROM txn),
+e AS (SELECT year, m, 'card_' || strftime(min(txn_date), '%m%d') || '_' || strftime(max(txn_date), '%m%d') AS stmt FROM s GROUP BY 1, 2)
+SELECT year, stmt, count(*) AS n, CAST(sum(amount + CASE WHEN m <= '06' THEN 0 ELSE 1 END) AS DECIMAL(38,4)) AS total FROM s JOIN e USING (year, m) GROUP BY 1, 2""",
 )
 def k4_replaced_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K4: statements of a month each, one too high in every row; then those of the first half of each year again, corrected."""
+    """K3 and K4: statements of a month each, one too high in every row; then those of the first half of each year again, corrected. The same days of two years are two statements."""
     path = V.shared_folder(spark, "imports")
-    rows = V.txns(spark, sf_dir).select(F.lit("Card").alias("account"), F.date_format("txn_date", "yyyyMM").alias("stmt"), "amount")
+    month = F.date_format("txn_date", "yyyyMM").alias("month")
+    rows = V.txns(spark, sf_dir).select(F.lit("Card").alias("account"), month, "txn_date", "amount")
+    start, end = F.col("start"), F.col("end")
+    ranges = rows.groupBy("month").agg(F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
+    named = ranges.select("month", sinks.statement_year(start, end).alias("year"), sinks.output_partition(F.lit("Card"), start, end).alias("stmt"))
+    rows = rows.join(named, "month").select("account", "year", "stmt", "month", "amount")
     sinks.write_import(rows.withColumn("amount", (F.col("amount") + 1).cast("decimal(18,4)")), path)
-    sinks.write_import(rows.where("right(stmt, 2) <= '06'"), path)
-    read = spark.read.schema("amount decimal(18,4), account string, stmt string").parquet(path)
-    return read.groupBy("stmt").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("total"))
+    sinks.write_import(rows.where("right(month, 2) <= '06'"), path)
+    read = spark.read.schema("amount decimal(18,4), account string, year string, stmt string").parquet(path)
+    return read.groupBy("year", "stmt").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("total"))
 
 
 @register("k7_appended_stages", "SELECT conv_id AS receipt_id, max(turn) + 1 AS stage_index, count(DISTINCT turn) + 1 AS stages FROM conversations GROUP BY 1")
@@ -93,27 +100,47 @@ def k7_appended_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("receipt_id").agg(F.max("stage_index").alias("stage_index"), F.count("*").alias("stages"))
 
 
-@register(
-    "t1_ingested_statements",
-    f"""WITH {V.TXN_SQL}, s AS (SELECT strftime(txn_date, '%Y%m') AS m, txn_date, CAST(CAST(abs(amount) + CASE WHEN month(txn_date) <= 6 THEN 0 ELSE 1 END AS DECIMAL(18,2)) AS DECIMAL(18,4)) AS x FROM txn),
-e AS (SELECT m, 'assets_card_' || strftime(min(txn_date), '%m%d') || '_' || strftime(max(txn_date), '%m%d') AS stmt FROM s GROUP BY 1)
-SELECT stmt, count(*) AS n, sum(x) AS total FROM s JOIN e USING (m) GROUP BY 1""",
-)
+#: Statements of a month each, with what the file in force adds to each amount.
+STATEMENT_SQL = f"""{V.TXN_SQL}, s AS (SELECT strftime(txn_date, '%Y') AS year, strftime(txn_date, '%m') AS m, txn_date, abs(amount) AS x FROM txn),
+e AS (SELECT year, m, 'assets_card_' || strftime(min(txn_date), '%m%d') || '_' || strftime(max(txn_date), '%m%d') AS stmt FROM s GROUP BY 1, 2)"""
+
+
+def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.txns(spark, sf_dir).select(F.date_format("txn_date", "yyyyMM").alias("month"), "txn_date", "merchant", F.abs("amount").alias("amount"))
+
+
+def _deliver(delivery: DataFrame, folder: str) -> None:
+    """A file for each month, each in a folder of its own."""
+    line = F.concat_ws(",", F.date_format("txn_date", "d MMM yyyy"), F.concat(F.lit('"'), "merchant", F.lit('"')), F.col("amount").cast("decimal(18,2)").cast("string"))
+    delivery.select("month", line.alias("line")).repartition("month").write.mode("append").partitionBy("month").text(folder)
+
+
+def _ingested(spark: SparkSession, base: str) -> DataFrame:
+    """Takes what has come and sums what is there, by statement."""
+    ingest_statements(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", lambda r: T.normalize_amex(r, "Assets:Card"), V.merchant_rules(spark), header=False)
+    read = spark.read.schema("src_file string, amount decimal(18,4), account string, year string, stmt string").parquet(f"{base}/out/transactions")
+    return read.groupBy("year", "stmt").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("total"), F.count_distinct("src_file").alias("files"))
+
+
+def _total(added: str) -> str:
+    return f"WITH {STATEMENT_SQL} SELECT year, stmt, count(*) AS n, sum(CAST(CAST(x + {added} AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS total, 1 AS files FROM s JOIN e USING (year, m) GROUP BY 1, 2"
+
+
+@register("t1_ingested_statements", _total("CASE WHEN m <= '06' THEN 0 ELSE 1 END"))
 def t1_ingested_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each month arrives, then corrected ones for the first half of each year; a third call finds nothing new."""
-    base = V.shared_folder(spark, "ingest")
-    rows = V.txns(spark, sf_dir).select(F.date_format("txn_date", "yyyyMM").alias("month"), "txn_date", "merchant", F.abs("amount").alias("amount"))
-
-    def deliver(delivery: DataFrame) -> None:
-        line = F.concat_ws(",", F.date_format("txn_date", "d MMM yyyy"), F.concat(F.lit('"'), "merchant", F.lit('"')), F.col("amount").cast("decimal(18,2)").cast("string"))
-        delivery.select("month", line.alias("line")).repartition("month").write.mode("append").partitionBy("month").text(f"{base}/in")
-
-    def ingest() -> None:
-        ingest_statements(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", lambda r: T.normalize_amex(r, "Assets:Card"), V.merchant_rules(spark), header=False)
-
-    deliver(rows.withColumn("amount", F.col("amount") + 1))
-    ingest()
-    deliver(rows.where("right(month, 2) <= '06'"))
-    ingest()
-    ingest()
-    return spark.read.parquet(f"{base}/out/transactions").groupBy("stmt").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("total"))
+    base, rows = V.shared_folder(spark, "ingest"), _monthly(spark, sf_dir)
+    _deliver(rows.withColumn("amount", F.col("amount") + 1), f"{base}/in")
+    _ingested(spark, base)
+    _deliver(rows.where("right(month, 2) <= '06'"), f"{base}/in")
+    _ingested(spark, base)
+    return _ingested(spark, base)
+
+
+@register("t1_versions_in_one_batch", _total("CASE WHEN m IN ('02', '05') THEN 2 ELSE 1 END"))
+def t1_versions_in_one_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two exports of every month wait in the folder when it is read; for two months of each year a third one has come since. Each statement is the last one's rows."""
+    base, rows = V.shared_folder(spark, "ingest"), _monthly(spark, sf_dir)
+    for added, own in ((3, rows), (1, rows), (2, rows.where("right(month, 2) IN ('02', '05')"))):
+        _deliver(own.withColumn("amount", F.col("amount") + added), f"{base}/in")
+    return _ingested(spark, base)

@@ -31,12 +31,20 @@ def output_partition(account: Column, start: Column, end: Column) -> Column:
     return F.lower(F.concat_ws("_", F.replace(account, F.lit(":"), F.lit("_")), F.date_format(start, "MMdd"), F.date_format(end, "MMdd")))
 
 
-def write_import(rows: DataFrame, path: str, account: str = "account", statement: str = "stmt") -> None:
-    """K4: a partition for each account and statement; importing one again replaces it and leaves the others.
+def statement_year(start: Column, end: Column) -> Column:
+    """The year of a statement, both where its range crosses into another: with K3's name it tells any two ranges apart."""
+    first, last = F.date_format(start, "yyyy"), F.date_format(end, "yyyy")
+    return F.when(first == last, first).otherwise(F.concat_ws("_", first, last))
 
-    Rows are dealt by partition first, so that each gets few files; the rebalance splits a partition that is too large for a task.
+
+def write_import(rows: DataFrame, path: str, account: str = "account", year: str = "year", statement: str = "stmt") -> None:
+    """K4: a partition for each account, year and statement; importing one again replaces it and leaves the others.
+
+    The same days of another year are another statement. Rows are dealt by partition first, so that each gets few files; the
+    rebalance splits a partition that is too large for a task.
     """
-    rows.hint("rebalance", F.col(account), F.col(statement)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(account, statement).parquet(path)
+    keys = [account, year, statement]
+    rows.hint("rebalance", *map(F.col, keys)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def write_stage(stages: DataFrame, path: str) -> None:

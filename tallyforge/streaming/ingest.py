@@ -1,33 +1,81 @@
-"""Statements that arrive in a folder are normalised, categorised and written once."""
+"""Statements that arrive in a folder are normalised, categorised and written once; of several versions of a statement the newest stays."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.operators.rules import categorize
-from tallyforge.sources.sinks import output_partition, write_import
+from tallyforge.sources.sinks import output_partition, statement_year, write_import
 from tallyforge.sources.statements import rejects, split_statement
 
+#: What tells a statement from any other: its account and the days of its range.
+STATEMENT = ["account", "year", "stmt"]
+VERSIONS = "account string, year string, stmt string, src_file string, modified timestamp, batch bigint"
+
 
 def import_files(files: DataFrame, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Batch form: categorised rows with their statement's partition, and the rejected rows, of files (src_file, text)."""
+    """Batch form: categorised rows with their statement's account, year and stmt, and the rejected rows, of files (src_file, text)."""
     good, bad = rejects(normalise(split_statement(files, skip_rows, header)))
-    own = Window.partitionBy("src_file", "account")
-    dated = categorize(good, rules).withColumn("stmt", output_partition(F.col("account"), F.min("txn_date").over(own), F.max("txn_date").over(own)))
-    return dated, bad
+    ranges = good.groupBy("src_file", "account").agg(F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
+    named = ranges.select("src_file", "account", statement_year(F.col("start"), F.col("end")).alias("year"), output_partition(F.col("account"), F.col("start"), F.col("end")).alias("stmt"))
+    return categorize(good, rules).join(named, ["src_file", "account"]), bad
+
+
+def statement_versions(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(account, year, stmt, src_file, modified): a row for each file that holds a statement, of imported rows and files (src_file, modified)."""
+    return rows.select(*STATEMENT, "src_file").distinct().join(files.select("src_file", "modified"), "src_file").select(*STATEMENT, "src_file", "modified")
+
+
+def latest_versions(versions: DataFrame) -> DataFrame:
+    """The version of each statement that was modified last; of equal times the one whose path comes last."""
+    newest = Window.partitionBy(*STATEMENT).orderBy(F.desc("modified"), F.desc("src_file"))
+    return versions.withColumn("__place", F.row_number().over(newest)).where("__place = 1").drop("__place")
+
+
+def replaceable(versions: DataFrame, known: DataFrame) -> DataFrame:
+    """Of newly come versions those to be written: the latest of each statement, unless a known one was modified later.
+
+    A file that comes again, or another of the same time, replaces what is there; known (account, year, stmt, modified).
+    """
+    before = known.groupBy(*STATEMENT).agg(F.max("modified").alias("__before"))
+    joined = latest_versions(versions).join(before, STATEMENT, "left")
+    return joined.where("__before IS NULL OR __before <= modified").drop("__before")
+
+
+def _known(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(VERSIONS).parquet(path)
+    except AnalysisException:  # nothing has been imported yet
+        return spark.createDataFrame([], VERSIONS)
 
 
 def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True) -> None:
-    """Reads the files that have come since the last call, by the same functions as the batch form; a statement's partition is replaced when it comes again under a new name."""
-    stream = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("src_file"), F.col("value").alias("text"))
+    """Reads the files that have come since the last call, by the same functions as the batch form.
+
+    A statement is an account and a range of days. When it comes again under a new name its partition is replaced, once: of several
+    versions in a batch the file modified last is written, and none that is older than what an earlier batch wrote. Which file
+    each partition is from is kept in `versions`, a row per statement and batch; a batch that is run again reads only the other
+    batches' rows, so it decides as before. `transactions` has the rows, `rejects` what could not be read.
+    """
+    stream = spark.readStream.text(folder, wholetext=True).select(
+        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text")
+    )
+
+    def replace(rows: DataFrame, number: int, path: str) -> None:
+        rows.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def each(batch: DataFrame, number: int) -> None:
         good, bad = import_files(batch, normalise, rules, skip_rows, header)
-        write_import(good, f"{out}/transactions")
-        bad.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{out}/rejects")
+        known = _known(spark, f"{out}/versions").where(F.col("batch") != number)
+        chosen = replaceable(statement_versions(good, batch), known)
+        replace(chosen, number, f"{out}/versions")
+        mine = _known(spark, f"{out}/versions").where(F.col("batch") == number)
+        write_import(good.join(mine.select(*STATEMENT, "src_file"), [*STATEMENT, "src_file"], "left_semi"), f"{out}/transactions")
+        replace(bad, number, f"{out}/rejects")
 
     stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(each).start().awaitTermination()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from decimal import Decimal
 from pathlib import Path
 
@@ -198,10 +199,10 @@ def test_statement_files(spark, tmp_path):
 
 
 def test_imports_replace_their_own_partition(spark, tmp_path):
-    rows = lambda *v: spark.createDataFrame([(a, s, x) for a, s, x in v], "account string, stmt string, x int")
-    sinks.write_import(rows(("A", "1", 1), ("A", "2", 2)), f"{tmp_path}/out")
-    sinks.write_import(rows(("A", "2", 3), ("A", "2", 4)), f"{tmp_path}/out")
-    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 4]
+    rows = lambda *v: spark.createDataFrame([(*k, x) for *k, x in v], "account string, year string, stmt string, x int")
+    sinks.write_import(rows(("A", "2024", "1", 1), ("A", "2024", "2", 2), ("A", "2023", "2", 7)), f"{tmp_path}/out")
+    sinks.write_import(rows(("A", "2024", "2", 3), ("A", "2024", "2", 4)), f"{tmp_path}/out")
+    assert sorted(r.x for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 3, 4, 7]
     for k in (1, 2):
         sinks.write_stage(spark.createDataFrame([(k, "scanned")], "x int, status string"), f"{tmp_path}/stages")
     assert spark.read.parquet(f"{tmp_path}/stages").count() == 2
@@ -234,6 +235,45 @@ def test_files_of_one_name_in_two_folders_are_two_statements(spark, tmp_path):
     assert sorted(r.stmt for r in spark.read.parquet(f"{tmp_path}/out/transactions").collect()) == ["l_amex_0105_0105", "l_amex_0205_0205"]
 
 
+def amex(folder, name, when, *lines):
+    """A statement file with a time of modification."""
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_text("Date,Description,Amount\n" + "".join(f"{x}\n" for x in lines))
+    os.utime(folder / name, (when, when))
+
+
+@pytest.fixture
+def ingest(spark, tmp_path):
+    table = spark.createDataFrame([(0, 0, ["TEA"], "Expenses:Tea")], "layer int, ord int, keywords array<string>, category string")
+
+    def run():
+        ingest_statements(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", lambda r: statements.normalize_amex(r, "L:Amex"), table)
+        return sorted((r.year, r.stmt, r.amount) for r in spark.read.schema("amount decimal(18,4), year string, stmt string").parquet(f"{tmp_path}/out/transactions").collect())
+
+    return run
+
+
+def test_the_same_days_of_two_years_are_two_statements(ingest, tmp_path):
+    amex(tmp_path / "in", "a.csv", 100, "01 Jan 2024,tea,1", "31 Jan 2024,tea,2")
+    ingest()
+    amex(tmp_path / "in", "b.csv", 200, "01 Jan 2025,tea,3", "31 Jan 2025,tea,4")
+    amex(tmp_path / "in", "c.csv", 200, "01 Jan 2024,tea,5", "31 Jan 2025,tea,6")
+    assert ingest() == [("2024", "l_amex_0101_0131", D(1)), ("2024", "l_amex_0101_0131", D(2)), ("2024_2025", "l_amex_0101_0131", D(5)), ("2024_2025", "l_amex_0101_0131", D(6)), ("2025", "l_amex_0101_0131", D(3)), ("2025", "l_amex_0101_0131", D(4))]
+
+
+def test_of_two_exports_in_one_batch_the_newer_stays(ingest, tmp_path):
+    amex(tmp_path / "in", "new.csv", 300, "01 Jan 2024,tea,1", "31 Jan 2024,tea,2")
+    amex(tmp_path / "in", "old.csv", 200, "01 Jan 2024,tea,8", "15 Jan 2024,tea,9", "31 Jan 2024,tea,9")
+    amex(tmp_path / "in", "tie_a.csv", 200, "01 Feb 2024,tea,5")
+    amex(tmp_path / "in", "tie_b.csv", 200, "01 Feb 2024,tea,6")
+    kept = [("2024", "l_amex_0101_0131", D(1)), ("2024", "l_amex_0101_0131", D(2)), ("2024", "l_amex_0201_0201", D(6))]
+    assert ingest() == kept
+    amex(tmp_path / "in", "late.csv", 250, "01 Jan 2024,tea,7", "31 Jan 2024,tea,7")  # older than what is there
+    assert ingest() == kept
+    amex(tmp_path / "in", "again.csv", 300, "01 Jan 2024,tea,4", "31 Jan 2024,tea,4")  # as old, and come later
+    assert [x[2] for x in ingest()] == [D(4), D(4), D(6)]
+
+
 def test_rule_files_are_layers(spark, tmp_path):
     own, public, items = (str(tmp_path / n) for n in ("own.toml", "public.toml", "items.toml"))
     Path(own).write_text('[[rules]]\nkeywords = ["tea", "Tea House"]\ncategory = "Expenses:Own"\n\n[[rules]]\ncategory = "Expenses:Nothing"\n')
