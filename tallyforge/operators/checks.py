@@ -12,6 +12,25 @@ def unknown_accounts(postings: DataFrame, accounts: DataFrame) -> DataFrame:
     return postings.join(accounts.select("account"), "account", "left_anti")
 
 
+def inactive_postings(postings: DataFrame, events: DataFrame) -> DataFrame:
+    """Postings (account, day, ...) to accounts that are not open on their own day, with reason: unknown, not yet open or closed.
+
+    events (account, kind, event_date) open and close accounts, also more than once. An account is open from the day of
+    an open to that of the next close, both included; an open and a close on one day come in this order. Days with postings and
+    events are put in one order per account, and each day gets the event before it; only an account's distinct days go through
+    the window, so an account with any number of postings is no more work there than its calendar.
+    """
+    columns = postings.columns
+    days = postings.select("account", "day").distinct().select("account", "day", F.lit(1).alias("turn"), F.lit(None).cast("string").alias("kind"))
+    marks = events.where("kind IN ('open', 'close')").select("account", F.col("event_date").alias("day"), F.when(F.col("kind") == "open", 0).otherwise(2).alias("turn"), "kind")
+    so_far = Window.partitionBy("account").orderBy("day", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = F.max(F.when(F.col("kind") == "open", True)).over(Window.partitionBy("account"))
+    seen = days.unionByName(marks).withColumn("__last", F.last("kind", ignorenulls=True).over(so_far)).withColumn("__known", known)
+    reason = F.when(F.col("__known").isNull(), "unknown").when(F.col("__last").isNull(), "not yet open").when(F.col("__last") == "close", "closed")
+    bad = seen.where("turn = 1").select("account", "day", reason.alias("reason")).where("reason IS NOT NULL")
+    return postings.join(bad, ["account", "day"]).select(*columns, "reason")
+
+
 def unbalanced(postings: DataFrame, keys: list[str]) -> DataFrame:
     """Transactions and currencies whose postings don't sum to zero."""
     return postings.groupBy(*keys, "currency").agg(F.sum("number").alias("residue")).where("residue != 0")

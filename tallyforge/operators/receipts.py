@@ -158,28 +158,6 @@ def overrun_warnings(receipts: DataFrame) -> DataFrame:
     return receipts.where(over > 0).select("receipt_id", over.cast(MONEY).alias("overrun"))
 
 
-def extract_items(lines: DataFrame) -> DataFrame:
-    """receipt_id, line_no, description and price of each item line.
-
-    A line that ends in a price is an item unless it is of the summary, of metadata, a payment, or a sale's. Its description is its own
-    text, or that of the nearest line before it without a price, if no other price has come since.
-    """
-    text = F.col("text")
-    rows = lines.select("receipt_id", "line_no", "text", *classify_line(text), clean_description(text).alias("own"), line_price(text).alias("price"))
-    paid = F.upper("text").rlike("|".join(word for word, _ in TENDERS))
-    skipped = paid | F.col("is_summary") | F.col("is_metadata") | F.col("is_sale") | F.col("is_section") | F.col("is_label")
-    usable = ~skipped & ~F.col("is_quantity") & F.col("own").rlike(r"\p{L}{2}")
-    rows = rows.withColumn("priced", F.col("has_price") & F.col("price").isNotNull() & ~skipped)
-    rows = rows.withColumn("words", F.when(usable, F.col("own")))
-    before = Window.partitionBy("receipt_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    mark = lambda flag: F.last(F.when(flag, F.col("line_no")), ignorenulls=True).over(before)
-    rows = rows.withColumn("at_words", mark(F.col("words").isNotNull() & ~F.col("has_price"))).withColumn("at_price", mark(F.col("priced")))
-    rows = rows.withColumn("earlier", F.last(F.when(F.col("words").isNotNull() & ~F.col("has_price"), F.col("words")), ignorenulls=True).over(before))
-    paired = F.when(F.col("at_price").isNull() | (F.col("at_words") > F.col("at_price")), F.col("earlier"))
-    found = rows.where("priced").withColumn("description", F.coalesce("words", paired))
-    return found.where("description IS NOT NULL").select("receipt_id", "line_no", "description", "price")
-
-
 def assemble_lines(words: DataFrame) -> DataFrame:
     """Per receipt and line the words in order, their bounding box and mean confidence."""
     ordered = F.array_sort(F.collect_list(F.struct("word_no", "text")))
@@ -214,10 +192,18 @@ def filter_low_quality(detections: DataFrame, confidence: float, letters: int) -
 
 
 def drop_overlapping_markers(detections: DataFrame) -> DataFrame:
-    """Without the markers whose vertical band meets that of another detection of the receipt that is none."""
-    other = detections.where("NOT is_marker").select("receipt_id", F.col("y_min").alias("__min"), F.col("y_max").alias("__max"))
-    markers = detections.where("is_marker").join(other, (detections["receipt_id"] == other["receipt_id"]) & (F.col("y_min") <= F.col("__max")) & (F.col("__min") <= F.col("y_max")), "left_anti")
-    return detections.where("NOT is_marker").unionByName(markers)
+    """Without the markers whose vertical band meets that of another detection of the receipt that is none.
+
+    One pass in the order of upper edges: a marker meets a band from above that reaches down to it, or one that begins within its
+    own; the first is the lowest edge so far, the second the next upper edge of a band, so no pairs are built.
+    """
+    order = Window.partitionBy("receipt_id").orderBy("y_min")
+    band = ~F.col("is_marker") & F.col("y_min").isNotNull()
+    lowest = F.max(F.when(band, F.col("y_max"))).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    following = F.min(F.when(band & (F.col("y_min") <= F.col("y_max")), F.col("y_min"))).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    marked = detections.withColumn("__lowest", lowest).withColumn("__next", following)
+    meets = F.coalesce(F.col("__lowest") >= F.col("y_min"), F.lit(False)) | F.coalesce(F.col("__next") <= F.col("y_max"), F.lit(False))
+    return marked.where(~F.col("is_marker") | ~meets).drop("__lowest", "__next")
 
 
 def normalize_detections(detections: DataFrame, *passes: Callable[[DataFrame], DataFrame], trace: dict[str, Observation] | None = None) -> DataFrame:
@@ -235,15 +221,34 @@ def normalize_detections(detections: DataFrame, *passes: Callable[[DataFrame], D
 
 
 def nearest_lines(prices: DataFrame, lines: DataFrame, tolerance: float = 0.02, reach: float = 0.08) -> DataFrame:
-    """price_id and line_id: each price's nearest line and each line's nearest price, where both choose each other.
+    """receipt_id, price_id and line_id: from the top of each receipt down, every price takes the nearest line that none before it has taken.
 
-    A line lies at most `reach` above the price, or `tolerance` below it.
+    A line is in a price's reach if it lies within `tolerance` on either side, or at most `reach` above it, or below it where
+    the price's optional column `below` says so; of equal distances the smaller line_id counts. Lines whose optional column `valid` is not true are no
+    items. A price without a free line has none. Prices meet lines by strips of their height, so that a pair is built only
+    of neighbours, and a receipt's prices are then gone through once, in order.
     """
-    pairs = prices.join(lines, "receipt_id").withColumn("above", F.col("price_y") - F.col("line_y"))
-    pairs = pairs.where((F.col("above") >= -tolerance) & (F.col("above") <= reach)).withColumn("gap", F.abs("above"))
-    by_price, by_line = Window.partitionBy("receipt_id", "price_id").orderBy("gap", "line_id"), Window.partitionBy("receipt_id", "line_id").orderBy("gap", "price_id")
-    ranked = pairs.withColumn("p", F.row_number().over(by_price)).withColumn("l", F.row_number().over(by_line))
-    return ranked.where("p = 1 AND l = 1").select("receipt_id", "price_id", "line_id")
+    below = F.coalesce("below", F.lit(False)) if "below" in prices.columns else F.lit(False)
+    lines = lines.where("valid") if "valid" in lines.columns else lines
+    strip = lambda c: F.floor(c.cast("double") / reach)
+    near = F.explode(F.array(*[strip(F.col("price_y")) + d for d in (-1, 0, 1)])).alias("strip")
+    own = prices.select("receipt_id", "price_id", "price_y", below.alias("below"), near)
+    pairs = own.join(lines.select("receipt_id", "line_id", "line_y", strip(F.col("line_y")).alias("strip")), ["receipt_id", "strip"])
+    gap, above = F.abs(F.col("price_y") - F.col("line_y")), F.col("line_y") <= F.col("price_y")
+    fits = (gap <= tolerance) | (gap <= reach) & (above != F.col("below"))
+    choices = F.array_sort(F.collect_list(F.struct(gap.alias("gap"), F.col("line_id").alias("line_id"))))
+    each = pairs.where(fits).groupBy("receipt_id", "price_id", "price_y").agg(F.transform(choices, lambda c: c["line_id"]).alias("choices"))
+    line_type = lines.schema["line_id"].dataType.simpleString()
+    ordered = each.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("price_y", "price_id", "choices"))).alias("prices"))
+    start = F.array().cast(f"array<{line_type}>")
+
+    def take(taken, price):
+        """Adds the line that a price gets, null for none, so that both lists keep one order."""
+        return F.concat(taken, F.array(F.get(F.filter(price["choices"], lambda x: ~F.coalesce(F.array_contains(taken, x), F.lit(False))), F.lit(0))))
+
+    found = ordered.select("receipt_id", "prices", F.aggregate("prices", start, take).alias("taken"))
+    both = F.explode(F.arrays_zip(F.transform("prices", lambda p: p["price_id"]).alias("price_id"), F.col("taken").alias("line_id"))).alias("m")
+    return found.select("receipt_id", both).select("receipt_id", "m.price_id", "m.line_id").where("line_id IS NOT NULL")
 
 
 def ocr_detections(documents: DataFrame, padding: int = 50) -> DataFrame:

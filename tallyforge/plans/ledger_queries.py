@@ -391,6 +391,21 @@ def j23_unknown_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.unknown_accounts(posted(spark, sf_dir), known).groupBy("account").agg(F.count("*").alias("n"))
 
 
+@register(
+    "j23_inactive_postings",
+    f"""WITH p AS (SELECT event_id, {V.EVENT_ACCOUNT} AS account, CAST(ts AS DATE) AS day FROM events WHERE event_type NOT IN ('signup', 'error')), {V.ACCOUNT_EVENT_SQL},
+s AS (SELECT event_id, p.account, p.day, max(event_date) FILTER (kind = 'open' AND event_date <= day) AS opened, max(event_date) FILTER (kind = 'close' AND event_date < day) AS closed, count(*) FILTER (kind = 'open') AS opens
+  FROM p LEFT JOIN account_event e ON e.account = p.account GROUP BY 1, 2, 3)
+SELECT event_id, account, day, CASE WHEN opens = 0 THEN 'unknown' WHEN closed IS NOT NULL AND (opened IS NULL OR closed >= opened) THEN 'closed' ELSE 'not yet open' END AS reason
+FROM s WHERE opens = 0 OR opened IS NULL OR closed >= opened""",
+)
+def j23_inactive_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that are no account's opening or closing are postings of their day."""
+    own = V.events(spark, sf_dir).where("event_type NOT IN ('signup', 'error')")
+    rows = own.select("event_id", F.concat(F.lit("Assets:User:"), F.col("user_id").cast("string")).alias("account"), F.col("ts").cast("date").alias("day"))
+    return checks.inactive_postings(rows, V.account_events(spark, sf_dir))
+
+
 @register(
     "j23_failed_assertions",
     f"""WITH {LEDGER_SQL}, asserted AS (SELECT account, day AS assert_date, CAST(sum(number) OVER (PARTITION BY account ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS DECIMAL(18,4)) AS actual FROM post),

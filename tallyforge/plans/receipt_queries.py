@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import checks, receipts, review
+from tallyforge.operators import checks, line_items, receipts, review
 from tallyforge.operators.rules import known_merchants
 from tallyforge.plans import match_queries
 from tallyforge.plans import views as V
@@ -164,7 +164,7 @@ def receipt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
     line = V.table(spark, sf_dir, "lineitem").join(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
-    code = F.when(F.col("l_linenumber") % 2 == 0, "12345 ").otherwise("")
+    code = F.when(F.col("l_linenumber") % 2 == 0, "012345678905 ").otherwise("")
     items = line.select(F.col("l_orderkey").alias("receipt_id"), (10 + n).alias("line_no"), F.concat(code, F.upper("p_name"), F.lit(" "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, " H").otherwise("")).alias("text"))
     day = F.when(F.col("receipt_id") % 2 == 0, F.date_format("__day", "yyyy-MM-dd")).otherwise(F.date_format("__day", "MM/dd/yyyy"))
     other = [
@@ -235,8 +235,48 @@ def x10_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("w12_extracted_items", f"WITH {LINE_SQL} SELECT k AS receipt_id, n AS line_no, p AS description, CAST(x AS DECIMAL(18,4)) AS price FROM li WHERE k IN (SELECT receipt_id FROM receipt)")
 def w12_extracted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items come back out of the lines, without their codes."""
-    return receipts.extract_items(receipt_lines(spark, sf_dir))
+    """The items come back out of the lines, without their codes."""
+    return line_items.extract_items(receipt_lines(spark, sf_dir))
+
+
+#: Lines in which an item may be printed, by its number on the receipt modulo six: offset and text, with %p its name and %x its price. Then which line its price is found at, and its name there.
+PRINTED = (
+    (((0, "*%p"), (1, "(H)"), (2, "(2 /for $%x) 2 /for %xH")), 2, "*%p"),
+    (((0, "%p"), (1, "2 @ $1.05 %x")), 1, "%p"),
+    (((0, "(|@REG$1.29 %x"), (1, "%p")), 1, "%p"),
+    (((0, "EG2.99"), (1, "&& 06-Frozen"), (2, "%p -"), (3, "PACK"), (4, "(1kg) %x")), 4, "%p - PACK (1kg)"),
+    (((0, "22-DAIRY 5.49"), (1, "012345678905 %p %x HC")), 1, "%p"),
+    (((0, "%p $%x C"), (1, "(@6.99(1/$1.98"), (2, "1 @ $1.98"), (3, "YOU SAVED"), (4, "$8.95")), 0, "%p"),
+)
+CLOSING = ((900, "&& Meat 13.88"), (901, "SUB Total"), (902, "$%x"), (903, "Card Type: CREDIT"), (904, "CHANGE DUE"), (905, "%x"))
+
+
+def _filled(text: str, name: F.Column, price: F.Column) -> F.Column:
+    return F.replace(F.replace(F.lit(text), F.lit("%p"), name), F.lit("%x"), price)
+
+
+def _name_sql(name: str) -> str:
+    return "'" + name.replace("%p", "' || p || '") + "'"
+
+
+@register(
+    "w12_printed_items",
+    f"""WITH {LINE_SQL} SELECT k AS receipt_id, CAST(20 * (n - 10) + CASE n % 6 {" ".join(f"WHEN {r} THEN {at}" for r, (_, at, _) in enumerate(PRINTED))} END AS INTEGER) AS line_no,
+CASE n % 6 {" ".join(f"WHEN {r} THEN {_name_sql(name)}" for r, (*_, name) in enumerate(PRINTED))} END AS description, CAST(x AS DECIMAL(18,4)) AS price FROM li""",
+)
+def w12_printed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W12 over receipts on which prices stand beside, after or before their items, among offers, savings, departments and totals."""
+    from pyspark.sql.window import Window
+
+    line = V.table(spark, sf_dir, "lineitem").join(V.table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    n = 10 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    own = line.select(F.col("l_orderkey").alias("receipt_id"), n.alias("n"), F.upper("p_name").alias("p"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("x"))
+    forms = F.array(*[F.array(*[F.struct(F.lit(at).alias("at"), _filled(text, F.col("p"), F.col("x")).alias("text")) for at, text in form]) for form, *_ in PRINTED])
+    printed = own.withColumn("l", F.explode(F.get(forms, F.col("n") % 6))).select("receipt_id", (20 * (F.col("n") - 10) + F.col("l.at")).alias("line_no"), "l.text")
+    total = own.groupBy("receipt_id").agg(F.sum(F.col("x").cast(S.MONEY)).cast("decimal(18,2)").alias("total"))
+    last = F.explode(F.array(*[F.struct(F.lit(at).alias("line_no"), _filled(text, F.lit(""), F.col("total").cast("string")).alias("text")) for at, text in CLOSING])).alias("l")
+    lines = printed.unionByName(total.select("receipt_id", last).select("receipt_id", "l.*"))
+    return line_items.extract_items(lines, total.select("receipt_id", F.array("total", "total").alias("amounts")))
 
 
 @register("a11_full_texts", r"""WITH l AS (SELECT l_orderkey AS receipt_id, l_linenumber AS n, string_agg(p_name, ' ' ORDER BY l_partkey, l_extendedprice) AS t, avg(l_discount) AS c, min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)
@@ -302,14 +342,18 @@ def j21_kept_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j22_nearest_lines",
-    f"""WITH {DETECTION_SQL}, p AS (SELECT a.receipt_id, a.det_id AS price_id, b.det_id AS line_id, (a.center_y - b.center_y) / 100 AS above FROM det a JOIN det b ON a.receipt_id = b.receipt_id AND a.is_marker AND NOT b.is_marker),
-q AS (SELECT *, row_number() OVER (PARTITION BY receipt_id, price_id ORDER BY abs(above), line_id) AS x, row_number() OVER (PARTITION BY receipt_id, line_id ORDER BY abs(above), price_id) AS y FROM p WHERE above >= -0.025 AND above <= 0.085)
-SELECT receipt_id, price_id, line_id FROM q WHERE x = 1 AND y = 1""",
+    f"""WITH RECURSIVE {DETECTION_SQL}, p AS (SELECT a.receipt_id, a.center_y, a.det_id AS price_id, b.det_id AS line_id, abs(a.center_y - b.center_y) AS gap, b.center_y <= a.center_y AS above, a.det_id % 5 = 0 AS below
+  FROM det a JOIN det b ON a.receipt_id = b.receipt_id AND a.is_marker AND NOT b.is_marker AND b.det_id % 7 > 0),
+c AS (SELECT receipt_id, price_id, row_number() OVER (PARTITION BY receipt_id ORDER BY center_y, price_id) AS k, list(line_id ORDER BY gap, line_id) AS choices FROM p WHERE gap <= 2.5 OR gap <= 8.5 AND above <> below GROUP BY receipt_id, center_y, price_id),
+g(receipt_id, k, price_id, line_id, taken) AS (SELECT receipt_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM c GROUP BY 1
+  UNION ALL SELECT c.receipt_id, c.k, c.price_id, list_filter(c.choices, lambda x: NOT list_contains(g.taken, x))[1], list_append(g.taken, list_filter(c.choices, lambda x: NOT list_contains(g.taken, x))[1]) FROM g JOIN c ON c.receipt_id = g.receipt_id AND c.k = g.k + 1)
+SELECT receipt_id, price_id, line_id FROM g WHERE line_id IS NOT NULL""",
 )
 def j22_nearest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth price looks below itself; every seventh line is no item."""
     rows = detections(spark, sf_dir)
-    prices = rows.where("is_marker").select("receipt_id", F.col("det_id").alias("price_id"), F.col("center_y").alias("price_y"))
-    lines = rows.where("NOT is_marker").select("receipt_id", F.col("det_id").alias("line_id"), F.col("center_y").alias("line_y"))
+    prices = rows.where("is_marker").select("receipt_id", F.col("det_id").alias("price_id"), F.col("center_y").alias("price_y"), (F.col("det_id") % 5 == 0).alias("below"))
+    lines = rows.where("NOT is_marker").select("receipt_id", F.col("det_id").alias("line_id"), F.col("center_y").alias("line_y"), (F.col("det_id") % 7 > 0).alias("valid"))
     return receipts.nearest_lines(prices, lines, 2.5, 8.5)
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import random
 from decimal import Decimal
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.operators import accounts, matching, receipts, review, rules
+from tallyforge.operators import accounts, checks, line_items, matching, receipts, review, rules
 from tallyforge.sources import documents, rule_files, sinks, statements
 from tallyforge.streaming.ingest import ingest_statements
 
@@ -170,7 +171,7 @@ def test_dates(spark):
 
 
 def test_items_take_their_words_from_before(spark):
-    got = receipts.extract_items(lines_of(spark, "PRODUCE", "BANANAS", "2 @ $1.50 3.00", "0123456 MILK 4.99 H", "ON SALE 1.00", "BREAD", "2.50", "TOTAL 10.49", "VISA 10.49")).collect()
+    got = line_items.extract_items(lines_of(spark, "PRODUCE", "BANANAS", "2 @ $1.50 3.00", "012345678 MILK 4.99 H", "ON SALE 1.00", "BREAD", "2.50", "TOTAL 10.49", "VISA 10.49")).collect()
     assert [(r.description, r.price) for r in got] == [("BANANAS", D("3")), ("MILK", D("4.99")), ("BREAD", D("2.5"))]
 
 
@@ -339,3 +340,75 @@ def test_suggestions_come_from_the_nearest_level_with_another_account(spark):
     for r in accounts.suggest_accounts(unknown, every).collect():
         found.setdefault(r.unknown, {})[r["rank"]] = r.account
     assert found == {"X:Y:Z": {1: "X:Q:R", 2: "X:Q:S"}, "X:Q:T": {1: "X:Q:R", 2: "X:Q:S"}, "W": {1: "W:V"}}
+
+
+#: Receipts as scanners print them, one form of line each, and their items.
+RECEIPTS = {
+    "a card's line is no item": (["4011 BANANAS 2.10", "SUBTOTAL 2.10", "TOTAL 2.10", "PURCHASE", "Trans. Type:", "Account: VISA CAD$ 2.10", "Card Type: CREDIT"], [("4011 BANANAS", "2.10")]),
+    "what was saved is no item": (["Plums Black $4.40 C", "1.100 kg @ $4.00 / kg", "YOU SAVED", "$2.30", "Oat Drink 1% 2L $5.25 C", "TOTAL $9.65"], [("Plums Black", "4.40"), ("Oat Drink 1% 2L", "5.25")]),
+    "tax letters": (["Lemon Soda $1.25 HC", "Rice Cakes $2.75 C", "Cola Large $6.00 HCF", "Soap 3.10J"], [("Lemon Soda", "1.25"), ("Rice Cakes", "2.75"), ("Cola Large", "6.00"), ("Soap", "3.10")]),
+    "a priced department's name is an item": (["&& 05-Meat", "Meat 7.10", "&& 09-Frozen", "BAKERY 4.50", "SUB Total 11.60"], [("Meat", "7.10"), ("BAKERY", "4.50")]),
+    "broken offers are none": (["ABC - Noodles Hot 2.20", "(K@5.49(1/$2.20)", "1 @ $2.20", "(@5.49(1/$2.20", "48g)@0.664/$1.99", "@2.202/$4.00"], [("ABC - Noodles Hot", "2.20")]),
+    "regular prices": (["*Dumplings Large 3.30", "(5)@REG$4.99", "*Shrimp Raw Peeled", "(@REG12.49", "2 @ $9.99 19.98", "(1REG7.49", "(=qx(EG$6.49", "EG3.49", "*Tea Milk ( 5.20"], [("*Dumplings Large", "3.30"), ("*Shrimp Raw Peeled", "19.98"), ("*Tea Milk (", "5.20")]),
+    "spaced points and codes": (["(3)01234567890 SARDINES MRJ", "3 @ $1.10 3. 30", "09876543210 OLIVE OIL MRJ 8. 45", "(2)4225 AVOCADO MRJ", "2 @ $1.25 2. 50"], [("SARDINES MRJ", "3.30"), ("OLIVE OIL MRJ", "8.45"), ("4225 AVOCADO MRJ", "2.50")]),
+    "names over lines": (["Harbour -", "Green Tea Cold", "(500g) 9.90"], [("Harbour - Green Tea Cold (500g)", "9.90")]),
+    "a department's price goes to the next name": (["&& 02-Grocery  4.10", "Harbour -", "Green Tea Cold", "(500g) 9.90", "Noodles 2.00"], [("Harbour - Green Tea Cold", "4.10"), ("(500g)", "9.90"), ("Noodles", "2.00")]),
+    "but not if that has one": (["22-DAIRY 3.25", "01234567890 CREAM 3.25", "&& Meat 9.99", "BEEF", "2 @ $2.00 4.00", "&& Fish 8.88", "TOTAL 7.25"], [("CREAM", "3.25"), ("BEEF", "4.00")]),
+    "a quantity alone": (["731 BAGS 40 8.15", "2 @ 6.45", "512 EGGS L 12.90"], [("731 BAGS 40", "8.15"), ("512 EGGS L", "12.90")]),
+    "multiple offers": (["Tofu Firm 500g", "() 4.20", "*Sausage Smoked", "*Soy Drink x2", "($2F 3.60", "(2 /for $3.60) 2 /for", "&& Taxed Grocery", "Chips Salted x1", "(2 /for $6.00) 2 /for 6.00H"], [("Tofu Firm 500g", "4.20"), ("*Soy Drink x2", "3.60"), ("Chips Salted x1", "6.00")]),
+    "prices beside a regular one belong to what follows": (["*Hot Pot Base 1.10", "(|@REG$1.49 2.20", "Bean Curd (Spicy", "*Iced Tea Peach 1.50", "(REG$399 4.40", "*Choco Pie 10", "&& Meat 9.20", "SUB Total 9.20"], [("*Hot Pot Base", "1.10"), ("Bean Curd (Spicy", "2.20"), ("*Iced Tea Peach", "1.50"), ("*Choco Pie 10", "4.40")]),
+    "signs of a sale": (["*Udon 2.90", "ONSAL 2.90", "*Dry Noodles", "ONSALE 3.10", "*Wheat Noodles", "(ONSAL", "Rice", "ONSALE 7.70"], [("*Udon", "2.90"), ("*Dry Noodles", "2.90"), ("*Wheat Noodles", "3.10"), ("Rice", "7.70")]),
+    "names that begin like a payment": (["CASHEWS SALTED 6.10", "CREDITON CHEESE 4.00", "TOTAL 10.10"], [("CASHEWS SALTED", "6.10"), ("CREDITON CHEESE", "4.00")]),
+    "weights": (["Food Mart", "Berries Blue", "3 @ $2.10 6.30", "Grapes", "(H3)", "1.35 1k @ $3.00/1b 4.05"], [("Berries Blue", "6.30"), ("Grapes", "4.05")]),
+    "deals": (["DICED PEARS", "2 @ 2/$4.00 4.00", "TOTAL 4.00"], [("DICED PEARS", "4.00")]),
+    "repeated items": (["CLUB", "Member 000", "***START OF PRE-SCANNED ITEMS***", "430 EGGS 9.10", "430 EGGS 9.10", "75 40/50 PRAWNS 14.20", "*X*END OF PRE-SCANNED ITEMS*X*", "TOTAL NUMBER OF PRE-SCANNED ITEMS= 3", "TAX 1.00"], [("430 EGGS", "9.10"), ("430 EGGS", "9.10"), ("75 40/50 PRAWNS", "14.20")]),
+    "bare prices": (["APPLES", "3.30", "4.40", "TOTAL", "3.30", "THE CLUB SAYS", "3.30"], [("APPLES", "3.30")]),
+    "nothing": ([None, "", "   ", "0.99"], []),
+}
+
+
+def test_items_of_printed_receipts(spark):
+    rows = [(name, k, text) for name, (lines, _) in RECEIPTS.items() for k, text in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "receipt_id string, line_no int, text string").repartition(3)
+    amounts = spark.createDataFrame([("bare prices", [D("3.30"), D("3.30")])], "receipt_id string, amounts array<decimal(10,2)>")
+    found = {name: [] for name in RECEIPTS}
+    for r in line_items.extract_items(lines, amounts).orderBy("receipt_id", "line_no").collect():
+        found[r.receipt_id].append((r.description, f"{r.price:.2f}"))
+    assert found == {name: items for name, (_, items) in RECEIPTS.items()}
+
+
+def test_nearest_lines_equal_a_greedy_loop(spark):
+    r = random.Random(4)
+    prices = [(k, i, r.randint(0, 60) / 100, r.random() < 0.3) for k in range(60) for i in range(r.randint(1, 9))]
+    lines = [(k, i, r.randint(0, 60) / 100, r.random() < 0.8) for k in range(60) for i in range(r.randint(0, 9))]
+    want = set()
+    for k in range(60):
+        taken = set()
+        for _, i, y, below in sorted((p for p in prices if p[0] == k), key=lambda p: (p[2], p[1])):
+            fits = [(abs(y - ly), j) for q, j, ly, valid in lines if q == k and valid and j not in taken and (abs(y - ly) <= 0.02 or abs(y - ly) <= 0.08 and (ly > y if below else ly <= y))]
+            if fits:
+                taken.add(min(fits)[1])
+                want.add((k, i, min(fits)[1]))
+    p, li = spark.createDataFrame(prices, "receipt_id int, price_id int, price_y double, below boolean"), spark.createDataFrame(lines, "receipt_id int, line_id int, line_y double, valid boolean")
+    assert {tuple(x) for x in receipts.nearest_lines(p, li).collect()} == want
+    one_line = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.44)], "receipt_id int, line_id int, line_y double")
+    two = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.51)], "receipt_id int, price_id int, price_y double")
+    assert {tuple(x) for x in receipts.nearest_lines(two, one_line).collect()} == {(1, 1, 1), (1, 2, 2)}
+
+
+def test_markers_go_as_by_pairs(spark):
+    r = random.Random(9)
+    rows = [(k, i, y, y + r.choice([0, 0.5, 2, 7]), r.random() < 0.5) for k in range(40) for i in range(r.randint(0, 12)) for y in [r.randint(0, 30) / 2]]
+    table = spark.createDataFrame(rows, "receipt_id int, det_id int, y_min double, y_max double, is_marker boolean")
+    want = {(a[0], a[1]) for a in rows if not a[4] or not any(b[0] == a[0] and not b[4] and a[2] <= b[3] and b[2] <= a[3] for b in rows)}
+    assert {(x.receipt_id, x.det_id) for x in receipts.drop_overlapping_markers(table).collect()} == want
+
+
+def test_postings_to_accounts_that_are_not_open_on_their_day(spark):
+    events = [("A", "open", day(2024, 1, 5)), ("A", "close", day(2024, 1, 10)), ("A", "open", day(2024, 1, 20)), ("B", "close", day(2024, 1, 1)), ("C", "open", day(2024, 1, 3)), ("C", "close", day(2024, 1, 3))]
+    days = [1, 3, 4, 5, 10, 11, 20, 25]
+    rows = [(a, day(2024, 1, d), n) for a in "ABCD" for d in days for n in (1, 2)]
+    found = checks.inactive_postings(spark.createDataFrame(rows, "account string, day date, n int"), spark.createDataFrame(events, "account string, kind string, event_date date")).collect()
+    bad = {(r.account, r.day.day, r.n, r.reason) for r in found}
+    want = {("A", d, "not yet open") for d in (1, 3, 4)} | {("A", 11, "closed")} | {("C", 1, "not yet open")} | {("C", d, "closed") for d in days if d > 3} | {(a, d, "unknown") for a in "BD" for d in days}
+    assert bad == {(a, d, n, why) for a, d, why in want for n in (1, 2)} and len(found) == len(bad)
