@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyforge.functions.likeness import block_ratio
+
 
 def unknown_accounts(postings: DataFrame, accounts: DataFrame) -> DataFrame:
     """Postings to accounts that aren't among the open ones."""
@@ -49,30 +51,43 @@ def failed_assertions(postings: DataFrame, assertions: DataFrame) -> DataFrame:
     return summed.where("balance IS NOT NULL AND balance != actual").select("account", F.col("at").alias("assert_date"), "balance", F.col("actual").cast("decimal(18,4)").alias("actual"))
 
 
-def similar(a, b):
-    """One minus the edit distance over the longer length."""
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+def _either_holds(a: Column, b: Column) -> Column:
+    return a.contains(b) | b.contains(a)
+
+
+def alike_names(names: DataFrame, least: float = 0.85) -> DataFrame:
+    """The distinct pairs of (found, name) of which either holds the other or, where `own` says that it is the name itself, whose likeness (block_ratio) is `least` or more."""
+    distinct = names.select("found", "name", "own").where("found != '' AND name != ''").distinct()
+    holds = _either_holds(F.col("found"), F.col("name"))
+    return distinct.where(holds).unionByName(distinct.where(~holds & F.col("own")).where(block_ratio(F.col("name"), F.col("found")) >= least))
 
 
 def scorecard(predicted: DataFrame, truth: DataFrame, found: DataFrame, critical: DataFrame) -> DataFrame:
     """Flags per receipt: merchant, date, total, all critical items, header, everything.
 
-    A merchant is right if either name holds the other, or an alternate does, or both are alike by 0.85. A critical item is
-    found if an item of the receipt holds its description at its price.
+    A merchant is right if it and the true name, or one of its alternates (merchant_any_of), hold one another, or if it and the true name are alike by 0.85; only
+    letters and digits count, in any case. Likeness is worked out once for each distinct pair of names. A critical item is found if an item of
+    the receipt has its price and either's description holds the other's, and, where both tables have a category and the critical item's is not null, either's category too.
     """
     p, t = predicted.alias("p"), truth.alias("t")
     joined = t.join(p, F.col("t.receipt_id") == F.col("p.receipt_id"), "left")
-    a = F.upper(F.coalesce("p.merchant", F.lit("")))
-    names = F.concat(F.array("t.merchant"), F.coalesce("t.merchant_any_of", F.array().cast("array<string>")))
-    hits = F.exists(names, lambda n: (a != "") & (a.contains(F.upper(n)) | F.upper(n).contains(a) | (similar(a, F.upper(n)) >= 0.85)))
+    plain = lambda c: F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    own = F.array(F.struct(F.col("t.merchant").alias("name"), F.lit(True).alias("own")))
+    others = F.transform(F.coalesce("t.merchant_any_of", F.array().cast("array<string>")), lambda n: F.struct(n.alias("name"), F.lit(False).alias("own")))
+    named = joined.select(F.col("t.receipt_id").alias("receipt_id"), plain(F.col("p.merchant")).alias("found"), F.explode(F.concat(own, others)).alias("n"))
+    named = named.select("receipt_id", "found", plain(F.col("n.name")).alias("name"), "n.own")
+    hits = named.join(alike_names(named), ["found", "name", "own"], "left_semi").select("receipt_id").distinct().withColumn("merchant_ok", F.lit(True))
     rows = joined.select(
         F.col("t.receipt_id").alias("receipt_id"),
-        F.coalesce(hits, F.lit(False)).alias("merchant_ok"),
         F.coalesce(F.col("p.receipt_date") == F.col("t.receipt_date"), F.col("t.receipt_date").isNull()).alias("date_ok"),
         F.coalesce(F.col("p.total") == F.col("t.total"), F.lit(False)).alias("total_ok"),
     )
+    rows = rows.join(hits, "receipt_id", "left").select("receipt_id", F.coalesce("merchant_ok", F.lit(False)).alias("merchant_ok"), "date_ok", "total_ok")
     items = critical.alias("c").join(found.alias("f"), (F.col("c.receipt_id") == F.col("f.receipt_id")) & (F.col("c.price") == F.col("f.price")), "left")
-    hit = F.coalesce(F.upper("f.description").contains(F.upper("c.description")), F.lit(False))
+    hit = _either_holds(F.upper("f.description"), F.upper("c.description"))
+    if "category" in critical.columns and "category" in found.columns:
+        hit = hit & (F.col("c.category").isNull() | _either_holds(F.col("f.category"), F.col("c.category")))
+    hit = F.coalesce(hit, F.lit(False))
     each = items.groupBy(F.col("c.receipt_id").alias("receipt_id"), F.col("c.description").alias("description"), F.col("c.price").alias("price")).agg(F.max(hit).alias("hit"))
     items_ok = each.groupBy("receipt_id").agg(F.min("hit").alias("items_ok"))
     rows = rows.join(items_ok, "receipt_id", "left").withColumn("items_ok", F.coalesce("items_ok", F.lit(True)))

@@ -9,12 +9,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.scalars import MONEY, alpha_words, amount_tolerance, match_details, merchant_similarity
+from tallyforge.operators.components import components
 from tallyforge.operators.rules import canonical_merchants
 
 
@@ -176,26 +179,58 @@ def match_tiered(receipts: DataFrame, txns: DataFrame, families: DataFrame, keys
     return best.select("receipt_id", "txn_id", "confidence", F.element_at(F.array(F.lit("strict"), F.lit("relaxed"), F.lit("fallback")), F.col("tier") + 1).alias("strength"))
 
 
-def reserve_matches(matches: DataFrame) -> DataFrame:
+#: Rounds before what is left is taken apart, and the most pairs of a part that one task goes through.
+ROUNDS, MOST_PAIRS = 3, 1_000_000
+RESERVED = ["receipt_id", "txn_id", "confidence"]
+
+
+def _in_order(batch: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of one part, best first, of which neither side is taken yet."""
+    ordered = batch.sort_values(["confidence", "tie", "receipt_id", "txn_id"], ascending=[False, True, True, True])
+    receipts, txns, kept = set(), set(), []
+    for k, (r, t) in enumerate(zip(ordered["receipt_id"].to_list(), ordered["txn_id"].to_list(), strict=True)):
+        if r not in receipts and t not in txns:
+            receipts.add(r)
+            txns.add(t)
+            kept.append(k)
+    return ordered.iloc[kept][RESERVED]
+
+
+def _mutual(left: DataFrame) -> DataFrame:
+    """The pairs that are the best of both their sides."""
+    ranked = left.withColumn("place", F.struct(-F.col("confidence"), "tie", "receipt_id", "txn_id"))
+    first = [ranked.groupBy(side).agg(F.min("place").alias("place")) for side in ("receipt_id", "txn_id")]
+    return ranked.join(first[0], ["receipt_id", "place"], "left_semi").join(first[1], ["txn_id", "place"], "left_semi").select(*left.columns)
+
+
+def reserve_matches(matches: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Each receipt and each transaction at most once, by confidence; equal confidences by a hash of the pair, then receipt_id, then txn_id.
 
-    Every round keeps the pairs that are best for both sides, and drops the pairs that share a side with them; that
-    gives what taking the best pair again and again gives. The hash deals tied pairs at random, so that of any number of equal
-    receipts and transactions a constant share settles in each round. Each round has a best pair, so the rounds end; they
-    are written to the checkpoint folder.
+    The result is that of taking the best pair again and again. Rounds keep the pairs that are best for both sides and drop those
+    that share a side with them; the hash deals ties at random, so that of any number of equal receipts and transactions a constant share
+    settles in a round. What a few rounds leave are chains in which each pair waits for a better one. Pairs that share no side, directly or through others,
+    don't wait for each other, so the connected parts of what is left are gone through in order, one by one and many at a time. A part of more than `most_pairs` pairs goes
+    back to the rounds, until it has fallen apart. Each round has a best pair, so the rounds end; they are written to the checkpoint folder.
     """
-    columns = ["receipt_id", "txn_id", "confidence"]
-    left, kept = matches.select(*columns), None
-    order = F.struct(-F.col("confidence"), F.xxhash64("receipt_id", "txn_id"), "receipt_id", "txn_id")
+    left = matches.select(*RESERVED, F.md5(F.concat_ws("-", F.col("receipt_id").cast("string"), F.col("txn_id").cast("string"))).alias("tie"))
+    schema, found = left.select(*RESERVED).schema, []
     while True:
+        for _ in range(ROUNDS):
+            left = left.checkpoint()
+            if left.isEmpty():
+                return reduce(DataFrame.unionByName, found) if found else left.select(*RESERVED)
+            best = _mutual(left).checkpoint()
+            found.append(best.select(*RESERVED))
+            left = left.join(best.select("receipt_id"), "receipt_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti").select(*left.columns)
         left = left.checkpoint()
-        if left.isEmpty():
-            return kept if kept is not None else left
-        ranked = left.withColumn("place", order)
-        first = [ranked.groupBy(side).agg(F.min("place").alias("place")) for side in ("receipt_id", "txn_id")]
-        best = ranked.join(first[0], ["receipt_id", "place"], "left_semi").join(first[1], ["txn_id", "place"], "left_semi").select(*columns).checkpoint()
-        kept = best if kept is None else kept.unionByName(best)
-        left = left.join(best.select("receipt_id"), "receipt_id", "left_anti").join(best.select("txn_id"), "txn_id", "left_anti").select(*columns)
+        # The numbers of both sides may be the same.
+        receipt, txn = (F.struct(F.lit(k).alias("side"), F.col(c).cast("string").alias("id")) for k, c in enumerate(("receipt_id", "txn_id")))
+        roots = components(left.select(receipt.alias("u"), txn.alias("v")))
+        parted = left.withColumn("node", receipt).join(roots, "node").drop("node")
+        sizes = parted.groupBy("root").agg(F.count("*").alias("pairs"))
+        parted = parted.join(sizes, "root").checkpoint()
+        found.append(parted.where(F.col("pairs") <= most_pairs).groupBy("root").applyInPandas(_in_order, schema).checkpoint())
+        left = parted.where(F.col("pairs") > most_pairs).select(*left.columns)
 
 
 def apply_matches(ledger: DataFrame, enriched: DataFrame, key: list[str]) -> DataFrame:

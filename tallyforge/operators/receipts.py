@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.functions.scalars import MONEY
+from tallyforge.operators.rules import containing
 
 PRICE = r"-?[0-9]+\.[0-9]{2}"
 SUBTOTAL = r"(?i)\bSUB[ -]?T[OC]TAL\b|\bSUBT[OC]TAL"
@@ -130,8 +131,9 @@ def receipt_dates(lines: DataFrame, reference_year: int) -> DataFrame:
 def receipt_merchants(lines: DataFrame, known: DataFrame, confident: float = 0.9) -> DataFrame:
     """The first known keyword found in the receipt, else its first confident line, else its first line with three letters."""
     keywords = known.select(F.upper("keyword").alias("keyword"), F.struct("layer", "ord", "pos").alias("place"))
-    keywords = F.broadcast(keywords) if keywords.limit(10_001).count() <= 10_000 else keywords
-    hits = lines.join(keywords, F.upper("text").contains(F.col("keyword"))).groupBy("receipt_id").agg(F.min_by("keyword", "place").alias("known"))
+    texts = lines.select(F.upper("text").alias("upper")).where("upper IS NOT NULL").distinct()
+    first = containing(texts, keywords, (F.col("upper"), F.col("keyword"))).groupBy("upper").agg(F.min(F.struct("place", "keyword")).alias("first"))
+    hits = lines.withColumn("upper", F.upper("text")).join(first, "upper").groupBy("receipt_id").agg(F.min("first").alias("first")).select("receipt_id", F.col("first.keyword").alias("known"))
     meaningful = F.col("text").rlike(r"\p{L}.*\p{L}.*\p{L}")
     first = lambda flag: F.min_by(F.when(flag, F.trim("text")), F.when(flag, F.col("line_no")))
     own = lines.groupBy("receipt_id").agg(first(meaningful & (F.col("confidence") >= confident)).alias("sure"), first(meaningful).alias("any"))

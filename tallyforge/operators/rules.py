@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import UNCATEGORIZED, normalize_merchant
 
-#: Rules are broadcast only up to this number of keywords; more go through a join on the keywords' first characters.
+#: Rules are broadcast only up to this number of keywords; more go through a join on one short piece of each keyword.
 MOST_BROADCAST = 20_000
-#: So many characters.
-LEAD = 3
+#: Characters of such a piece.
+GRAM = 3
 
 
 def layer_rules(*layers: DataFrame) -> DataFrame:
@@ -30,31 +30,58 @@ def small_enough(rules: DataFrame) -> bool:
     return rules.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def _pieces(text: Column) -> Column:
-    """Every distinct piece of a text of up to LEAD characters."""
-    starts, lengths = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.sequence(F.lit(0), F.lit(LEAD))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(lengths, lambda n: F.substr(text, i, n)))))
+def _pieces(text: Column, size: int) -> Column:
+    """Every distinct piece of a text of so many characters."""
+    last = F.length(text) - size + 1
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+    return F.array_distinct(F.filter(every, lambda p: F.length(p) == size))
+
+
+def _side(frame: DataFrame, other: DataFrame, column: Column) -> bool:
+    """Whether a column is of the first table."""
+    try:
+        frame.select(column)
+        return True
+    except AnalysisException:
+        other.select(column)
+        return False
+
+
+def _by_rarest(texts: DataFrame, text: Column, parts: DataFrame, part: Column) -> DataFrame:
+    """Pairs of rows of which the text contains the part: they meet at the part's rarest piece among all texts.
+
+    A part of GRAM characters and more has pieces of that size, a shorter one is its own piece. Pieces that no text has leave
+    their part out, and of a part's others the one that the fewest texts have is its key; texts that share the key are then tested.
+    """
+    parts = parts.withColumn("__part", part)
+    distinct = parts.select("__part").where("__part IS NOT NULL").distinct()
+    # Four sizes at most.
+    sizes = [r[0] for r in distinct.select(F.least(F.length("__part"), F.lit(GRAM)).alias("n")).distinct().collect()]
+    if not sizes:
+        return texts.join(parts, F.lit(False)).drop("__part")
+    pieces = F.flatten(F.array(*[_pieces(text, n) if n else F.array(F.lit("")) for n in sizes]))
+    index = texts.withColumn("__piece", F.explode(pieces))
+    common = index.groupBy("__piece").agg(F.count("*").alias("__n"))
+    own = F.when(F.length("__part") < GRAM, F.array("__part")).otherwise(_pieces(F.col("__part"), GRAM))
+    each = distinct.withColumn("__piece", F.explode(own)).join(common, "__piece", "left")
+    rarest = each.groupBy("__part").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__piece").alias("piece"))).alias("k")).where("k.n > 0")
+    keyed = parts.join(rarest.select("__part", F.col("k.piece").alias("__piece")), "__part")
+    return index.join(keyed, "__piece").where(text.contains(part)).drop("__piece", "__part")
 
 
 def containing(names: DataFrame, rules: DataFrame, *tests: tuple[Column, Column]) -> DataFrame:
     """Pairs of a name and a rule of which, in one test (text, part) at least, the text contains the part; each pair once.
 
     A test's two columns are of one side each, in either order. A table of rules whose counted size allows it is broadcast. Else
-    a part meets the texts that have its first characters anywhere, by an equi-join, and what these share them for is
-    then checked; rows of both sides need to be distinct for that.
+    each part meets, by an equi-join, the texts that have its rarest piece of a few characters, and these are then
+    checked; rows of both sides need to be distinct for that.
     """
     hit = reduce(Column.__or__, [text.contains(part) for text, part in tests])
     if small_enough(rules):
         return names.join(F.broadcast(rules), hit)
-    found = []
-    for text, part in tests:
-        within, lead = F.explode(_pieces(text)).alias("__lead"), F.left(part, F.lit(LEAD)).alias("__lead")
-        try:
-            sides = names.select("*", within), rules.select("*", lead)
-        except AnalysisException:  # the text is the rules'
-            sides = names.select("*", lead), rules.select("*", within)
-        found.append(sides[0].join(sides[1], "__lead").where(text.contains(part)).drop("__lead"))
-    return reduce(DataFrame.unionByName, found).distinct()
+    columns = [*names.columns, *rules.columns]
+    found = [_by_rarest(names, text, rules, part) if _side(names, rules, text) else _by_rarest(rules, text, names, part) for text, part in tests]
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in found]).distinct()
 
 
 def first_match(names: DataFrame, name: str, keywords: DataFrame, keyword: str, value: str, order: list[str]) -> DataFrame:

@@ -352,15 +352,22 @@ def j19_preferred_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.prefer_accounts(candidates, tokens)
 
 
+#: The longest block that two texts share, as (length, minus its place in the first, minus its place in the second): of equal lengths the earliest in the first, then in the second.
+LONGEST = """list_max(flatten(list_transform(range(1, length({a}) + 1), lambda i: list_transform(range(1, length({b}) + 1), lambda j:
+  {{{{'k': len(list_filter(range(1, least(length({a}) - i, length({b}) - j) + 2), lambda n: substr({a}, i, n) = substr({b}, j, n))), 'i': -i, 'j': -j}}}}))))""".replace("{{{{", "{{").replace("}}}}", "}}")
+
+
 @register(
     "j20_suggested_accounts",
-    """WITH a AS (SELECT c_mktsegment || ':' || n_name || ':' || c_name AS account FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 > 0),
-u AS (SELECT c_mktsegment || ':' || n_name || ':' || c_name AS unknown, c_mktsegment || ':' || n_name AS parent, c_mktsegment AS grand FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
-pair AS (SELECT unknown, account, CASE WHEN account = parent OR starts_with(account, parent || ':') THEN 0 ELSE 1 END AS level, starts_with(account, parent || ':') AS below, account = parent AS exact,
-  1 - levenshtein(unknown, account) / greatest(length(unknown), length(account)) AS ratio FROM u JOIN a ON account = grand OR starts_with(account, grand || ':') WHERE account <> unknown),
-near AS (SELECT * FROM pair QUALIFY level = min(level) OVER (PARTITION BY unknown)),
-g AS (SELECT *, row_number() OVER (PARTITION BY unknown, below ORDER BY ratio DESC, account) AS best FROM near),
-r AS (SELECT unknown, account, row_number() OVER (PARTITION BY unknown ORDER BY CASE WHEN below AND best = 1 THEN 0 WHEN exact THEN 1 ELSE 2 END, ratio DESC, account) AS rank FROM g)
+    f"""WITH RECURSIVE a AS (SELECT c_mktsegment || ':' || n_name || ':' || c_name AS account FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 > 0),
+u AS (SELECT c_mktsegment || ':' || n_name || ':' || c_name AS unknown, c_mktsegment || ':' || n_name AS parent, c_mktsegment AS root FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 50 = 0),
+near AS (SELECT unknown, account, 2 AS class FROM u JOIN a ON starts_with(account, parent || ':')),
+pair AS (SELECT * FROM near UNION ALL SELECT unknown, account, 3 FROM u JOIN a ON starts_with(account, root || ':') AND NOT starts_with(account, parent || ':') WHERE unknown NOT IN (SELECT unknown FROM near GROUP BY 1 HAVING count(*) >= 3)),
+seg(unknown, account, a, b, best) AS (SELECT unknown, account, unknown, account, {LONGEST.format(a="unknown", b="account")} FROM pair
+  UNION ALL SELECT unknown, account, a, b, {LONGEST.format(a="a", b="b")} FROM (SELECT unknown, account, unnest([a[:-best.i - 1], a[best.k - best.i:]]) AS a, unnest([b[:-best.j - 1], b[best.k - best.j:]]) AS b FROM seg WHERE best.k > 0) x),
+scored AS (SELECT p.unknown, p.account, any_value(class) AS class, 2 * sum(coalesce(best.k, 0)) / (length(p.unknown) + length(p.account)) AS ratio FROM pair p JOIN seg s ON s.unknown = p.unknown AND s.account = p.account GROUP BY 1, 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY unknown, class ORDER BY ratio DESC, account DESC) AS best FROM scored),
+r AS (SELECT unknown, account, row_number() OVER (PARTITION BY unknown ORDER BY class, ratio DESC, account DESC) AS rank FROM g)
 SELECT * FROM r WHERE rank <= 3""",
 )
 def j20_suggested_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:

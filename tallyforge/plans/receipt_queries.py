@@ -373,17 +373,21 @@ def p25_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "j24_scorecards",
-    """WITH c AS (SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)), f AS (SELECT lang, (n_chars > 500) = (quality = 1) AS total_ok, toxic = 0 AS date_ok FROM c)
-SELECT lang AS source, count(*) AS receipts, 1.0::DOUBLE AS merchant_rate, round(avg(date_ok::INT), 6) AS date_rate, round(avg(total_ok::INT), 6) AS total_rate, 1.0::DOUBLE AS items_rate, round(avg((date_ok AND total_ok)::INT), 6) AS header_rate, round(avg((date_ok AND total_ok)::INT), 6) AS all_rate FROM f GROUP BY 1""",
+    """WITH c AS (SELECT d.doc_id, d.lang, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)), f AS (SELECT lang, doc_id % 6 < 4 AS merchant_ok, (n_chars > 500) = (quality = 1) AS total_ok, toxic = 0 AS date_ok, doc_id % 7 > 0 AS items_ok FROM c)
+SELECT lang AS source, count(*) AS receipts, round(avg(merchant_ok::INT), 6) AS merchant_rate, round(avg(date_ok::INT), 6) AS date_rate, round(avg(total_ok::INT), 6) AS total_rate, round(avg(items_ok::INT), 6) AS items_rate,
+round(avg((merchant_ok AND date_ok AND total_ok)::INT), 6) AS header_rate, round(avg((merchant_ok AND date_ok AND total_ok AND items_ok)::INT), 6) AS all_rate FROM f GROUP BY 1""",
 )
 def j24_scorecards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every six merchants one is named in full, one in part, one as an alternate and one with letters read wrong; one is another, and one unlike by a little more. Every seventh item has another price."""
     joined = V.table(spark, sf_dir, "documents").join(V.table(spark, sf_dir, "labels"), "doc_id")
-    day = lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
-    predicted = joined.select(F.col("doc_id").alias("receipt_id"), F.concat(F.lit("shop "), "lang").alias("merchant"), day(F.lit(0)).alias("receipt_date"), (F.col("n_chars") > 500).cast("int").alias("total"))
-    truth = joined.select(F.col("doc_id").alias("receipt_id"), F.upper("lang").alias("merchant"), F.array().cast("array<string>").alias("merchant_any_of"), day(F.col("toxic")).alias("receipt_date"), F.col("quality").alias("total"))
-    items = joined.select(F.col("doc_id").alias("receipt_id"), F.concat(F.lit("Item "), "lang").alias("description"), F.col("n_chars").alias("price"))
-    critical = joined.select(F.col("doc_id").alias("receipt_id"), F.lit("item").alias("description"), F.col("n_chars").alias("price"))
-    card = checks.scorecard(predicted, truth, items, critical).join(joined.select(F.col("doc_id").alias("receipt_id"), F.col("lang").alias("source")), "receipt_id")
+    k, day = F.col("doc_id"), lambda c: F.date_add(F.lit("2024-01-01").cast("date"), c.cast("int"))
+    shop = F.concat(F.lit("Green Grocery "), "lang")
+    read = F.get(F.array(shop, F.lit("green grocery"), F.lit("corner store"), F.concat(F.lit("Greem Grcery "), "lang"), F.lit("bakery"), F.concat(F.lit("Gre Groe "), "lang", F.lit(" 22"))), k % 6)
+    predicted = joined.select(k.alias("receipt_id"), read.alias("merchant"), day(F.lit(0)).alias("receipt_date"), (F.col("n_chars") > 500).cast("int").alias("total"))
+    truth = joined.select(k.alias("receipt_id"), shop.alias("merchant"), F.when(k % 6 != 4, F.array(F.lit("Corner Store Ltd"))).alias("merchant_any_of"), day(F.col("toxic")).alias("receipt_date"), F.col("quality").alias("total"))
+    items = joined.select(k.alias("receipt_id"), F.concat(F.lit("Item "), "lang").alias("description"), F.col("n_chars").alias("price"))
+    critical = joined.select(k.alias("receipt_id"), F.lit("item").alias("description"), (F.col("n_chars") + F.when(k % 7 == 0, 1).otherwise(0)).alias("price"))
+    card = checks.scorecard(predicted, truth, items, critical).join(joined.select(k.alias("receipt_id"), F.col("lang").alias("source")), "receipt_id")
     found = checks.rates(card, "source")
     return found.select("source", "receipts", *[F.round(c, 6).alias(c) for c in found.columns if c.endswith("_rate")])
 

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import difflib
+import hashlib
 import os
 import random
 from decimal import Decimal
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
+from tallyforge.functions.likeness import block_ratio
 from tallyforge.operators import accounts, checks, line_items, matching, receipts, review, rules
 from tallyforge.sources import documents, rule_files, sinks, statements
 from tallyforge.streaming.ingest import ingest_statements
@@ -98,8 +101,7 @@ def test_reservation_takes_the_best_pair_again_and_again(spark):
     matches = spark.createDataFrame(rows, "receipt_id long, txn_id long, confidence double")
     got = {(x.receipt_id, x.txn_id) for x in matching.reserve_matches(matches).collect()}
     used_r, used_t, want = set(), set(), set()
-    dealt = matches.withColumn("hash", F.xxhash64("receipt_id", "txn_id")).collect()
-    for m in sorted(dealt, key=lambda m: (-m.confidence, m.hash, m.receipt_id, m.txn_id)):
+    for m in sorted(matches.collect(), key=lambda m: (-m.confidence, hashlib.md5(f"{m.receipt_id}-{m.txn_id}".encode()).hexdigest(), m.receipt_id, m.txn_id)):
         if m.receipt_id not in used_r and m.txn_id not in used_t:
             used_r.add(m.receipt_id)
             used_t.add(m.txn_id)
@@ -331,15 +333,67 @@ def test_account_globs_beyond_the_broadcast_limit(spark, monkeypatch):
     assert run() == few
 
 
-def test_suggestions_come_from_the_nearest_level_with_another_account(spark):
-    """An unknown account that is listed itself doesn't make its own level count."""
-    names = ["X:Y:Z", "X:Q:R", "X:Q:S", "W:V"]
+def test_suggestions_fill_up_from_the_root(spark):
+    names = ["X:Y:Z", "X:Q:R", "X:Q:S", "W:V", "X:Q", "X", "X:Q:T:U", "W:VV", "V:X:Q:T"]
     every = spark.createDataFrame([(n,) for n in names], "account string")
-    unknown = spark.createDataFrame([("X:Y:Z",), ("X:Q:T",), ("W",), ("N:M",)], "unknown string")
+    unknown = spark.createDataFrame([("X:Y:Z",), ("X:Q:T",), ("W",), ("N:M",), ("X::Y:Z2",), (None,), ("X:Q:T",)], "unknown string")
     found = {}
     for r in accounts.suggest_accounts(unknown, every).collect():
         found.setdefault(r.unknown, {})[r["rank"]] = r.account
-    assert found == {"X:Y:Z": {1: "X:Q:R", 2: "X:Q:S"}, "X:Q:T": {1: "X:Q:R", 2: "X:Q:S"}, "W": {1: "W:V"}}
+
+    def ranked(name):
+        """As a loop over all accounts of the root has it."""
+        parts = [p for p in name.split(":") if p]
+        parent, like = ":".join(parts[:-1]), lambda a: (difflib.SequenceMatcher(a=name, b=a).ratio(), a)
+        below = sorted((a for a in names if parent and a.startswith(parent + ":") and a != name), key=like, reverse=True)
+        rest = sorted((a for a in names if a.startswith(parts[0] + ":") and a not in (*below, parent, name)), key=like, reverse=True)
+        return dict(enumerate([*below[:1], *[parent] * (parent in names), *below[1:], *rest][:3], 1))
+
+    assert found == {n: ranked(n) for n in ("X:Y:Z", "X:Q:T", "W", "X::Y:Z2")}
+
+
+def test_likeness_is_that_of_shared_blocks(spark):
+    r = random.Random(6)
+    pairs = [("".join(r.choice("abcAB:") for _ in range(r.randint(0, 14))), "".join(r.choice("abcAB:") for _ in range(r.randint(0, 14)))) for _ in range(1000)] + [(None, "a"), ("a", None)]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", block_ratio(F.col("a"), F.col("b")).alias("got")).collect()
+    assert all(x.got == (None if x.a is None or x.b is None else difflib.SequenceMatcher(a=x.a, b=x.b).ratio()) for x in rows)
+
+
+def test_merchants_of_a_scorecard(spark):
+    names = [(1, "Green Grocery", None, "GREEN GROCERY 12"), (2, "Green Grocery", None, "greem grcery"), (3, "Green Grocery", ["Corner"], "the corner"), (4, "Green Grocery", [None], "bakery"), (5, "Green Grocery", [], None), (6, "Green Grocery", [], "")]
+    truth = spark.createDataFrame([(k, n, o, day(2024, 1, 1), 5) for k, n, o, _ in names], "receipt_id int, merchant string, merchant_any_of array<string>, receipt_date date, total int")
+    predicted = spark.createDataFrame([(k, p, day(2024, 1, k), 5) for k, _, _, p in names], "receipt_id int, merchant string, receipt_date date, total int")
+    none = spark.createDataFrame([], "receipt_id int, description string, price int")
+    card = checks.scorecard(predicted, truth, none, none).collect()
+    assert {r.receipt_id for r in card if r.merchant_ok} == {1, 2, 3} and {r.receipt_id for r in card if r.all_ok} == {1} and len(card) == 6
+
+
+def test_many_keywords_meet_names_by_their_rarest_piece(spark):
+    r = random.Random(2)
+    words = ["".join(r.choice("ABCDEFGHIJKLMNOP") for _ in range(r.randint(1, 6))) for _ in range(100_000)]
+    names = ["THE " + " ".join(r.choice(words) for _ in range(3)) for _ in range(150)]
+    keywords = sorted({*words, *["THE " + w for w in words[:300]], "日本"})
+    found = rules.containing(spark.createDataFrame([(n,) for n in {*names, "日本 X", "", None}], "name string"), spark.createDataFrame([(k,) for k in keywords], "keyword string"), (F.col("name"), F.col("keyword")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(map(tuple, found.collect())) == sorted((n, k) for n in {*names, "日本 X"} for k in keywords if k in n)
+
+
+def test_a_chain_of_falling_confidences_settles_in_few_rounds(spark, monkeypatch):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rounds = []
+    monkeypatch.setattr(matching, "_mutual", lambda left, own=matching._mutual: rounds.append(1) or own(left))
+    n = 10_000
+    chain = spark.range(n).select((F.col("id") / 2).cast("long").alias("receipt_id"), ((F.col("id") + 1) / 2).cast("long").alias("txn_id"), (1 - F.col("id") / n / 2).alias("confidence"))
+    found = {(r.receipt_id, r.txn_id) for r in matching.reserve_matches(chain).collect()}
+    assert found == {(k, k) for k in range(n // 2)} and len(rounds) < 10
+
+
+def test_large_parts_go_back_to_the_rounds(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    chain = spark.range(40).select((F.col("id") / 2).cast("long").alias("receipt_id"), ((F.col("id") + 1) / 2).cast("long").alias("txn_id"), (1 - F.col("id") / 100).alias("confidence"))
+    assert {(r.receipt_id, r.txn_id) for r in matching.reserve_matches(chain, 20).collect()} == {(k, k) for k in range(20)}
+
 
 
 #: Receipts as scanners print them, one form of line each, and their items.
