@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,14 +77,32 @@ def commingle(txns: DataFrame, balances: DataFrame) -> DataFrame:
     return txns.withColumn("kind", F.lit(0)).unionByName(balances.withColumn("kind", F.lit(1)), allowMissingColumns=True)
 
 
+def place_in(entries: DataFrame, within: list[str], part: list[Column], order: list[Column]) -> DataFrame:
+    """Adds place: each entry's rank from 1 among those that are equal in `within`, by `part` and then by `order`.
+
+    A rank is a place among the entries of equal `part` and the number of entries whose `part` comes before. Only the counts of parts, a row each, go
+    through an order of all that `within` names, so an account or file of any number of entries is as many tasks' work as it has parts.
+    """
+    names = [f"__part{k}" for k in range(len(part))]
+    parted = entries.withColumns(dict(zip(names, part, strict=True)))
+    keys = [*within, *names]
+    before = Window.partitionBy(*within).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy(*keys).agg(F.count("*").alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__own_{k}")) for k in keys]
+    offsets = counts.select(*[F.col(k).alias(f"__own_{k}") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    ranked = parted.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.join(offsets, reduce(Column.__and__, same)).select(*entries.columns, (F.col("__before") + F.col("__rank")).alias("place"))
+
+
 def chronological(entries: DataFrame, account: str, day: str) -> DataFrame:
     """Place of each entry within its account: by date, transactions before balances, then the order of the file."""
-    return entries.withColumn("place", F.row_number().over(Window.partitionBy(account).orderBy(day, "kind", "row_idx")))
+    return place_in(entries, [account], [F.col(day)], [F.col("kind"), F.col("row_idx")])
 
 
-def uncategorized_first(entries: DataFrame, file: str = "src_file", category: str = "category", default: str = "Expenses:Uncategorized") -> DataFrame:
-    """Place of each entry within its file: uncategorised ones first, the order of the file otherwise kept."""
-    return entries.withColumn("place", F.row_number().over(Window.partitionBy(file).orderBy((F.col(category) != default).cast("int"), "row_idx")))
+def uncategorized_first(entries: DataFrame, file: str = "src_file", category: str = "category", default: str = "Expenses:Uncategorized", span: int = 65_536) -> DataFrame:
+    """Place of each entry within its file: uncategorised ones first, the order of the file otherwise kept. Entries are ranked by so many lines at a time."""
+    known = (F.col(category) != default).cast("int")
+    return place_in(entries, [file], [known, F.floor(F.col("row_idx") / span)], [F.col("row_idx")])
 
 
 def candidate_categories(open_accounts: DataFrame, entries: DataFrame) -> DataFrame:

@@ -463,7 +463,7 @@ SELECT merchant, row_idx, row_number() OVER (PARTITION BY merchant ORDER BY CASE
 def w5_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("order_id") * 100_000_000 + F.col("line") * 10_000_000 + (F.abs("amount") * 100).cast("bigint") % 10_000_000
     rows = categorised(spark, sf_dir).withColumn("row_idx", key)
-    return postings.uncategorized_first(rows, "merchant").select("merchant", "row_idx", "place")
+    return postings.uncategorized_first(rows, "merchant", span=10**11).select("merchant", "row_idx", "place")
 
 
 @register(

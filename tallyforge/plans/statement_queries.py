@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.plans import views as V
 from tallyforge.plans.queries import register
 from tallyforge.sources import statements as T
-from tallyforge.streaming.ingest import import_files
+from tallyforge.streaming.ingest import import_rows
 
 def _key() -> Column:
     return F.col("order_id")
@@ -187,5 +187,24 @@ def s1_imported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.txns(spark, sf_dir).withColumn("amount", F.abs("amount"))
     line = F.concat_ws(",", _day("d MMM yyyy"), _quoted(), _amount())
     files = rows.groupBy(F.concat(F.lit("m"), F.date_format("txn_date", "yyyyMM"), F.lit(".csv")).alias("src_file")).agg(F.concat(F.lit("﻿preamble\r\nDate,Description,Amount\r\n"), F.array_join(F.collect_list(line), "\r\n")).alias("text"))
-    good, _ = import_files(files, lambda r: T.normalize_amex(r, "Assets:Card"), V.merchant_rules(spark), skip_rows=1)
+    good, _ = import_rows(T.split_statement(files, 1), lambda r: T.normalize_amex(r, "Assets:Card"), V.merchant_rules(spark))
     return good.groupBy("src_file", "stmt").agg(F.count("*").alias("n"), F.sum("amount").cast("decimal(38,4)").alias("total"))
+
+
+@register(
+    "s1_large_files",
+    f"""WITH {V.TXN_SQL}, s AS (SELECT strftime(txn_date, '%Y') AS year, abs(amount) AS x, merchant FROM txn)
+SELECT year, count(*) AS n, sum(CAST(CAST(x AS DECIMAL(18,2)) AS DECIMAL(18,4))) AS total, max(merchant || chr(10) || 'X, "Y"') AS last_name, 4 * count(*) + 2 AS lines, 1::BIGINT AS files FROM s GROUP BY 1""",
+)
+def s1_large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file a year, read in splits; each row goes over two lines and is followed by two empty ones. The last row's number tells how many lines are before it."""
+    path = V.shared_folder(spark, "statements")
+    rows = V.txns(spark, sf_dir).withColumn("amount", F.abs("amount"))
+    line = F.concat(_day("d MMM yyyy"), F.lit(',"'), F.col("merchant"), F.lit('\nX, ""Y""",'), _amount(), F.lit("\n\n"))
+    body = rows.select(_day("yyyy").alias("year"), F.lit(1).alias("turn"), line.alias("line"))
+    heads = rows.select(_day("yyyy").alias("year")).distinct().select("year", F.lit(0).alias("turn"), F.lit("preamble\nDate,Description,Amount").alias("line"))
+    heads.unionByName(body).repartition("year").sortWithinPartitions("year", "turn").drop("turn").write.partitionBy("year").text(path)
+    good, _ = T.rejects(T.normalize_amex(T.read_statement(spark, path, skip_rows=1), "A"))
+    found = good.withColumn("year", F.regexp_extract("src_file", "year=([0-9]+)", 1)).groupBy("year")
+    last = (F.max("row_idx") + 4).alias("lines")
+    return found.agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.max("merchant").alias("last_name"), last, F.countDistinct("src_file").alias("files"))

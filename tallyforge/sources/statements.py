@@ -12,21 +12,62 @@ from tallyforge.functions.scalars import clean_amount, parse_date, strict_amount
 from tallyforge.operators.rules import MOST_BROADCAST, small_enough
 
 
+#: A quoted field of more lines than these is taken for stray quotes.
+MOST_LINES = 1_000
+
+
 def read_statement(spark: SparkSession, path: str, skip_rows: int = 0, header: bool = True, encoding: str = "UTF-8") -> DataFrame:
-    """src_file (the whole path, since folders may hold files of one name), row_idx and fields of each row below the preamble and header.
+    """src_file (the whole path, since folders may hold files of one name), row_idx, line and fields of each row below the preamble and header.
+
+    row_idx is the number of the line on which the row begins, from 0. A file of any size is read in splits, many tasks' work; see
+    numbered_lines() and csv_rows().
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return csv_rows(numbered_lines(lines, encoding), skip_rows, header)
+
+
+def numbered_lines(lines: DataFrame, encoding: str = "UTF-8") -> DataFrame:
+    """(src_file, row_idx, line) of lines (src_file, block, value) as a reader of text gives them: block is where their split begins.
 
-    A file is small and stays in one task, which keeps its line numbers; lines with an odd number of quotes, which begin or end a
-    field of several lines, come with null fields.
+    A line's number is its place in its split and the lines of the file's splits before it. Only the splits' counts, a row each, go
+    through an order of their file; a split is as large as a task reads.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("src_file"), F.decode("content", encoding).alias("text"))
-    return split_statement(files, skip_rows, header)
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    placed = lines.withColumn("place", F.row_number().over(Window.partitionBy("src_file", "block").orderBy("at"))).drop("at")
+    before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = lines.groupBy("src_file", "block").agg(F.count("*").alias("n"))
+    offsets = counts.select("src_file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    text = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
+    row = F.col("before") + F.col("place") - 1
+    text = F.when(row == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    return placed.join(offsets, ["src_file", "block"]).select("src_file", row.cast("bigint").alias("row_idx"), text.alias("line"))
 
 
 def split_statement(files: DataFrame, skip_rows: int = 0, header: bool = True) -> DataFrame:
-    """S1 over (src_file, text)."""
-    lines = files.select("src_file", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("row_idx", "line"))
-    kept = lines.where((F.col("row_idx") >= skip_rows + int(header)) & (F.trim("line") != ""))
-    return kept.select("src_file", F.col("row_idx").cast("bigint").alias("row_idx"), "line", csv_fields(F.col("line")).alias("fields"))
+    """S1 over whole files (src_file, text)."""
+    lines = files.select("src_file", F.posexplode(F.split(F.regexp_replace("text", "^\ufeff", ""), "\r?\n")).alias("row_idx", "line"))
+    return csv_rows(lines.withColumn("row_idx", F.col("row_idx").cast("bigint")), skip_rows, header)
+
+
+def csv_rows(lines: DataFrame, skip_rows: int = 0, header: bool = True) -> DataFrame:
+    """Rows (src_file, row_idx, line, fields) of lines (src_file, row_idx, line) below the preamble and header, without empty ones.
+
+    A field in quotes may go over several lines: of a file's lines with an odd number of quotes, every first begins such a row and every
+    second ends it, and only these lines are put in order and joined. Where more than MOST_LINES would be one row, or the last quote
+    never ends, the lines with odd quotes stay rows of their own, with null fields.
+    """
+    first_row = skip_rows + int(header)
+    lines = lines.where(F.col("row_idx") >= first_row)
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    order = Window.partitionBy("src_file").orderBy("row_idx")
+    odd = lines.where(quotes % 2 == 1).select("src_file", "row_idx", F.row_number().over(order).alias("turn"), F.lead("row_idx").over(order).alias("last"))
+    spans = odd.where((F.col("turn") % 2 == 1) & (F.col("last") - F.col("row_idx") < MOST_LINES))
+    members = spans.select("src_file", F.col("row_idx").alias("first"), F.explode(F.sequence("row_idx", "last")).alias("row_idx"))
+    own = lines.join(members, ["src_file", "row_idx"], "left")
+    parts = F.array_sort(F.collect_list(F.struct("row_idx", "line")))
+    joined = own.where("first IS NOT NULL").groupBy("src_file", F.col("first").alias("row_idx")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
+    rows = own.where("first IS NULL").select("src_file", "row_idx", "line").unionByName(joined)
+    return rows.where(F.trim("line") != "").select("src_file", "row_idx", "line", csv_fields(F.col("line")).alias("fields"))
 
 
 def file_name(path: Column) -> Column:
@@ -35,10 +76,14 @@ def file_name(path: Column) -> Column:
 
 
 def csv_fields(line: Column) -> Column:
-    """Fields of one line of CSV: commas within quotes don't part, doubled quotes stand for one. Null where quotes don't pair."""
+    """Fields of one row of CSV: commas and line ends within quotes don't part, doubled quotes stand for one. Null where quotes don't pair.
+
+    Each field is found from where the one before it ends, so a row is read once.
+    """
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
-    parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    plain = F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(p), r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    field_ = r'(?s),\s*(?:"[^"]*+(?:""[^"]*+)*+"\s*(?=,|\z)|[^,]*)'
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(field_), F.lit(0))
+    plain = F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(F.substr(p, F.lit(2))), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
     return F.when(quotes % 2 == 0, plain)
 
 

@@ -11,16 +11,16 @@ from pyspark.sql.window import Window
 
 from tallyforge.operators.rules import categorize
 from tallyforge.sources.sinks import output_partition, statement_year, write_import
-from tallyforge.sources.statements import rejects, split_statement
+from tallyforge.sources.statements import csv_rows, numbered_lines, rejects
 
 #: What tells a statement from any other: its account and the days of its range.
 STATEMENT = ["account", "year", "stmt"]
 VERSIONS = "account string, year string, stmt string, src_file string, modified timestamp, batch bigint"
 
 
-def import_files(files: DataFrame, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Batch form: categorised rows with their statement's account, year and stmt, and the rejected rows, of files (src_file, text)."""
-    good, bad = rejects(normalise(split_statement(files, skip_rows, header)))
+def import_rows(rows: DataFrame, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batch form: categorised rows with their statement's account, year and stmt, and the rejected rows, of what read_statement() or split_statement() give."""
+    good, bad = rejects(normalise(rows))
     ranges = good.groupBy("src_file", "account").agg(F.min("txn_date").alias("start"), F.max("txn_date").alias("end"))
     named = ranges.select("src_file", "account", statement_year(F.col("start"), F.col("end")).alias("year"), output_partition(F.col("account"), F.col("start"), F.col("end")).alias("stmt"))
     return categorize(good, rules).join(named, ["src_file", "account"]), bad
@@ -54,7 +54,7 @@ def _known(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], VERSIONS)
 
 
-def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True) -> None:
+def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: str, normalise: Callable[[DataFrame], DataFrame], rules: DataFrame, skip_rows: int = 0, header: bool = True, encoding: str = "UTF-8") -> None:
     """Reads the files that have come since the last call, by the same functions as the batch form.
 
     A statement is an account and a range of days. When it comes again under a new name its partition is replaced, once: of several
@@ -62,17 +62,17 @@ def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: st
     each partition is from is kept in `versions`, a row per statement and batch; a batch that is run again reads only the other
     batches' rows, so it decides as before. `transactions` has the rows, `rejects` what could not be read.
     """
-    stream = spark.readStream.text(folder, wholetext=True).select(
-        F.col("_metadata.file_path").alias("src_file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text")
-    )
+    file = F.col("_metadata")
+    stream = spark.readStream.text(folder).select(file["file_path"].alias("src_file"), file["file_block_start"].alias("block"), file["file_modification_time"].alias("modified"), "value")
 
     def replace(rows: DataFrame, number: int, path: str) -> None:
         rows.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        good, bad = import_files(batch, normalise, rules, skip_rows, header)
+        rows = csv_rows(numbered_lines(batch.select("src_file", "block", "value"), encoding), skip_rows, header)
+        good, bad = import_rows(rows, normalise, rules)
         known = _known(spark, f"{out}/versions").where(F.col("batch") != number)
-        chosen = replaceable(statement_versions(good, batch), known)
+        chosen = replaceable(statement_versions(good, batch.select("src_file", "modified").distinct()), known)
         replace(chosen, number, f"{out}/versions")
         mine = _known(spark, f"{out}/versions").where(F.col("batch") == number)
         write_import(good.join(mine.select(*STATEMENT, "src_file"), [*STATEMENT, "src_file"], "left_semi"), f"{out}/transactions")

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import csv
 import datetime as dt
 import difflib
 import hashlib
@@ -466,3 +467,58 @@ def test_postings_to_accounts_that_are_not_open_on_their_day(spark):
     bad = {(r.account, r.day.day, r.n, r.reason) for r in found}
     want = {("A", d, "not yet open") for d in (1, 3, 4)} | {("A", 11, "closed")} | {("C", 1, "not yet open")} | {("C", d, "closed") for d in days if d > 3} | {(a, d, "unknown") for a in "BD" for d in days}
     assert bad == {(a, d, n, why) for a, d, why in want for n in (1, 2)} and len(found) == len(bad)
+
+
+def test_large_statements_are_read_in_splits(spark, tmp_path):
+    r = random.Random(1)
+    fields = lambda: [r.choice(["a", "", "x, y", 'say "hi"', "two\nlines", "é", " pad ", "three\n\nlines", "z" * 40]) for _ in range(r.randint(1, 4))]
+    want = {}
+    for name in ("a.csv", "b.csv"):
+        rows = [["pre"], ["Date", "What"], *[fields() for _ in range(300)]]
+        with open(tmp_path / name, "w", newline="", encoding="utf-8-sig") as out:
+            csv.writer(out, quoting=csv.QUOTE_ALL).writerows(rows)
+        with open(tmp_path / name, newline="", encoding="utf-8-sig") as text:
+            reader = csv.reader(text)
+            at, found = 0, []
+            for row in reader:
+                found.append((at, [x.strip() for x in row]))
+                at = reader.line_num
+        want[name] = found[2:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300b", "100m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = statements.read_statement(spark, f"{tmp_path}/*.csv", skip_rows=1)
+        got = {name: [] for name in want}
+        for x in rows.collect():
+            got[x.src_file.rsplit("/", 1)[1]].append((x.row_idx, [f.strip() for f in x.fields]))
+        assert {k: sorted(v) for k, v in got.items()} == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    whole = spark.createDataFrame([(n, (tmp_path / n).read_text(encoding="utf-8")) for n in want], "src_file string, text string")
+    assert {n: sorted((x.row_idx, [f.strip() for f in x.fields]) for x in statements.split_statement(whole, 1).where(F.col("src_file") == n).collect()) for n in want} == want
+
+
+def test_quotes_that_never_end_are_turned_down(spark):
+    text = 'h\n1,"a\n2,b\n3,c"\n4,d\n5,"e\n6,f'
+    rows = statements.split_statement(spark.createDataFrame([("f", text)], "src_file string, text string")).collect()
+    assert sorted((x.row_idx, x.fields) for x in rows) == [(1, ["1", "a\n2,b\n3,c"]), (4, ["4", "d"]), (5, None), (6, ["6", "f"])]
+
+
+def test_fields_of_a_row(spark):
+    cases = {"": [""], ",": ["", ""], "a,b": ["a", "b"], '"a,b",c': ["a,b", "c"], ',"x ""y"""': ["", 'x "y"'], '"",': ["", ""], 'a "b" c,d': ['a "b" c', "d"], "a,,b,": ["a", "", "b", ""], '"a\nb",': ["a\nb", ""], ' "a" , b': ["a", "b"], '"': None}
+    rows = spark.createDataFrame([(x,) for x in cases], "line string").select("line", statements.csv_fields(F.col("line")).alias("f")).collect()
+    assert {x.line: x.f for x in rows} == cases
+
+
+def test_places_of_a_hot_account(spark):
+    from tallyforge.operators import postings
+
+    r = random.Random(7)
+    rows = [(r.choice("AAAAAB") if k else None, r.choice([None, day(2024, 1, r.randint(1, 9))]), r.randint(0, 1), k, r.choice(["Expenses:Uncategorized", "X"])) for k in range(400)]
+    table = spark.createDataFrame(rows, "account string, day date, kind int, row_idx long, category string")
+    found = {x.row_idx: x.place for x in postings.chronological(table, "account", "day").collect()}
+    review = {x.row_idx: x.place for x in postings.uncategorized_first(table, "account", span=16).collect()}
+    for account in ("A", "B", None):
+        own = sorted((x for x in rows if x[0] == account), key=lambda x: (x[1] is not None, x[1] or day(1, 1, 1), x[2], x[3]))
+        assert [found[x[3]] for x in own] == list(range(1, len(own) + 1))
+        own = sorted((x for x in rows if x[0] == account), key=lambda x: (x[4] == "X", x[3]))
+        assert [review[x[3]] for x in own] == list(range(1, len(own) + 1))
