@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -308,33 +310,59 @@ def transfers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, accounts.resolve_transfer_account(rows, spark.createDataFrame(TRANSFER_RULES, "ord int, label string, account_globs array<string>"), open_)
 
 
+def _renamed(sql: str, prefix: str, *names: str) -> str:
+    return re.sub(rf"\b({'|'.join(names)})\b", rf"{prefix}\1", sql)
+
+
+#: Payments, transfers, and descriptions that are worded as both, each third of the events; resolutions as in J3 and J4, over these.
+DECIDED_SQL = f"""{V.ACCOUNT_EVENT_SQL},
+pd AS (SELECT event_id, description FROM ({RESOLUTION_SQL[RESOLUTION_SQL.index("SELECT event_id, CAST(ts") : RESOLUTION_SQL.index("FROM events),")]} FROM events)),
+td AS (SELECT event_id, description FROM ({TRANSFER_SQL[TRANSFER_SQL.index("SELECT event_id, ") : TRANSFER_SQL.index("FROM events),")]} FROM events)),
+d AS (SELECT event_id, CAST(ts AS DATE) AS txn_date, {V.EVENT_ACCOUNT} AS source, CASE event_id % 3 WHEN 0 THEN pd.description WHEN 1 THEN td.description ELSE td.description || ' ' || pd.description END AS description, CAST(value AS DECIMAL(18,4)) AS amount
+  FROM events JOIN pd USING (event_id) JOIN td USING (event_id)),
+{_renamed(RESOLUTION_SQL[RESOLUTION_SQL.index("rule(ord, pattern") :], "p_", "rule", "acc", "hit", "res")},
+{_renamed(TRANSFER_SQL[TRANSFER_SQL.index("p AS (SELECT DISTINCT") :], "t_", "p", "rule", "s", "h", "a", "c", "f", "g", "res")},
+o AS (SELECT DISTINCT txn_date, description, amount, CASE WHEN event_id % 20 = 0 THEN 'payment' ELSE 'transfer' END AS kind FROM d WHERE event_id % 10 = 0)"""
+
+
+def decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Transactions, overrides, and resolutions of payments and of transfers."""
+    pay, move = payments(spark, sf_dir)[0], transfers(spark, sf_dir)[0]
+    rows = move.withColumnRenamed("description", "moved").join(pay.select("event_id", F.col("description").alias("paid")), "event_id")
+    k = F.col("event_id") % 3
+    rows = rows.select("event_id", "txn_date", "source_account", "amount", F.when(k == 0, F.col("paid")).when(k == 1, F.col("moved")).otherwise(F.concat_ws(" ", "moved", "paid")).alias("description"))
+    open_ = accounts.open_accounts(V.account_events(spark, sf_dir), "2024-01-25")
+    paid = accounts.resolve_payment_account(rows, spark.createDataFrame(PAYMENT_RULES, "ord int, pattern string, account_globs array<string>"), open_)
+    moved = accounts.resolve_transfer_account(rows, spark.createDataFrame(TRANSFER_RULES, "ord int, label string, account_globs array<string>"), open_)
+    kind = F.when(F.col("event_id") % 20 == 0, "payment").otherwise("transfer")
+    overrides = rows.where("event_id % 10 = 0").select(kind.alias("kind"), "txn_date", "description", "amount", F.concat(F.lit("Override:"), kind).alias("account"))
+    return rows, overrides, paid, moved
+
+
 @register(
     "j5_counter_accounts",
-    f"""WITH {RESOLUTION_SQL}, o AS (SELECT DISTINCT txn_date, description, amount FROM d WHERE event_id % 10 = 0),
-j AS (SELECT d.*, CASE WHEN o.amount IS NOT NULL THEN 'Assets:Override' WHEN res.n = 1 THEN res.accounts[1] WHEN d.amount > 50 THEN 'Expenses:Large' ELSE 'Expenses:Uncategorized' END AS counter_account
-  FROM d LEFT JOIN o USING (txn_date, description, amount) LEFT JOIN res USING (description))
+    f"""WITH {DECIDED_SQL}, j AS (SELECT d.*, CASE WHEN op.kind IS NOT NULL THEN 'Override:payment' WHEN p.n = 1 THEN p.accounts[1] WHEN ot.kind IS NOT NULL THEN 'Override:transfer' WHEN len(t.accounts) = 1 THEN t.accounts[1]
+    WHEN d.amount > 50 THEN 'Expenses:Large' ELSE 'Expenses:Uncategorized' END AS counter_account
+  FROM d LEFT JOIN o op ON op.kind = 'payment' AND op.txn_date = d.txn_date AND op.description = d.description AND op.amount = d.amount LEFT JOIN o ot ON ot.kind = 'transfer' AND ot.txn_date = d.txn_date AND ot.description = d.description AND ot.amount = d.amount
+  LEFT JOIN p_res p ON p.description = d.description LEFT JOIN t_res t ON t.description = d.description AND t.source = d.source)
 SELECT counter_account, count(*) AS n, sum(amount) AS total FROM j GROUP BY 1""",
 )
 def j5_counter_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, resolved = payments(spark, sf_dir)
-    overrides = rows.where("event_id % 10 = 0").select(F.lit("payment").alias("kind"), "txn_date", "description", "amount", F.lit("Assets:Override").alias("account"))
-    rows = rows.withColumn("source_account", F.lit("Assets:Own")).withColumn("category", F.when(F.col("amount") > 50, "Expenses:Large"))
-    moved = resolved.withColumn("source", F.lit("Assets:Own")).limit(0)
-    return accounts.counter_account(rows, overrides, resolved, moved).groupBy("counter_account").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    """J5 over payments, transfers and both: all six ways to an account."""
+    rows, overrides, paid, moved = decided(spark, sf_dir)
+    rows = rows.withColumn("category", F.when(F.col("amount") > 50, "Expenses:Large"))
+    return accounts.counter_account(rows, overrides, paid, moved).groupBy("counter_account").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
 @register(
     "j6_pending_decisions",
-    f"""WITH {RESOLUTION_SQL}, o AS (SELECT DISTINCT txn_date, description, amount FROM d WHERE event_id % 10 = 0)
-SELECT DISTINCT 'payment' AS kind, pattern, d.txn_date, d.description, d.amount, array_to_string(accounts, ',') AS candidates FROM d JOIN res USING (description)
-WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.txn_date = d.txn_date AND o.description = d.description AND o.amount = d.amount)""",
+    f"""WITH {DECIDED_SQL}, x AS (SELECT 'payment' AS kind, pattern, txn_date, description, amount, array_to_string(accounts, ',') AS candidates FROM d JOIN p_res USING (description) WHERE n > 1
+  UNION SELECT 'transfer', pattern, txn_date, description, amount, array_to_string(accounts, ',') FROM d JOIN t_res USING (description, source) WHERE len(accounts) > 1 AND description NOT IN (SELECT description FROM p_res WHERE n > 0))
+SELECT kind, pattern, txn_date, description, amount, min(candidates) AS candidates FROM x WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.kind = x.kind AND o.txn_date = x.txn_date AND o.description = x.description AND o.amount = x.amount) GROUP BY ALL""",
 )
 def j6_pending_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J6 and U5."""
-    rows, resolved = payments(spark, sf_dir)
-    overrides = rows.where("event_id % 10 = 0").select(F.lit("payment").alias("kind"), "txn_date", "description", "amount", F.lit("x").alias("account"))
-    moved = resolved.withColumn("source", F.lit("Assets:Own")).limit(0)
-    return accounts.pending_decisions(rows.withColumn("source_account", F.lit("Assets:Own")), overrides, resolved, moved).withColumn("candidates", F.array_join("candidates", ","))
+    """J6 and U5 over payments, transfers and both."""
+    return accounts.pending_decisions(*decided(spark, sf_dir)).withColumn("candidates", F.array_join("candidates", ","))
 
 
 @register(
