@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,8 +208,8 @@ JUDGED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa
 def _judged(key: tuple, rows: pa.Table) -> pa.Table:
     """Of some terms of a language and all its sources: each pair's sum, and the terms that a source has more of than the language."""
     lang, block = key[0].as_py(), key[1].as_py()
-    info = rows.filter(pa.compute.is_null(rows.column("ordinal")))
-    seen = rows.filter(pa.compute.is_valid(rows.column("ordinal")))
+    info = rows.filter(pc.is_null(rows.column("ordinal")))
+    seen = rows.filter(pc.is_valid(rows.column("ordinal")))
     order = sorted(range(info.num_rows), key=info.column("source").to_pylist().__getitem__)
     sources, totals = (info.column(c).take(order).to_pylist() for c in ("source", "n"))
     kept, first = info.column("kept")[0].as_py(), block * BLOCK
