@@ -57,31 +57,21 @@ class Aligner:
         if not text:
             return None
         spaced = " " + text
-        a, b = self.a.ids(spaced).astype(np.int64), np.array(self.b.encode(text), np.int64)
-        whole = spaced.encode()
-        if any(b"".join(map(spelt.__getitem__, ids.tolist())) != whole for spelt, ids in ((self.bytes_a, a), (self.bytes_b, b))):
+        a, list_b, whole = self.a.ids(spaced).astype(np.int64), self.b.encode(text), spaced.encode()
+        ends_a = np.cumsum(self.len_a[a])
+        # A byte-level token is a piece of its text's own bytes, so that all are there if there are as many; the other model may have changed some.
+        if ends_a[-1] != len(whole) or b"".join(map(self.bytes_b.__getitem__, list_b)) != whole:
             return None
-        ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
+        b = np.array(list_b, np.int64)
+        ends_b = np.cumsum(self.len_b[b])
         index_a, index_b = (dict(zip(e.tolist(), range(1, len(e) + 1), strict=True)) for e in (ends_a, ends_b))
         common = sorted(index_a.keys() & index_b.keys())
         cut_a, cut_b = (np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
-        return Aligned(a, b, cut_a, cut_b, self._links(a, b, ends_a, ends_b, cut_a, cut_b))
-
-    def _links(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, cut_a: np.ndarray, cut_b: np.ndarray) -> np.ndarray:
-        """Pairs of ids that share a byte, slice by slice: each end in a slice, of either list, closes the bytes of one pair, so a slice has as many pairs as ends."""
-        in_a, in_b = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
-        n = in_a + in_b - 1
-        first = np.cumsum(n) - n
-        step = np.arange(int(n.sum())) - np.repeat(first, n)
-        # Where one list has a single token in a slice, that token meets all of the other list's.
-        at_a = np.repeat(cut_a - in_a, n) + np.where(np.repeat(in_a == 1, n), 0, step)
-        at_b = np.repeat(cut_b - in_b, n) + np.where(np.repeat(in_b == 1, n), 0, step)
-        for k in np.flatnonzero((in_a > 1) & (in_b > 1)).tolist():
-            i, j = int(cut_a[k] - in_a[k]), int(cut_b[k] - in_b[k])
-            for at in range(int(first[k]), int(first[k] + n[k])):
-                at_a[at], at_b[at] = i, j
-                i, j = i + int(ends_a[i] <= ends_b[j]), j + int(ends_b[j] <= ends_a[i])
-        return a[at_a] * PAIR + b[at_b]
+        # In each slice, the bytes between one end, of either list, and the next are shared by one pair, and no other bytes are.
+        both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = both[np.append(np.diff(both) > 0, True)]
+        links = a[np.searchsorted(ends_a, ends)] * PAIR + b[np.searchsorted(ends_b, ends)]
+        return Aligned(a, b, cut_a, cut_b, links)
 
     def groups(self, found: Aligned) -> bytes:
         """a1,a2|b1;a3|b2,b3 in order."""
