@@ -189,6 +189,110 @@ def test_deep_and_wide_pages_stay_linear():
     assert len(html_text.visible_text(wide)) < 100_000
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<p><button>" + "<span>" * n + "x<hr>" * n,
+        lambda n: "<b><table><tr><td>" + "<i>x" * n + "</b>" * n,
+        lambda n: "<table><tr><td>" * n + "x<br>" * n,
+        lambda n: "x<br><table><tr><td>" * n,
+        lambda n: "<ul><li>x<table><tr><td>" * n,
+        lambda n: "<table><tr><td>x<td>" * n,
+        lambda n: "<li>x<dl><dt>" * n,
+        lambda n: "<table><tr>" + "<td>x" * (n // 2) + "<td>" + "x<br>" * (n // 2),
+    ],
+)
+def test_hostile_pages_stay_linear(page):
+    import time
+
+    n, times = 20_000, []
+    for size in (n, 5 * n):
+        began = time.process_time()
+        text = html_text.visible_text(page(size))
+        times.append(time.process_time() - began)
+        assert text.count("x") == size
+        assert len(text) < 100 * size
+    assert times[1] < 15 * times[0] + 1
+
+
+def tree(r, depth):
+    """A random page of a small grammar: words, paragraphs, parts, lists and tables of words."""
+    kinds = ["words", "p", "div", "table"] + ["ul", "ol"] * (depth < 3)
+    kind = r.choice(kinds)
+    word = lambda: " ".join(r.choice(["a", "bb", "ccc"]) for _ in range(r.randint(1, 3)))
+    if kind == "words":
+        return ("words", word())
+    if kind == "p":
+        return ("p", [("words", word())])
+    if kind == "div":
+        return ("div", [tree(r, depth + 1) for _ in range(r.randint(1, 3))] if depth < 3 else [("words", word())])
+    if kind == "table":
+        columns = r.randint(1, 3)
+        return ("table", [[word() for _ in range(columns)] for _ in range(r.randint(1, 3))])
+    return (kind, [[("words", word()), *[tree(r, depth + 1) for _ in range(r.randint(0, 2))]] for _ in range(r.randint(1, 3))])
+
+
+def written(node):
+    kind, what = node
+    if kind == "words":
+        return what
+    if kind == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in what) + "</table>"
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join("<li>" + " ".join(map(written, item)) + "</li>" for item in what) + f"</{kind}>"
+    return f"<{kind}>" + " ".join(map(written, what)) + f"</{kind}>"
+
+
+def laid_out(node, lists=0):
+    """Pieces of a page: a number is so many line ends at least, a text belongs to the line, and a pair (lines, first, rest) indents what is in it."""
+    kind, what = node
+    if kind == "words":
+        return [what]
+    if kind == "table":
+        widths = [max(len(row[k]) for row in what) for k in range(len(what[0]))]
+        rows = [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=True)).rstrip() for row in what]
+        return [2, *[x for row in rows for x in (("whole", row), 1)], 2]
+    if kind in ("ul", "ol"):
+        out = [1 if lists else 2]
+        for k, item in enumerate(what):
+            sign = "- " if kind == "ul" else f"{k + 1}. "
+            out += [1, ("item", sign, [x for n in item for x in laid_out(n, lists + 1)]), 1]
+        return [*out, 1 if lists else 2]
+    gap = 2 if kind == "p" else 1
+    return [gap, *[x for n in what for x in laid_out(n, lists)], gap]
+
+
+def lines_of(pieces):
+    """The lines, and how many line ends wait behind them."""
+    lines, gap = [""], 0
+    for x in pieces:
+        if isinstance(x, int):
+            gap = max(gap, x)
+            continue
+        new, after = lines_of(x[2]) if x[0] == "item" else ([x[1] if isinstance(x, tuple) else x], 0)
+        if x[0] == "item":
+            new = [x[1] + new[0], *[" " * len(x[1]) + line if line else line for line in new[1:]]]
+        if gap and lines != [""]:
+            lines += [""] * gap
+        glue = " " if not gap and lines[-1] and not isinstance(x, tuple) else ""
+        lines[-1] += glue + new[0]
+        lines += new[1:]
+        gap = after
+    return lines, gap
+
+
+def test_layout_equals_a_plain_renderer():
+    import random
+
+    r = random.Random(11)
+    for _ in range(3000):
+        nodes = [tree(r, 0) for _ in range(r.randint(1, 4))]
+        # Words of two neighbours are parted by a space; an item begins with words, which its marker stands beside.
+        page = " ".join(map(written, nodes))
+        want = "\n".join(lines_of([x for n in nodes for x in laid_out(n)])[0])
+        assert html_text.visible_text(page) == want, page
+
+
 def test_layout_line_by_line():
     page = "<h1>T</h1><p>One <b>two</b><ul><li>a<li>b<ol start=3><li>c</ol></ul><table><tr><th>k<th>value<tr><td colspan=2>wide<tr><td>long<td>v</table>end"
     want = ["T", "", "One two", "", "- a", "- b", "  3. c", "", "k    | value", "wide |", "long | v", "", "end"]
