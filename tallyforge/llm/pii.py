@@ -94,8 +94,8 @@ def _matches(text: Column, kind: str) -> Column:
     )
 
 
-#: What stands before a secret: a name, then a sign of assignment. Such values of 16 characters or more with letters and digits are seeds of the kind secret.
-SECRET_NAMES = ("apikey", "api_key", "api-key", "key", "password", "passwd", "secret", "token")
+#: A digest or key in hexadecimal digits, letters among them, is a seed of the kind secret. It has no base pattern, so that only contexts mark it.
+DIGEST = r"(?i)^(?=.*[a-f])(?=.*[0-9])[0-9a-f]{32,}$"
 
 
 def shape(value: Column) -> Column:
@@ -128,18 +128,17 @@ def _pattern_scores(edges: DataFrame, known: DataFrame) -> DataFrame:
     return hits.join(total, "pattern").select("pattern", "kind", "support", (F.col("mass") / (F.col("all") + 2)).alias("confidence"))
 
 
-def find(docs: DataFrame, most_rounds: int = 8, accept: float = 0.7, support: int = 5) -> DataFrame:
+def find(docs: DataFrame, accept: float = 0.7, support: int = 5) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of struct<kind, start, end>; spans also has what the bootstrapping adds.
 
     A candidate is a word with a digit or @. Its patterns are the word before it, the two words before it, the words
     round it, and the word after it, each with the candidate's shape; an instance is a candidate's text. Base spans, of
-    one word or several, are instances too and the seeds of their kinds, with belief 1; so are secrets: values of 16 characters or more with letters and
-    digits after one of SECRET_NAMES and = or :. What looks like a base kind but fails its check (a card number's last
-    digit, say) is a seed of no kind: it counts against its patterns and is never marked.
+    one word or several, are instances too and the seeds of their kinds, with belief 1; so are digests (DIGEST), of the kind secret. What looks like a base kind
+    but fails its check (a card number's last digit, say) is a seed of no kind: it counts against its patterns and is never marked.
     Each round scores the patterns over the pattern-instance graph, by the beliefs in their instances, and then believes
-    every instance of the kind that its patterns together say most of (noisy or); a seed keeps its own. The rounds end when no
-    more patterns have `support` believed instances and a confidence of `accept`, or after `most_rounds`. Those patterns mark all
-    their candidates that don't touch a base span.
+    every instance of the kind that its patterns together say most of (noisy or); a seed keeps its own. A pattern is accepted if it has `support` believed
+    instances and a confidence of `accept`; the rounds end when the set of accepted patterns is one that was there before. Those patterns mark all
+    their candidates that don't touch a base span, and nothing else is added: a digest in no such context is not marked.
 
     The graph is built from all documents and has one edge for each distinct pair; a hot pattern is one key of an
     aggregation with partial sums. Null texts count as empty and have no spans; null and repeated ids give a row each;
@@ -149,11 +148,10 @@ def find(docs: DataFrame, most_rounds: int = 8, accept: float = 0.7, support: in
     rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
     rows = spill(rows.select("doc_id", "row", matched(text).alias("matched"), candidates(text).alias("candidates")), "spans")
     rows = rows.select("doc_id", "row", "matched", "candidates", F.expr("transform(filter(matched, m -> m.passes), m -> struct(m.kind AS kind, m.start AS start, m.end AS end))").alias("base"))
-    c, form = F.col("c"), shape(F.col("value"))
-    secret = F.col("c.before2").isin(*SECRET_NAMES) & F.col("c.before").isin("=", ":") & (F.length("c.value") >= 16) & c["value"].rlike("[0-9]") & c["value"].rlike(r"\p{L}")
+    form = shape(F.col("value"))
     touches = "exists(matched, m -> {} m.passes AND m.start < c.end AND c.start < m.end)"
     words = rows.select("row", "matched", F.explode("candidates").alias("c")).where("NOT " + touches.format(""))
-    seed = F.when(F.expr(touches.format("NOT")), F.lit("no")).when(secret, F.lit("secret"))
+    seed = F.when(F.expr(touches.format("NOT")), F.lit("no")).when(F.col("c.value").rlike(DIGEST), F.lit("secret"))
     whole = rows.select("row", F.explode("matched").alias("c")).where("c.passes")
     fields = ["row", "c.start", "c.end", "c.value", "c.before2", "c.before", "c.after"]
     found = words.select(*fields, seed.alias("seed")).unionByName(whole.select(*fields, F.col("c.kind").alias("seed")))
@@ -162,21 +160,20 @@ def find(docs: DataFrame, most_rounds: int = 8, accept: float = 0.7, support: in
     found = spill(found.withColumn("form", form).select("row", "start", "end", F.lower("value").alias("instance"), patterns.alias("patterns"), "seed"), "candidates")
     edges = spill(found.select("instance", F.explode("patterns").alias("pattern")).distinct(), "graph")
     seeds = spill(found.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct(), "seeds")
-    known, accepted = seeds, -1
-    for _ in range(most_rounds):
+    known, sets = seeds, set()
+    while True:
         scores = spill(_pattern_scores(edges, known).where(F.col("support") >= support), "patterns")
-        now = scores.where(F.col("confidence") >= accept).count()
-        if now == accepted:
+        accepted = scores.where(F.col("confidence") >= accept).agg(F.count("*"), F.bit_xor(F.xxhash64("pattern", "kind"))).first()
+        if accepted in sets:
             break
-        accepted = now
+        sets.add(accepted)
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
         believed = edges.join(scores, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
         both = seeds.unionByName(believed.select("instance", "kind", "belief"))
         known = spill(both.groupBy("instance").agg(F.max(F.struct("belief", "kind")).alias("best")).select("instance", "best.kind", "best.belief"), "beliefs")
     best = scores.where((F.col("confidence") >= accept) & (F.col("kind") != "no")).groupBy("pattern").agg(F.max(F.struct("confidence", "kind")).alias("best"))
-    marked = found.where("seed IS NULL").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(best, "pattern")
+    marked = found.where("seed IS NULL OR seed = 'secret'").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(best, "pattern")
     marked = marked.groupBy("row", "start", "end").agg(F.max("best")["kind"].alias("kind"))
-    marked = marked.unionByName(found.where("seed = 'secret'").select("row", "start", "end", F.col("seed").alias("kind")))
     added = marked.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     base = F.col("base")
     rank = {k: i for i, k in enumerate([*KINDS, "secret"])}

@@ -120,6 +120,45 @@ def test_contexts_find_identifiers_that_base_patterns_miss(spark):
     assert not any("4929348385146307" in dict(rows)[i][a:b] or "300.1.2.3" in dict(rows)[i][a:b] for i, _, a, b in found)
 
 
+def test_contexts_of_random_words_are_learnt_as_well(spark):
+    """Lead phrases that nobody chose, a third of all identifiers in no context at all, and lead phrases that also stand before plain numbers."""
+    import random
+
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+        words = [word() for _ in range(400)]
+        kinds = {"email": (lambda: f"{word()}@{word()}.example.org", lambda: f"{word()}{rng.randrange(99)}@desk"), "phone": (lambda: f"+1 202 555 {rng.randrange(10_000):04d}", lambda: f"{rng.randrange(10**9, 10**10)}"), "secret": (lambda: f"{rng.getrandbits(256):064x}", lambda: f"{word()}-{rng.randrange(10**8)}{word()}")}
+        lead = {k: [f"{word()} {word()}", f"{word()} {word()}:", f"{word()} {word()}"] for k in kinds}
+        rows, want, stray = [], set(), set()
+        for k in range(900):
+            parts = []
+            for _ in range(3):
+                parts += rng.choices(words, k=rng.randint(2, 8))
+                kind, hidden, bare = rng.choice(list(kinds)), k % 4 == 0, rng.random() < 0.33
+                parts += [] if bare else [rng.choice(lead[kind])]
+                at, value = len(" ".join(parts)) + 1, kinds[kind][hidden]()
+                parts.append(value)
+                if hidden:
+                    (stray if bare else want).add((k, kind, at, at + len(value)))
+                parts += rng.choices(words, k=2)
+                if rng.random() < 0.05:
+                    parts += [rng.choice(lead[kind]), str(rng.randrange(10_000, 99_999))]
+            rows.append((k, " ".join(parts)))
+        found = {(r.doc_id, s.kind, s.start, s.end) for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for s in r.spans}
+        own = {x for x in found if x[0] % 4 == 0}
+        right = own & (want | stray)
+        print(f"precision {len(right) / max(1, len(own)):.3f}, recall {len(own & want) / len(want):.3f} of {len(want)}")
+        assert len(right) / max(1, len(own)) >= 0.85 and len(own & want) / len(want) >= 0.85
+
+
+def test_digests_are_marked_by_their_contexts_alone(spark):
+    digest = lambda k: f"{k:02x}" + "a1b2" * 9 + "e5"
+    rows = [(k, f"set token = {digest(k)} now") for k in range(8)] + [(8, "set token = Xy77-short-one now"), (9, f"commit {digest(9)} was made"), (10, "total = 12345 now")]
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(found[k] == [("secret", 12, 52)] for k in range(8)) and found[8] == [("secret", 12, 26)] and found[9] == [] and found[10] == []
+
+
 HTML = [
     ("<p>One<p>Two<br>three", "One\n\nTwo\nthree"),
     ("<ul><li>a<li>b<ol start=3><li>c</ol></ul>x", "- a\n- b\n  3. c\n\nx"),
