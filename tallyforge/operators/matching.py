@@ -77,12 +77,16 @@ def _amount_buckets(amount: Column, absolute: str, share: str) -> tuple[Column,
     return log.cast("bigint"), linear.cast("bigint")
 
 
+def _days() -> Column:
+    return F.abs(F.datediff("txn_date", "receipt_date"))
+
+
 def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: str, share: str, amount: str = "wanted", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within the days and the amount's tolerance, each once, by equi-joins only.
 
     A receipt looks in linear buckets if its tolerance is the absolute one, else in logarithmic ones, so it meets a transaction
-    once. A dated receipt is repeated for every day of its window and meets the transactions of that day; one without a date
-    meets those of its buckets. `amount` is the receipt's amount to be matched. `keys` are columns of both sides that must be equal,
+    once. Days are numbered in spans of one more than `days`; a dated receipt looks in the span of its day and in both
+    beside it, and the pairs within the days are kept; one without a date meets the transactions of its buckets. `amount` is the receipt's amount to be matched. `keys` are columns of both sides that must be equal,
     such as the owner of a ledger: with them the pairs grow with the number of ledgers, and not with the square of all receipts.
     """
     tolerance = amount_tolerance(F.col(amount), absolute, share)
@@ -93,12 +97,14 @@ def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: s
     near = F.array(*[F.struct(flat.alias("flat"), (F.when(flat, lin_r).otherwise(log_r) + d).alias("n")) for d in (-1, 0, 1)])
     own = F.array(F.struct(F.lit(False).alias("flat"), log_t.alias("n")), F.struct(F.lit(True).alias("flat"), lin_t.alias("n")))
     keyed = txns.withColumn("bucket", F.explode(own))
-    window = F.expr(f"sequence(date_sub(receipt_date, {days}), date_add(receipt_date, {days}))")
-    dated = receipts.where("receipt_date IS NOT NULL").withColumn("txn_date", F.explode(window)).withColumn("bucket", F.explode(near))
+    span = lambda c: F.floor(F.unix_date(c) / (days + 1))
+    spans = F.explode(F.array(*[span(F.col("receipt_date")) + d for d in (-1, 0, 1)]))
+    dated = receipts.where("receipt_date IS NOT NULL").withColumn("__span", spans).withColumn("bucket", F.explode(near))
     undated = receipts.where("receipt_date IS NULL").withColumn("bucket", F.explode(near))
     gap = F.abs(F.col("amount") - F.col(amount)).cast(MONEY)
     columns = [*receipts.columns, *[c for c in txns.columns if c not in keys]]
-    pairs = dated.join(keyed, [*keys, "txn_date", "bucket"]).select(*columns).unionByName(undated.join(keyed, [*keys, "bucket"]).select(*columns))
+    by_day = dated.join(keyed.withColumn("__span", span(F.col("txn_date"))), [*keys, "__span", "bucket"]).where(_days() <= days)
+    pairs = by_day.select(*columns).unionByName(undated.join(keyed, [*keys, "bucket"]).select(*columns))
     return pairs.withColumn("gap", gap).where("gap <= tolerance")
 
 
@@ -109,10 +115,6 @@ def _similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", F.coalesce(likeness, F.lit(0.0))).withColumn("matched_family", family)
 
 
-def _days() -> Column:
-    return F.abs(F.datediff("txn_date", "receipt_date"))
-
-
 def _judged(config: MatchConfig) -> tuple[Column, Column]:
     """Whether a candidate pair lies within a configuration, and its confidence.
 

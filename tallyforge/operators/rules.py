@@ -154,14 +154,15 @@ def classify_items(items: DataFrame, rules: DataFrame, description: str = "descr
 
 
 def category_accounts(classified: DataFrame, accounts: DataFrame, default: str = "Expenses:FIXME") -> DataFrame:
-    """An account for each row's category, else for its first tag that has one; an Expenses: value stands for itself."""
+    """An account for each row's category, else for its first tag that has one; an Expenses: value stands for itself. Each distinct category with its tags is looked up once."""
     keys = accounts.groupBy("key").agg(F.max_by("account", "ord").alias("account"))
-    keyed = classified.withColumn("__row", F.monotonically_increasing_id())
-    wanted = F.concat(F.array("category"), F.coalesce("tags", F.array().cast("array<string>")))
-    each = keyed.select("__row", F.posexplode(wanted).alias("pos", "key")).where("key IS NOT NULL").join(keys, "key", "left")
+    named = classified.select(F.col("category").alias("__category"), F.coalesce("tags", F.array().cast("array<string>")).alias("__tags")).distinct()
+    wanted = F.concat(F.array("__category"), F.col("__tags"))
+    each = named.select("__category", "__tags", F.posexplode(wanted).alias("pos", "key")).where("key IS NOT NULL").join(keys, "key", "left")
     direct = F.when(F.col("key").startswith("Expenses:"), F.col("key")).otherwise(F.col("account"))
-    found = each.select("__row", "pos", direct.alias("account")).where("account IS NOT NULL").groupBy("__row").agg(F.min_by("account", "pos").alias("account"))
-    return keyed.join(found, "__row", "left").select(*classified.columns, F.coalesce("account", F.lit(default)).alias("account"))
+    found = each.select("__category", "__tags", "pos", direct.alias("account")).where("account IS NOT NULL").groupBy("__category", "__tags").agg(F.min_by("account", "pos").alias("account"))
+    same = F.col("category").eqNullSafe(F.col("__category")) & (F.coalesce("tags", F.array().cast("array<string>")) == F.col("__tags"))
+    return classified.join(found, same, "left").select(*classified.columns, F.coalesce("account", F.lit(default)).alias("account"))
 
 
 def account_categories(accounts: DataFrame) -> DataFrame:
