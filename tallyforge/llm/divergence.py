@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
@@ -20,10 +19,10 @@ from pyspark.sql.window import Window
 
 from tallyforge.llm.shared import spill
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Terms of one transducer, bytes of transducers that go with one reading of the texts, distinct terms that a task holds, and terms that meet in one group.
-TERMS, LOAD, HELD, BLOCK = 50_000, 64 << 20, 400_000, 256
+#: Bytes of UTF-8: those of terms as they are, A-Z lower-cased, all others spaces.
+TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
+#: Terms of one transducer, bytes of transducers that go with one reading of the texts, occurrences that a task holds, and terms that meet in one group.
+TERMS, LOAD, HELD, BLOCK = 50_000, 64 << 20, 12_000_000, 256
 SCALE = 1_000_000_000
 #: A state and a character as one number.
 CHARS = 1 << 21
@@ -107,27 +106,44 @@ class Transducer:
 
 
 SEEN = pa.schema([("lang", pa.string()), ("term", pa.string()), ("n", pa.int64())])
+COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("ordinal", pa.int64()), ("n", pa.int64())])
 
 
-def _terms(text: str) -> list[str]:
-    return TERM.findall(text)
+class Numbers:
+    """Numbers of terms as they are met."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+
+    def of(self, text: bytes) -> np.ndarray:
+        """A number for each term of a text."""
+        found = text.translate(TERM_BYTES).split()
+        return np.fromiter(map(self.number.__getitem__, found), np.int32, len(found))
+
+    def terms(self) -> list[str]:
+        return [term.decode() for term in self.number]
+
+
+def _repeated(value: str, n: int) -> pa.Array:
+    return pa.array([value], pa.string()).take(pa.array(np.zeros(n, np.int64)))
 
 
 def _seen(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
     """(lang, term, n): how many of some documents have a term."""
-    found: dict[str, Counter] = {}
+    found: dict[str, tuple[Numbers, list[np.ndarray]]] = {}
     n = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for lang, counts in found.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(counts), "term": list(counts), "n": list(counts.values())}, SEEN)
+        for lang, (numbers, parts) in found.items():
+            counts = np.bincount(np.concatenate(parts), minlength=len(numbers.number))
+            yield pa.RecordBatch.from_arrays([_repeated(lang, len(counts)), pa.array(numbers.terms(), pa.string()), pa.array(counts)], schema=SEEN)
 
     for batch in batches:
-        for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
-            counts = found.setdefault(lang, Counter())
-            n -= len(counts)
-            counts.update({t.translate(LOWER) for t in set(_terms(text.as_py()))})
-            n += len(counts)
+        for text, lang in zip(batch.column("text").cast(pa.binary()), batch.column("lang").to_pylist(), strict=True):
+            numbers, parts = found.setdefault(lang, (Numbers(), []))
+            parts.append(np.unique(numbers.of(text.as_py())))
+            n += len(parts[-1])
             if n >= held:
                 yield from flush()
                 found, n = {}, 0
@@ -160,36 +176,44 @@ class Shard(NamedTuple):
 
 
 def _recounted(batches: Iterator[pa.RecordBatch], load: Broadcast, held: int) -> Iterator[pa.RecordBatch]:
-    """(lang, source, ordinal, n): how often the kept terms of a load occur in some documents."""
+    """(lang, source, ordinal, n): how often the kept terms of a load occur in some documents.
+
+    Texts are held as numbers of their terms; each distinct term walks through the transducers once, and its ordinal then counts all of its occurrences.
+    """
     shards: dict[str, list[Shard]] = {}
     for lang, first, base, data in load.value:
         shards.setdefault(lang, []).append(Shard(first, base, Transducer.loaded(data)))
-    found: dict[tuple[str, str], Counter] = {}
+    found: dict[str, tuple[Numbers, dict[str, list[np.ndarray]]]] = {}
     n = 0
 
+    def ordinals(lang: str, terms: list[str]) -> np.ndarray:
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        inside = [terms[k] for k in order]
+        cuts = [bisect_left(inside, s.first) for s in shards[lang]] + [len(inside)]
+        out = np.full(len(terms), -1, np.int64)
+        for shard, a, b in zip(shards[lang], cuts, cuts[1:], strict=False):
+            own = shard.transducer.ordinals(inside[a:b])
+            out[order[a:b]] = np.where(own >= 0, own + shard.base, -1)
+        return out
+
     def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), counts in found.items():
-            lowered: Counter = Counter()
-            for term, times in counts.items():
-                lowered[term.translate(LOWER)] += times
-            terms, own = sorted(lowered), shards[lang]
-            cuts = [bisect_left(terms, s.first) for s in own] + [len(terms)]
-            ordinal = np.full(len(terms), -1, np.int64)
-            for shard, a, b in zip(own, cuts, cuts[1:], strict=False):
-                inside = shard.transducer.ordinals(terms[a:b])
-                ordinal[a:b] = np.where(inside >= 0, inside + shard.base, -1)
-            kept = np.flatnonzero(ordinal >= 0)
-            times = np.fromiter((lowered[t] for t in terms), np.int64, len(terms))[kept]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([source] * len(kept), pa.string()), pa.array(ordinal[kept]), pa.array(times)], names=["lang", "source", "ordinal", "n"])
+        for lang, (numbers, by_source) in found.items():
+            ordinal = ordinals(lang, numbers.terms())
+            for source, parts in by_source.items():
+                number, times = np.unique(np.concatenate(parts), return_counts=True)
+                own = ordinal[number]
+                kept = own >= 0
+                arrays = [_repeated(lang, int(kept.sum())), _repeated(source, int(kept.sum())), pa.array(own[kept]), pa.array(times[kept])]
+                yield pa.RecordBatch.from_arrays(arrays, schema=COUNTED)
 
     for batch in batches:
-        for text, lang, source in zip(batch.column("text"), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
+        for text, lang, source in zip(batch.column("text").cast(pa.binary()), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
             if lang not in shards:
                 continue
-            counts = found.setdefault((lang, source), Counter())
-            n -= len(counts)
-            counts.update(_terms(text.as_py()))
-            n += len(counts)
+            numbers, by_source = found.setdefault(lang, (Numbers(), {}))
+            part = numbers.of(text.as_py())
+            by_source.setdefault(source, []).append(part)
+            n += len(part)
             if n >= held:
                 yield from flush()
                 found, n = {}, 0
@@ -214,22 +238,19 @@ def _judged(key: tuple, rows: pa.Table) -> pa.Table:
     sources, totals = (info.column(c).take(order).to_pylist() for c in ("source", "n"))
     kept, first = info.column("kept")[0].as_py(), block * BLOCK
     n = np.zeros((len(sources), min(BLOCK, kept - first)), np.int64)
-    row = dict(zip(sources, range(len(sources)), strict=True))
-    n[[row[s] for s in seen.column("source").to_pylist()], seen.column("ordinal").to_numpy() - first] = seen.column("n").to_numpy()
+    at = pc.index_in(seen.column("source"), value_set=pa.array(sources, pa.string())).to_numpy()
+    n[at, seen.column("ordinal").to_numpy() - first] = seen.column("n").to_numpy()
     p = np.stack([shares(x, t + kept) for x, t in zip(n, totals, strict=True)])
     q = shares(n.sum(axis=0), sum(totals) + kept)
-    names, parts = pa.array(sources, pa.string()), []
-    for k, source in enumerate(sources):
-        others = np.delete(np.arange(len(sources)), k)
-        value = ((p[k] - p) ** 2 // p).sum(axis=1)[others]
-        parts.append(_part(lang, source, names.take(pa.array(others)), pa.nulls(len(others), pa.int64()), value))
-        more = np.flatnonzero((n[k] > 0) & (p[k] > q))
-        parts.append(_part(lang, source, pa.nulls(len(more), pa.string()), pa.array(first + more), ((p[k] - q) ** 2 // q)[more]))
-    return pa.concat_tables(parts)
-
-
-def _part(lang: str, source: str, other: pa.Array, ordinal: pa.Array, value: np.ndarray) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([lang] * len(value), pa.string()), pa.array([source] * len(value), pa.string()), other, ordinal, pa.array(value)], schema=JUDGED)
+    sums = np.stack([((own - p) ** 2 // p).sum(axis=1) for own in p])
+    one, other = np.nonzero(~np.eye(len(sources), dtype=bool))
+    more, term = np.nonzero((n > 0) & (p > q))
+    names = pa.array(sources, pa.string())
+    columns = [
+        _repeated(lang, len(one) + len(more)), names.take(pa.array(np.concatenate([one, more]))), pa.concat_arrays([names.take(pa.array(other)), pa.nulls(len(more), pa.string())]),
+        pa.concat_arrays([pa.nulls(len(one), pa.int64()), pa.array(first + term)]), pa.array(np.concatenate([sums[one, other], ((p - q) ** 2 // q)[more, term]])),
+    ]
+    return pa.Table.from_arrays(columns, schema=JUDGED)
 
 
 def vocabulary(docs: DataFrame, least: int, terms: int = TERMS, held: int = HELD) -> DataFrame:
