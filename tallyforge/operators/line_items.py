@@ -21,33 +21,37 @@ SAVED = r"(?i)\b(?:YOU SAVED?|SAVINGS|PROMO|COUPON|DISCOUNT)\b"
 #: A quantity at a price; one whose total follows; and an offer that is neither.
 QUANTITY, QUANTITY_TOTAL, OFFER = r"^\s*[0-9]+(?:\.[0-9]+)?\s*[0-9A-Za-z]{0,2}\s*@", r"@.*[0-9]\.[0-9]{2}.*\s\$?-?[0-9]+\.[0-9]{2}\s*[A-Z]{0,3}\s*$", r"@.*/\s*\$"
 MULTIBUY, SIZE = r"(?i)[0-9]\s*/\s*FOR\b", r"(?i)^\([0-9]+(?:\.[0-9]+)?\s*(?:KG|G|ML|L|LB|OZ|PK)\)$"
+SUMMARY = rf"{SUBTOTAL}|{TAX}|{TOTAL}"
 LABELS = ("ITEM", "ITEMS", "QTY", "PRICE", "AMOUNT", "DESCRIPTION")
 
 ITEM = f"struct<line_no: int, description: string, price: {MONEY}>"
 
 
-def read_line(text: Column) -> Column:
-    """struct(kind, words, price): what a line is to the fold.
+def read_lines(lines: DataFrame) -> DataFrame:
+    """(receipt_id, line_no, kind, words, price) of lines (receipt_id, line_no, text): what each line is to the fold.
 
     item has words and a price of its own; words have no price; paid is a price for the words before it (of a quantity, a
     multiple offer, or a broken marker), size the same with a package's size, and bare nothing but a price; ahead is a price beside a
     sale's sign, for the words before or, if these have theirs, after it; head is a department, whose price may be the next words'; saved
     says that the next bare price is what was saved; total and stop end what was open; other lines are skipped.
+    Each column is worked out once, from those of the step before.
     """
-    line = F.regexp_replace(text, r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2")
-    price = F.regexp_extract(line, END, 1).try_cast(MONEY)
-    rest = F.trim(F.when(price.isNotNull(), F.regexp_replace(line, END, "")).otherwise(line))
-    words = F.regexp_replace(F.regexp_replace(rest, r"^\([0-9]+\)\s*", ""), r"^[0-9]{8,}\s+", "")
-    spelt = F.regexp_replace(words, r"\([^)]*\)?", " ").rlike(r"\p{L}{2}")
-    promo = F.regexp_extract(F.regexp_replace(line, REGULAR, ""), END, 1).try_cast(MONEY)
-    priced = (
-        F.when(words.rlike(SIZE), "size").when(rest == "", "bare").when(rest.rlike(MULTIBUY) | ~spelt, "paid").when(F.upper(rest).isin(*LABELS), "skip").otherwise("item")
-    )
-    named = F.when(rest.rlike(SECTION), "head").when(~spelt | rest.rlike(MULTIBUY) | words.startswith("(") | F.upper(rest).isin(*LABELS), "skip").otherwise("words")
+    text, line, rest, words, price = (F.col(c) for c in ("text", "line", "rest", "words", "price"))
+    rows = lines.select("receipt_id", F.col("line_no").cast("int").alias("line_no"), "text", F.regexp_replace("text", r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2").alias("line"))
+    rows = rows.withColumn("price", F.regexp_extract(line, END, 1).try_cast(MONEY)).withColumn("regular", line.rlike(REGULAR))
+    rows = rows.withColumn("rest", F.trim(F.when(price.isNotNull(), F.regexp_replace(line, END, "")).otherwise(line)))
+    rows = rows.withColumn("words", F.regexp_replace(F.regexp_replace(rest, r"^\([0-9]+\)\s*", ""), r"^[0-9]{8,}\s+", ""))
+    rows = rows.withColumn("spelt", F.regexp_replace(words, r"\([^)]*\)?", " ").rlike(r"\p{L}{2}"))
+    beside = F.when(F.col("regular"), F.regexp_extract(F.regexp_replace(line, REGULAR, ""), END, 1).try_cast(MONEY)).otherwise(price)
+    rows = rows.withColumn("beside", beside)
+    label = F.upper(rest).isin(*LABELS)
+    priced = F.when(words.rlike(SIZE), "size").when(rest == "", "bare").when(rest.rlike(MULTIBUY) | ~F.col("spelt"), "paid").when(label, "skip").otherwise("item")
+    named = F.when(rest.rlike(SECTION), "head").when(~F.col("spelt") | rest.rlike(MULTIBUY) | words.startswith("(") | label, "skip").otherwise("words")
     kind = (
-        F.when(rest.rlike(HEADER), "head")
-        .when(line.rlike(REGULAR) | line.rlike(ON_SALE), F.when(promo.isNull(), "skip").otherwise("ahead"))
-        .when(text.rlike(SUBTOTAL) | text.rlike(TAX) | text.rlike(TOTAL), "total")
+        F.when(text.isNull(), "skip")
+        .when(rest.rlike(HEADER), "head")
+        .when(F.col("regular") | line.rlike(ON_SALE), F.when(F.col("beside").isNull(), "skip").otherwise("ahead"))
+        .when(text.rlike(SUMMARY), "total")
         .when(text.rlike(METADATA) | text.rlike(PAYMENT) | text.rlike(CARD), "stop")
         .when(line.rlike(QUANTITY), F.when(line.rlike(QUANTITY_TOTAL), "paid").otherwise("skip"))
         .when(line.rlike(OFFER), "skip")
@@ -55,8 +59,8 @@ def read_line(text: Column) -> Column:
         .when(price.isNotNull(), priced)
         .otherwise(named)
     )
-    kind = F.when(text.isNull(), "skip").otherwise(kind)
-    return F.struct(kind.alias("kind"), words.alias("words"), F.when(kind == "ahead", promo).otherwise(price).alias("price"))
+    rows = rows.withColumn("kind", kind)
+    return rows.select("receipt_id", "line_no", "kind", "words", F.when(F.col("kind") == "ahead", F.col("beside")).otherwise(price).alias("price"))
 
 
 def _step(s: Column, x: Column) -> Column:
@@ -99,9 +103,8 @@ def extract_items(lines: DataFrame, amounts: DataFrame | None = None) -> DataFra
     one of them is that amount, which is then used up. line_no is that of the price, or of the words that got a price from before them.
     Null lines are skipped; a receipt without items gives no rows.
     """
-    rows = lines.select("receipt_id", F.col("line_no").cast("int").alias("line_no"), read_line(F.col("text")).alias("line"))
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line.kind", "line.words", "line.price"))).alias("lines")
-    receipts = rows.groupBy("receipt_id").agg(ordered)
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "kind", "words", "price"))).alias("lines")
+    receipts = read_lines(lines).groupBy("receipt_id").agg(ordered)
     none = F.array().cast(f"array<{MONEY}>")
     if amounts is None:
         receipts = receipts.withColumn("amounts", none)
