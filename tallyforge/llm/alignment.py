@@ -9,6 +9,7 @@ from functools import partial
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -110,7 +111,8 @@ def _numbers(data: bytes) -> np.ndarray:
 
 def _block(number: int, docs: list[dict], links: list[np.ndarray]) -> pa.RecordBatch:
     """Links are kept as places among the block's distinct pairs, of which the most frequent come first."""
-    pairs, place, times = np.unique(np.concatenate([np.empty(0, np.int64), *links]), return_inverse=True, return_counts=True)
+    place, pairs = pd.factorize(np.concatenate([np.empty(0, np.int64), *links]))
+    times = np.bincount(place, minlength=len(pairs))
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
