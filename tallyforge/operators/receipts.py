@@ -232,7 +232,7 @@ def nearest_lines(prices: DataFrame, lines: DataFrame, tolerance: float = 0.02,
     """
     below = F.coalesce("below", F.lit(False)) if "below" in prices.columns else F.lit(False)
     lines = lines.where("valid") if "valid" in lines.columns else lines
-    strip = lambda c: F.floor(c.cast("double") / reach)
+    strip = lambda c: F.floor(c.cast("double") / (max(reach, tolerance) * 1.0001))
     near = F.explode(F.array(*[strip(F.col("price_y")) + d for d in (-1, 0, 1)])).alias("strip")
     own = prices.select("receipt_id", "price_id", "price_y", below.alias("below"), near)
     pairs = own.join(lines.select("receipt_id", "line_id", "line_y", strip(F.col("line_y")).alias("strip")), ["receipt_id", "strip"])
