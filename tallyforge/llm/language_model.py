@@ -10,7 +10,6 @@ the driver, and no step holds more than one chunk or one group.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -99,24 +98,20 @@ _TOLD = [("chunk", _LONG), ("shard", _LONG), ("totals", _BLOB), ("owned", _LONG)
 def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """One row per chunk: its documents' tokens by number, its words in the order of their hashes, and the words' training counts."""
 
-    def fresh() -> tuple:
-        vocabulary: defaultdict[bytes, int] = defaultdict()
-        vocabulary.default_factory = vocabulary.__len__
-        return vocabulary, [], [], [], 0
-
     def row(first: int) -> pa.RecordBatch:
-        words = list(vocabulary)
+        lengths = np.array(sizes, np.int64)
+        found = _spaced([x for x in lines if x]).dictionary_encode()
+        words = [w[:-1] for w in found.dictionary.to_pylist()]
         order = np.argsort(hashes_of(words))
         number = np.empty(len(words), np.int32)
         number[order] = np.arange(len(words), dtype=np.int32)
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        flat = number[np.concatenate(tokens)]
+        flat = number[found.indices.to_numpy(zero_copy_only=False)]
         train = np.repeat(~np.array(held_), lengths)
         counts = np.bincount(flat[train], minlength=len(words)).astype(np.int64)
         blobs = [packed(lengths), packed(flat), zstandard.compress(b" ".join([words[k] for k in order]), 1), packed(counts)]
         return _table([(first, ids, held_, *blobs, len(flat), int(train.sum()), held_.count(False))], _CHUNK)
 
-    vocabulary, ids, held_, tokens, size = fresh()
+    ids, held_, sizes, lines, size = [], [], [], [], 0
     first = 0
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("doc_id", "held_out", "at_file", "at_row")]
@@ -126,15 +121,23 @@ def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.
             words = words_of(text.as_py())
             ids.append(doc_id)
             held_.append(out)
-            tokens.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+            sizes.append(len(words))
+            lines.append(b" ".join(words))
             size += len(text.as_py())
             if size >= chunk_bytes:
                 yield row(first)
-                vocabulary, ids, held_, tokens, size = fresh()
+                ids, held_, sizes, lines, size = [], [], [], [], 0
     if ids:
         yield row(first)
 
 
+def _spaced(lines: list[bytes]) -> pa.Array:
+    """The words of lines that hold one space between two words, each with the space behind it."""
+    flat = np.frombuffer(b" ".join(lines) + b" " if lines else b"", np.uint8)
+    ends = np.concatenate(([0], np.flatnonzero(flat == 32) + 1)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
+
+
 def _asked(chunk: int, keys: np.ndarray, n: np.ndarray, shards: int, words: list[bytes] | None = None) -> list[tuple]:
     """Rows of ASKED: sorted keys cut by ranges of their upper half; words are sent themselves, in the order of their keys."""
     shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
@@ -156,9 +159,7 @@ def _totals(table: pa.Table, words: bool) -> pa.Table:
     each = [unpacked(x, np.float64) for x in table.column("n").to_pylist()]
     n, sizes = np.concatenate(each), np.array([len(x) for x in each])
     if words:
-        flat = np.frombuffer(b" ".join(map(zstandard.decompress, parts)) + b" ", np.uint8)
-        ends = np.concatenate(([0], np.flatnonzero(flat == 32) + 1)).astype(np.int64)
-        keys = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat)])
+        keys = _spaced(list(map(zstandard.decompress, parts)))
     else:
         keys = pa.array(np.concatenate([unpacked(x, np.uint64, True) for x in parts]))
     place = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
@@ -204,51 +205,58 @@ def _numbered(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
 
 
 class Chunk:
-    """A chunk's documents as one run of words, each led by a start and followed by an end, with what is known of the n-grams that end at each place."""
+    """A chunk's documents as one run of words, each led by a start and followed by an end. An n-gram is worked out once, and places say which one ends there."""
 
     def __init__(self, row: dict, m: Model):
         self.m, self.number = m, row["chunk"]
         self.lengths = unpacked(row["lengths"], np.int64)
         tokens = unpacked(row["tokens"], np.int32)
         hashes, totals = unpacked(row["hashes"], np.uint64), unpacked(row["totals"], np.int64)
-        self.stops = np.cumsum(self.lengths + 2)
-        self.starts = self.stops - self.lengths - 2
-        n = int(self.stops[-1])
+        stops = np.cumsum(self.lengths + 2)
+        self.starts = stops - self.lengths - 2
+        n = int(stops[-1])
         self.is_start = np.zeros(n, bool)
         self.is_start[self.starts] = True
         word = np.ones(n, bool)
-        word[self.starts] = word[self.stops - 1] = False
+        word[self.starts] = word[stops - 1] = False
         self.train = np.repeat(~np.array(row["held"]), self.lengths + 2)
-        key, count, kept = np.full(n, END), np.full(n, m.n_docs, np.float64), np.full(n, m.n_docs >= m.least)
-        key[self.starts], kept[self.starts] = START, True
-        key[word] = np.concatenate((np.zeros(m.least, np.uint64), hashes))[tokens]
-        count[word] = np.concatenate((np.arange(m.least), totals))[tokens]
-        kept[word] = tokens >= m.least
-        self.hash = key
-        #: By order: keys of the n-grams, their counts, and whether they are in the model.
-        self.keys, self.counts, self.kept = [key], [count], [kept]
-        #: By order from 2: (places, sorted distinct keys, the place of each among them, those that this chunk owns).
-        self.distinct: list[tuple] = []
+        end = m.least + len(hashes)
+        which = np.full(n, end, np.int32)
+        which[self.starts] = end + 1
+        which[word] = tokens
+        counts = np.concatenate((np.arange(m.least), totals, [m.n_docs, m.n_docs])).astype(np.float64)
+        kept = counts >= m.least
+        kept[end + 1] = True
+        #: By order: which distinct n-gram ends at each place; keys of the distinct ones, their counts, and whether they are in the model.
+        self.which, self.keys = [which], [np.concatenate((np.zeros(m.least, np.uint64), hashes, np.array([END, START])))]
+        self.counts, self.kept = [counts], [kept]
+        #: By order from 2: one place of each distinct n-gram, and those that this chunk owns.
+        self.places: list[np.ndarray] = []
+        self.owned: list[np.ndarray] = []
 
     def propose(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places, distinct keys and inverse of the next order's n-grams; both parts of one must be in the model, which loses none that could be."""
-        before, kept = self.keys[-1], self.kept[-1]
+        before = self.which[-1]
+        kept = self.kept[-1][before]
         places = 1 + np.flatnonzero(kept[:-1] & kept[1:] & ~self.is_start[1:])
-        keys, inverse = np.unique(extended(before[places - 1], self.hash[places]), return_inverse=True)
+        keys, inverse = np.unique(extended(self.keys[-1][before[places - 1]], self.keys[0][self.which[0][places]]), return_inverse=True)
         return places, keys, inverse
 
     def learn(self, told: np.ndarray) -> None:
-        """Takes in the totals of what propose() gave."""
+        """Takes in the totals of what propose() gave. One more number stands for no n-gram of the order."""
         places, keys, inverse = self.propose()
-        n = len(self.hash)
-        key, count, kept = np.zeros(n, np.uint64), np.zeros(n), np.zeros(n, bool)
-        key[places] = keys[inverse]
-        count[places] = np.abs(told)[inverse]
-        kept[places] = count[places] >= self.m.least
-        self.keys.append(key)
-        self.counts.append(count)
-        self.kept.append(kept)
-        self.distinct.append((places, inverse, np.signbit(told) & (np.abs(told) >= self.m.least)))
+        which = np.full(len(self.is_start), len(keys), np.int32)
+        which[places] = inverse
+        one = np.zeros(len(keys), np.int64)
+        one[inverse] = places
+        counts = np.abs(told)
+        kept = counts >= self.m.least
+        self.which.append(which)
+        self.keys.append(np.append(keys, np.uint64(0)))
+        self.counts.append(np.append(counts, 0.0))
+        self.kept.append(np.append(kept, False))
+        self.places.append(one)
+        self.owned.append(np.flatnonzero(np.signbit(told) & kept))
 
     def histories(self) -> np.ndarray:
         """The sorted distinct keys of all states of this chunk."""
@@ -258,49 +266,49 @@ class Chunk:
         """histories() and what each gives to the n-grams that this chunk owns."""
         states = self.histories()
         mass = np.zeros(len(states))
-        for k, (places, inverse, owned) in enumerate(self.distinct):
-            one = np.zeros(len(owned), np.int64)
-            one[inverse] = places  # any place of each distinct n-gram
-            one = one[owned]
-            mass += np.bincount(np.searchsorted(states, self.keys[k][one - 1]), weights=self.counts[k + 1][one] - self.m.discount, minlength=len(states))
+        for k, (one, owned) in enumerate(zip(self.places, self.owned, strict=True)):
+            history = self.which[k][one[owned] - 1]
+            mass += np.bincount(np.searchsorted(states, self.keys[k])[history], weights=self.counts[k + 1][owned] - self.m.discount, minlength=len(states))
         return states, mass
 
     def arcs(self, masses: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-        """By order: log10 probability of the arc that each n-gram is, log10 backoff weight of the state that each is; and the longest n-gram in the model at each place."""
+        """By order: log10 probability of the arc that each n-gram is, log10 weight of the failure arc of the state that each is; and the longest n-gram in the model at each place."""
         states = self.histories()
         logs, falls = [self.m.root(self.counts[0])], []
         lower = 10.0 ** logs[0]
-        longest = self.kept[0].astype(np.int8)
-        for k, (keys, counts, kept) in enumerate(zip(self.keys[:-1], self.counts[:-1], self.kept[:-1], strict=True)):
-            rest = np.ones(len(keys))
-            at = np.flatnonzero(kept & (counts > 0))
-            rest[at] = np.clip(1 - masses[np.searchsorted(states, keys[at])] / counts[at], 1e-12, 1.0)
+        longest = self.kept[0][self.which[0]].astype(np.int8)
+        for k, one in enumerate(self.places):
+            counts = self.counts[k]
+            rest = np.ones(len(counts))
+            at = np.flatnonzero(self.kept[k] & (counts > 0))
+            rest[at] = np.clip(1 - masses[np.searchsorted(states, self.keys[k][at])] / counts[at], 1e-12, 1.0)
             falls.append(np.log10(rest))
-            p = np.ones(len(keys))
             own = np.flatnonzero(self.kept[k + 1])
-            p[own] = (self.counts[k + 1][own] - self.m.discount) / counts[own - 1] + rest[own - 1] * lower[own]
+            history, shorter = self.which[k][one[own] - 1], self.which[k][one[own]]
+            p = np.ones(len(self.kept[k + 1]))
+            p[own] = (self.counts[k + 1][own] - self.m.discount) / counts[history] + rest[history] * lower[shorter]
             logs.append(np.log10(p))
             lower = p
-            longest[own] = k + 2
+            longest[self.kept[k + 1][self.which[k + 1]]] = k + 2
         return logs, falls, longest
 
-
-def _traverse(longest: list[int], arcs: list[list[float]], falls: list[list[float]]) -> float:
-    """One pass from left to right over a document: take the arc of the next word, or fail to a shorter history, down to the root.
-
-    The state is the number of words of its history; longest says how long an arc there is to each word, 0 that it is the root's alone and leads back to it.
-    """
-    top = len(falls)
-    state, total = min(1, top), 0.0
-    for i in range(1, len(longest)):
-        reach = longest[i] or 1
-        while state >= reach:
-            total += falls[state - 1][i - 1]
-            state -= 1
-        total += arcs[state][i]
-        if state < top and longest[i]:
-            state += 1
-    return total
+    def traverse(self, masses: np.ndarray) -> np.ndarray:
+        """log10 probability of each document by one pass from left to right: take the arc of the next word, or fail to a shorter history, down to the root.
+
+        The state after a word is the longest n-gram there that is a state, since both parts of an n-gram in the model are in it too. So the state that is carried to each place, the
+        failure arcs down to the history of the longest n-gram there, and that n-gram's arc are known for all places at once; a word of no state leads from the root back to it.
+        """
+        logs, falls, longest = self.arcs(masses)
+        state = np.minimum(np.append(0, longest[:-1]), len(falls))
+        reach = np.maximum(longest, 1)
+        weight = np.zeros(len(longest))
+        for k, (fall, which) in enumerate(zip(falls, self.which[:-1], strict=True)):
+            at = np.flatnonzero((state > k) & (reach <= k + 1) & ~self.is_start)
+            weight[at] += fall[which[at - 1]]
+        for k, (log, which) in enumerate(zip(logs, self.which, strict=True)):
+            at = np.flatnonzero((reach == k + 1) & ~self.is_start)
+            weight[at] += log[which[at]]
+        return np.bincount(np.repeat(np.arange(len(self.lengths)), self.lengths + 2), weights=weight, minlength=len(self.lengths))
 
 
 def _ask_grams(row: dict, told: pa.Table | None, m: Model, order: int) -> list[tuple]:
@@ -330,8 +338,7 @@ def _scores(left: pa.Table, right: pa.Table, m: Model) -> pa.Table:
     chunk = Chunk(row, m)
     for k in range(2, m.order + 1):
         chunk.learn(_told(right, k))
-    logs, falls, longest = chunk.arcs(np.abs(_told(right, 0)) if m.order > 1 else np.zeros(0))
-    found = [_traverse(longest[a:b].tolist(), [x[a:b].tolist() for x in logs], [x[a:b].tolist() for x in falls]) for a, b in zip(chunk.starts.tolist(), chunk.stops.tolist(), strict=True)]
+    found = chunk.traverse(np.abs(_told(right, 0)) if m.order > 1 else np.zeros(0))
     columns = [
         pa.array(row["doc_ids"], _LONG), pa.array(row["held"]), pa.array(chunk.lengths + 1), pa.array(unpacked(row["known"], np.int64)), pa.array(np.full(len(found), m.n_tokens)),
         pa.array(unpacked(row["base"], np.float64)), pa.array(found, pa.float64()),
