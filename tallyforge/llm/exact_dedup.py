@@ -112,6 +112,9 @@ def exact_dedup(docs: DataFrame, digest=sha256_digest, files_per_batch: int | No
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents, all their columns kept, without the rows that exact_dedup() drops."""
+    """The documents, all their columns kept, without the rows that exact_dedup() drops.
+
+    Columns may have any names; null texts and ids, and repeated rows, are as in exact_dedup(). An empty table gives no rows.
+    """
     docs = stable(docs)
     return without(docs, exact_dedup(docs).where("NOT kept"))

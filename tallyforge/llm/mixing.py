@@ -127,7 +127,10 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
-    """The documents, all their columns kept, each as often as mix() takes it."""
+    """The documents, all their columns kept, each as often as mix() takes it.
+
+    A repeated row is a document of its own; null texts, ids and sources are as in mix(). Columns may have any names. An empty table gives no rows.
+    """
     docs = stable(docs)
     taken = mix(docs, **how).where("copies > 0").select("copies", "at_file", "at_row")
     return whole_rows(docs).join(taken, ["at_file", "at_row"]).select("doc", F.explode(F.sequence(F.lit(1), "copies"))).select("doc.*")

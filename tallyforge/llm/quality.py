@@ -160,7 +160,11 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all their columns kept, whose score reaches the cut."""
+    """The documents, all their columns kept, whose score reaches the cut.
+
+    A null text is scored as the empty one, so equal texts share their fate whatever their ids. Columns may have any names. Without labels
+    of both classes every row is kept; an empty table gives no rows.
+    """
     docs = stable(docs)
     ranker, _ = fit(docs, labels)
     return docs.where(ranker.probability(ranker.score(text_of())) >= CUT)

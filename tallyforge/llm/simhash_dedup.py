@@ -151,6 +151,9 @@ def simhash_dedup(docs: DataFrame, how: Likeness = Likeness()) -> DataFrame:  #
 
 
 def drop_near_copies(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
-    """The documents, all their columns kept, with one row of each component: of five-word similarity 0.8 or more, or linked as `how` says."""
+    """The documents, all their columns kept, with one row of each component: of five-word similarity 0.8 or more, or linked as `how` says.
+
+    The row with the least id stays, null ids last, then by address. Columns may have any names. An empty table gives no rows.
+    """
     docs = stable(docs)
     return without(docs, near_copies(docs) if how is None else simhash_dedup(docs, how).where("NOT kept"))

@@ -5,9 +5,11 @@ from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from tallyforge.llm import quality
+from tallyforge.llm import mixing, quality, simhash_dedup
+from tallyforge.llm import exact_dedup as dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +108,65 @@ def test_run_is_the_same_as_its_stages(spark, tmp_path):
     *_, (_, _, last) = stages(spark, tmp_path)
     pick = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert pick(corpus_pipeline.run(spark, SF)) == pick(last)
+
+
+LONG = " ".join(f"word{k % 977} of{k % 31}" for k in range(40_000))
+BASE = " ".join(f"term{k}" for k in range(44))  # 40 shingles
+ODD = [
+    (1, None, "en", "a", 0), (2, "", None, "a", None), (3, " \t ", "en", None, 3), (4, "same  text here", "en", "b", 1), (4, "same  text here", "en", "b", 1), (6, "same text here", None, "a", 1),
+    (None, "same\ttext here", "en", None, None), (None, None, None, None, None), (7, LONG, "de", "b", 1), (8, LONG, "de", "a", 1), (9, LONG + " end", "de", "a", 1), (11, BASE, "en", "a", 1),
+    (12, BASE + " and eight more words than it did before", "en", "a", 1), (13, BASE + " and twelve more words than it ever had before this one came up", "en", "a", 1),
+]
+PLAIN = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+#: Names that the stages use inside, and one with a dot.
+EXTRA = ["at_file", "at_row", "copies", "score", "digest", "key", "first", "doc", "label", "a.b", "size", "part"]
+
+
+def stored(spark, tmp_path, rows, schema=PLAIN):
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    docs = stored(spark, tmp_path, ODD)
+    all_of = Counter((r.doc_id, r.text) for r in docs.collect())
+
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.quality(spark, docs, SF).collect())
+    assert all(kept[x] in (0, all_of[x]) for x in all_of) and not kept - all_of
+    assert len({kept[x] > 0 for x in all_of if not x[1]}) == 1
+
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.exact(spark, docs, SF).collect())
+    assert kept == Counter([(1, None), (3, " \t "), (4, "same  text here"), (7, LONG), (9, LONG + " end"), *((i, t) for i, t, *_ in ODD if i in (11, 12, 13))])
+
+    # Of 40 shingles, 8 more are a similarity of 40 / 48, and 12 more of 40 / 52; the last two texts share no more.
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert kept == Counter([(1, None), (4, "same  text here"), (7, LONG), (11, BASE), (13, ODD[-1][1])])
+
+    taken = Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, docs, SF).collect())
+    assert set(taken) <= set(all_of) and all(taken[x] <= 2 * all_of[x] for x in taken)
+    assert taken == Counter((r.doc_id, r.text) for r in corpus_pipeline.mixture(spark, docs, SF).collect())
+
+    pieces = corpus_pipeline.packing(spark, docs, SF).collect()
+    assert Counter((r.doc_id, r.length) for r in pieces if r.doc_tokens == 1) == Counter([(1, 1), (2, 1), (None, 1)])
+    assert sum(r.start == 0 for r in pieces) == len(ODD)
+    assert {r.doc_id for r in pieces if r.length == 1024} == {7, 8, 9}
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_of_nothing(spark, tmp_path, name):
+    docs = stored(spark, tmp_path, [])
+    found = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert found.count() == 0
+    assert name == "packing" or found.columns == corpus_pipeline.COLUMNS
+
+
+def test_columns_with_the_names_that_stages_use(spark, tmp_path):
+    schema = PLAIN + "".join(f", `{c}` string" for c in EXTRA)
+    docs = stored(spark, tmp_path, [(*row, *(f"{c}{k}" for c in EXTRA)) for k, row in enumerate(ODD[:7] + ODD[11:])], schema)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    every = {tuple(r) for r in docs.collect()}
+    for found in (quality.keep_good(docs, labels), dedup.drop_copies(docs), simhash_dedup.drop_near_copies(docs), mixing.take_mix(docs)):
+        assert found.columns == docs.columns
+        assert {tuple(r) for r in found.collect()} <= every
+    assert corpus_pipeline.packing(spark, docs, SF).where("start = 0").count() == 10
