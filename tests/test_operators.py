@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
-from tallyforge.functions.likeness import block_ratio
+from tallyforge.functions.likeness import block_ratio, closest
 from tallyforge.operators import accounts, checks, line_items, matching, receipts, review, rules
 from tallyforge.sources import documents, rule_files, sinks, statements
 from tallyforge.streaming.ingest import ingest_statements
@@ -522,3 +522,28 @@ def test_places_of_a_hot_account(spark):
         assert [found[x[3]] for x in own] == list(range(1, len(own) + 1))
         own = sorted((x for x in rows if x[0] == account), key=lambda x: (x[4] == "X", x[3]))
         assert [review[x[3]] for x in own] == list(range(1, len(own) + 1))
+
+
+def test_closest_names_are_found_without_comparing_all(spark):
+    """The same as every pair's likeness in order, with few of the pairs compared."""
+    r, compared = random.Random(9), []
+    for letters in ("abc:", "0123456789C", "aé\U0001f600ü:"):
+        others = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(60)]
+        texts = [others[0], letters, "zz"]
+        like = lambda t, o: (difflib.SequenceMatcher(a=t, b=o).ratio(), o)
+        want = [(i, o, q) for i, t in enumerate(texts) for q, o in sorted((like(t, o) for o in set(others) if o != t), reverse=True)[:3]]
+        assert closest(texts, others, 3, lambda i, o: o != texts[i]) == want  # noqa: B023
+    many = [f"A:B:Customer#{n:09d}" for n in range(0, 900_000, 300)]
+    closest(many[:20], many, 3, lambda i, o: compared.append(o) or True)
+    assert len(compared) < 20 * len(many) / 20
+
+
+def test_suggestions_of_a_parent_in_blocks(spark, monkeypatch):
+    every = spark.createDataFrame([(f"X:Y:{n:04d}",) for n in range(0, 400, 2)] + [(f"X:Z{n}",) for n in range(40)], "account string")
+    unknown = spark.createDataFrame([(f"X:Y:{n:04d}",) for n in range(1, 60, 2)] + [("X:W:1",), ("X:W:2",)], "unknown string")
+    run = lambda: {tuple(r) for r in accounts.suggest_accounts(unknown, every).collect()}
+    whole = run()
+    assert len(whole) == 32 * 3
+    monkeypatch.setattr(accounts, "ASKED_BLOCK", 7)
+    monkeypatch.setattr(accounts, "HELD_BLOCK", 16)
+    assert run() == whole
