@@ -547,3 +547,20 @@ def test_suggestions_of_a_parent_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(accounts, "ASKED_BLOCK", 7)
     monkeypatch.setattr(accounts, "HELD_BLOCK", 16)
     assert run() == whole
+
+
+def test_long_lists_of_candidates_are_put_back_last(spark, monkeypatch):
+    """Of equal transactions the least list counts; rows are grouped without their lists."""
+    txns = spark.createDataFrame([(day(2024, 1, 1), d, D(n), s) for d in ("pay", "move") for n in (1, 2) for s in ("A:1", "A:3", "B")] * 3, "txn_date date, description string, amount decimal(18,4), source_account string")
+    every = [f"A:{n}" for n in range(1, 6)]
+    payments = spark.createDataFrame([("pay", "ambiguous", "P", None, every), ("move", "no_match", None, None, [])], "description string, kind string, pattern string, account string, candidates array<string>")
+    lists = [("move", s, "ambiguous", "M", None, [a for a in every if a != s]) for s in ("A:1", "A:3", "B")]
+    transfers = spark.createDataFrame(lists, "description string, source string, kind string, pattern string, account string, candidates array<string>")
+    overrides = spark.createDataFrame([("payment", day(2024, 1, 1), "pay", D(2), "X")], "kind string, txn_date date, description string, amount decimal(18,4), account string")
+    monkeypatch.setattr(accounts, "LIST_BLOCK", 1)
+    written, checkpoint = [], type(txns).checkpoint
+    monkeypatch.setattr(type(txns), "checkpoint", lambda self, *a, **b: written.append(self.columns) or checkpoint(self, *a, **b))
+    found = accounts.pending_decisions(txns, overrides, payments, transfers).collect()
+    assert {(r.kind, r.pattern, r.amount, tuple(r.candidates)) for r in found} == {("payment", "P", D(1), tuple(every)), ("transfer", "M", D(1), tuple(every)), ("transfer", "M", D(2), tuple(every))}
+    assert len(found) == 3
+    assert any("amount" in c for c in written) and not any({"amount", "candidates"} <= set(c) for c in written)
