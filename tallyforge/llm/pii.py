@@ -123,8 +123,10 @@ def candidates(text: Column) -> Column:
 def _pattern_scores(edges: DataFrame, known: DataFrame) -> DataFrame:
     """(pattern, kind, confidence): the share of a pattern's instances that are known to be of the kind, weighed by belief and kept low on few instances."""
     joined = edges.join(known, "instance", "left")
-    total = edges.groupBy("pattern").agg(F.count("*").alias("all"))
-    hits = joined.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.count("*").alias("support"))
+    each = lambda kind: F.struct(F.lit(kind).alias("kind"), F.sum(F.when(F.col("kind") == kind, F.col("belief"))).alias("mass"), F.count_if(F.col("kind") == kind).alias("support"))
+    total = edges.groupBy("pattern").agg(F.count("*").alias("all"))  # an instance may be a seed of two kinds
+    kinds = joined.groupBy("pattern").agg(F.array(*[each(kind) for kind in [*KINDS, "secret", "no"]]).alias("kinds"))
+    hits = kinds.select("pattern", F.inline(F.filter("kinds", lambda s: s["support"] > 0)))
     return hits.join(total, "pattern").select("pattern", "kind", "support", (F.col("mass") / (F.col("all") + 2)).alias("confidence"))
 
 

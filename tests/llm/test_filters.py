@@ -336,3 +336,13 @@ def test_layout_line_by_line():
     page = "<h1>T</h1><p>One <b>two</b><ul><li>a<li>b<ol start=3><li>c</ol></ul><table><tr><th>k<th>value<tr><td colspan=2>wide<tr><td>long<td>v</table>end"
     want = ["T", "", "One two", "", "- a", "- b", "  3. c", "", "k    | value", "wide |", "long | v", "", "end"]
     assert html_text.visible_text(page).split("\n") == want
+
+
+def test_pattern_scores_read_every_edge_once(spark):
+    """One row of the join for each edge, known or not; an instance that is a seed of two kinds doesn't add to a pattern's total."""
+    edges = spark.createDataFrame([("a", "P"), ("b", "P"), ("c", "P"), ("c", "Q")], "instance string, pattern string")
+    known = spark.createDataFrame([("a", "email", 1.0), ("a", "no", 1.0), ("b", "email", 0.5)], "instance string, kind string, belief double")
+    scores = pii._pattern_scores(edges, known)
+    assert {tuple(r) for r in scores.collect()} == {("P", "email", 2, 1.5 / 5), ("P", "no", 1, 1.0 / 5)}
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "isnotnull(kind" not in plan
