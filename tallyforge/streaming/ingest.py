@@ -69,8 +69,9 @@ def ingest_statements(spark: SparkSession, folder: str, out: str, checkpoint: st
         rows.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = csv_rows(numbered_lines(batch.select("src_file", "block", "value"), encoding), skip_rows, header)
-        good, bad = import_rows(rows, normalise, rules)
+        # Read and normalised once: ranges, versions, transactions and rejects all go by these rows.
+        rows = normalise(csv_rows(numbered_lines(batch.select("src_file", "block", "value"), encoding), skip_rows, header)).checkpoint()
+        good, bad = import_rows(rows, lambda r: r, rules)
         known = _known(spark, f"{out}/versions").where(F.col("batch") != number)
         chosen = replaceable(statement_versions(good, batch.select("src_file", "modified").distinct()), known)
         replace(chosen, number, f"{out}/versions")

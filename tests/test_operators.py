@@ -564,3 +564,14 @@ def test_long_lists_of_candidates_are_put_back_last(spark, monkeypatch):
     assert {(r.kind, r.pattern, r.amount, tuple(r.candidates)) for r in found} == {("payment", "P", D(1), tuple(every)), ("transfer", "M", D(1), tuple(every)), ("transfer", "M", D(2), tuple(every))}
     assert len(found) == 3
     assert any("amount" in c for c in written) and not any({"amount", "candidates"} <= set(c) for c in written)
+
+
+def test_a_batch_is_read_and_normalised_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("1 Jan 2024,SHOP,1.00\nbad,SHOP,2.00\n")
+    written, checkpoint = [], type(spark.range(1)).checkpoint
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a, **b: written.append(self.columns) or checkpoint(self, *a, **b))
+    table = spark.createDataFrame([(0, 0, ["SHOP"], "E:Shop")], "layer int, ord int, keywords array<string>, category string")
+    ingest_statements(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", lambda r: statements.normalize_amex(r, "L:Amex"), table, header=False)
+    assert [r.amount for r in spark.read.parquet(f"{tmp_path}/out/transactions").collect()] == [D("1.0000")] and spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
+    assert len(written) == 1 and "amount" in written[0]
