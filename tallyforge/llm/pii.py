@@ -130,6 +130,12 @@ def _pattern_scores(edges: DataFrame, known: DataFrame) -> DataFrame:
     return hits.join(total, "pattern").select("pattern", "kind", "support", (F.col("mass") / (F.col("all") + 2)).alias("confidence"))
 
 
+def _supported(edges: DataFrame, support: int) -> DataFrame:
+    """The edges of patterns with `support` instances or more: the others never have that many believed ones, so no round has a use for them."""
+    wide = edges.groupBy("pattern").agg(F.count("*").alias("all")).where(F.col("all") >= support)
+    return edges.join(spill(wide.select("pattern"), "supported"), "pattern", "left_semi")
+
+
 def find(docs: DataFrame, accept: float = 0.7, support: int = 5) -> DataFrame:
     """One row per document: doc_id, base and spans, arrays of struct<kind, start, end>; spans also has what the bootstrapping adds.
 
@@ -143,7 +149,7 @@ def find(docs: DataFrame, accept: float = 0.7, support: int = 5) -> DataFrame:
     their candidates that don't touch a base span, and nothing else is added: a digest in no such context is not marked.
 
     The graph is built from all documents and has one edge for each distinct pair; a hot pattern is one key of an
-    aggregation with partial sums. Null texts count as empty and have no spans; null and repeated ids give a row each;
+    aggregation with partial sums. Patterns of fewer than `support` instances are left out before the rounds, which changes no score. Null texts count as empty and have no spans; null and repeated ids give a row each;
     an empty table gives no rows; other columns are not read.
     """
     text = F.col("text")
@@ -160,7 +166,8 @@ def find(docs: DataFrame, accept: float = 0.7, support: int = 5) -> DataFrame:
     patterns = [("L", "before", "form"), ("LL", "before2", "before", "form"), ("LR", "before", "form", "after"), ("R", "form", "after")]
     patterns = F.array_distinct(F.array(*[F.concat_ws(" ", F.lit(name), *parts) for name, *parts in patterns]))
     found = spill(found.withColumn("form", form).select("row", "start", "end", F.lower("value").alias("instance"), patterns.alias("patterns"), "seed"), "candidates")
-    edges = spill(found.select("instance", F.explode("patterns").alias("pattern")).distinct(), "graph")
+    graph = spill(found.select("instance", F.explode("patterns").alias("pattern")).distinct(), "graph")
+    edges = spill(_supported(graph, support), "edges")
     seeds = spill(found.where("seed IS NOT NULL").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct(), "seeds")
     known, sets = seeds, set()
     while True:

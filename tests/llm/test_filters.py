@@ -346,3 +346,10 @@ def test_pattern_scores_read_every_edge_once(spark):
     assert {tuple(r) for r in scores.collect()} == {("P", "email", 2, 1.5 / 5), ("P", "no", 1, 1.0 / 5)}
     plan = scores._jdf.queryExecution().optimizedPlan().toString()
     assert "Join LeftOuter" in plan and "isnotnull(kind" not in plan
+
+
+def test_rounds_read_only_the_edges_of_patterns_that_may_score(spark):
+    """A pattern of fewer instances than the support never scores: its edges are not joined in every round."""
+    edges = spark.createDataFrame([(f"i{k}", "often") for k in range(5)] + [(f"i{k}", "rare") for k in range(4)], "instance string, pattern string")
+    assert {tuple(r) for r in pii._supported(edges, 5).select("instance", "pattern").collect()} == {(f"i{k}", "often") for k in range(5)}
+    assert pii._supported(edges, 4).count() == 9
