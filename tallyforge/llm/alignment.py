@@ -6,6 +6,7 @@ import hashlib
 import threading
 from collections.abc import Iterator
 from functools import partial
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +24,8 @@ from tallyforge.llm.token_counts import pieces
 
 #: Links of a block of documents; a longer document is a block of its own.
 LINKS = 2_000_000
+#: Tokens whose bytes are put together at once.
+SPELT = 1 << 16
 #: A pair of ids as one number: the first one times this, and the second.
 PAIR = 1 << 32
 
@@ -50,24 +53,38 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(sp.id_to_piece, range(sp.get_piece_size())))]
         self.len_a, self.len_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
         self.ids = max(len(self.bytes_a), len(self.bytes_b))
-        #: An id's digits with what follows: a comma, the bar between a group's halves, or the end of the group.
-        self.digits = [b"%d%c" % (i, end) for end in b",|;" for i in range(self.ids)]
+        self.flat_b, self.first_b = np.frombuffer(b"".join(self.bytes_b), np.uint8), np.cumsum(self.len_b) - self.len_b
+        #: An id's digits with what follows: a comma, the bar between a group's halves, or the end of the group; filled up with bytes 0, which no entry has.
+        self.digits = np.array([b"%d%c" % (i, end) for end in b",|;" for i in range(self.ids)])
+
+    def spells(self, b: np.ndarray, whole: bytes) -> bool:
+        """Whether the bytes of these ids are `whole`; worked out for some ids at a time, since each byte takes the room of a few numbers."""
+        at = 0
+        for k in range(0, len(b), SPELT):
+            ids = b[k : k + SPELT]
+            n = self.len_b[ids]
+            ends = np.cumsum(n)
+            found = self.flat_b[np.arange(ends[-1]) + np.repeat(self.first_b[ids] - ends + n, n)].tobytes()
+            if whole[at : at + len(found)] != found:
+                return False
+            at += len(found)
+        return at == len(whole)
 
     def align(self, text: str) -> Aligned | None:
         """None for a text without tokens, or whose bytes either tokenizer changes."""
         if not text:
             return None
         spaced = " " + text
-        a, list_b, whole = self.a.ids(spaced).astype(np.int64), self.b.encode(text), spaced.encode()
+        a, b, whole = self.a.ids(spaced).astype(np.int64), self.b.model.encode(text, return_type="numpy").astype(np.int64), spaced.encode()
         ends_a = np.cumsum(self.len_a[a])
         # A byte-level token is a piece of its text's own bytes, so that all are there if there are as many; the other model may have changed some.
-        if ends_a[-1] != len(whole) or b"".join(map(self.bytes_b.__getitem__, list_b)) != whole:
+        if ends_a[-1] != len(whole) or not self.spells(b, whole):
             return None
-        b = np.array(list_b, np.int64)
         ends_b = np.cumsum(self.len_b[b])
         index_a, index_b = (dict(zip(e.tolist(), range(1, len(e) + 1), strict=True)) for e in (ends_a, ends_b))
-        common = sorted(index_a.keys() & index_b.keys())
-        cut_a, cut_b = (np.fromiter(map(index.__getitem__, common), np.int64, len(common)) for index in (index_a, index_b))
+        # Ends grow, and a dictionary keeps its keys in order.
+        common = list(filter(index_b.__contains__, index_a))
+        cut_a, cut_b = (np.array(itemgetter(*common, common[-1])(index)[:-1], np.int64) for index in (index_a, index_b))
         # In each slice, the bytes between one end, of either list, and the next are shared by one pair, and no other bytes are.
         both = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
         ends = both[np.append(np.diff(both) > 0, True)]
@@ -82,7 +99,7 @@ class Aligner:
         order = np.empty(len(found.a) + len(found.b), np.int64)
         order[np.arange(len(found.a)) + np.repeat(found.cut_b - in_b, in_a)] = found.a + kinds_a * self.ids
         order[np.arange(len(found.b)) + np.repeat(found.cut_a, in_b)] = found.b + kinds_b * self.ids
-        return b"".join(map(self.digits.__getitem__, order.tolist()))[:-1]
+        return self.digits[order].tobytes().translate(None, b"\0")[:-1]
 
 
 def aligner(ranks: str, pattern: str, model: str) -> Aligner:

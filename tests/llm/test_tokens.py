@@ -200,3 +200,15 @@ def test_divergence_matches_sql(spark):
     want = duckdb.execute(f"SELECT lang, source, part, item, value, rank FROM ({ORACLES['op11_source_divergence']})").fetchall()
     found = QUERIES["op11_source_divergence"](spark, SF).select("lang", "source", "part", "item", "value", "rank").collect()
     assert sorted(want) == sorted(map(tuple, found))
+
+
+def test_spelt_bytes_are_compared_in_parts(monkeypatch):
+    """Ids spell a text if their bytes are all of it, however many are put together at once."""
+    both = alignment.aligner(RANKS, public_tokenizers.PATTERN, MODEL)
+    text = "Ein Preis von 3.50 \U0001f600 für zwei\n\nZeilen\0 " * 9
+    ids = both.b.model.encode(text, return_type="numpy")
+    whole = b"".join(both.bytes_b[i] for i in ids)
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(alignment, "SPELT", size)
+        assert both.spells(ids, whole)
+        assert not both.spells(ids, whole + b" ") and not both.spells(ids, whole[:-1]) and not both.spells(ids, b"x" + whole[1:])
