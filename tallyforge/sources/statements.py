@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,21 +31,31 @@ def read_statement(spark: SparkSession, path: str, skip_rows: int = 0, header: b
     return csv_rows(numbered_lines(lines, encoding), skip_rows, header)
 
 
+def _of_splits(lines: DataFrame, splits: DataFrame, order: str) -> DataFrame:
+    """Lines with what a table of splits says of theirs. They stay in their tasks and in order, unless there are too many splits to broadcast."""
+    if small_enough(splits):
+        return lines.join(F.broadcast(splits), ["src_file", "block"])
+    return lines.join(splits, ["src_file", "block"]).repartition("src_file", "block").sortWithinPartitions("src_file", "block", order)
+
+
+def _before(splits: DataFrame, *columns: str) -> DataFrame:
+    """Splits with the sums of these columns over the splits of the file before each."""
+    before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in columns]).drop(*columns)
+
+
 def numbered_lines(lines: DataFrame, encoding: str = "UTF-8") -> DataFrame:
-    """(src_file, row_idx, line) of lines (src_file, block, value) as a reader of text gives them: block is where their split begins.
+    """(src_file, block, row_idx, line) of lines (src_file, block, value) as a reader of text gives them: block is where their split begins.
 
-    A line's number is its place in its split and the lines of the file's splits before it. Only the splits' counts, a row each, go
-    through an order of their file; a split is as large as a task reads.
+    A line's number is its place in its split and the lines of the file's splits before it. A split is read by one task from first to last, so
+    that the place is what its running number has over the split's least one. Only the splits' counts, a row each, are exchanged; no line is.
     """
     lines = lines.withColumn("at", F.monotonically_increasing_id())
-    placed = lines.withColumn("place", F.row_number().over(Window.partitionBy("src_file", "block").orderBy("at"))).drop("at")
-    before = Window.partitionBy("src_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = lines.groupBy("src_file", "block").agg(F.count("*").alias("n"))
-    offsets = counts.select("src_file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    splits = lines.groupBy("src_file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     text = F.col("value") if encoding.upper() == "UTF-8" else F.decode(F.col("value").cast("binary"), encoding)
-    row = F.col("before") + F.col("place") - 1
+    row = F.col("n_before") + F.col("at") - F.col("first")
     text = F.when(row == 0, F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
-    return placed.join(offsets, ["src_file", "block"]).select("src_file", row.cast("bigint").alias("row_idx"), text.alias("line"))
+    return _of_splits(lines, _before(splits, "n"), "at").select("src_file", "block", row.cast("bigint").alias("row_idx"), text.alias("line"))
 
 
 def split_statement(files: DataFrame, skip_rows: int = 0, header: bool = True) -> DataFrame:
@@ -49,24 +64,72 @@ def split_statement(files: DataFrame, skip_rows: int = 0, header: bool = True) -
     return csv_rows(lines.withColumn("row_idx", F.col("row_idx").cast("bigint")), skip_rows, header)
 
 
+def _odd(line: Column) -> Column:
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
+
+
+LINE = pa.schema([("src_file", pa.string()), ("row_idx", pa.int64()), ("line", pa.string()), ("span", pa.int64())])
+
+
+def _quoted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of lines in order (src_file, block, row_idx, line, odd, odd_before): a row in quotes is joined; its lines have its number as span if part of it is in another split."""
+    split, turn, held, begun = None, 0, [], False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        file, block, odd = batch.column("src_file").dictionary_encode(), batch.column("block").to_numpy(), batch.column("odd").to_numpy(zero_copy_only=False).astype(np.int64)
+        code = file.indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(code) != 0)))
+        for a, z in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            part, name, out = batch.slice(a, z - a), file.dictionary[code[a]].as_py(), []
+            if (name, block[a]) != split:
+                out += held
+                split, turn, held, begun = (name, block[a]), part.column("odd_before")[0].as_py(), [], False
+            turns = turn + np.cumsum(odd[a:z]) - odd[a:z]
+            turn = int(turns[-1] + odd[z - 1])
+            inside = (turns + odd[a:z]) % 2 + odd[a:z] > 0
+            plain = part.filter(pc.and_(pa.array(~inside), pc.not_equal(part.column("line"), "")))
+            yield pa.RecordBatch.from_arrays([*map(plain.column, LINE.names[:3]), pa.nulls(plain.num_rows, pa.int64())], schema=LINE)
+            within = part.filter(pa.array(inside))
+            for row, line, number, ends in zip(within.column("row_idx").to_pylist(), within.column("line").to_pylist(), turns[inside].tolist(), (turns + odd[a:z])[inside].tolist(), strict=True):
+                begun = begun or number % 2 == 0
+                held.append((name, row, line, number // 2))
+                if len(held) > most:  # more lines than a row has: they stay rows of their own, and what is left of them too
+                    out += [(*x[:3], None) for x in held]
+                    held, begun = [], False
+                elif ends % 2 == 0:
+                    out += [(name, held[0][1], "\n".join([x[2] for x in held]), None)] if begun else held
+                    held, begun = [], False
+            yield _as_lines(out)
+    yield _as_lines(held)
+
+
+def _as_lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(LINE), LINE, strict=True)], schema=LINE)
+
+
 def csv_rows(lines: DataFrame, skip_rows: int = 0, header: bool = True) -> DataFrame:
     """Rows (src_file, row_idx, line, fields) of lines (src_file, row_idx, line) below the preamble and header, without empty ones.
 
-    A field in quotes may go over several lines: of a file's lines with an odd number of quotes, every first begins such a row and every
-    second ends it, and only these lines are put in order and joined. Where more than MOST_LINES would be one row, or the last quote
-    never ends, the lines with odd quotes stay rows of their own, with null fields.
+    The lines of a split (block; without that column of a file) have to be in one task, in order. A field in quotes may go over several lines: of a
+    file's lines with an odd number of quotes, every first begins such a row and every second ends it. A split goes on from the number of such lines
+    before it, and only rows that are part of two splits are exchanged. Where more than MOST_LINES would be one row, or the last
+    quote never ends, the lines with odd quotes stay rows of their own, with null fields.
     """
-    first_row = skip_rows + int(header)
-    lines = lines.where(F.col("row_idx") >= first_row)
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    order = Window.partitionBy("src_file").orderBy("row_idx")
-    odd = lines.where(quotes % 2 == 1).select("src_file", "row_idx", F.row_number().over(order).alias("turn"), F.lead("row_idx").over(order).alias("last"))
-    spans = odd.where((F.col("turn") % 2 == 1) & (F.col("last") - F.col("row_idx") < MOST_LINES))
-    members = spans.select("src_file", F.col("row_idx").alias("first"), F.explode(F.sequence("row_idx", "last")).alias("row_idx"))
-    own = lines.join(members, ["src_file", "row_idx"], "left")
+    lines = lines.where(F.col("row_idx") >= skip_rows + int(header)).withColumn("odd", _odd(F.col("line")))
+    if "block" in lines.columns:
+        splits = lines.groupBy("src_file", "block").agg(F.count_if("odd").alias("odd"))
+        lines = _of_splits(lines, _before(splits, "odd"), "row_idx")
+    else:
+        lines = lines.withColumn("block", F.lit(0)).withColumn("odd_before", F.lit(0).cast("bigint"))
+    lines = lines.select("src_file", "block", "row_idx", "line", "odd", "odd_before")
+    read = lines.mapInArrow(partial(_quoted, most=MOST_LINES), "src_file string, row_idx bigint, line string, span bigint")
     parts = F.array_sort(F.collect_list(F.struct("row_idx", "line")))
-    joined = own.where("first IS NOT NULL").groupBy("src_file", F.col("first").alias("row_idx")).agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("line"))
-    rows = own.where("first IS NULL").select("src_file", "row_idx", "line").unionByName(joined)
+    spans = read.where("span IS NOT NULL").groupBy("src_file", "span").agg(parts.alias("parts"), F.count_if(_odd(F.col("line"))).alias("odd"))
+    first, last = F.get("parts", F.lit(0))["row_idx"], F.element_at("parts", -1)["row_idx"]
+    joined = F.array(F.struct(first.alias("row_idx"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line")))
+    own = spans.select("src_file", F.inline(F.when((F.col("odd") == 2) & (last - first < MOST_LINES), joined).otherwise(F.col("parts"))))
+    rows = read.where("span IS NULL").select("src_file", "row_idx", "line").unionByName(own)
     return rows.where(F.trim("line") != "").select("src_file", "row_idx", "line", csv_fields(F.col("line")).alias("fields"))
 
 

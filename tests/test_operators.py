@@ -575,3 +575,12 @@ def test_a_batch_is_read_and_normalised_once(spark, tmp_path, monkeypatch):
     ingest_statements(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", lambda r: statements.normalize_amex(r, "L:Amex"), table, header=False)
     assert [r.amount for r in spark.read.parquet(f"{tmp_path}/out/transactions").collect()] == [D("1.0000")] and spark.read.parquet(f"{tmp_path}/out/rejects").count() == 1
     assert len(written) == 1 and "amount" in written[0]
+
+
+def test_splits_are_read_without_exchanging_lines(spark, tmp_path):
+    """Lines stay in their tasks: only counts of splits, and rows that are part of two splits, are exchanged."""
+    (tmp_path / "a.csv").write_text("Date,What\n" + 'x,"two\nlines"\n\n' * 50)
+    rows = statements.read_statement(spark, str(tmp_path / "a.csv"))
+    plan = rows.where("src_file IS NOT NULL")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "MapInArrow" in plan
+    assert sorted((x.row_idx, x.fields) for x in rows.collect()) == [(3 * k + 1, ["x", "two\nlines"]) for k in range(50)]
