@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalars import MONEY
-from tallyforge.operators.receipts import METADATA, SUBTOTAL, TAX, TENDERS, TOTAL
+from tallyforge.operators.receipts import METADATA, METADATA_SIGNS, SUBTOTAL, SUBTOTAL_SIGNS, TAX, TAX_SIGNS, TENDERS, TOTAL, TOTAL_SIGNS, closed_points, has_sign
 
 #: A price at the end of a line, with its tax letters.
 END = r"\s*\$?\s*(-?[0-9]+\.[0-9]{2})\s*[A-Z]{0,3}\s*$"
@@ -22,6 +22,10 @@ SAVED = r"(?i)\b(?:YOU SAVED?|SAVINGS|PROMO|COUPON|DISCOUNT)\b"
 QUANTITY, QUANTITY_TOTAL, OFFER = r"^\s*[0-9]+(?:\.[0-9]+)?\s*[0-9A-Za-z]{0,2}\s*@", r"@.*[0-9]\.[0-9]{2}.*\s\$?-?[0-9]+\.[0-9]{2}\s*[A-Z]{0,3}\s*$", r"@.*/\s*\$"
 MULTIBUY, SIZE = r"(?i)[0-9]\s*/\s*FOR\b", r"(?i)^\([0-9]+(?:\.[0-9]+)?\s*(?:KG|G|ML|L|LB|OZ|PK)\)$"
 SUMMARY = rf"{SUBTOTAL}|{TAX}|{TOTAL}"
+#: In upper case, what every match of the patterns has in it: one of the signs at least.
+SUMMARY_SIGNS = (*SUBTOTAL_SIGNS, *TAX_SIGNS, *TOTAL_SIGNS)
+STOP_SIGNS = (*METADATA_SIGNS, *[word for word, _ in TENDERS], "ACCOUNT", "CARD", "TYPE", "PURCHASE", "SCANNED")
+SAVED_SIGNS = ("SAVE", "SAVINGS", "PROMO", "COUPON", "DISCOUNT")
 LABELS = ("ITEM", "ITEMS", "QTY", "PRICE", "AMOUNT", "DESCRIPTION")
 
 ITEM = f"struct<line_no: int, description: string, price: {MONEY}>"
@@ -35,27 +39,33 @@ def read_lines(lines: DataFrame) -> DataFrame:
     sale's sign, for the words before or, if these have theirs, after it; head is a department, whose price may be the next words'; saved
     says that the next bare price is what was saved; total and stop end what was open; other lines are skipped.
     Each column is worked out once, from those of the step before.
+    Patterns are tried only on lines that have a sign which every match of theirs has.
     """
-    text, line, rest, words, price = (F.col(c) for c in ("text", "line", "rest", "words", "price"))
-    rows = lines.select("receipt_id", F.col("line_no").cast("int").alias("line_no"), "text", F.regexp_replace("text", r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2").alias("line"))
-    rows = rows.withColumn("price", F.regexp_extract(line, END, 1).try_cast(MONEY)).withColumn("regular", line.rlike(REGULAR))
-    rows = rows.withColumn("rest", F.trim(F.when(price.isNotNull(), F.regexp_replace(line, END, "")).otherwise(line)))
-    rows = rows.withColumn("words", F.regexp_replace(F.regexp_replace(rest, r"^\([0-9]+\)\s*", ""), r"^[0-9]{8,}\s+", ""))
-    rows = rows.withColumn("spelt", F.regexp_replace(words, r"\([^)]*\)?", " ").rlike(r"\p{L}{2}"))
-    beside = F.when(F.col("regular"), F.regexp_extract(F.regexp_replace(line, REGULAR, ""), END, 1).try_cast(MONEY)).otherwise(price)
+    text, upper, line, end, rest, words, price, regular = (F.col(c) for c in ("text", "upper", "line", "end", "rest", "words", "price", "regular"))
+    rows = lines.select("receipt_id", F.col("line_no").cast("int").alias("line_no"), "text", F.upper("text").alias("upper"), closed_points(F.col("text")).alias("line"))
+    rows = rows.withColumn("end", F.when(line.contains("."), F.regexp_extract(line, END, 0))).withColumn("regular", has_sign(upper, "EG") & line.rlike(REGULAR))
+    rows = rows.withColumn("price", F.when(end != "", F.regexp_extract(end, END, 1).try_cast(MONEY)))
+    cut = F.when(line.endswith(end), F.left(line, F.length(line) - F.length(end))).otherwise(F.regexp_replace(line, END, ""))
+    rows = rows.withColumn("rest", F.trim(F.when(price.isNotNull(), cut).otherwise(line)))
+    bared = F.when(rest.startswith("("), F.regexp_replace(rest, r"^\([0-9]+\)\s*", "")).otherwise(rest)
+    rows = rows.withColumn("bared", bared)
+    rows = rows.withColumn("words", F.when(F.col("bared").rlike("^[0-9]{8}"), F.regexp_replace("bared", r"^[0-9]{8,}\s+", "")).otherwise(F.col("bared")))
+    rows = rows.withColumn("spelt", F.when(has_sign(words, "("), F.regexp_replace(words, r"\([^)]*\)?", " ")).otherwise(words).rlike(r"\p{L}{2}"))
+    beside = F.when(regular, F.regexp_extract(F.regexp_replace(line, REGULAR, ""), END, 1).try_cast(MONEY)).otherwise(price)
     rows = rows.withColumn("beside", beside)
     label = F.upper(rest).isin(*LABELS)
-    priced = F.when(words.rlike(SIZE), "size").when(rest == "", "bare").when(rest.rlike(MULTIBUY) | ~F.col("spelt"), "paid").when(label, "skip").otherwise("item")
-    named = F.when(rest.rlike(SECTION), "head").when(~F.col("spelt") | rest.rlike(MULTIBUY) | words.startswith("(") | label, "skip").otherwise("words")
+    multibuy = rest.contains("/") & rest.rlike(MULTIBUY)
+    priced = F.when(words.startswith("(") & words.rlike(SIZE), "size").when(rest == "", "bare").when(multibuy | ~F.col("spelt"), "paid").when(label, "skip").otherwise("item")
+    named = F.when(rest.rlike(SECTION), "head").when(~F.col("spelt") | multibuy | words.startswith("(") | label, "skip").otherwise("words")
     kind = (
         F.when(text.isNull(), "skip")
-        .when(rest.rlike(HEADER), "head")
-        .when(F.col("regular") | line.rlike(ON_SALE), F.when(F.col("beside").isNull(), "skip").otherwise("ahead"))
-        .when(text.rlike(SUMMARY), "total")
-        .when(text.rlike(METADATA) | text.rlike(PAYMENT) | text.rlike(CARD), "stop")
-        .when(line.rlike(QUANTITY), F.when(line.rlike(QUANTITY_TOTAL), "paid").otherwise("skip"))
-        .when(line.rlike(OFFER), "skip")
-        .when(line.rlike(SAVED), F.when(price.isNull(), "saved").otherwise("skip"))
+        .when(has_sign(rest, "&&", "-") & rest.rlike(HEADER), "head")
+        .when(regular | upper.contains("ON") & line.rlike(ON_SALE), F.when(F.col("beside").isNull(), "skip").otherwise("ahead"))
+        .when(has_sign(upper, *SUMMARY_SIGNS) & text.rlike(SUMMARY), "total")
+        .when(has_sign(upper, *STOP_SIGNS) & (text.rlike(METADATA) | text.rlike(PAYMENT) | text.rlike(CARD)), "stop")
+        .when(line.contains("@") & line.rlike(QUANTITY), F.when(line.rlike(QUANTITY_TOTAL), "paid").otherwise("skip"))
+        .when(line.contains("@") & line.rlike(OFFER), "skip")
+        .when(has_sign(upper, *SAVED_SIGNS) & line.rlike(SAVED), F.when(price.isNull(), "saved").otherwise("skip"))
         .when(price.isNotNull(), priced)
         .otherwise(named)
     )
@@ -64,31 +74,39 @@ def read_lines(lines: DataFrame) -> DataFrame:
 
 
 def _step(s: Column, x: Column) -> Column:
-    """The fold's state after a line. held: words without a price; ahead: a price without words; given: the last item got such a price."""
-    kind, held = x["kind"], s["held"]
-    open_ = F.coalesce(held.endswith("-"), F.lit(False))
-    words = F.when(open_, F.concat_ws(" ", held, x["words"])).otherwise(x["words"])
-    is_words, is_bare = kind == "words", kind == "bare"
-    taken = is_words & s["ahead"].isNotNull() & ~words.endswith("-") & ~F.coalesce(x["next"].isin("paid", "bare"), F.lit(False))
-    summed = is_bare & s["totals"] & F.array_contains(s["amounts"], x["price"])
-    for_held = held.isNotNull() & (kind.isin("paid", "size", "ahead") | is_bare & ~s["muted"] & ~summed)
-    alone = held.isNull() & (kind == "size") & s["given"]
-    description = (
-        F.when(taken | (kind == "item"), words).when(alone, x["words"]).when(kind == "size", F.concat_ws(" ", held, x["words"])).otherwise(held)
-    )
-    made = taken | for_held | alone | (kind == "item")
-    item = F.struct(x["line_no"].alias("line_no"), description.alias("description"), F.when(taken, s["ahead"]).otherwise(x["price"]).alias("price"))
-    ends = kind.isin("head", "total", "stop")
-    waits = (kind == "ahead") & held.isNull()
-    at = F.array_position(s["amounts"], x["price"]).cast("int")
-    return F.struct(
-        F.when(made | ends, F.lit(None)).when(is_words, words).otherwise(held).alias("held"),
-        F.when(waits | (kind == "head"), x["price"]).when(taken | ends | (kind == "item"), F.lit(None)).otherwise(s["ahead"]).cast(MONEY).alias("ahead"),
-        F.when(made, taken).when(kind == "skip", s["given"]).otherwise(False).alias("given"),
-        F.when(kind == "saved", True).when(kind == "skip", s["muted"]).otherwise(False).alias("muted"),
-        (s["totals"] | (kind == "total")).alias("totals"),
-        F.when(summed, F.concat(F.slice(s["amounts"], F.lit(1), at - 1), F.slice(s["amounts"], at + 1, F.size(s["amounts"])))).otherwise(s["amounts"]).alias("amounts"),
-        F.when(made, F.concat(s["items"], F.array(item.cast(ITEM)))).otherwise(s["items"]).alias("items"),
+    """The fold's state after a line. held: words without a price; ahead: a price without words; given: the last item got such a price.
+
+    One branch for each kind, so that a line works out only what its own kind needs.
+    """
+    kind, held, ahead, price = x["kind"], s["held"], s["ahead"], x["price"]
+    null, no = F.lit(None), F.lit(False)
+
+    def state(held: Column = null, ahead: Column = null, given: Column = no, muted: Column = no, totals: Column = s["totals"], amounts: Column = s["amounts"], items: Column = s["items"]) -> Column:
+        return F.struct(
+            held.cast("string").alias("held"), ahead.cast(MONEY).alias("ahead"), given.alias("given"), muted.alias("muted"), totals.alias("totals"), amounts.alias("amounts"), items.alias("items")
+        )
+
+    def with_item(description: Column, price: Column = price) -> Column:
+        return F.concat(s["items"], F.array(F.struct(x["line_no"].alias("line_no"), description.alias("description"), price.alias("price")).cast(ITEM)))
+
+    words = F.when(F.coalesce(held.endswith("-"), no), F.concat_ws(" ", held, x["words"])).otherwise(x["words"])
+    taken = ahead.isNotNull() & ~words.endswith("-") & ~F.coalesce(x["next"].isin("paid", "bare"), no)
+    summed = s["totals"] & F.array_contains(s["amounts"], price)
+    at = F.array_position(s["amounts"], price).cast("int")
+    used = F.when(summed, F.concat(F.slice(s["amounts"], F.lit(1), at - 1), F.slice(s["amounts"], at + 1, F.size(s["amounts"])))).otherwise(s["amounts"])
+    by_size = F.when(held.isNotNull(), F.concat_ws(" ", held, x["words"])).otherwise(x["words"])
+    return (
+        F.when(kind == "item", state(items=with_item(words)))
+        .when(kind == "skip", s)
+        .when(kind == "words", F.when(taken, state(given=F.lit(True), items=with_item(words, ahead))).otherwise(state(words, ahead)))
+        .when(kind == "bare", F.when(held.isNotNull() & ~s["muted"] & ~summed, state(ahead=ahead, items=with_item(held))).otherwise(state(held, ahead, amounts=used)))
+        .when(kind == "paid", state(ahead=ahead, items=F.when(held.isNotNull(), with_item(held)).otherwise(s["items"])))
+        .when(kind == "size", state(ahead=ahead, items=F.when(held.isNotNull() | s["given"], with_item(by_size)).otherwise(s["items"])))
+        .when(kind == "ahead", F.when(held.isNotNull(), state(ahead=ahead, items=with_item(held))).otherwise(state(ahead=price)))
+        .when(kind == "head", state(ahead=price))
+        .when(kind == "total", state(totals=F.lit(True)))
+        .when(kind == "saved", state(held, ahead, muted=F.lit(True)))
+        .otherwise(state())
     )
 
 

@@ -20,19 +20,35 @@ METADATA = r"(?i)\b(?:THANK YOU|CASHIER|STORE|TEL|PHONE|INVOICE|RECEIPT|APPROVED
 SECTION = r"^\s*(?:[0-9]{2}-)?(?:PRODUCE|GROCERY|MEAT|BAKERY|DAIRY|DELI|SEAFOOD|FROZEN|HOUSEHOLD)\s*$"
 SALE = r"(?i)\b(?:ON SALE|YOU SAVE|PROMO|COUPON|DISCOUNT)\b"
 QUANTITY = r"(?i)^\s*[0-9]+(?:\.[0-9]+)?\s*(?:kg|lb|g)?\s*@\s*(?:[0-9]+\s*/\s*)?\$?\s*[0-9]+\.[0-9]{2}"
+#: In upper case, what every match of these has in it: one of the signs at least.
+SUBTOTAL_SIGNS, TAX_SIGNS, TOTAL_SIGNS = ("TAL",), ("TAX", "HST", "GST", "PST", "VAT"), ("TOTAL",)
+METADATA_SIGNS = ("THANK YOU", "CASHIER", "STORE", "TEL", "PHONE", "INVOICE", "RECEIPT", "APPROVED", "AUTH", "TERMINAL", "MEMBER", "WWW.", "HTTP")
 #: Words of payment labels and the tender's kind, in order. Fixed values.
 TENDERS = (("GIFT CARD", "gift_card"), ("STORE CREDIT", "store_credit"), ("CASH", "cash"), ("VISA", "card"), ("MASTERCARD", "card"), ("AMEX", "card"), ("DEBIT", "card"), ("CREDIT", "card"))
 
 
+def has_sign(value: Column, *signs: str) -> Column:
+    """Whether a text has one of the signs. Patterns are tried after it only: looking for a sign costs a fraction of what a pattern does.
+
+    One expression over a list, since a row's code has to stay small enough for the JVM to compile it.
+    """
+    return F.exists(F.array(*map(F.lit, signs)), lambda s: value.contains(s))
+
+
+def closed_points(text: Column) -> Column:
+    """A line without the space that may stand after a price's point."""
+    return F.when(text.contains(". "), F.regexp_replace(text, r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2")).otherwise(text)
+
+
 def line_price(text: Column) -> Column:
     """The last amount of a line; a space after its point is overlooked."""
-    joined = F.regexp_replace(text, r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2")
-    return F.try_element_at(F.regexp_extract_all(joined, F.lit(rf"({PRICE})(?![0-9])"), F.lit(1)), F.lit(-1)).try_cast(MONEY)
+    return F.try_element_at(line_prices(text), F.lit(-1))
 
 
 def line_prices(text: Column) -> Column:
-    joined = F.regexp_replace(text, r"([0-9]\.) ([0-9]{2})(?![0-9])", "$1$2")
-    return F.transform(F.regexp_extract_all(joined, F.lit(rf"({PRICE})(?![0-9])"), F.lit(1)), lambda p: p.try_cast(MONEY))
+    found = F.regexp_extract_all(closed_points(text), F.lit(rf"({PRICE})(?![0-9])"), F.lit(1))
+    none = F.when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(F.when(text.contains("."), found).otherwise(none), lambda p: p.try_cast(MONEY))
 
 
 def classify_line(text: Column) -> list[Column]:
@@ -79,9 +95,10 @@ def validate_quantity(total: Column, modifier: Column, tolerance: str = "0.02")
 
 
 def _forward_price(lines: DataFrame, reach: int = 3) -> DataFrame:
-    """Adds next_price: the first price within the lines that follow."""
+    """Adds amounts, the last of them as price, and next_price: the first price within the lines that follow."""
     window = Window.partitionBy("receipt_id").orderBy("line_no").rowsBetween(1, reach)
-    return lines.withColumn("price", line_price(F.col("text"))).withColumn("next_price", F.first("price", ignorenulls=True).over(window))
+    priced = lines.withColumn("amounts", line_prices(F.col("text"))).withColumn("price", F.try_element_at("amounts", F.lit(-1)))
+    return priced.withColumn("next_price", F.first("price", ignorenulls=True).over(window))
 
 
 def receipt_fields(lines: DataFrame) -> DataFrame:
@@ -90,14 +107,19 @@ def receipt_fields(lines: DataFrame) -> DataFrame:
     The last line that names a total counts, and the last that names a tax; if one line names both, the larger amount is the total and the smaller
     the tax. A bare label takes the first amount within the next three lines. Totals of savings, discounts and items don't count.
     """
-    text = F.col("text")
-    rows = _forward_price(lines).withColumn("amounts", line_prices(text))
-    is_total = text.rlike(TOTAL) & ~text.rlike(NO_TOTAL)
-    is_tax = text.rlike(TAX)
+    text, upper = F.col("text"), F.col("upper")
+    rows = lines.withColumn("upper", F.upper(text))
+    flags = {
+        "is_total": has_sign(upper, *TOTAL_SIGNS) & text.rlike(TOTAL) & ~text.rlike(NO_TOTAL),
+        "is_tax": has_sign(upper, *TAX_SIGNS) & text.rlike(TAX),
+        "is_subtotal": has_sign(upper, *SUBTOTAL_SIGNS) & text.rlike(SUBTOTAL),
+    }
+    rows = _forward_price(rows.withColumns(flags).select("receipt_id", "line_no", "text", *flags))
+    is_total, is_tax, is_subtotal = map(F.col, flags)
     own = lambda pick: F.when(F.size("amounts") > 1, pick("amounts")).otherwise(F.coalesce("price", "next_price"))
     total = F.when(is_total, F.when(is_tax, own(F.array_max)).otherwise(F.coalesce("price", "next_price")))
     tax = F.when(is_tax, F.when(is_total, own(F.array_min)).otherwise(F.col("price")))
-    subtotal = F.when(text.rlike(SUBTOTAL), F.coalesce("price", "next_price"))
+    subtotal = F.when(is_subtotal, F.coalesce("price", "next_price"))
     rows = rows.select("receipt_id", "line_no", total.alias("total"), tax.alias("tax"), subtotal.alias("subtotal"))
     last = lambda c: F.max_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     return rows.groupBy("receipt_id").agg(last("total"), last("tax"), last("subtotal"))
