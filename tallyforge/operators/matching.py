@@ -71,9 +71,9 @@ def _with_merchants(frame: DataFrame, name: str, families: DataFrame, side: str)
 
 
 def _amount_buckets(amount: Column, absolute: str, share: str) -> tuple[Column, Column]:
-    """Numbers of an amount's logarithmic and linear bucket: amounts within the share, or within the absolute tolerance, are in neighbouring ones."""
-    ratio = math.log(1 / (1 - 1.001 * float(share)))
-    log, linear = F.floor(F.log(F.greatest(amount.cast("double"), F.lit(1e-4))) / ratio), F.floor(amount.cast("double") / (float(absolute) * 1.0001))
+    """Numbers of an amount's logarithmic and linear bucket: what lies within the share, or the absolute tolerance, on both sides of an amount spans two at most."""
+    ratio = 2 * math.log(1 / (1 - 1.001 * float(share)))
+    log, linear = F.floor(F.log(F.greatest(amount.cast("double"), F.lit(1e-4))) / ratio), F.floor(amount.cast("double") / (float(absolute) * 2.001))
     return log.cast("bigint"), linear.cast("bigint")
 
 
@@ -81,29 +81,38 @@ def _days() -> Column:
     return F.abs(F.datediff("txn_date", "receipt_date"))
 
 
+def _span(day: Column, days: int, moved: int = 0) -> Column:
+    return F.floor((F.unix_date(day) + moved) / (2 * days + 1))
+
+
+def _looking(receipts: DataFrame, days: int, absolute: str, share: str, amount: str) -> tuple[DataFrame, DataFrame]:
+    """A row of each dated receipt for each span and bucket that it looks in, four at most, and one of each undated receipt for each bucket."""
+    receipts = receipts.withColumn("tolerance", amount_tolerance(F.col(amount), absolute, share))
+    flat, reach = F.col("tolerance") <= F.lit(absolute).cast(MONEY), F.col("tolerance").cast("double") * 1.0001 + 1e-6
+    (log_a, lin_a), (log_z, lin_z) = (_amount_buckets(F.col(amount).cast("double") + side * reach, absolute, share) for side in (-1, 1))
+    numbers = F.sequence(F.when(flat, lin_a).otherwise(log_a), F.when(flat, lin_z).otherwise(log_z))
+    near = F.explode(F.transform(numbers, lambda n: F.struct(flat.alias("flat"), n.alias("n"))))
+    day = F.col("receipt_date")
+    spans = F.explode(F.sequence(_span(day, days, -days), _span(day, days, days)))
+    dated = receipts.where("receipt_date IS NOT NULL").withColumn("__span", spans).withColumn("bucket", near)
+    return dated, receipts.where("receipt_date IS NULL").withColumn("bucket", near)
+
+
 def candidate_pairs(receipts: DataFrame, txns: DataFrame, days: int, absolute: str, share: str, amount: str = "wanted", keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs within the days and the amount's tolerance, each once, by equi-joins only.
 
     A receipt looks in linear buckets if its tolerance is the absolute one, else in logarithmic ones, so it meets a transaction
-    once. Days are numbered in spans of one more than `days`; a dated receipt looks in the span of its day and in both
-    beside it, and the pairs within the days are kept; one without a date meets the transactions of its buckets. `amount` is the receipt's amount to be matched. `keys` are columns of both sides that must be equal,
+    once. Buckets and spans of days are as wide as what may match, so a receipt looks in those of its least and greatest amount and day only,
+    at most two of each; the pairs within the days are kept. One without a date meets the transactions of its buckets. `amount` is the receipt's amount to be matched. `keys` are columns of both sides that must be equal,
     such as the owner of a ledger: with them the pairs grow with the number of ledgers, and not with the square of all receipts.
     """
-    tolerance = amount_tolerance(F.col(amount), absolute, share)
-    receipts = receipts.withColumn("tolerance", tolerance)
-    flat = F.col("tolerance") <= F.lit(absolute).cast(MONEY)
-    log_r, lin_r = _amount_buckets(F.col(amount), absolute, share)
+    dated, undated, columns = *_looking(receipts, days, absolute, share, amount), [*receipts.columns, "tolerance"]
     log_t, lin_t = _amount_buckets(F.col("amount"), absolute, share)
-    near = F.array(*[F.struct(flat.alias("flat"), (F.when(flat, lin_r).otherwise(log_r) + d).alias("n")) for d in (-1, 0, 1)])
     own = F.array(F.struct(F.lit(False).alias("flat"), log_t.alias("n")), F.struct(F.lit(True).alias("flat"), lin_t.alias("n")))
     keyed = txns.withColumn("bucket", F.explode(own))
-    span = lambda c: F.floor(F.unix_date(c) / (days + 1))
-    spans = F.explode(F.array(*[span(F.col("receipt_date")) + d for d in (-1, 0, 1)]))
-    dated = receipts.where("receipt_date IS NOT NULL").withColumn("__span", spans).withColumn("bucket", F.explode(near))
-    undated = receipts.where("receipt_date IS NULL").withColumn("bucket", F.explode(near))
     gap = F.abs(F.col("amount") - F.col(amount)).cast(MONEY)
-    columns = [*receipts.columns, *[c for c in txns.columns if c not in keys]]
-    by_day = dated.join(keyed.withColumn("__span", span(F.col("txn_date"))), [*keys, "__span", "bucket"]).where(_days() <= days)
+    columns += [c for c in txns.columns if c not in keys]
+    by_day = dated.join(keyed.withColumn("__span", _span(F.col("txn_date"), days)), [*keys, "__span", "bucket"]).where(_days() <= days)
     pairs = by_day.select(*columns).unionByName(undated.join(keyed, [*keys, "bucket"]).select(*columns))
     return pairs.withColumn("gap", gap).where("gap <= tolerance")
 
