@@ -1,4 +1,7 @@
-"""Near copies by the exact Jaccard similarity of distinct five-word shingles; MinHash bands only say which pairs are compared."""
+"""Near copies by the exact Jaccard similarity of distinct five-word shingles.
+
+SimHash fingerprints, linked by covering masks, say which sets are compared first; MinHash bands say which pairs of what they leave apart are compared too.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +15,12 @@ from xxhash import xxh64_intdigest
 
 from tallyforge.llm.components import connected_components
 from tallyforge.llm.shared import addressed, spill, stable
+from tallyforge.llm.simhash_dedup import fingerprint_of, simhash_links
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS = 5
+#: Fingerprints within so many bits are candidates: the most that covering masks of 64 bits are made for.
+RADIUS = 6
 #: A pair of similarity J shares no band with probability (1 - J^4)^32: 5e-8 at 0.8, less above.
 BANDS, DEEP = 32, 4
 CHUNK = 2048
@@ -55,11 +61,12 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
         keys = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        prints = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
         bands = [_bands(s) for s in sets]
         offsets = np.cumsum([0, *map(len, bands)], dtype=np.int32)
         flat = np.array([b for own in bands for b in own], np.uint64).view(np.int64)
-        arrays = [*(batch.column(c) for c in names), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "key", "shingles", "bands"])
+        arrays = [*(batch.column(c) for c in names), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "key", "shingles", "fp", "bands"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,23 +99,49 @@ def _compared(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(u, v): pairs of keys that may be alike by their fingerprints, within RADIUS bits of each other.
+
+    Each key is paired with the least one of its fingerprint, and these least ones as the links of the fingerprints are; so a group of any
+    size costs a pair a member. Sets without members are left out.
+    """
+    prints = distinct.where("shingles > 0").select("key", "fp")
+    firsts = spill(prints.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    same = prints.join(firsts, "fp").where("key != first").select(F.col("key").alias("u"), F.col("first").alias("v"))
+    links = simhash_links(firsts.select("fp"), RADIUS)
+    links = links.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def near_links(distinct: DataFrame, docs: DataFrame, block_rows: int = 2048, block_shingles: int = 1 << 18) -> DataFrame:
-    """(node, root) over the keys of distinct shingle sets, joined wherever two sets that share a band are alike.
+    """(node, root) over the keys of distinct shingle sets, joined wherever two sets that share a band, or near fingerprints, are alike.
 
-    First every set is compared with the least one of each of its buckets, which costs a row per set and bucket and joins the large
-    groups. Only in buckets of three or more that are still of several roots is each member outside the most common root then
-    compared with all others. These are dealt by hash into blocks of about so many rows and shingles at most, so that no task
+    First the pairs of fingerprints within RADIUS bits are compared, which joins most copies. Fingerprints of sets that are 0.8 alike are 10 bits
+    apart on average, so more is done for the rest: every set is compared with the least one of each of its buckets, unless they are joined already,
+    which costs a row per set and bucket and joins the large groups. Only in buckets of three or more that are still of several roots is each
+    member outside the most common root then compared with all others. These are dealt by hash into blocks of about so many rows and shingles at most, so that no task
     holds more than two blocks, however large the bucket; equal lists of members are compared once. Sets without members have no bands and no
     links; `distinct` has one row of each key. A set that has no link is not in the result, and an empty table gives no rows.
     """
+    pairs = spill(fingerprint_pairs(distinct), "pairs")
     rows = distinct.select("key", "shingles", F.explode("bands").alias("bucket"))
     hubs = rows.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = spill(rows.join(hubs, "bucket"), "buckets")
-    wanted = distinct.join(members.select("key").distinct(), "key").select("key", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
+    keys = members.select("key").unionByName(pairs.select(F.col("u").alias("key"))).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    wanted = distinct.join(keys, "key").select("key", F.col("first.at_file").alias("at_file"), F.col("first.at_row").alias("at_row"))
     texts = spill(addressed(docs, "text").join(wanted, ["at_file", "at_row"]).select("key", "text"), "texts")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("mine")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("other")), "v")
+        return both.mapInArrow(_confirmed, "u bigint, v bigint")
+
+    close = spill(confirmed(pairs), "close")
+    joined = connected_components(close)
     stars = members.where("key != hub").select(F.col("key").alias("u"), F.col("hub").alias("v")).distinct()
-    stars = stars.join(texts.select(F.col("key").alias("u"), F.col("text").alias("mine")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("other")), "v")
-    edges = spill(stars.mapInArrow(_confirmed, "u bigint, v bigint"), "stars")
+    for end in ("u", "v"):
+        stars = stars.join(joined.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    stars = stars.where("coalesce(u_root, u) != coalesce(v_root, v)").select("u", "v")
+    edges = spill(close.unionByName(confirmed(stars)), "stars")
     roots = connected_components(edges)
 
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "shingles", F.coalesce("root", "key").alias("root"))
@@ -133,9 +166,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     docs = stable(docs)  # both reads must give a row one address
     rows = addressed(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    prints = spill(rows.mapInArrow(_prints, "doc_id bigint, at_file bigint, at_row bigint, key bigint, shingles bigint, bands array<bigint>"), "prints")
+    prints = spill(rows.mapInArrow(_prints, "doc_id bigint, at_file bigint, at_row bigint, key bigint, shingles bigint, fp bigint, bands array<bigint>"), "prints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at_file", "at_row")
-    distinct = spill(prints.groupBy("key").agg(F.min(order).alias("first"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")), "distinct")
+    distinct = spill(prints.groupBy("key").agg(F.min(order).alias("first"), F.first("shingles").alias("shingles"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     roots = near_links(distinct, docs)
     rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     least = spill(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")  # a plain table, so that the joins can split a hot root

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tallyforge.llm.components import connected_components
-from tallyforge.llm.near_copies import near_copies
 from tallyforge.llm.shared import addressed, spill, stable, without
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -55,6 +54,11 @@ def fingerprint(text: bytes, words_per_shingle: int) -> int:
     return int(((2 * ones > len(stops)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of hashes: a bit is set if it is in over half of them; zero without any."""
+    return int(((2 * _bit_counts(hashes) > len(hashes)).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum())
+
+
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     """How many of the values have each bit, from counts of each of their bytes."""
     columns = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8).T
@@ -155,5 +159,7 @@ def drop_near_copies(docs: DataFrame, how: Likeness | None = None) -> DataFrame:
 
     The row with the least id stays, null ids last, then by address. Columns may have any names. An empty table gives no rows.
     """
+    from tallyforge.llm.near_copies import near_copies  # which goes by the links of this module
+
     docs = stable(docs)
     return without(docs, near_copies(docs) if how is None else simhash_dedup(docs, how).where("NOT kept"))

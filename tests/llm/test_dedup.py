@@ -202,6 +202,21 @@ def test_near_copies_are_those_of_exact_similarity(spark, tmp_path, block, monke
     assert left == sorted(rows[k][0] for k in set(label))
 
 
+def test_near_links_go_by_fingerprints(spark, tmp_path):
+    """Without any band, copies of near fingerprints are joined; apart are those that are near but less than 0.8 alike, and the rest."""
+    words = [f"w{k}" for k in range(300)]
+    texts = {1: words, 2: ["x", *words], 3: [*words, "y"], 4: [f"v{k}" for k in range(300)], 5: [], 6: words[:200] + [f"z{k}" for k in range(100)]}
+    docs = table(spark, tmp_path, [(i, " ".join(w)) for i, w in texts.items()])
+    rows = near_copies.addressed(docs, "doc_id", "text")
+    schema = "doc_id bigint, at_file bigint, at_row bigint, key bigint, shingles bigint, fp bigint, bands array<bigint>"
+    prints = rows.mapInArrow(near_copies._prints, schema).withColumn("bands", F.array().cast("array<bigint>")).withColumn("first", F.struct("doc_id", "at_file", "at_row"))
+    keys = {r.key: r.doc_id for r in prints.collect()}
+    groups = {}
+    for r in near_copies.near_links(prints, docs).collect():
+        groups.setdefault(r.root, set()).add(keys[r.node])
+    assert list(groups.values()) == [{1, 2, 3}]
+
+
 def test_hot_keys_cost_no_rows(spark, tmp_path):
     """Nine tenths of the rows are one text and one id."""
     rows = [(7, "the same words once and again")] * 900 + [(1000 + i, f"text number {i} of its own") for i in range(100)]
