@@ -22,7 +22,7 @@ def _statement(spark: SparkSession, sf_dir: str, line: Column, file: Column | No
     """Rows with fields, of one line of CSV per card transaction."""
     rows = V.txns(spark, sf_dir).withColumn("amount", F.abs("amount"))
     rows = rows.select((file if file is not None else F.lit("statement.csv")).alias("src_file"), _key().alias("row_idx"), line.alias("line"))
-    return rows.withColumn("fields", T.csv_fields(F.col("line")))
+    return T.with_fields(rows)
 
 
 def _day(pattern: str) -> Column:

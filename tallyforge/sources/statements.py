@@ -130,7 +130,7 @@ def csv_rows(lines: DataFrame, skip_rows: int = 0, header: bool = True) -> DataF
     joined = F.array(F.struct(first.alias("row_idx"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line")))
     own = spans.select("src_file", F.inline(F.when((F.col("odd") == 2) & (last - first < MOST_LINES), joined).otherwise(F.col("parts"))))
     rows = read.where("span IS NULL").select("src_file", "row_idx", "line").unionByName(own)
-    return rows.where(F.trim("line") != "").select("src_file", "row_idx", "line", csv_fields(F.col("line")).alias("fields"))
+    return with_fields(rows.where(F.trim("line") != "").select("src_file", "row_idx", "line"))
 
 
 def file_name(path: Column) -> Column:
@@ -146,10 +146,16 @@ def csv_fields(line: Column) -> Column:
     quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
     field_ = r'(?s),\s*(?:"[^"]*+(?:""[^"]*+)*+"\s*(?=,|\z)|[^,]*)'
     parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(field_), F.lit(0))
-    plain = F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(F.substr(p, F.lit(2))), r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    unquoted = lambda t: F.replace(F.regexp_replace(t, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"'))
+    plain = F.transform(F.transform(parts, lambda p: F.trim(F.substr(p, F.lit(2)))), lambda t: F.when(t.contains('"'), unquoted(t)).otherwise(t))
     return F.when(quotes % 2 == 0, plain)
 
 
+def with_fields(rows: DataFrame) -> DataFrame:
+    """Adds the fields of each row's line. They are exploded, so that filters on them aren't moved below: a line would be taken apart again for every field that these look at."""
+    return rows.select("*", F.explode(F.array(csv_fields(F.col("line")))).alias("fields"))
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where a statement has its columns: by position, or by header name, which positions() turns into positions."""
