@@ -9,12 +9,15 @@ import random
 from decimal import Decimal
 from pathlib import Path
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import scalars as S
 from tallyforge.functions.likeness import block_ratio, closest
 from tallyforge.operators import accounts, checks, line_items, matching, receipts, review, rules
+from tallyforge.plans import catalog
+from tallyforge.plans.ledger_queries import PAYMENT_RULES, TRANSFER_RULES
 from tallyforge.sources import documents, rule_files, sinks, statements
 from tallyforge.streaming.ingest import ingest_statements
 
@@ -634,3 +637,28 @@ def test_lines_are_taken_apart_once(spark):
     for layout in (statements.normalize_mbna(rows, "A"), statements.normalize_scotia(rows, "A")):
         good, _ = statements.rejects(layout)
         assert good._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_a_label_has_one_list_for_all_of_its_sources(spark, tmp_path, monkeypatch):
+    """Pending decisions are as in SQL where equal transactions are of sources outside of the label's list, in it, and last in it; what is written
+    has a list for each pattern and not for each source."""
+    users = {1: range(496), 2: [45, *range(405, 495, 6)], 3: [411, 3], 4: [405], 5: [3, 45, 405, 495], 6: [201, 27]}
+    rows = [(30 * n + 1, dt.datetime(2024, 1, d, 12), u, "signup" if d == 1 and u not in (1, 31) else "view", 1.0, "{}") for n, (d, u) in enumerate((d, u) for d in users for u in users[d])]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    lists, frame = [], type(spark.range(1))
+    checkpoint = frame.checkpoint
+
+    def counted(self, *args, **named):
+        written = checkpoint(self, *args, **named)
+        lists.append(written.count() if "candidates" in written.columns else 0)
+        return written
+
+    monkeypatch.setattr(frame, "checkpoint", counted)
+    found = catalog.QUERIES["j6_pending_decisions"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog.ORACLES["j6_pending_decisions"]).fetchall()
+    columns = ["kind", "pattern", "txn_date", "description", "amount", "candidates"]
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(want)
+    assert len({r[5] for r in want if r[1] == "GAMMA 4"}) == 4
+    assert 0 < sum(lists) <= len(PAYMENT_RULES) + len(TRANSFER_RULES)
