@@ -108,7 +108,9 @@ def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
     prints = distinct.where("shingles > 0").select("key", "fp")
     firsts = spill(prints.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
     same = prints.join(firsts, "fp").where("key != first").select(F.col("key").alias("u"), F.col("first").alias("v"))
-    links = simhash_links(firsts.select("fp"), RADIUS)
+    # Each becomes a row a mask where it is read, and its file is small: with the number given, adaptive execution leaves that to many tasks.
+    spread = firsts.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    links = simhash_links(spread, RADIUS)
     links = links.join(firsts.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
     return same.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 

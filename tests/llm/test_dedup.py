@@ -227,3 +227,13 @@ def test_hot_keys_cost_no_rows(spark, tmp_path):
     assert simhash_dedup.simhash_dedup(docs).where("kept").count() <= 101
     left = simhash_dedup.drop_near_copies(docs)
     assert left.where("doc_id = 7").count() == 1 and left.count() == 101
+
+
+def test_fingerprints_are_masked_in_many_tasks(spark, monkeypatch):
+    """A fingerprint is a row for each mask where it is read; its table is one small file, which would be one task of all these rows."""
+    given, links = [], near_copies.simhash_links
+    monkeypatch.setattr(near_copies, "simhash_links", lambda fps, radius: given.append(fps.rdd.getNumPartitions()) or links(fps, radius))
+    distinct = spark.createDataFrame([(k, 5, fp) for k, fp in enumerate([0, 0, 63, 127, -1])], "key bigint, shingles bigint, fp bigint")
+    found = {frozenset((r.u, r.v)) for r in near_copies.fingerprint_pairs(distinct).collect()}
+    assert {frozenset((0, 1)), frozenset((0, 2))} <= found and not any(4 in pair for pair in found)
+    assert given == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
